@@ -1,0 +1 @@
+"""The reference is batch-only, so this package holds no streaming operator."""
