@@ -72,9 +72,10 @@ def repeated_window_words(grams: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(let(let(placed, starts), covered))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     text = F.col("__text")
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("__text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    base = docs.select(*row, F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("__text"))
     base = base.withColumn("__words", words(text))
     word_array = F.col("__words")
     grams = F.when(
@@ -85,6 +86,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = base.withColumn("__grams", grams).withColumn("__lines", lines)
     previous = F.transform(word_array, lambda w, i: F.when(i > 0, w == F.get(word_array, i - 1)).otherwise(F.lit(False)))
     return base.select(
+        *(["row"] if carry else []),
         "doc_id",
         F.size(word_array).cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, SPACE_RUN, "")).cast("long").alias("word_chars"),
@@ -97,12 +99,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measurements, and failed_bits: every rule evaluated once."""
+def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, the measurements, and failed_bits: every rule evaluated once. ``carry`` adds the input row as ``row``."""
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits + F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long")
-    return measured(docs, id_col, text_col).withColumn("failed_bits", bits)
+    return measured(docs, id_col, text_col, carry).withColumn("failed_bits", bits)
 
 
 def apply_policy(frame: DataFrame, policy: str = CURRENT_POLICY) -> DataFrame:
@@ -115,6 +117,13 @@ def apply_policy(frame: DataFrame, policy: str = CURRENT_POLICY) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, policy: str = CURRENT_POLICY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, with all their columns, that the policy keeps."""
+    judged = apply_policy(ledger(docs, id_col=id_col, text_col=text_col, carry=True), policy)
+    # A filter would be pushed below the ledger and repeat its measurements for every use; a generator is not.
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("row"))))
+
+
 def ablation(frame: DataFrame, policy: str = CURRENT_POLICY, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Per rule of the policy: documents that fail it, and those that only it rejects. One pass over the bits."""
     hit = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy]))

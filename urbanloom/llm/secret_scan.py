@@ -69,14 +69,14 @@ def secret_value(kind: Column, value: Column) -> Column:
     return F.when(kind == "assign", F.regexp_extract(value, ASSIGN, 2)).otherwise(value)
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, owner, spans: every candidate of a row, with failing ones dropped. A row for each row."""
     owner = F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")
-    base = docs.select(F.col(id_col).alias("doc_id"), owner.alias("owner"), text_or_empty(text_col).alias("__text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), owner.alias("owner"), text_or_empty(text_col).alias("__text"), *carry)
     text = F.col("__text")
     found = F.concat(*[spans_of(text, kind, rank, pattern) for rank, (kind, pattern) in enumerate(KINDS)])
     passing = F.filter(found, lambda s: (s["kind"] != "assign") | (F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 6))
-    return base.select("doc_id", "owner", F.array_sort(passing).alias("spans"))
+    return base.select("doc_id", "owner", F.array_sort(passing).alias("spans"), *carry)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def find_secrets(
     return judge(scanned, max_live_owners, max_live_docs).select("doc_id", "spans", "n_live", "n_copied")
 
 
-def judge(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8) -> DataFrame:
+def judge(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
     """Decide on the candidates of scan()'s rows by ownership; only rows with candidates are shuffled."""
     scanned = cut(scanned)  # spans are a small part of the texts, which are read and matched once
     owned = ownership(scanned).where((F.col("n_owners") > max_live_owners) | (F.col("n_docs") > max_live_docs)).select("hash", F.lit(True).alias("copied"))
@@ -123,9 +123,9 @@ def judge(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8)
         F.count(F.when(stays & live, 1)).alias("n_live"),
         F.count(F.when(~live, 1)).alias("n_copied"),
     )
-    without = scanned.where(F.size("spans") == 0).select("doc_id", "spans", F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"), "__row")
-    with_spans = scanned.where(F.size("spans") > 0).select("doc_id", "__row").join(by_row, "__row")
-    return without.unionByName(with_spans.select("doc_id", F.col("stay").alias("spans"), "n_live", "n_copied", "__row"))
+    without = scanned.where(F.size("spans") == 0).select("doc_id", "spans", F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"), "__row", *carry)
+    with_spans = scanned.where(F.size("spans") > 0).select("doc_id", "__row", *carry).join(by_row, "__row")
+    return without.unionByName(with_spans.select("doc_id", F.col("stay").alias("spans"), "n_live", "n_copied", "__row", *carry))
 
 
 def span_list(spans: Column) -> Column:
@@ -133,6 +133,27 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redact_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source") -> DataFrame:
+    """The input rows with the spans of find_secrets() replaced in their texts; all columns stay.
+
+    Only rows with candidates, few of a corpus, are shuffled; rows alike in id and text share a decision.
+    """
+    key = lambda: F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text_col)), 256)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    has = F.lit(False)
+    for kind, pattern in KINDS:
+        has = has | (text_or_empty(text_col).rlike(HINTS[kind]) & text_or_empty(text_col).rlike(pattern))
+    some = docs.where(has)
+    owner = F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")
+    narrow = some.select(F.col(id_col).alias("doc_id"), owner.alias("owner"), F.col(text_col).alias("text"), key().alias("key"))
+    scanned = scan(narrow, owner_col="owner", carry=("key",)).withColumn("__row", F.monotonically_increasing_id())
+    decided = judge(scanned, carry=("key",)).select("key", "spans").dropDuplicates(["key"])
+    joined = some.select(row, key().alias("key")).join(decided, "key")
+    text = F.col(f"row.`{text_col}`")
+    cleaned = joined.select(*[(redact(text, F.col("spans")) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return docs.where(~has).unionByName(cleaned)
+
+
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with its spans replaced; overlapping spans become one mark. Spans come by start."""
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

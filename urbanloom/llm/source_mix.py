@@ -60,33 +60,36 @@ def mix_sources(
     weights: Sequence[int] = (1, 2, 3),
     max_epochs: int = 3,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    size: Column | None = None,
+    carry: bool = False,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, epochs (whole ones), cut (true at the budget's cut)."""
-    size = word_count(text_or_empty(text_col)) if size is None else size
+    """doc_id, source, size, source_size, target, taken, epochs (whole ones), cut (true at the budget's cut).
+
+    With ``carry`` the whole input row comes along as the struct ``row``, for a pipeline that needs the texts.
+    """
+    size = word_count(text_or_empty(text_col))
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     source = F.col(source_col).cast("string")
-    base = docs.select(
+    rows = docs.select(
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
         F.col(id_col).alias("doc_id"), source.alias("source"), size.cast("long").alias("size"), key.alias("key"),
         F.when(source.isNull(), "null").otherwise(F.concat(F.lit("is "), source)).alias("skey"),
     )
-    base = cut(base)  # the texts are read and split once; what follows reads a few bytes a row
+    base = cut(rows.drop("row"))  # what is summed reads a few bytes a row
     sizes = base.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     targets = source_targets(sizes, weights, max_epochs).select("skey", "source_size", "n_rows", "target")
     known = targets.limit(MAX_BROADCAST_SOURCES + 1).collect()
     if len(known) <= MAX_BROADCAST_SOURCES:
         targets = F.broadcast(docs.sparkSession.createDataFrame(known, targets.schema))
-    placed = base.join(targets, "skey")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(float(rows_per_bucket)))).cast("long")
     share = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    placed = placed.withColumn("bucket", F.floor(share * buckets))
-    sums = placed.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+    bucketed = lambda frame: frame.join(targets, "skey").withColumn("bucket", F.floor(share * buckets))
+    sums = bucketed(base).groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     starts = sums.select(
         "skey", "bucket",
         F.coalesce(F.sum("bucket_size").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("bucket_start"),
     )
     within = W.partitionBy("skey", "bucket").orderBy("key", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    ranked = placed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    ranked = bucketed(rows if carry else base).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = ranked.join(starts, ["skey", "bucket"])
     budget = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0)).cast("long")
@@ -94,7 +97,7 @@ def mix_sources(
     place = F.col("bucket_start") + F.col("before")
     partial = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - place)).cast("long")
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target",
+        *(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target",
         (epochs * F.col("size") + partial).alias("taken"),
         epochs.alias("epochs"),
         ((partial > 0) & (partial < F.col("size"))).alias("cut"),
