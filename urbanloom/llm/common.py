@@ -57,3 +57,12 @@ def struct_type(fields: Iterable[tuple[str, T.DataType]]) -> T.StructType:
 def crc_bucket(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo; a null value counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus).cast("long"))
+
+
+#: Narrow rows that a size-checked broadcast may hold.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def bounded(frame: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if its rows, counted, are within the bound; else as it is, for a shuffled join."""
+    return F.broadcast(frame) if frame.limit(bound + 1).count() <= bound else frame

@@ -22,14 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.llm.common import cut, text_or_empty, words
+from urbanloom.llm.common import bounded, cut, text_or_empty, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Of 64 bits. At similarity 0.8 the mean distance is about 10 bits with a deviation of 3.
 RADIUS = 18
-#: Shingles of a benchmark, or keys of leaking texts, that are broadcast at most; beyond, by a shuffled join.
-MAX_BROADCAST_ROWS = 500_000
 
 
 def shingles(word_array: Column, width: int) -> Column:
@@ -71,11 +69,6 @@ def benchmark_items(items: DataFrame, width: int = SHINGLE, id_col: str = "item_
     return base.select("item_id", n.alias("n"), F.least(n, F.lit(width)).alias("width"), F.when(n < width, short).otherwise(shingles(F.col("w"), width)).alias("grams"))
 
 
-def _bounded(frame: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if its rows, counted, are within the bound."""
-    return F.broadcast(frame) if frame.limit(bound + 1).count() <= bound else frame
-
-
 def leaks(
     docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
     width: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS,
@@ -85,7 +78,7 @@ def leaks(
     widths = [r[0] for r in known.select("width").distinct().collect()]  # at most SHINGLE values
     need = lambda m: F.ceil(F.lit(2 * threshold / (1 + threshold)) * m).cast("int")
     sought = known.select("item_id", "n", "width", F.size("grams").alias("m"), F.explode(F.array_distinct("grams")).alias("gram"))
-    sought = _bounded(cut(sought))
+    sought = bounded(cut(sought))
     text = text_or_empty(text_col)
     base = docs.select(F.md5(text).alias("key"), words(F.lower(text)).alias("w"))
     hits = None
@@ -101,7 +94,7 @@ def leaks(
     windows = spots.select("key", "width", "n", "m", F.explode(enough).alias("start")).distinct()
     windows = cut(windows)
     # One text for each key with windows: copies meet in partial sums.
-    keys = _bounded(cut(windows.select("key").distinct()))
+    keys = bounded(cut(windows.select("key").distinct()))
     texts = docs.select(F.md5(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     parts = []
     for size in widths:
@@ -147,7 +140,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     best = F.max(F.struct(F.col("similarity"), (-F.col("start_word")).alias("early"), F.col("n_words"))).alias("best")
     by_key = cut(found.groupBy("key", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), best))
     ids = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_or_empty(text_col)).alias("key"))
-    joined = ids.join(_bounded(by_key), "key").select(
+    joined = ids.join(bounded(by_key), "key").select(
         "doc_id", "item_id", "n_windows", F.col("best.similarity").alias("similarity"), (-F.col("best.early")).alias("start_word"), F.col("best.n_words").alias("n_words")
     )
     return joined.distinct()
@@ -155,5 +148,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
 def drop_leaking(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The input rows, with all their columns, whose text holds no benchmark item."""
-    leaking = _bounded(cut(leaks(docs, items, text_col=text_col, **options).select("key").distinct()))
+    leaking = bounded(cut(leaks(docs, items, text_col=text_col, **options).select("key").distinct()))
     return docs.join(leaking.withColumnRenamed("key", "__key"), F.md5(text_or_empty(text_col)) == F.col("__key"), "left_anti")

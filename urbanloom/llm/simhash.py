@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.llm.common import cut, shuffle_partitions, text_or_empty
+from urbanloom.llm.common import bounded, cut, shuffle_partitions, text_or_empty
 from urbanloom.llm.components import connected_components
 
 SEED = 42
@@ -235,3 +235,60 @@ def simhash_components(
 def hex_digits(fp: Column) -> Column:
     """16 lowercase hexadecimal digits of a fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def _similarity(width: int):
+    """(u, v, text of u, text of v) to (u, v, similarity): Jaccard of the sets of word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.empty(batch.num_rows)
+            for k in range(batch.num_rows):
+                a, b = (np.unique(shingle_hashes(batch.column(c)[k].as_py() or "", width)) for c in (2, 3))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                found[k] = shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["u", "v", "similarity"])
+
+    return run
+
+
+def verified_links(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links whose texts' shingles are similar enough. ``texts``: fp, text (one of each fingerprint)."""
+    involved = bounded(cut(links.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
+    few = cut(texts.join(involved, "node").groupBy("node").agg(F.first("text").alias("text")))
+    paired = links.join(few.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(few.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+    return paired.select("u", "v", "text_u", "text_v").mapInArrow(_similarity(width), "u long, v long, similarity double").where(F.col("similarity") >= similarity)
+
+
+def one_of_each_group(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 6, segments: int = 13
+) -> DataFrame:
+    """The input rows, with all their columns, but one only of each group of near-duplicates: the smallest id's.
+
+    Texts are near-duplicates if the Jaccard similarity of their ``width``-word shingles is ``similarity`` or more;
+    groups are the components of that. Candidates come from fingerprints of the texts' distinct words, which
+    move little under edits: within ``radius`` bits by pigeonring filtering, then as spanning forests, whose links
+    are verified on the whole texts. Exact copies (equal md5) meet before that. Rows without words are alike.
+    A null id sorts last; of rows with the same id and text one stays.
+    """
+    text = text_or_empty(text_col)
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("md5"), text.alias("text"))
+    by_id = keyed.groupBy("md5", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    copies = by_id.groupBy("md5").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "n")).alias("least"))
+    # Classes of equal texts are numbered by a hash of 63 bits of their md5, the node of the link graph.
+    prints = cut(keyed.select(F.xxhash64("md5").alias("doc_id"), "text").transform(lambda d: fingerprints(d, shingle=1, distinct=True)).groupBy("doc_id").agg(F.first("fp").alias("fp")))
+    by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    same_print = prints.join(by_print, "fp").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    near = hamming_links(by_print, radius, segments).select("u", "v")
+    links = cut(same_print.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    texts = keyed.select(F.xxhash64("md5").alias("node"), "text")
+    roots = connected_components(cut(verified_links(links, texts, width, similarity)).select("u", "v"))
+    classes = copies.select(F.xxhash64("md5").alias("node"), "md5", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = cut(classes.groupBy("root").agg(F.min(F.struct("least", "md5")).alias("best")).select(F.col("best.md5").alias("__md5"), F.col("best.least.id").alias("__id"), F.col("best.least.n").alias("__n")))
+    on = F.expr("d.__md5 = c.__md5 and d.__id <=> c.__id")
+    marked = docs.withColumns({"__md5": F.md5(text), "__id": F.col(id_col).cast("long")}).alias("d")
+    kept = marked.join(chosen.where("__n = 1").alias("c"), on, "left_semi")
+    repeated = chosen.where("__n > 1")
+    if not repeated.isEmpty():  # rows alike in id and text
+        kept = kept.unionByName(marked.join(repeated.alias("c"), on, "left_semi").dropDuplicates(["__md5", "__id"]))
+    return kept.drop("__md5", "__id")

@@ -28,7 +28,7 @@ from urbanloom.llm.common import cut, text_or_empty, word_count
 #: With up to this number of sources their targets are broadcast; with more, they are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 50_000
 #: Rows that one bucket of the hash range holds about.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
