@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.llm.common import bounded, cut, text_or_empty, words
+from urbanloom.llm.common import bounded, cut, shuffle_partitions, text_or_empty, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -31,8 +31,13 @@ RADIUS = 18
 
 
 def shingles(word_array: Column, width: int) -> Column:
-    count = F.size(word_array) - (width - 1)
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(word_array, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of the runs of ``width`` words. The array is bound first, or it would be made again for each run."""
+
+    def runs(w: Column) -> Column:
+        count = F.size(w) - (width - 1)
+        return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.element_at(F.transform(F.array(word_array), runs), 1)
 
 
 def simhash(hashes: Column) -> Column:
@@ -98,7 +103,8 @@ def leaks(
     texts = docs.select(F.md5(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     parts = []
     for size in widths:
-        grams = texts.select("key", shingles(words(F.lower(F.col("text"))), size).alias("all"))
+        # Cut here and below, or the optimizer would repeat the shingles for each window, and the window for each bit.
+        grams = cut(texts.select("key", shingles(words(F.lower(F.col("text"))), size).alias("all")))
         parts.append(windows.where(F.col("width") == size).join(grams, "key").select("key", "width", "n", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("grams")))
     sliced = parts[0] if parts else None
     for part in parts[1:]:
@@ -107,6 +113,7 @@ def leaks(
         return known.select(F.lit("").alias("key"), "item_id", F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"), F.lit(0).alias("distance")).limit(0)
     # A window at a text's end may be cut short; then it is no window of the item's size.
     whole = sliced.where(F.size("grams") == F.when(F.col("n") >= width, F.col("n") - (width - 1)).otherwise(1))
+    whole = cut(whole.repartition(shuffle_partitions(docs.sparkSession), "key", "start"))
     printed = cut(whole.withColumn("fp", simhash(F.col("grams"))))
     item_prints = known.withColumn("fp", simhash(F.col("grams"))).select("item_id", "n", F.col("grams").alias("item_grams"), F.col("fp").alias("item_fp"))
     return match_windows(printed, cut(item_prints), threshold, radius)
