@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from urbanloom.errors import GridInputError, ScenarioInputError
 from urbanloom.functions import columns as C
+from urbanloom.lineage import cut
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -263,7 +264,7 @@ def shock_hats(policies: DataFrame, locations: DataFrame, bucket: float = 1000.0
     joined = polygon_overlaps(source, target, bucket, exact_boxes).join(source.drop("rings"), "source_id").join(area, "target_id")
     share = F.col("overlap") / F.col("area")
     found = joined.groupBy("target_id").agg(F.sum(share).alias("coverage"), *[F.sum((F.col(h) - 1) * share).alias(h) for h in given])
-    checked = F.when(F.col("coverage") > 1.000001, F.raise_error(F.lit("policy polygons cover a location more than once")).cast("double")).otherwise(F.least(F.col("coverage"), F.lit(1.0)))
+    checked = F.when(F.col("coverage") > 1.000001, F.raise_error(F.lit("policy polygons cover a location more than once")).cast("double")).otherwise(F.least(F.coalesce("coverage", F.lit(0.0)), F.lit(1.0)))
     out = locations.select(F.col("loc_idx").alias("target_id")).join(found, "target_id", "left")
     hats = [(1 + F.coalesce(F.col(h), F.lit(0.0))).alias(h) if h in given else F.lit(1.0).alias(h) for h in HATS]
     return out.select(F.col("target_id").alias("loc_idx"), *hats, F.coalesce(checked, F.lit(0.0)).alias("coverage"))
@@ -291,8 +292,8 @@ def nearest(points: DataFrame, targets: DataFrame, k: int, cell: float, other_th
         done = ranked.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select("point_id")
         found = ranked.join(done, "point_id", "left_semi")
         settled = found if settled is None else settled.unionByName(found)
-        left = left.join(done, "point_id", "left_anti")
-        if not left.limit(1).count():
+        left = cut(left.join(done, "point_id", "left_anti"))
+        if left.isEmpty():
             return settled
         size *= 2
     raise RuntimeError(f"nearest targets not settled in {max_rounds} rounds")
@@ -326,14 +327,14 @@ def nearest_line(points: DataFrame, segments: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """node, component (its smallest node): minima spread over edges, with labels followed to their own labels."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     labels = nodes.select("node", F.col("node").alias("component"))
     for _ in range(max_rounds):
         offered = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("offer"))
         lower = labels.join(offered, labels.node == offered.u, "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("low"))
         jump = lower.select(F.col("node").alias("j"), F.col("low").alias("jumped"))
         fresh = lower.join(jump, F.col("low") == F.col("j")).select("node", F.least("low", "jumped").alias("component"))
-        fresh = fresh.checkpoint() if fresh.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else fresh.persist()
+        fresh = cut(fresh)
         changed = fresh.alias("f").join(labels.alias("l"), "node").where("f.component <> l.component").limit(1).count()
         labels = fresh
         if not changed:

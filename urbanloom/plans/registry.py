@@ -1,11 +1,714 @@
-"""Every query of the engine's own operators, with its oracle."""
+"""Every query of the engine's own operators on the derived city, with an oracle where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from urbanloom.functions import columns as C
+from urbanloom.operators import economy, matrices, reporting, routing, spatial
+from urbanloom.plans.parameters import Parameters
+from urbanloom.sources import city
+
+FLAGSHIP = "mean_commute_minutes"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "mean_commute_minutes"
+P = Parameters()
+DECAY = P.epsilon * P.kappa
+r6 = C.rounded
+
+#: The derived city in the oracles' dialect; every oracle starts with what it needs of it.
+CITY_SQL = """
+n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM supplier),
+site AS (SELECT s_suppkey AS loc_idx, (s_suppkey % side) * 1000.0::DOUBLE AS x, (s_suppkey // side) * 1000.0::DOUBLE AS y FROM supplier, n),
+trip AS (SELECT o_custkey % n AS o_idx, l_suppkey AS d_idx, l_quantity AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey, n),
+flow AS (SELECT o_idx, d_idx, count(*) AS flow FROM trip GROUP BY ALL),
+raw AS (
+  SELECT site.*, coalesce(population, 0)::DOUBLE AS population, coalesce(employment_raw, 0)::DOUBLE AS employment_raw, rent_raw, 1e6::DOUBLE AS land_area
+  FROM site LEFT JOIN (SELECT o_idx AS loc_idx, count(*) AS population FROM trip GROUP BY 1) USING (loc_idx)
+  LEFT JOIN (SELECT l_suppkey AS loc_idx, sum(l_quantity) AS employment_raw FROM lineitem GROUP BY 1) USING (loc_idx)
+  LEFT JOIN (SELECT p_partkey % (SELECT n FROM n) AS loc_idx, avg(p_retailprice) AS rent_raw FROM part GROUP BY 1) USING (loc_idx)),
+loc AS (SELECT raw.*, employment_raw * (SELECT sum(population) FROM raw) / (SELECT sum(employment_raw) FROM raw) AS employment_model,
+  rent_raw / (SELECT avg(rent_raw) FROM raw) AS rent FROM raw),
+od AS (SELECT a.loc_idx AS o_idx, b.loc_idx AS d_idx, CASE WHEN a.loc_idx = b.loc_idx THEN 1.0::DOUBLE ELSE sqrt((a.x - b.x)^2 + (a.y - b.y)^2) / (20.0 * 1000 / 60) END AS minutes FROM site a, site b),
+od1 AS (SELECT o_idx, d_idx, CASE WHEN o_idx // side = side // 2 AND d_idx // side = side // 2 THEN minutes * 0.9::DOUBLE ELSE minutes END AS minutes FROM od, n),
+ker AS (SELECT o_idx, d_idx, minutes, exp(-0.04 * minutes) AS k FROM od)
+"""
+
+
+def query(name: str, oracle: str | None = None, whole_city: bool = True):
+    """Register a query; ``oracle`` is what follows the city's definitions."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = function
+        if oracle is not None:
+            ORACLES[name] = f"WITH RECURSIVE {CITY_SQL}{oracle}" if whole_city else oracle
+        return function
+
+    return add
+
+
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balanced = spatial.employment_balanced(city.raw_locations(spark, sf_dir))
+    return spatial.rent_normalized(balanced, "rent_raw")
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrices.intrazonal(matrices.direct_minutes(city.sites(spark, sf_dir), city.WALK_KMH), "configured_constant", 1.0)
+
+
+def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, side = city.size(spark, sf_dir)
+    on_line = lambda c: F.floor(F.col(c) / side) == side // 2
+    return baseline(spark, sf_dir).withColumn("minutes", F.when(on_line("o_idx") & on_line("d_idx"), F.col("minutes") * 0.9).otherwise(F.col("minutes")))
+
+
+def cell_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = C.box_ring(F.col("x") - city.HALF, F.col("y") - city.HALF, F.col("x") + city.HALF, F.col("y") + city.HALF)
+    return city.raw_locations(spark, sf_dir).withColumn("rings", F.array(ring))
+
+
+def city_bounds(spark: SparkSession, sf_dir: str) -> tuple[tuple[float, float, float, float], tuple[float, float]]:
+    n, side = city.size(spark, sf_dir)
+    rows = -(-n // side)
+    box = (-city.HALF, -city.HALF, (side - 1) * city.SPACING + city.HALF, (rows - 1) * city.SPACING + city.HALF)
+    return box, ((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)
+
+
+BOUNDS_SQL = """, box AS (SELECT -500.0::DOUBLE AS x0, -500.0::DOUBLE AS y0, (side - 1) * 1000.0::DOUBLE + 500 AS x1, (ceil(n / side) - 1) * 1000.0::DOUBLE + 500 AS y1 FROM n)"""
+
+
+@query("mean_commute_minutes", ", total AS (SELECT sum(flow) AS f FROM flow) SELECT 'observed' AS scenario, round(sum(flow * minutes) / any_value(f), 6) + 0.0 AS mean_minutes, sum(flow)::BIGINT AS trips FROM flow JOIN od USING (o_idx, d_idx), total "
+       "UNION ALL SELECT 'counterfactual', round(sum(flow * minutes) / any_value(f), 6) + 0.0, sum(flow)::BIGINT FROM flow JOIN od1 USING (o_idx, d_idx), total")
+def mean_commute_minutes(spark, sf_dir):
+    flows = city.flows(spark, sf_dir)
+    mean = lambda od, name: flows.join(od, ["o_idx", "d_idx"]).agg(F.lit(name).alias("scenario"), r6(F.sum(F.col("flow") * F.col("minutes")) / F.sum("flow")).alias("mean_minutes"), F.sum("flow").alias("trips"))
+    return mean(baseline(spark, sf_dir), "observed").unionByName(mean(counterfactual(spark, sf_dir), "counterfactual"))
+
+
+@query("locations_balanced", "SELECT loc_idx, population, round(employment_raw, 6) AS employment_raw, round(employment_model, 6) AS employment_model, land_area FROM loc")
+def locations_balanced(spark, sf_dir):
+    return spatial.employment_balanced(city.raw_locations(spark, sf_dir)).select("loc_idx", "population", r6(F.col("employment_raw")).alias("employment_raw"), r6(F.col("employment_model")).alias("employment_model"), "land_area")
+
+
+@query("canonical_ids", "SELECT s_suppkey AS loc_idx, CASE s_suppkey % 5 WHEN 4 THEN '-' || s_suppkey || '.5' WHEN 3 THEN '+' || s_suppkey ELSE s_suppkey::VARCHAR END AS location_id FROM supplier", whole_city=False)
+def canonical_ids(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    dressed = (
+        F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("cell_id_"), k)).when(F.col("s_suppkey") % 5 == 1, F.concat(F.lit("  Location_ID "), k, F.lit(" ")))
+        .when(F.col("s_suppkey") % 5 == 2, F.concat(k, F.lit(".00"))).when(F.col("s_suppkey") % 5 == 3, F.concat(F.lit("+"), k, F.lit(".0"))).otherwise(F.concat(F.lit("-"), k, F.lit(".5")))
+    )
+    return city.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("loc_idx"), C.canonical_id(dressed).alias("location_id"))
+
+
+@query("positive_replace", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE (SELECT min(s_acctbal) FROM supplier WHERE s_acctbal > 0) END AS value FROM supplier", whole_city=False)
+def positive_replace(spark, sf_dir):
+    frame = city.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("value"))
+    return spatial.positive_replaced(frame, "value")
+
+
+@query("share_scaling", "SELECT loc_idx, round(employment_raw / (SELECT sum(employment_raw) FROM raw) * 10000, 6) AS employment FROM raw")
+def share_scaling(spark, sf_dir):
+    frame = city.raw_locations(spark, sf_dir).select("loc_idx", F.col("employment_raw").alias("employment"))
+    return spatial.share_scaled(frame, "employment", 10000.0).withColumn("employment", r6(F.col("employment")))
+
+
+@query("rent_normalized", "SELECT loc_idx, round(rent, 6) AS rent FROM loc")
+def rent_normalized(spark, sf_dir):
+    return locations(spark, sf_dir).select("loc_idx", r6(F.col("rent_floor_space")).alias("rent"))
+
+
+@query("browser_rent", "SELECT loc_idx, round(pow(greatest(population, 1e-6) / (SELECT avg(population) FROM raw), 0.25) * (1 + 0.1 * sin(12.9898 * (loc_idx + 1))), 6) AS rent FROM raw")
+def browser_rent(spark, sf_dir):
+    return spatial.browser_rent(city.raw_locations(spark, sf_dir)).select("loc_idx", r6(F.col("rent_floor_space")).alias("rent"))
+
+
+@query("retained_cells", "SELECT loc_idx FROM raw WHERE (CASE WHEN loc_idx % 3 = 0 THEN 0 ELSE population END) > 0 OR (CASE WHEN loc_idx % 2 = 0 THEN 0 ELSE employment_raw END) > 0 OR loc_idx % 12 = 6")
+def retained_cells(spark, sf_dir):
+    k = F.col("loc_idx")
+    frame = city.raw_locations(spark, sf_dir).withColumns({
+        "population": F.when(k % 3 == 0, 0.0).otherwise(F.col("population")), "employment_raw": F.when(k % 2 == 0, 0.0).otherwise(F.col("employment_raw")), "developed": F.when(k % 12 == 6, 1.0),
+    })
+    return spatial.retained(frame).select("loc_idx")
+
+
+@query("square_grid", BOUNDS_SQL + """, g AS (SELECT *, CAST(floor((x1 - x0) / 1500) + 1 AS BIGINT) AS nc, CAST(floor((y1 - y0) / 1500) + 1 AS BIGINT) AS nr FROM box),
+cells AS (SELECT g.*, unnest(range(0, nc * nr)) AS id FROM g)
+SELECT id + 1 AS grid_sequence, round((x0 + x1) / 2 - nc * 750 + (id % nc) * 1500, 6) AS x0, round((y0 + y1) / 2 + nr * 750 - (id // nc + 1) * 1500, 6) AS y0 FROM cells""")
+def square_grid(spark, sf_dir):
+    box, centre = city_bounds(spark, sf_dir)
+    return spatial.square_grid(spark, box, centre, 1500.0).select("grid_sequence", r6(F.col("x0")).alias("x0"), r6(F.col("y0")).alias("y0"))
+
+
+HEX_SQL = BOUNDS_SQL + """, h0 AS (SELECT *, sqrt(2 * 1200.0 * 1200.0 / (3 * sqrt(3.0))) AS s FROM box), h1 AS (SELECT *, sqrt(3.0) * s AS dx, 1.5 * s AS dy FROM h0),
+h AS (SELECT *, CAST(ceil((x1 - x0) / dx) + 3 AS BIGINT) AS nc, CAST(ceil((y1 - y0) / dy) + 3 AS BIGINT) AS nr FROM h1), hx AS (SELECT h.*, unnest(range(0, nc * nr)) AS id FROM h),
+hex AS (SELECT id + 1 AS grid_sequence, x0 - dx + (id % nc) * dx + ((id // nc) % 2) * dx / 2 AS x, y0 - dy + (id // nc) * dy AS y FROM hx)"""
+
+
+@query("hexagon_grid", HEX_SQL + " SELECT grid_sequence, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM hex")
+def hexagon_grid(spark, sf_dir):
+    box, _ = city_bounds(spark, sf_dir)
+    return spatial.hexagon_grid(spark, box, 1200.0).select("grid_sequence", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+@query("polygon_area_centroid", HEX_SQL + " SELECT grid_sequence, 1440000.0::DOUBLE AS area, round(x, 3) + 0.0 AS cx, round(y, 3) + 0.0 AS cy FROM hex")
+def polygon_area_centroid(spark, sf_dir):
+    box, _ = city_bounds(spark, sf_dir)
+    grid = spatial.hexagon_grid(spark, box, 1200.0)
+    centre = C.ring_centroid(F.col("rings")[0])
+    return grid.select("grid_sequence", F.round(C.polygon_area(F.col("rings")), 3).alias("area"), r6(centre["x"], 3).alias("cx"), r6(centre["y"], 3).alias("cy"))
+
+
+BOXES_SQL = BOUNDS_SQL + """, g AS (SELECT *, CAST(floor((x1 - x0) / 1500) + 1 AS BIGINT) AS nc, CAST(floor((y1 - y0) / 1500) + 1 AS BIGINT) AS nr FROM box),
+ids AS (SELECT g.*, unnest(range(0, nc * nr)) AS id FROM g),
+cell AS (SELECT id + 1 AS target_id, (x0 + x1) / 2 - nc * 750 + (id % nc) * 1500 AS cx0, (y0 + y1) / 2 + nr * 750 - (id // nc + 1) * 1500 AS cy0 FROM ids),
+lap AS (SELECT target_id, raw.*, greatest(least(cx0 + 1500, x + 500) - greatest(cx0, x - 500), 0) * greatest(least(cy0 + 1500, y + 500) - greatest(cy0, y - 500), 0) AS overlap FROM cell, raw)"""
+
+
+def _grid_and_sources(spark, sf_dir):
+    box, centre = city_bounds(spark, sf_dir)
+    target = spatial.square_grid(spark, box, centre, 1500.0).select(F.col("grid_sequence").alias("target_id"), "rings")
+    return cell_polygons(spark, sf_dir).withColumn("source_id", F.col("loc_idx")), target
+
+
+@query("area_interpolation_extensive", BOXES_SQL + " SELECT target_id, round(sum(population * overlap / 1e6), 6) + 0.0 AS population, round(sum(employment_raw * overlap / 1e6), 6) + 0.0 AS employment_raw FROM lap GROUP BY target_id")
+def area_interpolation_extensive(spark, sf_dir):
+    source, target = _grid_and_sources(spark, sf_dir)
+    out = spatial.area_interpolate(source, target, ["population", "employment_raw"], exact_boxes=True)
+    return out.select("target_id", r6(F.col("population")).alias("population"), r6(F.col("employment_raw")).alias("employment_raw"))
+
+
+@query("area_interpolation_intensive", BOXES_SQL + " SELECT target_id, round(sum(CASE WHEN loc_idx % 7 <> 0 THEN rent_raw * overlap END) / sum(CASE WHEN loc_idx % 7 <> 0 THEN overlap END), 6) AS rent FROM lap WHERE overlap > 0 GROUP BY target_id HAVING sum(CASE WHEN loc_idx % 7 <> 0 THEN overlap END) > 0")
+def area_interpolation_intensive(spark, sf_dir):
+    source, target = _grid_and_sources(spark, sf_dir)
+    out = spatial.area_interpolate(source.withColumn("rent", F.when(F.col("loc_idx") % 7 != 0, F.col("rent_raw"))), target, [], ["rent"], exact_boxes=True)
+    return out.where(~F.isnan("rent")).select("target_id", r6(F.col("rent")).alias("rent"))
+
+
+@query("area_interpolation_hexagons", None)
+def area_interpolation_hexagons(spark, sf_dir):
+    box, _ = city_bounds(spark, sf_dir)
+    target = spatial.hexagon_grid(spark, box, 1200.0).select(F.col("grid_sequence").alias("target_id"), "rings")
+    source = cell_polygons(spark, sf_dir).withColumn("source_id", F.col("loc_idx"))
+    return spatial.area_interpolate(source, target, ["population"]).select("target_id", r6(F.col("population")).alias("population"))
+
+
+@query("allocation_report", "SELECT 'population' AS variable, round(sum(population), 6) AS source_total, round(sum(population), 6) AS allocated_total, 1.0::DOUBLE AS ratio FROM raw")
+def allocation_report(spark, sf_dir):
+    source, target = _grid_and_sources(spark, sf_dir)
+    report = spatial.allocation_report(source, spatial.area_interpolate(source, target, ["population"], exact_boxes=True), ["population"])
+    return report.select("variable", r6(F.col("source_total")).alias("source_total"), r6(F.col("allocated_total")).alias("allocated_total"), r6(F.col("ratio")).alias("ratio"))
+
+
+def policies(spark, sf_dir) -> DataFrame:
+    sites = city.sites(spark, sf_dir).where(F.col("loc_idx") % 10 == 3)
+    ring = C.box_ring(F.col("x") - 400, F.col("y") - 300, F.col("x") + 550, F.col("y") + 450)
+    return sites.select(F.col("loc_idx").alias("policy_id"), F.array(ring).alias("rings"), (1 + (F.col("loc_idx") % 20) / 50).alias("productivity_hat"), F.lit(1.05).alias("amenity_hat"))
+
+
+POLICY_SQL = """, pol AS (SELECT loc_idx AS policy_id, x - 400 AS px0, y - 300 AS py0, x + 550 AS px1, y + 450 AS py1, 1 + (loc_idx % 20) / 50 AS ph FROM site WHERE loc_idx % 10 = 3),
+cov AS (SELECT loc_idx, ph, greatest(least(px1, x + 500) - greatest(px0, x - 500), 0) * greatest(least(py1, y + 500) - greatest(py0, y - 500), 0) / 1e6 AS share FROM site, pol)"""
+
+
+@query("shock_hats", POLICY_SQL + " SELECT loc_idx, round(1 + sum((ph - 1) * share), 6) AS productivity_hat, round(1 + sum(0.05 * share), 6) AS amenity_hat, 1.0::DOUBLE AS structural_density_hat, round(sum(share), 6) AS coverage FROM cov GROUP BY loc_idx")
+def shock_hats(spark, sf_dir):
+    hats = spatial.shock_hats(policies(spark, sf_dir), cell_polygons(spark, sf_dir), exact_boxes=True)
+    return hats.select("loc_idx", *[r6(F.col(c)).alias(c) for c in (*spatial.HATS, "coverage")])
+
+
+@query("shock_overlap_check", """, pol AS (SELECT loc_idx, x - 700 AS x0, y - 700 AS y0, x + 700 AS x1, y + 700 AS y1 FROM site WHERE loc_idx % 3 = 1),
+two AS (SELECT a.loc_idx AS left_id, b.loc_idx AS right_id, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS overlap FROM pol a JOIN pol b ON a.loc_idx < b.loc_idx)
+SELECT left_id, right_id, round(overlap, 6) AS overlap FROM two WHERE overlap > 1e-8""")
+def shock_overlap_check(spark, sf_dir):
+    ring = C.box_ring(F.col("x") - 700, F.col("y") - 700, F.col("x") + 700, F.col("y") + 700)
+    made = city.sites(spark, sf_dir).where(F.col("loc_idx") % 3 == 1).select(F.col("loc_idx").alias("policy_id"), F.array(ring).alias("rings"))
+    return spatial.policy_overlaps(made, 1000.0, exact_boxes=True).withColumn("overlap", r6(F.col("overlap")))
+
+
+@query("changed_locations", POLICY_SQL + " SELECT primitive, count(*) AS n_changed FROM (SELECT loc_idx, sum((ph - 1) * share) AS p, sum(0.05 * share) AS a FROM cov GROUP BY loc_idx) UNPIVOT (h FOR primitive IN (p, a)) WHERE abs(h) > 1.001e-5 GROUP BY primitive")
+def changed_locations(spark, sf_dir):
+    hats = spatial.shock_hats(policies(spark, sf_dir), cell_polygons(spark, sf_dir), exact_boxes=True)
+    long = hats.select(F.explode(F.array(F.struct(F.lit("p").alias("primitive"), F.col("productivity_hat").alias("h")), F.struct(F.lit("a").alias("primitive"), F.col("amenity_hat").alias("h")))).alias("r")).select("r.*")
+    return long.where(C.is_changed(F.col("h"))).groupBy("primitive").agg(F.count(F.lit(1)).alias("n_changed"))
+
+
+@query("point_in_polygon", HEX_SQL + """, near AS (SELECT loc_idx, grid_sequence, (site.x - hex.x)^2 + (site.y - hex.y)^2 AS d FROM site, hex), best AS (SELECT loc_idx, grid_sequence, row_number() OVER (PARTITION BY loc_idx ORDER BY d) AS k FROM near)
+SELECT loc_idx, grid_sequence FROM best WHERE k = 1 AND loc_idx % 3 = 1""")
+def point_in_polygon(spark, sf_dir):
+    box, _ = city_bounds(spark, sf_dir)
+    grid = spatial.hexagon_grid(spark, box, 1200.0).select("grid_sequence", "rings", F.explode(spatial._cells(spatial.bounds_of(F.col("rings")), 1500.0)).alias("cell"))
+    points = city.sites(spark, sf_dir).where(F.col("loc_idx") % 3 == 1).select("loc_idx", F.col("x").alias("px"), F.col("y").alias("py"), F.struct(F.floor(F.col("x") / 1500).alias("i"), F.floor(F.col("y") / 1500).alias("j")).alias("cell"))
+    return points.join(grid, "cell").where(C.point_in_polygon(F.col("px"), F.col("py"), F.col("rings"))).select("loc_idx", "grid_sequence")
+
+
+@query("od_direct_minutes", "SELECT o_idx, d_idx, round(minutes, 6) AS minutes FROM od")
+def od_direct_minutes(spark, sf_dir):
+    return baseline(spark, sf_dir).withColumn("minutes", r6(F.col("minutes")))
+
+
+@query("od_summary", """SELECT round(min(a.minutes), 6) AS min_m0, round(avg(a.minutes), 6) AS mean_m0, round(max(a.minutes), 6) AS max_m0, round(min(b.minutes), 6) AS min_m1, round(avg(b.minutes), 6) AS mean_m1, round(max(b.minutes), 6) AS max_m1,
+round(corr(a.minutes, b.minutes), 6) AS correlation, count(*) FILTER (b.minutes - a.minutes < -1e-10) AS improved, count(*) FILTER (abs(b.minutes - a.minutes) <= 1e-10) AS unchanged, count(*) FILTER (b.minutes - a.minutes > 1e-10) AS slower
+FROM od a JOIN od1 b USING (o_idx, d_idx)""")
+def od_summary(spark, sf_dir):
+    out = matrices.summary(baseline(spark, sf_dir), counterfactual(spark, sf_dir))
+    return out.select(*[F.col(c) if c in ("improved", "unchanged", "slower") else r6(F.col(c)).alias(c) for c in out.columns])
+
+
+@query("unit_conversion", "SELECT o_idx, d_idx, round(minutes / 60, 6) AS from_seconds, round(minutes * 60, 6) AS from_hours FROM od")
+def unit_conversion(spark, sf_dir):
+    m = F.col("minutes")
+    return baseline(spark, sf_dir).select("o_idx", "d_idx", r6(C.to_minutes(m, "seconds")).alias("from_seconds"), r6(C.to_minutes(m, "hours")).alias("from_hours"))
+
+
+@query("matrix_content_gate", "SELECT count(*) AS pairs, count(*) FILTER (o_idx = 1 AND d_idx = 2) AS n_not_finite, count(*) FILTER (o_idx = 2 AND d_idx = 1) AS n_negative, true AS complete FROM od")
+def matrix_content_gate(spark, sf_dir):
+    n, _ = city.size(spark, sf_dir)
+    at = lambda o, d: (F.col("o_idx") == o) & (F.col("d_idx") == d)
+    spoiled = baseline(spark, sf_dir).withColumn("minutes", F.when(at(1, 2), float("inf")).when(at(2, 1), -1.0).otherwise(F.col("minutes")))
+    return matrices.content_faults(spoiled, n)
+
+
+@query("matrix_id_antijoin", """SELECT 'L' || s_suppkey AS location_id, 'missing' AS problem FROM supplier WHERE s_suppkey % 9 = 4 UNION ALL SELECT 'X' || s_suppkey, 'extra' FROM supplier WHERE s_suppkey % 11 = 5
+UNION ALL SELECT 'L' || s_suppkey, 'repeated' FROM supplier WHERE s_suppkey % 6 = 0 AND s_suppkey % 9 <> 4""", whole_city=False)
+def matrix_id_antijoin(spark, sf_dir):
+    known = city.sites(spark, sf_dir).select("loc_idx", "location_id")
+    found = known.where(F.col("loc_idx") % 9 != 4)
+    found = found.unionByName(found.where(F.col("loc_idx") % 6 == 0)).unionByName(known.where(F.col("loc_idx") % 11 == 5).withColumn("location_id", F.concat(F.lit("X"), F.col("loc_idx"))))
+    return matrices.id_differences(found.select("location_id"), known.select("location_id"))
+
+
+@query("wide_matrix_roundtrip", "SELECT o_idx, d_idx, round(minutes, 6) AS minutes FROM od WHERE o_idx < 40 AND d_idx < 40")
+def wide_matrix_roundtrip(spark, sf_dir):
+    """A wide table of forty locations: the width is the sink's, not a sample of a computation."""
+    sites = city.sites(spark, sf_dir).select("loc_idx", F.col("loc_idx").cast("string").alias("location_id")).where("loc_idx < 40")
+    od = baseline(spark, sf_dir).where("o_idx < 40 and d_idx < 40")
+    return matrices.wide_to_long(matrices.long_to_wide(od, sites), sites).withColumn("minutes", r6(F.col("minutes")))
+
+
+def stations(spark, sf_dir) -> DataFrame:
+    return city.sites(spark, sf_dir).where(F.col("loc_idx") % 7 == 2).select(F.col("loc_idx").alias("target_id"), (F.col("x") + 130).alias("x"), (F.col("y") + 70).alias("y"))
+
+
+STATION_SQL = ", st AS (SELECT loc_idx AS target_id, x + 130 AS sx, y + 70 AS sy FROM site WHERE loc_idx % 7 = 2)"
+
+
+@query("knn_stations", STATION_SQL + ", d AS (SELECT loc_idx AS point_id, target_id, sqrt((x - sx)^2 + (y - sy)^2) AS distance FROM site, st), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 6), target_id) AS rank FROM d) SELECT point_id, target_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM k WHERE rank <= least(3, (SELECT count(*) FROM st))")
+def knn_stations(spark, sf_dir):
+    points = city.sites(spark, sf_dir).select(F.col("loc_idx").alias("point_id"), "x", "y")
+    return spatial.nearest(points, stations(spark, sf_dir), 3, 2000.0).withColumn("distance", r6(F.col("distance")))
+
+
+@query("nearest_vertex", STATION_SQL + ", d AS (SELECT target_id AS point_id, loc_idx AS target_id, sqrt((x - sx)^2 + (y - sy)^2) AS distance FROM site, st), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, target_id) AS rank FROM d) SELECT point_id, target_id, round(distance, 6) AS distance FROM k WHERE rank = 1")
+def nearest_vertex(spark, sf_dir):
+    points = stations(spark, sf_dir).withColumnRenamed("target_id", "point_id")
+    targets = city.sites(spark, sf_dir).select(F.col("loc_idx").alias("target_id"), "x", "y")
+    return spatial.nearest(points, targets, 1, 1000.0).select("point_id", "target_id", r6(F.col("distance")).alias("distance"))
+
+
+WALK_SQL = """, wd AS (SELECT a.loc_idx AS a, b.loc_idx AS b, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) AS d FROM site a, site b WHERE a.loc_idx <> b.loc_idx),
+wk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM wd), walk AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, d FROM wk WHERE k <= 5)"""
+
+
+@query("knn_walk_edges", WALK_SQL + " SELECT a, b, round(d, 6) AS distance FROM walk")
+def knn_walk_edges(spark, sf_dir):
+    return spatial.walking_edges(city.sites(spark, sf_dir), 5, 1500.0).withColumn("distance", r6(F.col("distance")))
+
+
+@query("within_radius", "SELECT a.loc_idx AS point_id, b.loc_idx AS other_id FROM site a, site b WHERE sqrt((a.x - b.x)^2 + (a.y - b.y)^2) <= 1500")
+def within_radius(spark, sf_dir):
+    return spatial.within_radius(city.sites(spark, sf_dir).withColumnRenamed("loc_idx", "point_id"), 1500.0)
+
+
+@query("cluster_centroids", ", w AS (SELECT a.loc_idx AS point_id, b.x, b.y FROM site a, site b WHERE sqrt((a.x - b.x)^2 + (a.y - b.y)^2) <= 1000) SELECT point_id, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, count(*) AS members FROM w GROUP BY point_id")
+def cluster_centroids(spark, sf_dir):
+    points = city.sites(spark, sf_dir).withColumnRenamed("loc_idx", "point_id")
+    places = points.select(F.col("point_id").alias("other_id"), "x", "y")
+    return spatial.within_radius(points, 1000.0).join(places, "other_id").groupBy("point_id").agg(r6(F.avg("x")).alias("x"), r6(F.avg("y")).alias("y"), F.count(F.lit(1)).alias("members"))
+
+
+@query("nearest_line", STATION_SQL + """, ln AS (SELECT DISTINCT y AS ly FROM site WHERE CAST(y / 1000 AS BIGINT) % 2 = 0), d AS (SELECT target_id AS point_id, CAST(ly AS BIGINT) AS line_id, abs(sy - ly) AS distance, sx AS px, ly AS py FROM st, ln),
+k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, line_id) AS r FROM d) SELECT point_id, line_id, round(distance, 6) AS distance, round(px, 6) AS px, round(py, 6) AS py FROM k WHERE r = 1""")
+def nearest_line(spark, sf_dir):
+    _, side = city.size(spark, sf_dir)
+    rows = city.sites(spark, sf_dir).select("y").distinct().where((F.col("y") / 1000) % 2 == 0)
+    lines = rows.select(F.col("y").cast("long").alias("line_id"), F.lit(-1000.0).alias("x0"), F.col("y").alias("y0"), F.lit(side * 1000.0 + 1000).alias("x1"), F.col("y").alias("y1"))
+    points = stations(spark, sf_dir).select(F.col("target_id").alias("point_id"), "x", "y")
+    return spatial.nearest_line(points, lines).select("point_id", "line_id", *[r6(F.col(c)).alias(c) for c in ("distance", "px", "py")])
+
+
+@query("connected_components", """, nk AS (SELECT a.loc_idx AS a, b.loc_idx AS b, row_number() OVER (PARTITION BY a.loc_idx ORDER BY (a.x * 1.1 - b.x * 1.1)^2 + (a.y - b.y)^2, b.loc_idx) AS k FROM site a JOIN site b ON a.loc_idx <> b.loc_idx AND a.loc_idx % 6 = b.loc_idx % 6),
+e AS (SELECT a, b FROM nk WHERE k = 1 UNION SELECT b, a FROM nk WHERE k = 1), reach(a, b) AS (SELECT loc_idx, loc_idx FROM site UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
+def connected_components(spark, sf_dir):
+    sites = city.sites(spark, sf_dir).select(F.col("loc_idx"), (F.col("x") * 1.1).alias("x"), "y")
+    edges = None
+    for k in range(6):
+        part = sites.where(F.col("loc_idx") % 6 == k)
+        if part.count() < 2:
+            continue
+        found = spatial.walking_edges(part, 1, 2500.0)
+        edges = found if edges is None else edges.unionByName(found)
+    return spatial.components(sites.select(F.col("loc_idx").alias("node")), edges)
+
+
+SQUARINGS = "".join(f", d{2 * k} AS (SELECT p.a, q.b, min(p.d + q.d) AS d FROM d{k} p JOIN d{k} q ON p.b = q.a GROUP BY ALL)" for k in (1, 2, 4, 8, 16))
+
+
+@query("shortest_paths_walking", WALK_SQL + ", d1 AS (SELECT a, b, d FROM walk UNION ALL SELECT b, a, d FROM walk UNION ALL SELECT loc_idx, loc_idx, 0 FROM site)" + SQUARINGS + " SELECT a AS o_idx, b AS d_idx, round(d / (4.0 * 1000 / 60), 6) + 0.0 AS minutes FROM d32")
+def shortest_paths_walking(spark, sf_dir):
+    points = city.sites(spark, sf_dir)
+    times = routing.shortest_paths(routing.walking_graph(points, routing.RoutingSettings(), 1500.0), points)
+    return times.withColumn("minutes", r6(F.col("minutes")))
+
+
+def line_network(spark, sf_dir) -> tuple[list, list]:
+    """One straight line through the middle row, with a station at every third location of it."""
+    _, side = city.size(spark, sf_dir)
+    y = float(side // 2) * city.SPACING
+    return [[(0.0, y), ((side - 1) * city.SPACING, y)]], [(k * city.SPACING, y) for k in range(0, side, 3)]
+
+
+@query("direct_station_access", """, sta AS (SELECT k AS station, k * 1000.0::DOUBLE AS sx, (side // 2) * 1000.0::DOUBLE AS sy FROM (SELECT side, unnest(range(0, side, 3)) AS k FROM n)),
+acc AS (SELECT loc_idx, station, sqrt((x - sx)^2 + (y - sy)^2) / (4.0 * 1000 / 60) AS access FROM site, sta), ride AS (SELECT a.station AS s, b.station AS t, abs(a.sx - b.sx) / (35.0 * 1000 / 60) AS ride FROM sta a, sta b),
+reach AS (SELECT loc_idx AS o_idx, t, min(access + ride) AS m FROM acc JOIN ride ON station = s GROUP BY ALL), via AS (SELECT o_idx, loc_idx AS d_idx, min(m + access) AS via FROM reach JOIN acc ON t = station GROUP BY ALL),
+dir AS (SELECT a.loc_idx AS o_idx, b.loc_idx AS d_idx, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) / (4.0 * 1000 / 60) AS m FROM site a, site b) SELECT o_idx, d_idx, round(least(m, via), 6) + 0.0 AS minutes FROM dir JOIN via USING (o_idx, d_idx)""")
+def direct_station_access(spark, sf_dir):
+    lines, places = line_network(spark, sf_dir)
+    times = routing.travel_times(city.sites(spark, sf_dir), lines, places, routing.RoutingSettings(), "direct_station_access")
+    return times.withColumn("minutes", r6(F.col("minutes")))
+
+
+def standalone_times(spark, sf_dir) -> DataFrame:
+    lines, places = line_network(spark, sf_dir)
+    return routing.travel_times(city.sites(spark, sf_dir), lines, places, routing.RoutingSettings(), "standalone_ttmatrix", cell=1500.0)
+
+
+@query("standalone_routing", None)
+def standalone_routing(spark, sf_dir):
+    return standalone_times(spark, sf_dir).withColumn("minutes", r6(F.col("minutes")))
+
+
+@query("graph_report", None)
+def graph_report(spark, sf_dir):
+    lines, places = line_network(spark, sf_dir)
+    return routing.graph_report(routing.augmented_graph(city.sites(spark, sf_dir), lines, places, routing.RoutingSettings(), 1500.0))
+
+
+@query("path_stats", "SELECT count(*) FILTER (o_idx % 50 = 1 AND d_idx % 50 = 2) AS unreachable, round(max(minutes) FILTER (o_idx <> d_idx AND NOT (o_idx % 50 = 1 AND d_idx % 50 = 2)), 6) AS maximum, round(avg(minutes) FILTER (o_idx <> d_idx AND NOT (o_idx % 50 = 1 AND d_idx % 50 = 2)), 6) AS mean FROM od")
+def path_stats(spark, sf_dir):
+    hole = (F.col("o_idx") % 50 == 1) & (F.col("d_idx") % 50 == 2)
+    out = matrices.path_stats(baseline(spark, sf_dir).withColumn("minutes", F.when(hole, float("inf")).otherwise(F.col("minutes"))))
+    return out.select("unreachable", r6(F.col("maximum")).alias("maximum"), r6(F.col("mean")).alias("mean"))
+
+
+@query("detour_stats", ", r AS (SELECT (abs(a.x - b.x) + abs(a.y - b.y)) / sqrt((a.x - b.x)^2 + (a.y - b.y)^2) AS ratio FROM site a, site b WHERE a.loc_idx <> b.loc_idx) SELECT round(quantile_cont(ratio, 0.99), 6) AS p99, round(max(ratio), 6) AS maximum, count(*) FILTER (ratio > 1.4) AS n_above FROM r")
+def detour_stats(spark, sf_dir):
+    points = city.sites(spark, sf_dir)
+    direct = matrices.direct_minutes(points, 4.0)
+    o, d = points.select(F.col("loc_idx").alias("o_idx"), F.col("x").alias("x0"), F.col("y").alias("y0")), points.select(F.col("loc_idx").alias("d_idx"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    blocks = o.crossJoin(d).select("o_idx", "d_idx", ((F.abs(F.col("x0") - F.col("x1")) + F.abs(F.col("y0") - F.col("y1"))) / C.metres_per_minute(4.0)).alias("minutes"))
+    out = matrices.detour_stats(blocks, direct, 1.4)
+    return out.select(r6(F.col("p99")).alias("p99"), r6(F.col("maximum")).alias("maximum"), "n_above")
+
+
+@query("commute_kernel_margins", """, f AS (SELECT o_idx, d_idx, k * pow(o.population, 0.5) * pow(d.employment_model, 0.5) AS phi FROM ker JOIN loc o ON o_idx = o.loc_idx JOIN loc d ON d_idx = d.loc_idx), t AS (SELECT sum(phi) AS s FROM f)
+SELECT o_idx AS loc_idx, 'residence' AS side, round(sum(phi) / any_value(s), 9) AS share FROM f, t GROUP BY o_idx UNION ALL SELECT d_idx, 'workplace', round(sum(phi) / any_value(s), 9) FROM f, t GROUP BY d_idx""")
+def commute_kernel_margins(spark, sf_dir):
+    loc = locations(spark, sf_dir)
+    o = loc.select(F.col("loc_idx").alias("o_idx"), F.sqrt("population").alias("r"))
+    d = loc.select(F.col("loc_idx").alias("d_idx"), F.sqrt("employment_model").alias("s"))
+    phi = matrices.kernel(baseline(spark, sf_dir), DECAY).join(o, "o_idx").join(d, "d_idx").select("o_idx", "d_idx", (F.col("weight") * F.col("r") * F.col("s")).alias("phi"))
+    # Both margins of one cube, and the total, from one aggregate over the pairs.
+    sums = phi.groupingSets([["o_idx"], ["d_idx"], []], "o_idx", "d_idx").agg(F.sum("phi").alias("phi"), F.grouping_id().alias("g"))
+    total = sums.where("g = 3").select(F.col("phi").alias("total"))
+    margins = sums.where("g <> 3").select(F.coalesce("o_idx", "d_idx").alias("loc_idx"), F.when(F.col("g") == 1, "residence").otherwise("workplace").alias("side"), "phi")
+    return margins.crossJoin(F.broadcast(total)).select("loc_idx", "side", r6(F.col("phi") / F.col("total"), 9).alias("share"))
+
+
+def balancing_pass(kernel: DataFrame, loc: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One half-pair of balancing on long pairs: u over origins, then v over destinations."""
+    forth = kernel.join(v.withColumnsRenamed({"loc_idx": "d_idx", "v": "__v"}), "d_idx").groupBy(F.col("o_idx").alias("loc_idx")).agg(F.sum(F.col("weight") * F.col("__v")).alias("kv"))
+    u = loc.join(forth, "loc_idx").select("loc_idx", F.when(F.col("kv") > 0, F.col("rows") / F.col("kv")).otherwise(0.0).alias("u"))
+    back = kernel.join(u.withColumnsRenamed({"loc_idx": "o_idx", "u": "__u"}), "o_idx").groupBy(F.col("d_idx").alias("loc_idx")).agg(F.sum(F.col("weight") * F.col("__u")).alias("ku"))
+    return u, loc.join(back, "loc_idx").select("loc_idx", F.when(F.col("ku") > 0, F.col("cols") / F.col("ku")).otherwise(0.0).alias("v"))
+
+
+PASS_SQL = """, m AS (SELECT loc_idx, population / (SELECT sum(population) FROM loc) AS r, employment_model / (SELECT sum(population) FROM loc) AS c FROM loc),
+u1 AS (SELECT o_idx AS i, any_value(r) / sum(k) AS u FROM ker JOIN m ON o_idx = loc_idx GROUP BY o_idx), v1 AS (SELECT d_idx AS j, any_value(c) / sum(k * u) AS v FROM ker JOIN u1 ON o_idx = i JOIN m ON d_idx = loc_idx GROUP BY d_idx),
+u2 AS (SELECT o_idx AS i, any_value(r) / sum(k * v) AS u FROM ker JOIN v1 ON d_idx = j JOIN m ON o_idx = loc_idx GROUP BY o_idx), v2 AS (SELECT d_idx AS j, any_value(c) / sum(k * u) AS v FROM ker JOIN u2 ON o_idx = i JOIN m ON d_idx = loc_idx GROUP BY d_idx)"""
+
+
+@query("sinkhorn_2_passes", PASS_SQL + " SELECT i AS loc_idx, round(u, 9) AS u, round(v, 6) AS v FROM u2 JOIN v2 ON i = j")
+def sinkhorn_2_passes(spark, sf_dir):
+    loc = locations(spark, sf_dir)
+    total = loc.agg(F.sum("population").alias("total"))
+    margins = loc.crossJoin(F.broadcast(total)).select("loc_idx", (F.col("population") / F.col("total")).alias("rows"), (F.col("employment_model") / F.col("total")).alias("cols"))
+    kernel = matrices.kernel(baseline(spark, sf_dir), DECAY)
+    v = margins.select("loc_idx", F.lit(1.0).alias("v"))
+    for _ in range(2):
+        u, v = balancing_pass(kernel, margins, v)
+    return u.join(v, "loc_idx").select("loc_idx", r6(F.col("u"), 9).alias("u"), r6(F.col("v")).alias("v"))
+
+
+@query("spillover_density", """SELECT o_idx AS loc_idx, round(sum(exp(-0.2 * minutes) * employment_model / land_area), 9) AS job_density, round(sum(exp(-0.3 * minutes) * population / land_area), 9) AS people_density,
+round(1.5 / pow(sum(exp(-0.2 * minutes) * employment_model / land_area), 0.071), 6) AS productivity FROM od JOIN loc ON d_idx = loc_idx GROUP BY o_idx""")
+def spillover_density(spark, sf_dir):
+    loc = locations(spark, sf_dir).withColumns({"jobs": F.col("employment_model") / F.col("land_area"), "people": F.col("population") / F.col("land_area")})
+    od = baseline(spark, sf_dir)
+    jobs, people = matrices.kernel_sum(od, loc, P.productivity_decay, "jobs", "job_density"), matrices.kernel_sum(od, loc, P.amenity_decay, "people", "people_density")
+    fundamental = 1.5 / F.pow(F.col("job_density"), P.productivity_spillover)
+    return jobs.join(people, "loc_idx").select("loc_idx", r6(F.col("job_density"), 9).alias("job_density"), r6(F.col("people_density"), 9).alias("people_density"), r6(fundamental).alias("productivity"))
+
+
+@query("floor_space_inversion", """, w AS (SELECT *, 0.9 + (loc_idx % 7) / 20 AS wage, 100.0 + loc_idx % 13 AS income FROM loc), y AS (SELECT *, wage * employment_model / 0.8 AS output FROM w),
+f AS (SELECT *, 0.2 * output / rent AS shops, 0.25 * income / rent AS homes FROM y) SELECT loc_idx, round(shops, 6) AS commercial, round(homes, 6) AS residential, round((shops + homes) / pow(land_area, 0.25), 6) AS density, round(shops / (shops + homes), 9) AS share,
+round(output / (pow(employment_model, 0.8) * pow(shops, 0.2)), 6) AS productivity FROM f""")
+def floor_space_inversion(spark, sf_dir):
+    k = F.col("loc_idx")
+    made = locations(spark, sf_dir).withColumns({"wage": 0.9 + (k % 7) / 20, "income": 100.0 + k % 13})
+    made = made.withColumn("output", F.col("wage") * F.col("employment_model") / P.alpha)
+    made = made.withColumns({"shops": (1 - P.alpha) * F.col("output") / F.col("rent_floor_space"), "homes": (1 - P.beta) * F.col("income") / F.col("rent_floor_space")})
+    floor = F.col("shops") + F.col("homes")
+    return made.select(
+        "loc_idx", r6(F.col("shops")).alias("commercial"), r6(F.col("homes")).alias("residential"), r6(floor / F.pow("land_area", P.land_share)).alias("density"), r6(F.col("shops") / floor, 9).alias("share"),
+        r6(F.col("output") / (F.pow("employment_model", P.alpha) * F.pow("shops", 1 - P.alpha))).alias("productivity"),
+    )
+
+
+@query("reservation_utility", ", f AS (SELECT sum(k * pow(1 + (o_idx % 5) / 50, 4) * pow(rent, -1.0) * pow(0.9 + (d_idx % 7) / 20, 4)) AS phi FROM ker JOIN loc ON o_idx = loc_idx) SELECT round(gamma(0.75) * pow(phi, 0.25), 6) AS utility FROM f")
+def reservation_utility(spark, sf_dir):
+    rent = locations(spark, sf_dir).select(F.col("loc_idx").alias("o_idx"), "rent_floor_space")
+    amenity, wage = 1 + (F.col("o_idx") % 5) / 50, 0.9 + (F.col("d_idx") % 7) / 20
+    phi = F.col("weight") * F.pow(amenity, P.epsilon) * F.pow("rent_floor_space", -(1 - P.beta) * P.epsilon) * F.pow(wage, P.epsilon)
+    return matrices.kernel(baseline(spark, sf_dir), DECAY).join(rent, "o_idx").agg(F.sum(phi).alias("phi")).select(r6(P.gamma_constant * F.pow("phi", 1 / P.epsilon)).alias("utility"))
+
+
+@query("commuting_market_access", "SELECT o_idx AS loc_idx, round(sum(k * pow(0.9 + (d_idx % 7) / 20, 4)), 6) AS access FROM ker GROUP BY o_idx")
+def commuting_market_access(spark, sf_dir):
+    wages = city.sites(spark, sf_dir).select("loc_idx", F.pow(0.9 + (F.col("loc_idx") % 7) / 20, P.epsilon).alias("pull"))
+    return matrices.kernel_sum(baseline(spark, sf_dir), wages, DECAY, "pull", "access").withColumn("access", r6(F.col("access")))
+
+
+STEP_SQL = """, s0 AS (SELECT *, 0.9 + (loc_idx % 7) / 20 AS wage, 0.4 + (loc_idx % 3) / 10 AS theta, 1 + (loc_idx % 5) / 50 AS a, 1 + (loc_idx % 4) / 40 AS b, 30.0 * pow(land_area, 0.25) AS floor FROM loc),
+den AS (SELECT o_idx, sum(exp(-0.2 * minutes) * employment_model / land_area) AS jd, sum(exp(-0.3 * minutes) * population / land_area) AS pd FROM od JOIN s0 ON d_idx = loc_idx GROUP BY o_idx),
+s1 AS (SELECT s0.*, a * pow(jd, 0.071) AS aa, b * pow(pd, 0.155) AS bb FROM s0 JOIN den ON loc_idx = o_idx),
+f AS (SELECT o_idx, d_idx, k * pow(o.bb, 4) * pow(o.rent, -1.0) * pow(d.wage, 4) AS phi, d.wage AS dw FROM ker JOIN s1 o ON o_idx = o.loc_idx JOIN s1 d ON d_idx = d.loc_idx), t AS (SELECT sum(phi) AS s, (SELECT sum(population) FROM loc) AS h FROM f),
+ro AS (SELECT o_idx, sum(phi) / any_value(s) * any_value(h) AS people, sum(phi * dw) / any_value(s) * any_value(h) AS income FROM f, t GROUP BY o_idx), co AS (SELECT d_idx, sum(phi) / any_value(s) * any_value(h) AS jobs FROM f, t GROUP BY d_idx),
+y AS (SELECT s1.*, people, income, jobs, aa * pow(jobs, 0.8) * pow(theta * floor, 0.2) AS output FROM s1 JOIN ro ON s1.loc_idx = o_idx JOIN co ON s1.loc_idx = d_idx)"""
+
+
+@query("equilibrium_one_step", STEP_SQL + " SELECT loc_idx, round(people, 6) AS population, round(jobs, 6) AS employment, round(income, 6) AS income, round(output, 6) AS output, round(0.8 * output / jobs, 6) AS wage, round((0.2 * output + 0.25 * income) / floor, 6) AS rent, round(0.2 * output / (0.2 * output + 0.25 * income), 9) AS theta FROM y")
+def equilibrium_one_step(spark, sf_dir):
+    k = F.col("loc_idx")
+    loc = locations(spark, sf_dir).withColumns({
+        "wage": 0.9 + (k % 7) / 20, "theta": 0.4 + (k % 3) / 10, "a": 1 + (k % 5) / 50, "b": 1 + (k % 4) / 40, "floor": 30.0 * F.pow("land_area", P.land_share),
+        "jobs_by_land": F.col("employment_model") / F.col("land_area"), "people_by_land": F.col("population") / F.col("land_area"),
+    })
+    od = baseline(spark, sf_dir)
+    near = matrices.kernel_sum(od, loc, P.productivity_decay, "jobs_by_land", "near_jobs").join(matrices.kernel_sum(od, loc, P.amenity_decay, "people_by_land", "near_people"), "loc_idx")
+    state = loc.join(near, "loc_idx").withColumns({"total_a": F.col("a") * F.pow("near_jobs", P.productivity_spillover), "total_b": F.col("b") * F.pow("near_people", P.amenity_spillover)})
+    r = state.select(k.alias("o_idx"), (F.pow("total_b", P.epsilon) * F.pow("rent_floor_space", -(1 - P.beta) * P.epsilon)).alias("r"))
+    s = state.select(k.alias("d_idx"), F.pow("wage", P.epsilon).alias("s"), "wage")
+    phi = matrices.kernel(od, DECAY).join(r, "o_idx").join(s, "d_idx").withColumn("phi", F.col("weight") * F.col("r") * F.col("s"))
+    total = phi.agg(F.sum("phi").alias("mass")).crossJoin(loc.agg(F.sum("population").alias("h")))
+    rows = phi.groupBy(F.col("o_idx").alias("loc_idx")).agg(F.sum("phi").alias("row"), F.sum(F.col("phi") * F.col("wage")).alias("paid"))
+    columns = phi.groupBy(F.col("d_idx").alias("loc_idx")).agg(F.sum("phi").alias("col"))
+    scale = F.col("h") / F.col("mass")
+    made = state.join(rows, "loc_idx").join(columns, "loc_idx").crossJoin(F.broadcast(total)).withColumns({"people": F.col("row") * scale, "income": F.col("paid") * scale, "jobs": F.col("col") * scale})
+    made = made.withColumn("output", F.col("total_a") * F.pow("jobs", P.alpha) * F.pow(F.col("theta") * F.col("floor"), 1 - P.alpha))
+    shops, homes = (1 - P.alpha) * F.col("output"), (1 - P.beta) * F.col("income")
+    return made.select(
+        "loc_idx", r6(F.col("people")).alias("population"), r6(F.col("jobs")).alias("employment"), r6(F.col("income")).alias("income"), r6(F.col("output")).alias("output"),
+        r6(P.alpha * F.col("output") / F.col("jobs")).alias("wage"), r6((shops + homes) / F.col("floor")).alias("rent"), r6(shops / (shops + homes), 9).alias("theta"),
+    )
+
+
+@query("fixed_distribution_welfare", """, p AS (SELECT o_idx, d_idx, flow / (SELECT sum(flow) FROM flow) AS p FROM flow), c AS (SELECT -0.01 * sum(p * (b.minutes - a.minutes)) AS v FROM p JOIN od a USING (o_idx, d_idx) JOIN od1 b USING (o_idx, d_idx)),
+w AS (SELECT sum(p * ln(1 + (d_idx % 5) / 500)) AS v FROM p), a AS (SELECT sum(p * ln(1 + (o_idx % 3) / 300)) AS v FROM p), x AS (SELECT 'commuting' AS component, v FROM c UNION ALL SELECT 'productivity_wage', v FROM w UNION ALL SELECT 'amenity', v FROM a),
+z AS (SELECT * FROM x UNION ALL SELECT 'total', sum(v) FROM x) SELECT component, round(v, 9) AS log_change, round(100 * (exp(v) - 1), 6) AS pct FROM z""")
+def fixed_distribution_welfare(spark, sf_dir):
+    flows = city.flows(spark, sf_dir)
+    key = ["o_idx", "d_idx"]
+    joined = flows.join(baseline(spark, sf_dir).withColumnRenamed("minutes", "m0"), key).join(counterfactual(spark, sf_dir).withColumnRenamed("minutes", "m1"), key)
+    weigh = lambda x: F.sum(F.col("flow") * x) / F.sum("flow")
+    parts = joined.agg(
+        (-P.kappa * weigh(F.col("m1") - F.col("m0"))).alias("commuting"), weigh(F.log(1 + (F.col("d_idx") % 5) / 500)).alias("productivity_wage"), weigh(F.log(1 + (F.col("o_idx") % 3) / 300)).alias("amenity")
+    ).withColumn("total", F.col("commuting") + F.col("productivity_wage") + F.col("amenity"))
+    wide = parts.select(*[F.col(c).alias(f"{c}_log_change") for c in parts.columns], *[(100 * F.expm1(c)).alias(f"{c}_pct") for c in parts.columns])
+    return reporting.welfare_long(wide).select("component", r6(F.col("log_change"), 9).alias("log_change"), r6(F.col("pct")).alias("pct"))
+
+
+@query("travel_time_measures", """, f0 AS (SELECT o_idx, d_idx, flow / (SELECT sum(flow) FROM flow) AS p FROM flow), f1 AS (SELECT o_idx, d_idx, flow * (1 + (o_idx + d_idx) % 3) AS q FROM flow)
+SELECT round((SELECT sum(p * minutes) FROM f0 JOIN od USING (o_idx, d_idx)), 6) AS t00, round((SELECT sum(p * minutes) FROM f0 JOIN od1 USING (o_idx, d_idx)), 6) AS t01, round((SELECT sum(q * minutes) / sum(q) FROM f1 JOIN od1 USING (o_idx, d_idx)), 6) AS t11""")
+def travel_time_measures(spark, sf_dir):
+    flows = city.flows(spark, sf_dir)
+    f0, f1 = flows.select("o_idx", "d_idx", F.col("flow").alias("share")), flows.select("o_idx", "d_idx", (F.col("flow") * (1 + (F.col("o_idx") + F.col("d_idx")) % 3)).alias("share"))
+    out = reporting.appraisal_measures(f0, f1, baseline(spark, sf_dir), counterfactual(spark, sf_dir))
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+CHANGE_SQL = ", chg AS (SELECT loc_idx, population, CASE WHEN loc_idx % 8 = 0 THEN NULL WHEN loc_idx % 9 = 0 THEN 0.0 ELSE 100 * (employment_model - population) / population END AS pct FROM loc)"
+
+
+def changes(spark, sf_dir) -> DataFrame:
+    k = F.col("loc_idx")
+    pct = F.when(k % 8 == 0, F.lit(None)).when(k % 9 == 0, 0.0).otherwise(C.percent_change(F.col("employment_model"), F.col("population")))
+    return locations(spark, sf_dir).select("loc_idx", pct.cast("double").alias("pct"))
+
+
+QUARTILES_SQL = ", q AS (SELECT quantile_cont(abs(pct), 0.25) AS q1, quantile_cont(abs(pct), 0.5) AS q2, quantile_cont(abs(pct), 0.75) AS q3 FROM chg WHERE abs(pct) > 1e-12)"
+
+
+@query("map_thresholds", CHANGE_SQL + QUARTILES_SQL + " SELECT round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3 FROM q")
+def map_thresholds(spark, sf_dir):
+    out = reporting.symmetric_thresholds(changes(spark, sf_dir), "pct")
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+@query("map_classes", CHANGE_SQL + QUARTILES_SQL + " SELECT loc_idx, CASE WHEN pct IS NULL THEN NULL WHEN pct >= q3 THEN 6 WHEN pct >= q2 THEN 5 WHEN pct > q1 THEN 4 WHEN pct <= -q3 THEN 0 WHEN pct <= -q2 THEN 1 WHEN pct < -q1 THEN 2 ELSE 3 END AS class FROM chg, q")
+def map_classes(spark, sf_dir):
+    frame = changes(spark, sf_dir)
+    limits = reporting.symmetric_thresholds(frame, "pct")
+    return frame.crossJoin(F.broadcast(limits)).select("loc_idx", reporting.map_class(F.col("pct"), F.col("q1"), F.col("q2"), F.col("q3")).alias("class"))
+
+
+@query("floor_rank_percentiles", CHANGE_SQL + ", s AS (SELECT pct, row_number() OVER (ORDER BY pct) AS k, count(*) OVER () AS n FROM chg WHERE pct IS NOT NULL) SELECT round(max(pct) FILTER (k = floor(0.025 * (n - 1)) + 1), 6) AS p0, round(max(pct) FILTER (k = floor(0.975 * (n - 1)) + 1), 6) AS p1 FROM s")
+def floor_rank_percentiles(spark, sf_dir):
+    out = reporting.floor_rank_percentiles(changes(spark, sf_dir), "pct")
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+@query("percent_changes", "SELECT loc_idx, CASE WHEN loc_idx % 4 = 0 THEN NULL ELSE round(100 * (employment_model - population) / population, 6) END AS package_pct FROM loc")
+def percent_changes(spark, sf_dir):
+    base = F.when(F.col("loc_idx") % 4 == 0, 0.0).otherwise(F.col("population"))
+    return locations(spark, sf_dir).select("loc_idx", r6(C.package_percent_change(F.col("employment_model"), base)).alias("package_pct"))
+
+
+@query("local_outcomes", """SELECT loc_idx, round(population, 6) AS population_baseline, round(population * (1 + (loc_idx % 5) / 100), 6) AS population_counterfactual, round(loc_idx % 5, 6)::DOUBLE AS population_pct,
+round(0.25 * (rent * 0.4 * 30 * pow(land_area, 0.25) + rent * 0.6 * 30 * pow(land_area, 0.25)), 6) AS annual_land_rent FROM loc""")
+def local_outcomes(spark, sf_dir):
+    k = F.col("loc_idx")
+    after = F.col("population") * (1 + (k % 5) / 100)
+    floor, q = 30 * F.pow("land_area", P.land_share), F.col("rent_floor_space")
+    rent = P.land_share * (q * 0.4 * floor + q * 0.6 * floor)
+    return locations(spark, sf_dir).select("loc_idx", r6(F.col("population")).alias("population_baseline"), r6(after).alias("population_counterfactual"), r6(C.percent_change(after, F.col("population"))).alias("population_pct"), r6(rent).alias("annual_land_rent"))
+
+
+@query("shock_percent", "SELECT loc_idx, primitive, round(h::DOUBLE, 6) + 0.0 AS pct FROM (SELECT loc_idx, (loc_idx % 4) * 5.0 AS productivity_hat, 0.0 AS amenity_hat, -(loc_idx % 3) * 2.0 AS structural_density_hat FROM site) UNPIVOT (h FOR primitive IN (productivity_hat, amenity_hat, structural_density_hat))")
+def shock_percent(spark, sf_dir):
+    k = F.col("loc_idx")
+    hats = city.sites(spark, sf_dir).select("loc_idx", (1 + (k % 4) * 0.05).alias("productivity_hat"), F.lit(1.0).alias("amenity_hat"), (1 - (k % 3) * 0.02).alias("structural_density_hat"))
+    return reporting.shock_percent(hats).withColumn("pct", r6(F.col("pct")))
+
+
+@query("added_removed_links", """, ln AS (SELECT k, k % 2 = 0 AS before, k % 3 = 0 AS after FROM (SELECT unnest(range(0, side)) AS k FROM n))
+SELECT 'added' AS change, k AS line_id, round((side - 1) * 1000.0, 6)::DOUBLE AS length FROM ln, n WHERE after AND NOT before UNION ALL SELECT 'removed', k, round((side - 1) * 1000.0, 6)::DOUBLE FROM ln, n WHERE before AND NOT after""")
+def added_removed_links(spark, sf_dir):
+    _, side = city.size(spark, sf_dir)
+    rows = spark.range(side).select(F.col("id").alias("line_id"), F.lit(0.0).alias("x0"), (F.col("id") * 1000.0).alias("y0"), F.lit((side - 1) * 1000.0).alias("x1"), (F.col("id") * 1000.0).alias("y1"))
+    _, added, removed = reporting.overlay_layers(rows.where("line_id % 2 = 0"), rows.where("line_id % 3 = 0"))
+    both = added.withColumn("change", F.lit("added")).unionByName(removed.withColumn("change", F.lit("removed")))
+    return both.groupBy("change", "line_id").agg(r6(F.sum("length")).alias("length"))
+
+
+@query("haversine_km", """, g AS (SELECT loc_idx, -3 + x / 200000 AS lon, 50 + y / 200000 AS lat FROM site) SELECT loc_idx, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat - 51) / 2), 2) + cos(radians(51)) * cos(radians(lat)) * pow(sin(radians(lon - -2.5) / 2), 2))), 6) AS km FROM g""")
+def haversine_km(spark, sf_dir):
+    lon, lat = -3 + F.col("x") / 200000, 50 + F.col("y") / 200000
+    return city.sites(spark, sf_dir).select("loc_idx", r6(C.haversine_km(F.lit(-2.5), F.lit(51.0), lon, lat)).alias("km"))
+
+
+@query("utm_roundtrip", "SELECT loc_idx, 30 AS zone, round(-3 + x / 200000, 8) + 0.0 AS lon, round(50 + y / 200000, 8) + 0.0 AS lat FROM site")
+def utm_roundtrip(spark, sf_dir):
+    made = city.sites(spark, sf_dir).select("loc_idx", (-3 + F.col("x") / 200000).alias("lon"), (50 + F.col("y") / 200000).alias("lat")).withColumn("zone", C.utm_zone(F.lit(-3.0)))
+    there = made.withColumn("xy", C.utm_forward(F.col("lon"), F.col("lat"), F.col("zone")))
+    back = there.withColumn("ll", C.utm_inverse(F.col("xy.x"), F.col("xy.y"), F.col("zone"), F.col("lat") < 0))
+    return back.select("loc_idx", "zone", r6(F.col("ll.lon"), 8).alias("lon"), r6(F.col("ll.lat"), 8).alias("lat"))
+
+
+@query("browser_attribution", ", h AS (SELECT loc_idx, floor(x / 2500) AS i, floor(y / 2500) AS j, population FROM raw) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(population), 6) AS population, round(exp(sum(ln(1 + (loc_idx % 3) / 100))), 9) AS hat FROM h GROUP BY i, j")
+def browser_attribution(spark, sf_dir):
+    """Centroid-in-cell sums, and multiplicative shocks over the sources of a cell."""
+    cells = city.raw_locations(spark, sf_dir).withColumns({"i": F.floor(F.col("x") / 2500), "j": F.floor(F.col("y") / 2500)})
+    return cells.groupBy("i", "j").agg(r6(F.sum("population")).alias("population"), r6(F.product(1 + (F.col("loc_idx") % 3) / 100), 9).alias("hat"))
+
+
+@query("slugs", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' #' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part", whole_city=False)
+def slugs(spark, sf_dir):
+    return city.table(spark, sf_dir, "part").select("p_partkey", C.slug(F.concat_ws(" #", "p_name", "p_brand")).alias("slug"))
+
+
+@query("consecutive_vertices", ", v AS (SELECT CAST(y AS BIGINT) AS line_id, x, y, row_number() OVER (PARTITION BY y ORDER BY x) AS k, lead(x) OVER (PARTITION BY y ORDER BY x) AS nx FROM site) SELECT line_id, k AS seg, round(nx - x, 6) AS length FROM v WHERE nx IS NOT NULL")
+def consecutive_vertices(spark, sf_dir):
+    w = W.partitionBy("line_id").orderBy("x")
+    v = city.sites(spark, sf_dir).select(F.col("y").cast("long").alias("line_id"), "x").withColumns({"seg": F.row_number().over(w).cast("long"), "nx": F.lead("x").over(w)})
+    return v.where("nx is not null").select("line_id", "seg", r6(F.col("nx") - F.col("x")).alias("length"))
+
+
+def solved(spark: SparkSession, sf_dir: str, spillovers=(True,), closures=("closed",)):
+    """The derived city's appraisal on row blocks in executors, one or two jobs a pass."""
+    n, _ = city.size(spark, sf_dir)
+    loc = locations(spark, sf_dir)
+    p = Parameters(damping=0.5)
+    if n <= 4000:
+        kernels = dense_kernels(baseline(spark, sf_dir), counterfactual(spark, sf_dir), n)
+    else:
+        kernels = economy.BlockedKernels(economy.row_blocks(baseline(spark, sf_dir), counterfactual(spark, sf_dir)).cache(), n)
+    ids = [r.location_id for r in city.sites(spark, sf_dir).orderBy("loc_idx").collect()]
+    return ids, p, kernels, economy.City.of(loc), lambda: economy.appraise(economy.City.of(loc), kernels, p, closures=closures, spillovers=spillovers)
+
+
+def dense_kernels(*and_n) -> economy.DenseKernels:
+    *ods, n = and_n
+    made = []
+    for od in ods:
+        rows = od.toPandas()
+        m = np.empty((n, n))
+        m[rows.o_idx.to_numpy(), rows.d_idx.to_numpy()] = rows.minutes.to_numpy()
+        made.append(m)
+    return economy.DenseKernels(*made)
+
+
+@query("inversion_full")
+def inversion_full(spark, sf_dir):
+    ids, p, kernels, town, _ = solved(spark, sf_dir)
+    return reporting.inverted_primitives(spark, ids, economy.invert(town, kernels, p))
+
+
+def _aggregate(spark, sf_dir, spillovers, closures) -> DataFrame:
+    *_, run = solved(spark, sf_dir, spillovers, closures)
+    return reporting.aggregate_frame(spark, [row for *_, row, _ in run()])
+
+
+@query("closed_city")
+def closed_city(spark, sf_dir):
+    return _aggregate(spark, sf_dir, (True,), ("closed",))
+
+
+@query("open_city")
+def open_city(spark, sf_dir):
+    return _aggregate(spark, sf_dir, (True,), ("open",))
+
+
+@query("no_spillovers")
+def no_spillovers(spark, sf_dir):
+    return _aggregate(spark, sf_dir, (False,), ("closed", "open"))
+
+
+@query("block_outcomes")
+def block_outcomes(spark, sf_dir):
+    ids, _, _, _, run = solved(spark, sf_dir)
+    _, before, after, _, p = run()[0]
+    return reporting.local_outcomes(spark, ids, p, before, after)
+
+
+@query("pooled_map_classes")
+def pooled_map_classes(spark, sf_dir):
+    ids, _, _, _, run = solved(spark, sf_dir, closures=("closed", "open"))
+    frames = [reporting.local_outcomes(spark, ids, p, b, a).withColumn("Closure", F.lit(a.closure)) for _, b, a, _, p in run()]
+    local = frames[0]
+    for f in frames[1:]:
+        local = local.unionByName(f)
+    return reporting.pooled_classes(local, ["population", "employment", "wage", "output"])
