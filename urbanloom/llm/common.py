@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,16 +47,21 @@ def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
     return frame.checkpoint(eager)
 
 
-@contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside give up their shuffle files as soon as they have run; for plans that end in cut()."""
+def written(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """What ``make`` returns, written as a table in the shared checkpoint folder and read again.
+
+    Like cut(), but the shuffle files behind it go as soon as it is written, and the table is compressed.
+    """
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        yield
+        make().write.parquet(folder)
     finally:
         spark.conf.set(key, before)
+    return spark.read.parquet(folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
