@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from urbanloom.llm import decontaminate, html_extract, pitman_yor, quality_rules, secret_scan, simhash, source_mix, suffix_dedup, toxicity, url_filter
+from urbanloom.llm import decontaminate, html_extract, oracles, pitman_yor, quality_rules, secret_scan, simhash, source_mix, suffix_dedup, toxicity, url_filter
 from urbanloom.llm.common import table
 
 
@@ -79,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
