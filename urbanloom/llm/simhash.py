@@ -32,11 +32,11 @@ from urbanloom.llm.components import connected_components
 
 SEED = 42
 #: Nodes of a key's group that are compared in one task at most, times two.
-BLOCK = 4096
+BLOCK = 2048
 #: Keys with more nodes than BLOCK that are looked up by broadcast at most; beyond, by a join.
 MAX_BROADCAST_KEYS = 20_000
 #: Rows compared at once in a task.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -100,8 +100,8 @@ def _chain_key(start: int, parts: list[tuple[int, int]], free: int):
     return key
 
 
-def spanning_forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Indices of the edges of a minimum spanning forest (Borůvka); weights must be unique or ties equal edges."""
+def spanning_forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the edges of a minimum spanning forest (Borůvka), and every node's root; ties are broken by order."""
     root, kept = np.arange(n), []
     order = np.argsort(weight, kind="stable")
     rank = np.empty(len(order), np.int64)
@@ -132,15 +132,15 @@ def spanning_forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n:
                     break
                 root = shorter
             p, q = root[p], root[q]
-    return np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
+    return (np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)), root
 
 
-def linked_pairs(keys: np.ndarray, prints: np.ndarray, starts: np.ndarray, radius: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs of equal key (rows come sorted by key) that pass every chain's budget: left, right, distance."""
+def linked_pairs(keys: np.ndarray, prints: np.ndarray, starts: np.ndarray, radius: int, segments: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row pairs of equal key (rows come sorted by key) that pass every chain's budget: left, right, distance, in pieces."""
     parts, free = ring(radius, segments)
     masks = np.array([((1 << bits) - 1) << shift for shift, bits in parts], np.uint64)
     ends = np.searchsorted(keys, keys, side="right")
-    at, out, offset = np.arange(len(keys)), [], 1
+    at, offset = np.arange(len(keys)), 1
     at = at[at + 1 < ends]
     while len(at):
         pairs, differ = at, prints[at] ^ prints[at + offset]
@@ -154,13 +154,63 @@ def linked_pairs(keys: np.ndarray, prints: np.ndarray, starts: np.ndarray, radiu
             if not len(pairs):
                 break
         if len(pairs):
-            out.append((pairs, pairs + offset, total))
+            yield pairs, pairs + offset, total
         offset += 1
         at = at[at + offset < ends[at]]
-    if not out:
-        nothing = np.empty(0, np.int64)
-        return nothing, nothing, nothing
-    return tuple(np.concatenate(column) for column in zip(*out, strict=True))
+
+
+class Forests:
+    """The first ``levels`` edge-disjoint minimum spanning forests of links that come in pieces, in bounded memory.
+
+    Links are held back and thinned out to the forests' whenever PAIRS have come. A link whose ends every forest
+    joins already by edges no longer than it is changes nothing and is dropped at once.
+    """
+
+    PAIRS = 400_000
+
+    def __init__(self, node: np.ndarray, levels: int):
+        self.node, self.levels = node, levels
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count, self.known = 0, []
+
+    def add(self, left: np.ndarray, right: np.ndarray, distance: np.ndarray) -> None:
+        if len(self.known) == self.levels:
+            idle = np.ones(len(left), bool)
+            for root, longest in self.known:
+                idle &= (root[left] == root[right]) & (distance >= longest[root[left]])
+            left, right, distance = left[~idle], right[~idle], distance[~idle]
+        if len(left):
+            self.held.append((left, right, distance))
+            self.count += len(left)
+            if self.count > self.PAIRS:
+                self.thin()
+
+    def thin(self) -> np.ndarray:
+        """Keep the forests' links only; returns their levels."""
+        if not self.held:
+            return np.empty(0, np.int64)
+        left, right, distance = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        low, high = np.minimum(self.node[left], self.node[right]).astype(np.uint64), np.maximum(self.node[left], self.node[right]).astype(np.uint64)
+        mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
+        weight = (distance.astype(np.uint64) << np.uint64(56)) | (mixed >> np.uint64(8))
+        over, found, self.known = np.arange(len(left)), [], []
+        for _ in range(self.levels):
+            tree, root = spanning_forest(left[over], right[over], weight[over], len(self.node))
+            longest = np.zeros(len(self.node), np.int64)
+            np.maximum.at(longest, root[left[over[tree]]], distance[over[tree]])
+            self.known.append((root, longest))
+            found.append(over[tree])
+            over = np.delete(over, tree)
+        kept = np.concatenate(found)
+        self.held, self.count = [(left[kept], right[kept], distance[kept])], 0
+        return np.repeat(np.arange(1, self.levels + 1), [len(f) for f in found])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """left, right, distance, level."""
+        level = self.thin()
+        if not self.held:
+            return level, level, level, level
+        return *self.held[0], level
 
 
 def _forest(radius: int, segments: int, forests: int):
@@ -172,21 +222,10 @@ def _forest(radius: int, segments: int, forests: int):
     def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
         key, part, start, fp, node = rows
         group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1])))) if len(key) else key
-        left, right, distance = linked_pairs(group, fp.view(np.uint64), start, radius, segments)
-        level = np.empty(0, np.int32)
-        if len(left):
-            low, high = np.minimum(node[left], node[right]).astype(np.uint64), np.maximum(node[left], node[right]).astype(np.uint64)
-            mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
-            weight = (distance.astype(np.uint64) << np.uint64(56)) | (mixed >> np.uint64(8))
-            over, found = np.arange(len(left)), []
-            for _ in range(forests):
-                tree = spanning_forest(left[over], right[over], weight[over], len(key))
-                if not len(tree):
-                    break
-                found.append(over[tree])
-                over = np.delete(over, tree)
-            kept = np.concatenate(found)
-            left, right, distance, level = left[kept], right[kept], distance[kept], np.repeat(np.arange(1, len(found) + 1), [len(f) for f in found])
+        made = Forests(node, forests)
+        for piece in linked_pairs(group, fp.view(np.uint64), start, radius, segments):
+            made.add(*piece)
+        left, right, distance, level = made.links()
         columns = [pa.array(node[left]), pa.array(node[right]), pa.array(distance.astype(np.int32)), pa.array(level.astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, names=["u", "v", "distance", "level"])
 
@@ -273,7 +312,7 @@ def verified_links(links: DataFrame, texts: DataFrame, width: int, similarity: f
 
 
 def one_of_each_group(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 7, segments: int = 15, forests: int = 6
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 7, segments: int = 15, forests: int = 4
 ) -> DataFrame:
     """The input rows, with all their columns, but one only of each group of near-duplicates: the smallest id's.
 
