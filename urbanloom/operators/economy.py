@@ -14,7 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.plans.parameters import TINY, Parameters
@@ -219,8 +219,11 @@ def _log_gap(old: np.ndarray, new: np.ndarray, mask: np.ndarray | None = None) -
     return float(np.max(np.abs(np.log(np.maximum(old, TINY)) - np.log(np.maximum(new, TINY))))) if old.size else 0.0
 
 
-def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels, reservation_utility: float | None = None, matrix: int = 0, report=None) -> Solution:
-    """The damped fixed point of a closed or an open city, on travel times ``matrix`` of the kernels."""
+def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels, reservation_utility: float | None = None, matrix: int = 0, report=None, stopping: str = "log_gap") -> Solution:
+    """The damped fixed point of a closed or an open city, on travel times ``matrix`` of the kernels.
+
+    ``stopping`` is "log_gap" (below the tolerance) or "rounded" (old and new values equal to two digits).
+    """
     if closure not in ("closed", "open"):
         raise ValueError("closure must be 'closed' or 'open'")
     if closure == "open" and reservation_utility is None:
@@ -263,7 +266,9 @@ def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels
         path.append(gap)
         if report and (k == 1 or k % p.print_every == 0):
             report(f"{closure} city, iteration {k}: largest log gap {gap:.3e}")
-        if gap < p.tolerance:
+        pairs = ((wage, new_wage), (q_res, new_res), (q_com, new_com), (theta, new_theta))
+        settled = gap < p.tolerance if stopping == "log_gap" else all(np.array_equal(np.round(a, 2), np.round(b, 2)) for a, b in pairs) and (closure == "closed" or round(utility, 2) == round(reservation_utility, 2))
+        if settled:
             wage, q_res, q_com, theta = new_wage, new_res, new_com, new_theta
             break
         blend = lambda old, new: (1 - damping) * old + damping * new
@@ -274,7 +279,7 @@ def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels
         "wage": wage, "income": income, "theta": theta, "output": output, "q_res": q_res, "q_com": q_com, "employment": jobs, "population": people,
         "combined_rent": np.where(lives, q_res, q_com), "total_productivity": productivity, "total_amenity": amenity, "productivity": f.productivity, "amenity": f.amenity,
     }
-    return Solution(closure, state, f, r / mass, s, total, utility, path[-1] < p.tolerance, len(path), path)
+    return Solution(closure, state, f, r / mass, s, total, utility, settled, len(path), path)
 
 
 def solve_fixed_distribution(p: Parameters, f: Fundamentals, kernels: Kernels, baseline: Solution) -> Solution:
@@ -353,3 +358,83 @@ def appraise(city: City, kernels: Kernels, p: Parameters, hats: dict[str, np.nda
         fixed = solve_fixed_distribution(q, shocked, kernels, closed)
         out.append((name, closed, fixed, aggregate_row(q, kernels, closed, fixed, name), q))
     return out
+
+
+#: Locations up to which a specification's kernels are held in one task.
+DENSE_LIMIT = 4000
+#: Rows of appraise_in_tasks(): the aggregate row, and vectors by name in location order.
+TASK_SCHEMA = AGGREGATE_SCHEMA + ", before map<string,array<double>>, after map<string,array<double>>, welfare map<string,double>"
+
+
+def _task_rows(solved: Sequence[tuple]) -> list[dict]:
+    rows = []
+    for _, before, after, row, q in solved:
+        sides = {}
+        for name, s in (("before", before), ("after", after)):
+            sides[name] = {k: np.asarray(s.state[k], float).tolist() for k in STATE_COLUMNS} | {"annual_land_rent": land_rent(q, s).tolist()}
+        rows.append(row | sides | {"welfare": after.welfare or None})
+    return rows
+
+
+def task_rows(spark: SparkSession, solved: Sequence[tuple]) -> DataFrame:
+    """What appraise() returns, as the rows of appraise_in_tasks()."""
+    return spark.createDataFrame(_task_rows(solved), TASK_SCHEMA)
+
+
+def appraise_in_tasks(blocks: DataFrame, city: City, p: Parameters, hats: dict[str, np.ndarray] | None = None, closures: Sequence[str] = ("closed", "open"), spillovers: Sequence[bool] = (True, False)) -> DataFrame:
+    """appraise() with each specification's whole fixed point in one task, all of them at once.
+
+    For cities whose kernels fit a task (8 N squared bytes each): the matrices go from row blocks to the tasks that
+    use them and never to the driver. Larger cities take BlockedKernels.
+    """
+    n = len(city.population)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("o_idx")
+        kernels = DenseKernels(np.stack(ordered.m0.to_numpy()), np.stack(ordered.m1.to_numpy()))
+        assert kernels.n == n
+        return pd.DataFrame(_task_rows(appraise(city, kernels, p, hats, closures, (bool(key[0]),))))
+
+    each = blocks.withColumn("spillovers", F.explode(F.array(*[F.lit(bool(x)) for x in spillovers])))
+    return each.groupBy("spillovers").applyInPandas(run, TASK_SCHEMA)
+
+
+PRIMITIVES = ("fundamental_productivity", "fundamental_amenity", "structural_density", "wage", "commercial_floor_share", "total_productivity", "total_amenity", "expected_income")
+
+
+def primitives(inversion: Inversion) -> pd.DataFrame:
+    """loc_idx and what an inversion recovers for each location."""
+    f, e = inversion.fundamentals, inversion.state
+    values = (f.productivity, f.amenity, f.density, e["wage"], e["theta"], e["total_productivity"], e["total_amenity"], e["income"])
+    return pd.DataFrame({"loc_idx": np.arange(len(f.density), dtype=np.int64)} | dict(zip(PRIMITIVES, values, strict=True)))
+
+
+def inverted(blocks: DataFrame, city: City, p: Parameters) -> DataFrame:
+    """loc_idx and PRIMITIVES: in one task up to DENSE_LIMIT locations, over cached row blocks beyond. ``blocks`` have m0."""
+    n = len(city.population)
+    if n > DENSE_LIMIT:
+        return blocks.sparkSession.createDataFrame(primitives(invert(city, BlockedKernels(blocks.persist(), n), p)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return primitives(invert(city, DenseKernels(np.stack(frame.sort_values("o_idx").m0.to_numpy())), p))
+
+    return blocks.select("o_idx", "m0", F.lit(True).alias("all")).groupBy("all").applyInPandas(run, "loc_idx long, " + ", ".join(f"{c} double" for c in PRIMITIVES))
+
+
+def aggregate_of(solved: DataFrame) -> DataFrame:
+    return solved.select(*[f.split()[0] for f in AGGREGATE_SCHEMA.split(", ")])
+
+
+def outcomes_of(solved: DataFrame, locations: DataFrame) -> DataFrame:
+    """Specification, Closure, location_id and the outcomes before, after and in percent. ``locations``: loc_idx, location_id."""
+    from urbanloom.functions import columns as C
+
+    names = OUTCOMES | {"annual_land_rent": "annual_land_rent"}
+    zipped = F.arrays_zip(*[F.col(side)[key].alias(f"{name}_{label}") for name, key in names.items() for side, label in (("before", "baseline"), ("after", "counterfactual"))])
+    rows = solved.select("Specification", "Closure", F.posexplode(zipped).alias("pos", "r")).select("Specification", "Closure", F.col("pos").cast("long").alias("loc_idx"), "r.*")
+    rows = rows.join(locations.select("loc_idx", "location_id"), "loc_idx")
+    out = []
+    for name in names:
+        a, b = F.col(f"{name}_baseline"), F.col(f"{name}_counterfactual")
+        out += [a, b, C.percent_change(b, a).alias(f"{name}_pct")]
+    return rows.select("Specification", "Closure", "location_id", *out)

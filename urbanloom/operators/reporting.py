@@ -20,17 +20,6 @@ def state_frame(spark: SparkSession, ids: Sequence[str], solution: economy.Solut
     return spark.createDataFrame(pd.DataFrame(data))
 
 
-def inverted_primitives(spark: SparkSession, ids: Sequence[str], inversion: economy.Inversion, full: bool = False) -> DataFrame:
-    """Six columns, or nine with the totals and the commuting market access (per residence)."""
-    f, e = inversion.fundamentals, inversion.state
-    data = {
-        "location_id": list(ids), "fundamental_productivity": f.productivity, "fundamental_amenity": f.amenity, "structural_density": f.density, "wage": e["wage"], "commercial_floor_share": e["theta"],
-    }
-    if full:
-        data |= {"total_productivity": e["total_productivity"], "total_amenity": e["total_amenity"], "expected_income": e["income"]}
-    return spark.createDataFrame(pd.DataFrame(data))
-
-
 def local_outcomes(spark: SparkSession, ids: Sequence[str], p: Parameters, before: economy.Solution, after: economy.Solution) -> DataFrame:
     """Twenty-two columns: the id, and seven outcomes before, after and in percent."""
     data: dict[str, object] = {"location_id": list(ids)}

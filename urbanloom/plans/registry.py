@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -647,68 +646,49 @@ def consecutive_vertices(spark, sf_dir):
     return v.where("nx is not null").select("line_id", "seg", r6(F.col("nx") - F.col("x")).alias("length"))
 
 
-def solved(spark: SparkSession, sf_dir: str, spillovers=(True,), closures=("closed",)):
-    """The derived city's appraisal on row blocks in executors, one or two jobs a pass."""
+def appraised(spark: SparkSession, sf_dir: str, spillovers=(True,), closures=("closed",)) -> DataFrame:
+    """The derived city's appraisal: fixed points in tasks, or, for cities too large for one, over row blocks."""
     n, _ = city.size(spark, sf_dir)
-    loc = locations(spark, sf_dir)
-    p = Parameters(damping=0.5)
-    if n <= 4000:
-        kernels = dense_kernels(baseline(spark, sf_dir), counterfactual(spark, sf_dir), n)
-    else:
-        kernels = economy.BlockedKernels(economy.row_blocks(baseline(spark, sf_dir), counterfactual(spark, sf_dir)).cache(), n)
-    ids = [r.location_id for r in city.sites(spark, sf_dir).orderBy("loc_idx").collect()]
-    return ids, p, kernels, economy.City.of(loc), lambda: economy.appraise(economy.City.of(loc), kernels, p, closures=closures, spillovers=spillovers)
-
-
-def dense_kernels(*and_n) -> economy.DenseKernels:
-    *ods, n = and_n
-    made = []
-    for od in ods:
-        rows = od.toPandas()
-        m = np.empty((n, n))
-        m[rows.o_idx.to_numpy(), rows.d_idx.to_numpy()] = rows.minutes.to_numpy()
-        made.append(m)
-    return economy.DenseKernels(*made)
+    blocks = economy.row_blocks(baseline(spark, sf_dir), counterfactual(spark, sf_dir))
+    town, p = economy.City.of(locations(spark, sf_dir)), Parameters(damping=0.5)
+    if n <= economy.DENSE_LIMIT:
+        return economy.appraise_in_tasks(blocks, town, p, None, closures, spillovers)
+    solved = economy.appraise(town, economy.BlockedKernels(blocks.persist(), n), p, closures=closures, spillovers=spillovers)
+    return economy.task_rows(spark, solved)
 
 
 @query("inversion_full")
 def inversion_full(spark, sf_dir):
-    ids, p, kernels, town, _ = solved(spark, sf_dir)
-    return reporting.inverted_primitives(spark, ids, economy.invert(town, kernels, p))
-
-
-def _aggregate(spark, sf_dir, spillovers, closures) -> DataFrame:
-    *_, run = solved(spark, sf_dir, spillovers, closures)
-    return reporting.aggregate_frame(spark, [row for *_, row, _ in run()])
+    found = economy.inverted(economy.row_blocks(baseline(spark, sf_dir)), economy.City.of(locations(spark, sf_dir)), Parameters())
+    return city.sites(spark, sf_dir).select("loc_idx", "location_id").join(found, "loc_idx")
 
 
 @query("closed_city")
 def closed_city(spark, sf_dir):
-    return _aggregate(spark, sf_dir, (True,), ("closed",))
+    return economy.aggregate_of(appraised(spark, sf_dir))
 
 
 @query("open_city")
 def open_city(spark, sf_dir):
-    return _aggregate(spark, sf_dir, (True,), ("open",))
+    return economy.aggregate_of(appraised(spark, sf_dir, closures=("open",)))
 
 
 @query("no_spillovers")
 def no_spillovers(spark, sf_dir):
-    return _aggregate(spark, sf_dir, (False,), ("closed", "open"))
+    return economy.aggregate_of(appraised(spark, sf_dir, (False,), ("closed", "open")))
+
+
+@query("spillover_comparison")
+def spillover_comparison(spark, sf_dir):
+    return economy.aggregate_of(appraised(spark, sf_dir, (True, False), ("closed", "open")))
 
 
 @query("block_outcomes")
 def block_outcomes(spark, sf_dir):
-    ids, _, _, _, run = solved(spark, sf_dir)
-    _, before, after, _, p = run()[0]
-    return reporting.local_outcomes(spark, ids, p, before, after)
+    return economy.outcomes_of(appraised(spark, sf_dir), city.sites(spark, sf_dir)).where("Closure = 'closed'")
 
 
 @query("pooled_map_classes")
 def pooled_map_classes(spark, sf_dir):
-    ids, _, _, _, run = solved(spark, sf_dir, closures=("closed", "open"))
-    frames = [reporting.local_outcomes(spark, ids, p, b, a).withColumn("Closure", F.lit(a.closure)) for _, b, a, _, p in run()]
-    local = frames[0]
-    for f in frames[1:]:
-        local = local.unionByName(f)
+    local = economy.outcomes_of(appraised(spark, sf_dir, closures=("closed", "open")), city.sites(spark, sf_dir))
     return reporting.pooled_classes(local, ["population", "employment", "wage", "output"])

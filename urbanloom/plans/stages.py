@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from urbanloom.errors import GridInputError, MatrixInputError, UnsupportedCrs
 from urbanloom.functions import columns as C
+from urbanloom.lineage import cut
 from urbanloom.operators import economy, matrices, reporting, routing, spatial
 from urbanloom.plans.parameters import Parameters
 from urbanloom.sources import files
 
-DENSE_LIMIT = 4000
-
 
 def _projector(crs: str, target: str):
     """A function from an (x, y) struct column in ``crs`` to one in ``target``: identity, or WGS84 to UTM or web Mercator."""
@@ -172,8 +171,8 @@ def generate_travel_times(locations: DataFrame, networks: Mapping[str, tuple[lis
         lines, stations = network or (None, None)
         return routing.require_reachable(routing.travel_times(points, lines, stations, routes, settings["routing_method"], None if candidates == "all" else int(candidates), cell), settings["unreachable_rule"])
 
-    before = times(networks.get("baseline")).persist()
-    after = before if networks.get("counterfactual") is None else times(networks["counterfactual"]).persist()
+    before = cut(times(networks.get("baseline")))
+    after = before if networks.get("counterfactual") is None else cut(times(networks["counterfactual"]))
     direct = matrices.direct_minutes(points, routes.walking_kmh)
     fix = lambda od: matrices.intrazonal(od, settings["intrazonal_rule"], float(settings["intrazonal_minutes"]))
     # Detours are measured before the diagonal's constant.
@@ -201,27 +200,26 @@ def prepare_primitive_shocks(locations: DataFrame, policies: DataFrame | None, s
 
 def run_model(spark: SparkSession, locations: DataFrame, before: DataFrame, after: DataFrame, hats: DataFrame, p: Parameters, closures=("closed", "open"), spillovers=(True, False), report=None) -> dict[str, DataFrame]:
     """The result tables by name: aggregate_changes, block_outcomes_*, welfare_decomposition, inverted_primitives."""
-    ids = [r.location_id for r in locations.orderBy("loc_idx").select("location_id").collect()]
-    n = len(ids)
-    if n <= DENSE_LIMIT:
-        made = []
-        for od in (before, after):
-            rows, m = od.toPandas(), np.empty((n, n))
-            m[rows.o_idx.to_numpy(), rows.d_idx.to_numpy()] = rows.minutes.to_numpy()
-            made.append(m)
-        kernels: economy.Kernels = economy.DenseKernels(*made)
-    else:
-        kernels = economy.BlockedKernels(economy.row_blocks(before, after).persist(), n)
     town = economy.City.of(locations)
+    n = len(town.population)
     given = hats.orderBy("loc_idx").toPandas()
     shocks = {"productivity": given.productivity_hat.to_numpy(float), "amenity": given.amenity_hat.to_numpy(float), "density": given.structural_density_hat.to_numpy(float)}
-    solved = economy.appraise(town, kernels, p, shocks, closures, spillovers, report)
-    out = {"aggregate_changes": reporting.aggregate_frame(spark, [row for *_, row, _ in solved]), "inverted_primitives": reporting.inverted_primitives(spark, ids, economy.invert(town, kernels, p))}
-    for name, first, second, _, q in solved:
-        suffix = "" if name == "with_spillovers" else f"_{name}"
-        out[f"block_outcomes_{second.closure}_city{suffix}"] = reporting.local_outcomes(spark, ids, q, first, second)
-        if second.welfare:
-            out[f"welfare_decomposition{suffix}"] = reporting.welfare_frame(spark, second)
+    blocks = economy.row_blocks(before, after).persist()
+    if n <= economy.DENSE_LIMIT:
+        solved = economy.appraise_in_tasks(blocks, town, p, shocks, closures, spillovers).persist()
+    else:
+        solved = economy.task_rows(spark, economy.appraise(town, economy.BlockedKernels(blocks, n), p, shocks, closures, spillovers, report))
+    out = {"aggregate_changes": economy.aggregate_of(solved).orderBy(F.col("Specification").desc(), F.array_position(F.array(*[F.lit(c) for c in ("closed", "open", "fixed_distribution")]), F.col("Closure")))}
+    out["inverted_primitives"] = locations.select("loc_idx", "location_id").join(economy.inverted(blocks, town, p), "loc_idx").orderBy("loc_idx").select("location_id", *economy.PRIMITIVES[:5])
+    local = economy.outcomes_of(solved, locations)
+    for spilling in spillovers:
+        name, suffix = ("with_spillovers", "") if spilling else ("no_spillovers", "_no_spillovers")
+        mine = F.col("Specification") == name
+        for closure in (*closures, "fixed_distribution"):
+            out[f"block_outcomes_{closure}_city{suffix}"] = local.where(mine & (F.col("Closure") == closure)).drop("Specification", "Closure")
+        welfare = solved.where(mine & F.col("welfare").isNotNull())
+        parts = [f"{k}_{unit}" for unit in ("log_change", "pct") for k in ("commuting", "productivity_wage", "amenity", "total")]
+        out[f"welfare_decomposition{suffix}"] = welfare.select(*[F.col("welfare")[k].alias(k) for k in parts])
     return out
 
 
@@ -257,7 +255,7 @@ def run(spark: SparkSession, config: Mapping[str, Any], prepare_only: bool = Fal
         else:
             attributes = spark.read.option("header", True).csv(paths["source_grid_csv"])
             locations = prepare_grid_inputs(attributes, read_layer(spark, paths["source_grid_geometry"]), grid)
-        locations = locations.persist()
+        locations = cut(locations)
         matrix = config["ttmatrix"]
         if matrix["source"] == "user_provided":
             before, after, report = prepare_travel_times(spark, locations, paths["baseline_matrix"], paths["counterfactual_matrix"], matrix)
