@@ -90,9 +90,10 @@ def test_secret_awkward_and_redaction(spark):
     assert secret_scan.find_secrets(docs).count() == docs.count()
     cleaned = secret_scan.redact_secrets(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
-    before = collections.Counter((r.doc_id, r.text) for r in docs.collect() if r.doc_id != 9)
+    before = collections.Counter((r.doc_id, r.text) for r in docs.collect() if r.doc_id not in (9, 12))
     rows = cleaned.collect()
-    assert collections.Counter((r.doc_id, r.text) for r in rows if r.doc_id != 9) == before
+    assert collections.Counter((r.doc_id, r.text) for r in rows if r.doc_id not in (9, 12)) == before
+    assert [r.text for r in rows if r.doc_id == 12] == ["[secret]"]  # one run of hexadecimal digits
     (nine,) = [r.text for r in rows if r.doc_id == 9]
     assert nine.count("[secret]") == 3 and "AKIA" not in nine and base_spans(nine) == ""
     assert secret_scan.redact_secrets(empty(spark)).count() == 0 and secret_scan.find_secrets(empty(spark)).count() == 0
