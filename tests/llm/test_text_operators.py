@@ -85,6 +85,14 @@ def test_secret_ownership_separates_examples(spark):
     assert [s.kind for s in got[50].spans] == ["issued"] and got[50].n_live == 1
 
 
+def test_secret_of_one_owner_stays_live_in_many_documents(spark):
+    held = {"a": "ghp_" + "q7W8" * 6, None: "ghp_" + "m3N4" * 6}
+    rows = [(k, f"use {held[s]} here {k}", None, s, *[None] * 11) for k, s in enumerate(["a", None] * 12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert all([s.kind for s in r.spans] == ["issued"] and (r.n_live, r.n_copied) == (1, 0) for r in secret_scan.find_secrets(docs).collect())
+    assert all("[secret]" in r.text and "ghp_" not in r.text for r in secret_scan.redact_secrets(docs).collect())
+
+
 def test_secret_awkward_and_redaction(spark):
     docs = awkward(spark)
     assert secret_scan.find_secrets(docs).count() == docs.count()

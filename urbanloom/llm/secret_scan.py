@@ -2,9 +2,10 @@
 
 Candidates are found in whole texts by patterns, JVM-side: a text is split at the matches, and running sums
 of the pieces' lengths give the spans in code points. The candidates' hashes are then counted over the whole
-corpus by the documents (repositories) and sources (owners) that hold them. A value that many owners or
-documents hold is a copied example; one that a single owner holds is live-looking. Spans of the base kinds
-always stay; the wider kinds (below) count as secrets only where their value is live-looking.
+corpus by the documents (repositories) and sources (owners) that hold them. A value that many owners, or many
+documents of several owners, hold is a copied example; one that a single owner holds is live-looking, in however
+many documents. Spans of the base kinds always stay; the wider kinds (below) count as secrets only where their
+value is live-looking.
 
 Edge cases: a null or empty text has no spans; empty strings are hashed for it. Equal values in repeated rows
 count once per document. Null ids and null sources count as one document and one owner of their own. Very
@@ -100,7 +101,8 @@ def find_secrets(
 ) -> DataFrame:
     """doc_id, spans (base ones, and live ones of the wider kinds), n_live, n_copied. A row for each row.
 
-    A value is live-looking if at most ``max_live_owners`` owners and ``max_live_docs`` documents hold it.
+    A value is live-looking if a single owner holds it, or at most ``max_live_owners`` owners and ``max_live_docs`` documents.
+    Without owners all rows are one owner's, so that no value counts as copied.
     """
     scanned = scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col).withColumn("__row", F.monotonically_increasing_id())
     return judge(scanned, max_live_owners, max_live_docs).select("doc_id", "spans", "n_live", "n_copied")
@@ -109,7 +111,8 @@ def find_secrets(
 def judge(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
     """Decide on the candidates of scan()'s rows by ownership; only rows with candidates are shuffled."""
     scanned = cut(scanned)  # spans are a small part of the texts, which are read and matched once
-    owned = ownership(scanned).where((F.col("n_owners") > max_live_owners) | (F.col("n_docs") > max_live_docs)).select("hash", F.lit(True).alias("copied"))
+    shared = F.col("n_owners") > 1  # an owner may copy a credential of its own as often as it likes
+    owned = ownership(scanned).where(shared & ((F.col("n_owners") > max_live_owners) | (F.col("n_docs") > max_live_docs))).select("hash", F.lit(True).alias("copied"))
     each = scanned.where(F.size("spans") > 0).select("__row", F.explode("spans").alias("span"))
     each = each.withColumn("hash", F.sha2(secret_value(F.col("span.kind"), F.col("span.value")), 256))
     # A copied value may be in a third of all rows: its few hashes are spread over salts.
