@@ -132,6 +132,16 @@ def test_decontamination(spark):
     assert decontaminate.drop_leaking(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_at_the_threshold_and_of_short_texts(spark):
+    item = prose(910, 67).split()
+    edited = item[:30] + ["x", "y", "z"] + item[33:]  # shares 56 of 63 shingles: 56 / 70
+    texts = {0: [*prose(911, 20).split(), *edited, *prose(912, 20).split()], 1: item[:62], 2: item[:57], 3: item[:50], 4: edited[:60]}
+    docs = spark.createDataFrame([(k, " ".join(t), *[None] * 13) for k, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r for r in decontaminate.find_leaks(docs, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
+    assert {k: (r.start_word, r.n_words) for k, r in got.items()} == {0: (20, 67), 1: (0, 62), 2: (0, 57)}
+    assert [got[k].similarity for k in (0, 1, 2)] == [56 / 70, 58 / 63, 53 / 63]
+
+
 def repeats(rows):
     first = {}
     for i, t in sorted(((math.inf if r[0] is None else r[0], r[1] or "") for r in rows), key=lambda x: x[0]):

@@ -6,6 +6,7 @@ For an item of n words, the windows of n words of a text are compared with it by
 1. Shingles of every text are looked up among the benchmark's. A window with weighted similarity s >= t shares
    at least 2t/(1+t) of its m shingles with the item, so its first such hit lies within its first
    m - ceil(2t m/(1+t)) shingles: those starts, and no others, can qualify, and only where enough hits follow.
+   A text shorter than the item is one window of its whole length; with s >= t it holds at least t m of the shingles.
 2. The SimHash of each such window meets those of the items of its size by multi-index Hamming blocks: with
    ``RADIUS`` + 1 blocks at least one is equal, so no pair within the radius is lost.
 3. Pairs within the radius are verified: exact similarity of the weighted shingles, sum of the smaller counts
@@ -81,7 +82,9 @@ def leaks(
     """key (md5 of a text), item_id, start_word (from 0), n_words, similarity, distance: every verified window."""
     known = cut(benchmark_items(items, width, item_id_col, item_text_col))
     widths = [r[0] for r in known.select("width").distinct().collect()]  # at most SHINGLE values
-    need = lambda m: F.ceil(F.lit(2 * threshold / (1 + threshold)) * m).cast("int")
+    # Less a hair, or the product's rounding would ask for one too many where it is a whole number.
+    at_least = lambda share, m: F.ceil(F.lit(share) * m - F.lit(1e-6)).cast("int")
+    need = lambda m: at_least(2 * threshold / (1 + threshold), m)
     sought = known.select("item_id", "n", "width", F.size("grams").alias("m"), F.explode(F.array_distinct("grams")).alias("gram"))
     sought = bounded(cut(sought))
     text = text_or_empty(text_col)
@@ -95,7 +98,9 @@ def leaks(
         hits = sought.select(F.lit("").alias("key"), "width", "item_id", "n", "m", F.lit(0).alias("pos")).limit(0)
     spots = hits.groupBy("key", "width", "item_id", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     first = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("m") - need(F.col("m")))), p))))
-    enough = F.filter(first, lambda s: F.size(F.filter(F.col("at"), lambda p: (p >= s) & (p < s + F.col("m")))) >= need(F.col("m")))
+    # The window at 0 may be a whole text shorter than the item, which needs fewer hits.
+    asked = lambda s: F.when(s == 0, at_least(threshold, F.col("m"))).otherwise(need(F.col("m")))
+    enough = F.filter(first, lambda s: F.size(F.filter(F.col("at"), lambda p: (p >= s) & (p < s + F.col("m")))) >= asked(s))
     windows = spots.select("key", "width", "n", "m", F.explode(enough).alias("start")).distinct()
     windows = cut(windows)
     # One text for each key with windows: copies meet in partial sums.
@@ -111,8 +116,9 @@ def leaks(
         sliced = sliced.unionByName(part)
     if sliced is None:
         return known.select(F.lit("").alias("key"), "item_id", F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"), F.lit(0).alias("distance")).limit(0)
-    # A window at a text's end may be cut short; then it is no window of the item's size.
-    whole = sliced.where(F.size("grams") == F.when(F.col("n") >= width, F.col("n") - (width - 1)).otherwise(1))
+    # A window cut short by a text's end is none of the item's size, unless it is the whole text.
+    full = F.size("grams") == F.when(F.col("n") >= width, F.col("n") - (width - 1)).otherwise(1)
+    whole = sliced.where(full | ((F.col("start") == 0) & (F.size("grams") > 0)))
     whole = cut(whole.repartition(shuffle_partitions(docs.sparkSession), "key", "start"))
     printed = cut(whole.withColumn("fp", simhash(F.col("grams"))))
     item_prints = known.withColumn("fp", simhash(F.col("grams"))).select("item_id", "n", F.col("grams").alias("item_grams"), F.col("fp").alias("item_fp"))
@@ -137,7 +143,7 @@ def match_windows(printed: DataFrame, item_prints: DataFrame, threshold: float,
     return (
         paired.withColumn("similarity", weighted_similarity(F.col("grams"), F.col("item_grams")))
         .where(F.col("similarity") >= threshold)
-        .select("key", "item_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), "similarity", "distance")
+        .select("key", "item_id", F.col("start").alias("start_word"), (F.col("n") - F.size("item_grams") + F.size("grams")).alias("n_words"), "similarity", "distance")
     )
 
 
