@@ -99,6 +99,26 @@ def test_one_of_each_group(spark):
     assert simhash.one_of_each_group(empty(spark)).count() == 0
 
 
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t.lower().split()[k : k + n]) for k in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def kept_of(spark, texts):
+    rows = [(k, t, *[None] * 13) for k, t in enumerate(texts)]
+    return {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+
+
+def test_groups_of_block_edits(spark):
+    rng, texts = np.random.default_rng(5), []
+    for k in range(40):
+        words = prose(7000 + k, int(rng.integers(40, 200))).split()
+        drop, at = int(len(words) * 0.17), int(rng.integers(0, len(words)))
+        texts += [" ".join(words), " ".join(words[:-drop]), " ".join(words[:at] + prose(8000 + k, len(words) // 12).split() + words[at:])]
+    found = groups(range(len(texts)), lambda a, b: a // 3 == b // 3 and jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(set(found.values())) < len(texts) / 2 and kept_of(spark, texts) == set(found.values())
+
+
 def multiset(words, n):
     return collections.Counter(tuple(words[k : k + n]) for k in range(max(0, len(words) - n + 1)))
 

@@ -37,6 +37,12 @@ BLOCK = 2048
 MAX_BROADCAST_KEYS = 20_000
 #: Rows compared at once in a task.
 CHUNK = 1 << 16
+#: One text in SAMPLE tells which shingles are common: COMMON of the sample have them; at most MAX_COMMON are listed.
+SAMPLE, COMMON, MAX_COMMON = 16, 8, 200_000
+#: Parity cells of a set of shingles.
+BITS = 1024
+#: Pairs of each two groups that a task gives at first, and the factor for each further round.
+NEAREST, MORE = 8, 16
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -213,6 +219,28 @@ class Forests:
         return *self.held[0], level
 
 
+def whole_groups(edges):
+    """``edges`` over rows (key, part, ...), sorted by both, a few whole groups at a time; a list column becomes a matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = [np.asarray(c.flatten()).reshape(batch.num_rows, -1) if pa.types.is_list(c.type) else np.asarray(c) for c in batch.columns]
+            held = fresh if held is None else [np.concatenate(pair) for pair in zip(held, fresh, strict=True)]
+            if len(held[0]) >= CHUNK:
+                key, part = held[0], held[1]
+                last = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if ((key != key[-1]) | (part != part[-1])).any() else 0
+                if last:
+                    yield edges([column[:last] for column in held])
+                    held = [column[last:] for column in held]
+        if held is not None and len(held[0]):
+            yield edges(held)
+
+    return run
+
+
 def _forest(radius: int, segments: int, forests: int):
     """Sorted rows (key, part, start, fp, node) to forest edges (u, v, distance, level), a few whole groups at a time.
 
@@ -229,21 +257,19 @@ def _forest(radius: int, segments: int, forests: int):
         columns = [pa.array(node[left]), pa.array(node[right]), pa.array(distance.astype(np.int32)), pa.array(level.astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, names=["u", "v", "distance", "level"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            fresh = [np.asarray(column) for column in batch.columns]
-            held = fresh if held is None else [np.concatenate(pair) for pair in zip(held, fresh, strict=True)]
-            if len(held[0]) >= CHUNK:
-                key, part = held[0], held[1]
-                last = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if ((key != key[-1]) | (part != part[-1])).any() else 0
-                if last:
-                    yield edges([column[:last] for column in held])
-                    held = [column[last:] for column in held]
-        if held is not None and len(held[0]):
-            yield edges(held)
+    return whole_groups(edges)
 
-    return run
+
+def dealt(keyed: DataFrame, by: str) -> DataFrame:
+    """Add ``part``: the rows of a key with more than BLOCK meet in parts, one for each pair of its blocks."""
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    known = crowded.limit(MAX_BROADCAST_KEYS + 1).collect()
+    if len(known) <= MAX_BROADCAST_KEYS:
+        crowded = F.broadcast(keyed.sparkSession.createDataFrame(known, "key long, blocks long"))
+    marked = keyed.join(crowded, "key", "left") if known else keyed.withColumn("blocks", F.lit(None).cast("long"))
+    own = F.pmod(F.xxhash64(by), F.col("blocks"))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other))
+    return marked.withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(meets)))
 
 
 def hamming_links(nodes: DataFrame, radius: int, segments: int, forests: int = 1) -> DataFrame:
@@ -252,16 +278,8 @@ def hamming_links(nodes: DataFrame, radius: int, segments: int, forests: int = 1
     keyed = nodes.select(
         "fp", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("start"), _chain_key(k, parts, free).alias("key")) for k in range(segments)])).alias("s")
     ).select("s.key", F.col("s.start").cast("long").alias("start"), "fp", "node")
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    known = crowded.limit(MAX_BROADCAST_KEYS + 1).collect()
-    if len(known) <= MAX_BROADCAST_KEYS:
-        crowded = F.broadcast(nodes.sparkSession.createDataFrame(known, "key long, blocks long"))
-    dealt = keyed.join(crowded, "key", "left") if known else keyed.withColumn("blocks", F.lit(None).cast("long"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other))
-    dealt = dealt.withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(meets)))
     count = shuffle_partitions(nodes.sparkSession)
-    placed = dealt.select("key", "part", "start", "fp", "node").repartition(count, "key", "part").sortWithinPartitions("key", "part")
+    placed = dealt(keyed, "fp").select("key", "part", "start", "fp", "node").repartition(count, "key", "part").sortWithinPartitions("key", "part")
     return placed.mapInArrow(_forest(radius, segments, forests), "u long, v long, distance int, level int")
 
 
@@ -311,6 +329,131 @@ def verified_links(links: DataFrame, texts: DataFrame, width: int, similarity: f
     return paired.select("u", "v", "text_u", "text_v").mapInArrow(_similarity(width), "u long, v long, similarity double").where(F.col("similarity") >= similarity)
 
 
+def _features(text: str | None, width: int) -> np.ndarray:
+    """The set of a text's shingles; texts without words share one feature."""
+    hashes = np.unique(shingle_hashes(text or "", width))
+    return hashes if len(hashes) else np.zeros(1, np.uint64)
+
+
+def common_features(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample of ``texts`` and their ranks. They only decide the order of shingles, any of which is exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_features(text.as_py(), width).view(np.int64))], names=["key"])
+
+    sample = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long")
+    often = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n")).limit(MAX_COMMON).toArrow()
+    keys, times = np.asarray(often.column("key")).astype(np.int64).view(np.uint64), np.asarray(often.column("n")).astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
+def shingle_prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """node, size (of its set of shingles), keys, bits; one row a node.
+
+    In one order of all shingles, two sets of Jaccard similarity ``similarity`` or more share one of the first
+    m - ceil(similarity m) + 1 of each: these are the keys. The order is rarest first, by common_features(), so
+    that lines that many texts have are few texts' keys. ``bits`` are the parities of the shingles in BITS cells; the cells
+    that differ between two sets are at most as many as the shingles that only one of them has.
+    """
+    common, times = common_features(texts, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys, bits = [], [], []
+            for text in batch.column(1):
+                found = _features(text.as_py(), width)
+                rank = np.zeros(len(found), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    rank = np.where(common[at] == found, times[at], 0)
+                take = len(found) - int(np.ceil(similarity * len(found) - 1e-6)) + 1
+                sizes.append(len(found))
+                keys.append(found[np.lexsort((found, rank))[:take]].view(np.int64))
+                odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(bits, longs)], names=["node", "size", "keys", "bits"])
+
+    made = texts.select("node", "text").mapInArrow(run, "node long, size long, keys array<long>, bits array<long>")
+    return made.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+
+
+def pairs_apart(group: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row pairs of equal group and different root (rows come sorted by both) that may be similar enough: left, right, distance."""
+    run = np.concatenate(([0], np.cumsum((group[1:] != group[:-1]) | (root[1:] != root[:-1]))))
+    ends, first = np.searchsorted(group, group, side="right"), np.searchsorted(run, run, side="right")
+    share, step = (1 - similarity) / (1 + similarity), 0
+    at = np.flatnonzero(first < ends)
+    while len(at):
+        other = first[at] + step
+        fits = np.minimum(size[at], size[other]) >= similarity * np.maximum(size[at], size[other]) - 1e-6
+        i, j = at[fits], other[fits]
+        # Of signed numbers NumPy would count the bits of the absolute value.
+        differ = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        both = size[i] + size[j]
+        near = differ <= share * both + 1e-6
+        if near.any():
+            yield i[near], j[near], differ[near] / both[near]
+        step += 1
+        at = at[first[at] + step < ends[at]]
+
+
+def nearest_of_roots(found: list[np.ndarray], limit: int) -> list[np.ndarray]:
+    """Of pairs (u, v, root of u, root of v, distance, more), distinct, the ``limit`` nearest of each two roots; ``more`` tells that others were left out."""
+    u, v, p, q, distance, more = found
+    turn = p > q
+    u, v, p, q = np.where(turn, v, u), np.where(turn, u, v), np.where(turn, q, p), np.where(turn, p, q)
+    order = np.lexsort((v, u, distance, q, p))
+    u, v, p, q, distance, more = (c[order] for c in (u, v, p, q, distance, more))
+    fresh = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+    more = np.maximum.reduceat(more, np.flatnonzero(fresh))
+    u, v, p, q, distance = (c[fresh] for c in (u, v, p, q, distance))
+    starts = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+    counts = np.diff(np.append(starts, len(u)))
+    more = np.repeat(np.maximum(np.maximum.reduceat(more, starts), counts > limit), counts)
+    kept = np.arange(len(u)) - np.repeat(starts, counts) < limit
+    return [c[kept] for c in (u, v, p, q, distance, more)]
+
+
+def _apart(similarity: float, limit: int):
+    """Sorted rows (key, part, root, node, size, bits) to pairs (u, v, more), a few whole groups at a time."""
+
+    def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, part, root, node, size, bits = rows
+        group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+        held: list[list[np.ndarray]] = []
+        count, bound = 0, Forests.PAIRS
+        for i, j, distance in pairs_apart(group, root, size, bits, similarity):
+            held.append([node[i], node[j], root[i], root[j], distance, np.zeros(len(i), bool)])
+            count += len(i)
+            if count > bound:
+                held = [nearest_of_roots([np.concatenate(c) for c in zip(*held, strict=True)], limit)]
+                count = len(held[0][0])
+                bound = max(bound, 2 * count)
+        none = [np.empty(0, np.int64)] * 5 + [np.empty(0, bool)]
+        u, v, *_, more = nearest_of_roots([np.concatenate(c) for c in zip(*held, strict=True)], limit) if held else none
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(more)], names=["u", "v", "more"])
+
+    return whole_groups(edges)
+
+
+def candidates_apart(sets: DataFrame, roots: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """u, v, more: pairs of shingle_prefixes() that share a key and whose groups by ``roots`` (node, root) are apart.
+
+    Of each two groups a task gives the ``limit`` nearest pairs; ``more`` tells that it left others out.
+    """
+    keyed = sets.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", F.explode("keys").alias("key"))
+    mixed = cut(keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
+    rows = cut(keyed.join(bounded(mixed), "key").join(sets.select("node", "size", "bits"), "node").select("key", "root", "node", "size", "bits"))
+    count = shuffle_partitions(sets.sparkSession)
+    placed = dealt(rows, "node").select("key", "part", "root", "node", "size", "bits").repartition(count, "key", "part").sortWithinPartitions("key", "part", "root")
+    found = placed.mapInArrow(_apart(similarity, limit), "u long, v long, more boolean")
+    return found.groupBy("u", "v").agg(F.max("more").alias("more"))
+
+
 def one_of_each_group(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 7, segments: int = 15, forests: int = 4
 ) -> DataFrame:
@@ -320,9 +463,10 @@ def one_of_each_group(
     groups are the components of that. Candidates come from fingerprints of the texts' distinct words, which
     move little under edits: within ``radius`` bits by pigeonring filtering, then as minimum spanning forests, whose
     links are verified on the whole texts; between groups that these leave apart, the links of ``forests`` - 1 more
-    forests, edge-disjoint, are verified as well. That is linear in the texts where all pairs would not be; a group
-    is missed only if all those links fail and another one would not (README has measured figures). Exact copies
-    (equal md5) meet before that. Rows without words are alike.
+    forests, edge-disjoint, are verified as well. What these miss is found exactly: two similar texts share one of
+    the first shingles of each (shingle_prefixes()), so pairs that share one and whose groups are still apart are
+    verified, the nearest of each two groups first, until no such pair is left. Exact copies (equal md5) meet before
+    that. Rows without words are alike.
     A null id sorts last; of rows with the same id and text one stays.
     """
     text = text_or_empty(text_col)
@@ -343,8 +487,19 @@ def one_of_each_group(
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     apart = links.where("level > 1").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
     more = cut(verified_links(cut(apart.select("u", "v")), texts, width, similarity)).select("u", "v")
+    good = first.unionByName(more)
     if not more.isEmpty():
-        roots = connected_components(first.unionByName(more))
+        roots = connected_components(good)
+    sets, limit = cut(shingle_prefixes(texts, width, similarity)), NEAREST
+    while True:
+        found = cut(candidates_apart(sets, roots, similarity, limit))
+        fresh = cut(verified_links(found.select("u", "v"), texts, width, similarity)).select("u", "v")
+        if not fresh.isEmpty():
+            good = good.unionByName(fresh)
+            roots = connected_components(good)
+        if found.where("more").isEmpty():
+            break
+        limit *= MORE
     classes = copies.select(F.xxhash64("md5").alias("node"), "md5", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = cut(classes.groupBy("root").agg(F.min(F.struct("least", "md5")).alias("best")).select(F.col("best.md5").alias("__md5"), F.col("best.least.id").alias("__id"), F.col("best.least.n").alias("__n")))
     on = F.expr("d.__md5 = c.__md5 and d.__id <=> c.__id")
