@@ -119,6 +119,14 @@ def test_groups_of_block_edits(spark):
     assert len(set(found.values())) < len(texts) / 2 and kept_of(spark, texts) == set(found.values())
 
 
+def test_groups_within_equal_word_sets(spark):
+    rng, texts = np.random.default_rng(6), []
+    for k in range(12):
+        words = [f"{w}x{j}" for j, w in enumerate(prose(7100 + k, 80).split())]
+        texts += [" ".join(rng.permutation(words)), " ".join(words), " ".join(words + words[-5:])]
+    assert kept_of(spark, texts) == {k for k in range(len(texts)) if k % 3 < 2}
+
+
 def multiset(words, n):
     return collections.Counter(tuple(words[k : k + n]) for k in range(max(0, len(words) - n + 1)))
 
