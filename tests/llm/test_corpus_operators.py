@@ -127,6 +127,16 @@ def test_groups_within_equal_word_sets(spark):
     assert kept_of(spark, texts) == {k for k in range(len(texts)) if k % 3 < 2}
 
 
+def test_groups_among_many_false_neighbours(spark):
+    rng, texts = np.random.default_rng(7), []
+    words = [f"{w}x{j}" for j, w in enumerate(prose(7200, 120).split())]
+    for k in range(80):
+        own = list(rng.permutation(words))
+        own[int(rng.integers(0, 120))] = f"own{k}"
+        texts += [" ".join(own), " ".join([*own[:60], *(f"new{k}y{j}" for j in range(5)), *own[65:]])]
+    assert kept_of(spark, texts) == {k for k in range(len(texts)) if k % 2 == 0}
+
+
 def multiset(words, n):
     return collections.Counter(tuple(words[k : k + n]) for k in range(max(0, len(words) - n + 1)))
 
