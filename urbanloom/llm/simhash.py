@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.llm.common import bounded, cut, shuffle_partitions, text_or_empty
+from urbanloom.llm.common import bounded, cut, shuffle_partitions, text_or_empty, written
 from urbanloom.llm.components import connected_components
 
 SEED = 42
@@ -40,7 +40,7 @@ CHUNK = 1 << 16
 #: One text in SAMPLE tells which shingles are common: COMMON of the sample have them; at most MAX_COMMON are listed.
 SAMPLE, COMMON, MAX_COMMON = 16, 8, 200_000
 #: Parity cells of a set of shingles.
-BITS = 1024
+BITS = 256
 #: Pairs of each two groups that a task gives at first, and the factor for each further round.
 NEAREST, MORE = 8, 16
 
@@ -446,12 +446,15 @@ def candidates_apart(sets: DataFrame, roots: DataFrame, similarity: float, limit
     Of each two groups a task gives the ``limit`` nearest pairs; ``more`` tells that it left others out.
     """
     keyed = sets.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", F.explode("keys").alias("key"))
-    mixed = cut(keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
-    rows = cut(keyed.join(bounded(mixed), "key").join(sets.select("node", "size", "bits"), "node").select("key", "root", "node", "size", "bits"))
-    count = shuffle_partitions(sets.sparkSession)
+    # Written, not cut: the shuffle files of each step go before the next one makes its own.
+    spark = sets.sparkSession
+    mixed = written(lambda: keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), spark)
+    narrow = written(lambda: keyed.join(bounded(mixed), "key"), spark)
+    rows = written(lambda: narrow.join(sets.select("node", "size", "bits"), "node").select("key", "root", "node", "size", "bits"), spark)
+    count = shuffle_partitions(spark)
     placed = dealt(rows, "node").select("key", "part", "root", "node", "size", "bits").repartition(count, "key", "part").sortWithinPartitions("key", "part", "root")
     found = placed.mapInArrow(_apart(similarity, limit), "u long, v long, more boolean")
-    return found.groupBy("u", "v").agg(F.max("more").alias("more"))
+    return written(lambda: found.groupBy("u", "v").agg(F.max("more").alias("more")), spark)
 
 
 def one_of_each_group(
@@ -490,9 +493,9 @@ def one_of_each_group(
     good = first.unionByName(more)
     if not more.isEmpty():
         roots = connected_components(good)
-    sets, limit = cut(shingle_prefixes(texts, width, similarity)), NEAREST
+    sets, limit = written(lambda: shingle_prefixes(texts, width, similarity), docs.sparkSession), NEAREST
     while True:
-        found = cut(candidates_apart(sets, roots, similarity, limit))
+        found = candidates_apart(sets, roots, similarity, limit)
         fresh = cut(verified_links(found.select("u", "v"), texts, width, similarity)).select("u", "v")
         if not fresh.isEmpty():
             good = good.unionByName(fresh)
