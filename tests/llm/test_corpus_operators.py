@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, awkward, awkward_rows, empty, prose
-from urbanloom.llm import components, decontaminate, html_extract, pitman_yor, simhash, suffix_dedup, url_filter
+from urbanloom.llm import components, decontaminate, html_extract, near_groups, pitman_yor, simhash, suffix_dedup, url_filter
 
 
 def slow_print(text, n=3):
@@ -90,13 +90,13 @@ def test_one_of_each_group(spark):
     base = prose(500, 120).split()
     near = lambda k: " ".join("edited" if j == 10 * k + 3 else w for j, w in enumerate(base))
     rows = [(k, t, *[None] * 13) for k, t in [(5, " ".join(base)), (6, near(1)), (7, near(4)), (8, near(9)), (20, prose(501, 120)), (21, prose(502, 120)), (30, " ".join(base)), (30, " ".join(base)), (40, prose(503, 120)), (40, prose(503, 120))]]
-    got = simhash.one_of_each_group(spark.createDataFrame(rows, SCHEMA))
+    got = near_groups.one_of_each_group(spark.createDataFrame(rows, SCHEMA))
     assert sorted(r.doc_id for r in got.collect()) == [5, 20, 21, 40]
-    frame = simhash.one_of_each_group(awkward(spark))
+    frame = near_groups.one_of_each_group(awkward(spark))
     assert frame.columns == awkward(spark).columns
     ids = [r.doc_id for r in frame.collect()]
     assert ids.count(0) == 1 and 2 not in ids and 13 in ids
-    assert simhash.one_of_each_group(empty(spark)).count() == 0
+    assert near_groups.one_of_each_group(empty(spark)).count() == 0
 
 
 def jaccard(a, b, n=5):
@@ -106,7 +106,7 @@ def jaccard(a, b, n=5):
 
 def kept_of(spark, texts):
     rows = [(k, t, *[None] * 13) for k, t in enumerate(texts)]
-    return {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    return {r.doc_id for r in near_groups.one_of_each_group(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
 
 
 def test_groups_of_block_edits(spark):

@@ -33,11 +33,13 @@ def word_count(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder is in spark.checkpoint.dir; only where that is unset a local one is made."""
+    """The cluster's shared folder is in spark.checkpoint.dir; only a local master without it gets a folder of its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith(("local[", "local*")) and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="urbanloom-checkpoint-"))
 
 
@@ -47,13 +49,37 @@ def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
     return frame.checkpoint(eager)
 
 
-def written(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables of a job's steps in the shared checkpoint folder; ``clear`` deletes them when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, checkpoint_folder(spark, "scratch"), 0
+
+    def write(self, make: Callable[[], DataFrame]) -> DataFrame:
+        self.count += 1
+        return written(make, self.spark, f"{self.folder}/{self.count}")
+
+    def clear(self) -> None:
+        delete_folder(self.spark, self.folder)
+
+
+def written(make: Callable[[], DataFrame], spark: SparkSession, folder: str | None = None) -> DataFrame:
     """What ``make`` returns, written as a table in the shared checkpoint folder and read again.
 
     Like cut(), but the shuffle files behind it go as soon as it is written, and the table is compressed.
     """
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    folder = folder or checkpoint_folder(spark, "table")
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
