@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, awkward, awkward_rows, empty, prose
-from urbanloom.llm import components, decontaminate, html_extract, near_groups, pitman_yor, simhash, suffix_dedup, url_filter
+from urbanloom.llm import components, decontaminate, html_extract, near_groups, page_model, pitman_yor, simhash, suffix_dedup, url_filter
 
 
 def slow_print(text, n=3):
@@ -338,6 +338,87 @@ def test_url_templates_learn_from_rules(spark, monkeypatch, bound):
     assert got[40].rule is None and got[40].verdict == "allow"
 
 
+def judged(spark, urls, rules=url_filter.CONTRACT_RULES, **options):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("clash"), "template": F.lit(None), "un": F.lit(1)})
+    return [r.verdict for r in sorted(url_filter.url_verdicts(pages, rules, **options).collect(), key=lambda r: r.page_id)]
+
+
+def test_url_templates_inherit_purity(spark):
+    """Under the contract's rules: a host of blocked pages only loses its other pages; one of allowed pages keeps them."""
+    urls = [f"http://spam.com/de/{k}" for k in range(60)] + ["http://spam.com/it/1", "http://spam.com/"]
+    urls += [f"http://fine.com/fr/{k}" for k in range(60)] + ["http://fine.com/it/1"] + ["http://other.net/it/1"]
+    got = judged(spark, urls)
+    assert got[60:62] == ["block", "block"] and got[-2:] == ["allow", "allow"]
+
+
+def test_url_wildcards_decide(spark):
+    """Names vary below /u: pages called x are blocked, pages called y are not. Only a wildcard pools the names."""
+    names = ["".join("abcdefgh"[int(c)] for c in oct(k + 64)[2:]) for k in range(60)]
+    urls = [f"http://h.net/u/{n}/{page}" for n in names for page in "xy"] + ["http://h.net/u/zzz/x", "http://h.net/u/zzz/y"]
+    rules = [("block", f"h.net/u/{n}/x") for n in names] + [("allow", f"h.net/u/{n}/y") for n in names]
+    assert judged(spark, urls, rules)[-2:] == ["block", "allow"]
+    assert judged(spark, urls, rules, max_fanout=1000)[-2:] == ["allow", "allow"]
+    assert judged(spark, urls, rules, depth=2)[-2:] == ["allow", "allow"]
+
+
+def test_very_long_and_tied_urls(spark):
+    long = "http://h.net/" + "a/" * 20_000
+    assert judged(spark, [long, "http://h.net/ab/c", "http://h.net/ab"], [("block", "net/ab/"), ("allow", "h.net/")]) == ["allow", "block", "allow"]
+    assert judged(spark, ["http://h.net/ab"], [("block", "net/ab"), ("allow", "h.net/")]) == ["allow"]
+    assert judged(spark, ["http://x.org/a"], [("block", "x.org/"), ("allow", "x.org/")]) == ["block"]
+
+
+def test_cut_beats_threshold(monkeypatch):
+    """On made-up pages other than those of the fit, the cut makes fewer errors than the classifier alone."""
+    errors, exact = {}, {}
+    for edge in (0, html_extract.EDGE):
+        monkeypatch.setattr(html_extract, "EDGE", edge)
+        errors[edge] = exact[edge] = 0
+        for html, kept in page_model.pages(200, 7):
+            found = [b.text for b in html_extract.main_blocks(html)]
+            errors[edge] += len(set(found) ^ set(kept))
+            exact[edge] += found == kept
+    assert errors[html_extract.EDGE] < 0.9 * errors[0] and exact[html_extract.EDGE] > exact[0] + 10
+
+
+def test_cut_of_whole_pages_is_minimal():
+    weights, agree = page_model.fitted()
+    seen = 0
+    for html, _ in page_model.pages(60, 8):
+        blocks = html_extract.blocks_of(html)
+        if len(blocks) > 12:
+            continue
+        seen += 1
+        content, boiler = html_extract.terminal_costs(blocks, weights)
+        edges = [(a, b, agree[min(len(agree) - 1, html_extract.dom_distance(blocks[a], blocks[b]))]) for a, b in html_extract.neighbours(blocks)]
+        edges = [(a, b, round(html_extract.SCALE * html_extract.EDGE * w)) for a, b, w in edges]
+        cost = lambda side: sum(b if s else c for s, c, b in zip(side, content, boiler, strict=True)) + sum(w for a, b, w in edges if side[a] != side[b])  # noqa: E731,B023
+        kept = [b.text for b in html_extract.main_blocks(html)]
+        side = html_extract.minimum_cut(content, boiler, edges)
+        assert kept == [b.text for b, s in zip(blocks, side, strict=True) if s]
+        assert cost(side) == min(cost([bool(m >> k & 1) for k in range(len(blocks))]) for m in range(1 << len(blocks)))
+    assert seen >= 5
+
+
+KEPT = "The paragraph that is kept, of course it is."
+BETWEEN = "<p>One long paragraph of prose that stands here, first of all.</p>{}<p>Another long paragraph of prose stands here, last of all.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [f'<body class="has-sidebar no-ads"><article><p>{KEPT}</p></article></body>', f'<main class="main search-results"><p>{KEPT}</p></main>', "<article>" + BETWEEN.format(f'<div class="story-share-count"><p>{KEPT}</p></div>') + "</article>"],
+)
+def test_names_of_ancestors_lose_no_article(page):
+    assert KEPT in html_extract.main_text(page)
+
+
+def test_readers_comments_go():
+    comment = "I never agreed with a word of this, and neither did my dog."
+    for place in (f'<section id="comments"><article><p>{comment}</p></article></section>', f'<div class="comment-list"><div><p>{comment}</p></div></div>'):
+        found = html_extract.main_text("<article>" + BETWEEN.format("") + place + "</article><footer>(c) us</footer>")
+        assert comment not in found and found.startswith("One long") and found.endswith("last of all.")
+
+
 def test_pipeline_matches_its_operators(spark, tmp_path):
     import corpus_pipeline
     from urbanloom.llm import quality_rules, secret_scan

@@ -1,8 +1,9 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A small fixed classifier gives every block a cost of being boilerplate
-and a cost of being content; these are the capacities to the two terminals. Blocks that follow each other, and
-blocks with the same parent, are tied by smoothness edges that weaken with their distance in the DOM. The
+A page becomes a row of text blocks. A classifier (page_model.py) gives every block a probability of being content,
+from its text, links, element, nearest landmark and container names; the negative logarithms are the costs of either
+label and the capacities to the two terminals. Blocks that follow each other, and blocks with the same parent, are
+tied by smoothness edges: the log-odds that such blocks agree, which weaken with their distance in the DOM. The
 minimum cut between the terminals is the labelling of least total cost; the blocks on the content side are kept.
 
 Markup is read as browsers do where it matters: elements close implicitly, a tag cut off by the end of the page
@@ -17,15 +18,24 @@ An empty table gives an empty result. Input columns but the id, url and html are
 from __future__ import annotations
 
 import html as references
+import math
 import re
 from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.llm.page_model import SUREST, fitted
+
+Model = tuple[Sequence[float], Sequence[float]]
+#: Costs are whole numbers: so many to one unit of log-odds. An edge has EDGE of its log-odds, as a block has two to four.
+SCALE, EDGE = 1000, 0.7
+#: What a container's names still say one level deeper.
+FADING = 0.8
+PROSE, HEADINGS = frozenset("p blockquote pre figcaption dd td".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*(?:>|\Z))|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?P<end>>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SKIPPED = frozenset("script style noscript template svg math iframe object head title select textarea button datalist audio video canvas".split())
@@ -55,24 +65,42 @@ WORD = re.compile(r"[A-Za-z]+")
 class Block:
     text: str
     chain: tuple[int, ...]
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    own: str
+    place: str
+    names: float
     link_share: float
 
 
 @dataclass
 class _Open:
+    """An open element; ``place`` is its nearest landmark, ``names`` what it and its containers are called: 1 bad, -1 good."""
+
     tag: str
     number: int
-    names: frozenset[str] = field(default_factory=frozenset)
+    place: str = ""
+    names: float = 0.0
 
 
-def _names(attributes: str) -> frozenset[str]:
-    found: set[str] = set()
+def _opened(tag: str, number: int, attributes: str, parent: _Open | None) -> _Open:
+    place, carried = (parent.place, FADING * parent.names) if parent else ("", 0.0)
+    if tag in ("html", "body"):
+        return _Open(tag, number)  # names of the whole page say nothing on a part of it
+    words: list[str] = []
     for kind, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
-        found.update(f"role:{v}" for v in value.split()) if kind.lower() == "role" else found.update(w for w in WORD.findall(value))
-    return frozenset(found)
+        if kind.lower() != "role":
+            words += WORD.findall(value)
+        elif BAD_ROLES & set(value.split()):
+            place = "away"
+    own = sum((w in BAD_NAMES) - (w in GOOD_NAMES) for w in words) / len(words) if words else 0.0
+    if tag in HOME:
+        carried = carried if place == "home" else 0.0  # an article in an article may be a reader's
+        place = "home"
+    elif tag in AWAY:
+        place = "away"
+    elif tag == "header":
+        place = "home header" if place == "home" else "away"
+    return _Open(tag, number, place, own if abs(own) >= abs(carried) else carried)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -89,8 +117,8 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(references.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                names = frozenset().union(*[o.names for o in stack])
-                out.append(Block(text, tuple(o.number for o in stack), tuple(o.tag for o in stack), names, min(1.0, linked / len(text))))
+                last = stack[-1] if stack else _Open("", 0)
+                out.append(Block(text, tuple(o.number for o in stack), last.tag, last.place, last.names, min(1.0, linked / len(text))))
         linked = 0
 
     def say(text: str) -> None:
@@ -143,7 +171,7 @@ def blocks_of(page: str) -> list[Block]:
                 _close(stack, {"li"} if name == "li" else {"dt", "dd"} if name in ("dt", "dd") else {name}, frozenset(("ul", "ol", "dl", "table", "menu")))
             if name not in VOID:
                 number += 1
-                stack.append(_Open(name, number, _names(tag["attrs"])))
+                stack.append(_opened(name, number, tag["attrs"], stack[-1] if stack else None))
     flush()
     return out
 
@@ -169,38 +197,54 @@ def _close(stack: list[_Open], ends: set[str], barriers: frozenset[str]) -> None
             return
 
 
-def terminal_costs(block: Block) -> tuple[int, int]:
-    """(cost of calling it boilerplate, cost of calling it content)."""
-    tags, own = frozenset(block.tags), block.tags[-1] if block.tags else ""
-    good = bad = 0.0
-    home = max((k for k, t in enumerate(block.tags) if t in HOME), default=-1)
-    if home >= 0:
-        good += 4
-    if own in ("p", "blockquote", "pre", "figcaption", "dd", "td") or re.fullmatch("h[1-6]", own):
-        good += 2
-    if tags & AWAY or tags & {"header"} and not (home >= 0 and re.fullmatch("h[1-6]", own)):
-        bad += 12
-    if block.names & BAD_NAMES or any(f"role:{r}" in block.names for r in BAD_ROLES):
-        bad += 12
-    if block.names & GOOD_NAMES:
-        good += 1.5
-    if block.link_share < 0.3:
-        good += 1.5 + (own == "li")
-    good += min(3.0, len(block.text) / 80) * (1 - block.link_share)
-    bad += 4 * max(0.0, block.link_share - 0.3) + (1.0 if len(block.text) < 25 and home < 0 else 0)
-    if home < 0:
-        bad += 1
-    return round(100 * good), round(100 * bad)
-
-
-def proximity(a: Block, b: Block) -> int:
-    """Capacity of the edge between two blocks: less the farther their elements are in the DOM."""
+def features(blocks: list[Block]) -> list[list[float]]:
+    """What the classifier looks at: text, links, own element, nearest landmark, names, place in the page."""
+    out, n = [], len(blocks)
+    for k, b in enumerate(blocks):
+        size = len(b.text)
+        ends = sum(b.text.count(c) for c in ".!?")
+        heading = b.own in HEADINGS
+        home = b.place.startswith("home")
+        out.append([
+            1.0, min(1.0, math.log1p(size) / 6), min(1.0, 20 * ends / (size + 1)), 1.0 if b.text[-1] in ".!?:" else 0.0, b.link_share, 1.0 if b.own in PROSE else 0.0, 1.0 if heading else 0.0,
+            1.0 if b.own == "li" else 0.0, 1.0 if home else 0.0, 1.0 if b.place == "away" else 0.0, b.link_share if home else 0.0, max(0.0, b.names), max(0.0, -b.names), 0.0 if home else abs(2 * (k + 0.5) / n - 1),
+        ])
+    return out
+
+
+def terminal_costs(blocks: list[Block], weights: Sequence[float]) -> tuple[list[int], list[int]]:
+    """(costs of calling each boilerplate, costs of calling it content): minus the logarithm of the classifier's probability."""
+    content, boilerplate = [], []
+    for row in features(blocks):
+        z = sum(w * x for w, x in zip(weights, row, strict=True))
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        p = min(SUREST, max(1 - SUREST, p))
+        content.append(round(-SCALE * math.log(1 - p)))
+        boilerplate.append(round(-SCALE * math.log(p)))
+    return content, boilerplate
+
+
+def dom_distance(a: Block, b: Block) -> int:
+    """Steps between two blocks' elements in the DOM."""
     shared = 0
     for x, y in zip(a.chain, b.chain, strict=False):
         if x != y:
             break
         shared += 1
-    return round(150 / (1 + (len(a.chain) - shared) + (len(b.chain) - shared)))
+    return len(a.chain) + len(b.chain) - 2 * shared
+
+
+def neighbours(blocks: list[Block]) -> list[tuple[int, int]]:
+    """Blocks that follow each other, and blocks that follow each other among the same parent's."""
+    found, last_of = [], {}
+    for k, block in enumerate(blocks):
+        if k:
+            found.append((k - 1, k))
+        parent = block.chain[-2] if len(block.chain) > 1 else 0
+        if last_of.get(parent, k - 1) < k - 1:
+            found.append((last_of[parent], k))
+        last_of[parent] = k
+    return found
 
 
 def minimum_cut(content: list[int], boilerplate: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -267,35 +311,32 @@ def minimum_cut(content: list[int], boilerplate: list[int], edges: list[tuple[in
                 following[a] += 1
 
 
-def main_blocks(page: str) -> list[Block]:
+def main_blocks(page: str, model: Model | None = None) -> list[Block]:
+    weights, agree = model or fitted()
     blocks = blocks_of(page)
-    costs = [terminal_costs(b) for b in blocks]
-    edges, last_of = [], {}
-    for k, block in enumerate(blocks):
-        if k:
-            edges.append((k - 1, k, proximity(blocks[k - 1], block)))
-        parent = block.chain[-2] if len(block.chain) > 1 else 0
-        if last_of.get(parent, k - 1) < k - 1:
-            edges.append((last_of[parent], k, proximity(blocks[last_of[parent]], block)))
-        last_of[parent] = k
-    side = minimum_cut([c for c, _ in costs], [b for _, b in costs], edges)
+    content, boilerplate = terminal_costs(blocks, weights)
+    edges = [(a, b, round(SCALE * EDGE * agree[min(len(agree) - 1, dom_distance(blocks[a], blocks[b]))])) for a, b in neighbours(blocks)]
+    side = minimum_cut(content, boilerplate, edges)
     return [b for b, kept in zip(blocks, side, strict=True) if kept]
 
 
-def main_text(page: str | None) -> str:
-    return "\n".join(b.text for b in main_blocks(page or ""))
+def main_text(page: str | None, model: Model | None = None) -> str:
+    return "\n".join(b.text for b in main_blocks(page or "", model))
+
 
+def _extract(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(page.as_py(), model) for page in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
+            )
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(page.as_py()) for page in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
-        )
+    return run
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points): one row per page, from its whole html."""
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = base.schema["page_id"].dataType.simpleString()
-    return base.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return base.mapInArrow(_extract(fitted()), f"page_id {kind}, url string, text string, n_chars long")

@@ -78,17 +78,32 @@ def url_sql() -> str:
         f"(CASE WHEN regexp_full_match({body}, '[0-9]+') THEN '{{n}}' WHEN regexp_full_match({body}, '[0-9A-Fa-f]{{8,}}(-[0-9A-Fa-f]+)*') THEN '{{h}}' WHEN regexp_matches({body}, '[0-9]') "
         f"THEN regexp_replace({body}, '[0-9]+', '{{n}}', 'g') ELSE {body} END) || regexp_extract(s, '(\\.[A-Za-z]{{1,5}})$', 1)"
     )
+    depth = url_filter.DEPTH
+    levels = []
+    for d in range(1, depth + 1):
+        segment = f"list_extract(segments, {d})"
+        levels.append(f"""f{d} AS (SELECT host, p{d - 1}, count(DISTINCT {segment}) AS fan FROM t{d - 1} GROUP BY ALL),
+t{d} AS (SELECT t{d - 1}.*, coalesce(p{d - 1} || '/' || CASE WHEN fan > 32 AND NOT contains({segment}, '{{') THEN '{{s}}' ELSE {segment} END, p{d - 1}) AS p{d} FROM t{d - 1} JOIN f{d} USING (host, p{d - 1}))""")
+    for d in range(1, depth + 1):
+        above, here, before = f"p{d - 1}", f"p{d}", "h0" if d == 1 else f"h{d - 1}"
+        levels.append(f"""k{d} AS (SELECT *, sum(n) OVER (PARTITION BY host, {above}, {here}) AS kn, sum(b) OVER (PARTITION BY host, {above}, {here}) AS kb, ub / greatest(un, 1) AS pooled FROM {before}),
+z{d} AS (SELECT *, CASE WHEN pooled * (1 - pooled) > 0 THEN (kb / greatest(kn, 1) - pooled) / sqrt(pooled * (1 - pooled) / greatest(kn, 1)) ELSE 0 END AS z FROM k{d}),
+s{d} AS (SELECT *, CASE WHEN kn = 0 THEN 'unlabelled ' || {here} WHEN abs(z) <= 1.96 THEN 'similar' WHEN z > 0 THEN 'above' ELSE 'below' END AS side FROM z{d}),
+b{d} AS (SELECT *, sum(n) OVER (PARTITION BY host, {above}, side) AS bn, sum(b) OVER (PARTITION BY host, {above}, side) AS bb FROM s{d}),
+h{d} AS (SELECT * EXCLUDE (purity, support, un, ub, kn, kb, pooled, z, side, bn, bb), kn AS un, kb AS ub, CASE WHEN bn > 0 AND {here} <> {above} THEN (bb + 2 * purity) / (bn + 2) ELSE purity END AS purity,
+  CASE WHEN bn > 0 AND {here} <> {above} THEN bn ELSE support END AS support FROM b{d})""")
     return f"""
 WITH u AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-r AS (SELECT *, {rule} AS rule FROM u), v AS (SELECT *, {said} AS said, array_to_string(list_transform(string_split(path, '/'), lambda s: {shape}), '/') AS template FROM r),
-c AS (SELECT host, template, count(said) AS n, count(*) FILTER (said = 'block') AS b FROM v GROUP BY ALL), lv AS (SELECT *, regexp_replace(template, '/?[^/]*/?$', '') AS parent FROM c),
-fan AS (SELECT host, parent, count(*) AS fanout, sum(n) AS pn, sum(b) AS pb FROM lv GROUP BY ALL),
-pl AS (SELECT lv.*, CASE WHEN fanout > 32 THEN '/{{s}}' ELSE substr(template, length(parent) + 1) END AS branch, pb / greatest(pn, 1) AS pooled, b / greatest(n, 1) AS share FROM lv JOIN fan USING (host, parent)),
-z AS (SELECT *, CASE WHEN pooled * (1 - pooled) > 0 THEN (share - pooled) / sqrt(pooled * (1 - pooled) / greatest(n, 1)) ELSE 0 END AS z FROM pl),
-m AS (SELECT *, CASE WHEN n = 0 THEN 'unlabelled ' || branch WHEN abs(z) <= 1.96 THEN 'similar' WHEN z > 0 THEN 'above' ELSE 'below' END AS merged FROM z),
-br AS (SELECT host, parent, merged, sum(n) AS bn, sum(b) AS bb FROM m GROUP BY ALL), hs AS (SELECT host, sum(n) AS hn, sum(b) AS hb FROM c GROUP BY ALL), co AS (SELECT coalesce(sum(b) / greatest(sum(n), 1), 0) AS cs FROM c),
-pu AS (SELECT host, template, bn, (bb + 2 * ((hb + 2 * cs) / (hn + 2))) / (bn + 2) AS purity FROM m JOIN br USING (host, parent, merged) JOIN hs USING (host), co)
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bn >= 5 AND purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict, template, bn >= 5 AND purity >= 0.9 AS template_rejected FROM v JOIN pu USING (host, template)"""
+r AS (SELECT *, {rule} AS rule, string_split(path, '/') AS parts FROM u),
+v AS (SELECT *, {said} AS said, CASE WHEN len(parts) - 1 > {depth} THEN list_append(list_transform(list_slice(parts, 2, {depth}), lambda s: {shape}), '{{*}}') ELSE list_transform(list_slice(parts, 2, {depth + 1}), lambda s: {shape}) END AS segments FROM r),
+w AS (SELECT *, CASE WHEN len(segments) > 0 THEN '/' || array_to_string(segments, '/') ELSE '' END AS template FROM v),
+t0 AS (SELECT host, template, any_value(segments) AS segments, count(said) AS n, count(*) FILTER (said = 'block') AS b, '' AS p0 FROM w GROUP BY host, template),
+{", ".join(levels[:depth])},
+c AS (SELECT coalesce(sum(b) / greatest(sum(n), 1), 0) AS cs FROM t0),
+h0 AS (SELECT *, (ub + 2 * cs) / (un + 2) AS purity, un AS support FROM (SELECT t{depth}.*, sum(n) OVER (PARTITION BY host) AS un, sum(b) OVER (PARTITION BY host) AS ub FROM t{depth}), c),
+{", ".join(levels[depth:])},
+j AS (SELECT host, template, support >= 5 AND purity >= 0.9 AS rejected FROM h{depth})
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template, rejected AS template_rejected FROM w JOIN j USING (host, template)"""
 
 
 ORACLES = {"op1_url_filter": url_sql(), "op3_source_mix": mix_sql(), "op4_quality_rules": quality_sql(), "op8_secret_scan": secret_sql()}

@@ -2,18 +2,21 @@
 
 Rules give labels; where no rule fits, the template that a url belongs to decides:
 
-1. Every path segment becomes a literal or, if it varies by nature (digits, long hexadecimal), a wildcard.
-   Equal (host, segments) are counted first, so everything after that works on templates, not on urls.
-2. A node of the tree (host, prefix) with more than ``max_fanout`` different literal children has them
-   replaced by a wildcard as well.
-3. Sibling branches whose share of blocked labels does not differ from their parent's pooled share
-   (two-sided test on proportions, ``merge_z``) are pooled into one branch.
-4. The purity of a branch is its share of blocked labels, smoothed towards its host's share and that
-   towards the whole corpus'. A branch with ``min_labels`` labels and a purity of ``reject_purity`` is rejected.
+1. Every path segment becomes a literal or, if it varies by nature (digits, long hexadecimal), a wildcard; segments
+   from the ``depth``-th on are one wildcard. Equal (host, segments) are counted first, so everything after that works
+   on templates, not on urls.
+2. From the host down, a node of the tree with more than ``max_fanout`` different children has its literal ones
+   replaced by a wildcard, so that what lies below them is pooled.
+3. Sibling branches whose share of blocked labels does not differ from their parent's (two-sided test on proportions,
+   ``merge_z``) are merged; so are those above it, and those below.
+4. The purity of a branch is its share of blocked labels, smoothed towards its parent's purity, the host's towards the
+   whole corpus' share. A branch without labels has its parent's. A template whose nearest labelled branch has
+   ``min_labels`` labels, and whose purity is ``reject_purity`` or more, is rejected.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule and the verdict of
-template "" of host "" (allow unless labels say otherwise). Repeated rows are judged alike, one by one.
-An empty table gives an empty result. Columns of the input other than the id and the url are not carried.
+template "" of host "" (allow unless labels say otherwise). Of equally long rules the first in code point order counts.
+Very long urls are read whole. Repeated rows are judged alike, one by one. An empty table gives an empty result.
+Columns of the input other than the id and the url are not carried.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.llm.common import cut
+
 #: (verdict, rule); a rule is a host, then the start of a path. Fixed values of the query's contract.
 CONTRACT_RULES = (
     ("allow", "org/"),
@@ -35,6 +40,8 @@ CONTRACT_RULES = (
 MAX_INLINE_RULES = 256
 #: Rejected templates up to this number are broadcast; beyond, both sides are salted and shuffled.
 MAX_BROADCAST_TEMPLATES = 50_000
+#: Levels of the tree.
+DEPTH = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,42 +105,51 @@ def segment_shape(segment: Column) -> Column:
     return F.concat(kind, suffix)
 
 
-def path_template(path: Column) -> Column:
-    return F.array_join(F.transform(F.split(path, "/", -1), segment_shape), "/")
-
-
-def _parent(template: Column) -> Column:
-    return F.regexp_replace(template, "/?[^/]*/?$", "")
+def path_segments(path: Column, depth: int) -> Column:
+    """The shapes of a path's segments; those from the ``depth``-th on are one wildcard if there are several."""
+    parts = F.split(path, "/", -1)
+    shaped = lambda n: F.transform(F.slice(parts, 2, n), segment_shape)
+    return F.when(F.size(parts) - 1 > depth, F.concat(shaped(depth - 1), F.array(F.lit("{*}")))).otherwise(shaped(depth))
 
 
-def template_tree(labelled: DataFrame, max_fanout: int, merge_z: float, prior_weight: float) -> DataFrame:
-    """One row per (host, template): its branch in the tree, labels and smoothed purity.
+def template_tree(labelled: DataFrame, depth: int, max_fanout: int, merge_z: float, prior_weight: float) -> DataFrame:
+    """One row per (host, template): its branch in the tree, the labels that speak for it, and its purity.
 
-    ``labelled`` has host, template, and blocked (1, 0, or null where there is no label).
+    ``labelled`` has host, segments, template, and blocked (1, 0, or null where there is no label).
     """
-    counted = labelled.groupBy("host", "template").agg(
-        F.count(F.lit(1)).alias("n_urls"), F.count("blocked").alias("n_labels"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("n_blocked")
-    )
-    leaves = counted.withColumn("parent", _parent(F.col("template"))).withColumn("child", F.expr("substring(template, length(parent) + 1)"))
-    fan = leaves.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("fanout"), F.sum("n_labels").alias("parent_labels"), F.sum("n_blocked").alias("parent_blocked"))
-    placed = leaves.join(fan, ["host", "parent"]).withColumn("branch", F.when(F.col("fanout") > max_fanout, F.lit("/{s}")).otherwise(F.col("child")))
-    pooled = F.col("parent_blocked") / F.greatest(F.col("parent_labels"), F.lit(1))
-    share = F.col("n_blocked") / F.greatest(F.col("n_labels"), F.lit(1))
-    error = F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("n_labels"), F.lit(1)))
-    z = F.when(error > 0, (share - pooled) / error).otherwise(F.lit(0.0))
-    group = F.when(F.col("n_labels") == 0, F.concat(F.lit("unlabelled "), F.col("branch"))).when(F.abs(z) <= merge_z, "similar").when(z > 0, "above").otherwise("below")
-    merged = placed.withColumn("merged", group)
-    branches = merged.groupBy("host", "parent", "merged").agg(F.sum("n_labels").alias("b_labels"), F.sum("n_blocked").alias("b_blocked"))
-    hosts = counted.groupBy("host").agg(F.sum("n_labels").alias("h_labels"), F.sum("n_blocked").alias("h_blocked"))
-    corpus = counted.agg(F.coalesce(F.sum("n_blocked") / F.greatest(F.sum("n_labels"), F.lit(1)), F.lit(0.0)).alias("c_share"))
-    host_share = (F.col("h_blocked") + prior_weight * F.col("c_share")) / (F.col("h_labels") + prior_weight)
-    purity = (F.col("b_blocked") + prior_weight * host_share) / (F.col("b_labels") + prior_weight)
-    return (
-        merged.join(branches, ["host", "parent", "merged"])
-        .join(hosts, "host")
-        .crossJoin(F.broadcast(corpus))  # one row
-        .select("host", "template", F.concat_ws(" ", "parent", "merged").alias("branch"), "n_urls", F.col("b_labels").alias("n_labels"), purity.alias("purity"))
-    )
+    tree = labelled.groupBy("host", "template").agg(F.first("segments").alias("segments"), F.count("blocked").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"))
+    tree = cut(tree.withColumn("p0", F.lit("")))
+    for d in range(1, depth + 1):
+        above, segment = f"p{d - 1}", F.get("segments", F.lit(d - 1))
+        fan = tree.groupBy("host", above).agg(F.count_distinct(segment).alias("fan"))
+        wide = (F.col("fan") > max_fanout) & ~F.contains(segment, F.lit("{"))
+        tree = tree.join(fan, ["host", above]).withColumn(f"p{d}", F.concat(F.col(above), F.lit("/"), F.when(wide, "{s}").otherwise(segment))).drop("fan")
+        tree = cut(tree.withColumn(f"p{d}", F.coalesce(f"p{d}", above)))  # a path that ends stays at its last node
+    corpus = tree.agg(F.coalesce(F.sum("b") / F.greatest(F.sum("n"), F.lit(1)), F.lit(0.0)).alias("share")).first()[0]
+    smoothed = lambda b, n, purity: (F.col(b) + prior_weight * purity) / (F.col(n) + prior_weight)
+    hosts = tree.groupBy("host").agg(F.sum("n").alias("un"), F.sum("b").alias("ub"))
+    tree = tree.join(hosts, "host").withColumn("purity", smoothed("ub", "un", F.lit(corpus))).withColumn("support", F.col("un"))
+    for d in range(1, depth + 1):
+        # un, ub: the labels of the parent node; bn, bb: those of the branch that the node is merged into.
+        above, here = f"p{d - 1}", f"p{d}"
+        nodes = tree.groupBy("host", above, here).agg(F.sum("n").alias("kn"), F.sum("b").alias("kb"), F.first("un").alias("un"), F.first("ub").alias("ub"))
+        pooled = F.col("ub") / F.greatest(F.col("un"), F.lit(1))
+        error = F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("kn"), F.lit(1)))
+        z = F.when(error > 0, (F.col("kb") / F.greatest(F.col("kn"), F.lit(1)) - pooled) / error).otherwise(F.lit(0.0))
+        side = F.when(F.col("kn") == 0, F.concat(F.lit("unlabelled "), here)).when(F.abs(z) <= merge_z, "similar").when(z > 0, "above").otherwise("below")
+        nodes = cut(nodes.withColumn("side", side).select("host", above, here, "kn", "kb", "side"))
+        branches = nodes.groupBy("host", above, "side").agg(F.sum("kn").alias("bn"), F.sum("kb").alias("bb"))
+        placed = nodes.join(branches, ["host", above, "side"])
+        tree = tree.drop("un", "ub").join(placed, ["host", above, here])
+        known = (F.col("bn") > 0) & (F.col(here) != F.col(above))
+        tree = (
+            tree.withColumn("purity", F.when(known, smoothed("bb", "bn", F.col("purity"))).otherwise(F.col("purity")))
+            .withColumn("support", F.when(known, F.col("bn")).otherwise(F.col("support")))
+            .withColumnsRenamed({"kn": "un", "kb": "ub"})
+            .drop("bn", "bb", "side")
+        )
+        tree = cut(tree)
+    return tree.select("host", "template", F.col(f"p{depth}").alias("branch"), F.col("support").alias("n_labels"), "purity")
 
 
 def url_verdicts(
@@ -142,6 +158,7 @@ def url_verdicts(
     *,
     id_col: str = "page_id",
     url_col: str = "url",
+    depth: int = DEPTH,
     max_fanout: int = 32,
     merge_z: float = 1.96,
     prior_weight: float = 2.0,
@@ -151,9 +168,10 @@ def url_verdicts(
     """Judge every url: id, host, path, rule, verdict, template, by_template."""
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("page_id"), url.alias("__url")).select("page_id", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
-    judged = ruled(base, rules).withColumn("template", path_template(F.col("path")))
+    judged = ruled(base, rules).withColumn("segments", path_segments(F.col("path"), depth))
+    judged = judged.withColumn("template", F.when(F.size("segments") > 0, F.concat(F.lit("/"), F.array_join("segments", "/"))).otherwise(F.lit("")))
     blocked = F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)
-    tree = template_tree(judged.select("host", "template", blocked.alias("blocked")), max_fanout, merge_z, prior_weight)
+    tree = template_tree(judged.select("host", "segments", "template", blocked.alias("blocked")), depth, max_fanout, merge_z, prior_weight)
     rejected = tree.where((F.col("n_labels") >= min_labels) & (F.col("purity") >= reject_purity)).select("host", "template", F.lit(True).alias("rejected"))
     # Counting up to the bound decides whether the list may be broadcast; both ways give the same rows.
     known = rejected.limit(MAX_BROADCAST_TEMPLATES + 1).collect()
