@@ -384,7 +384,7 @@ def test_cut_beats_threshold(monkeypatch):
 def test_cut_of_whole_pages_is_minimal():
     weights, agree = page_model.fitted()
     seen = 0
-    for html, _ in page_model.pages(60, 8):
+    for html, _ in page_model.pages(200, 8):
         blocks = html_extract.blocks_of(html)
         if len(blocks) > 12:
             continue
