@@ -94,7 +94,8 @@ def _opened(tag: str, number: int, attributes: str, parent: _Open | None) -> _Op
             place = "away"
     own = sum((w in BAD_NAMES) - (w in GOOD_NAMES) for w in words) / len(words) if words else 0.0
     if tag in HOME:
-        carried = carried if place == "home" else 0.0  # an article in an article may be a reader's
+        # An article in an article, or in what is called comments, may be a reader's.
+        carried = carried if place == "home" or (tag == "article" and carried >= 0.5) else 0.0
         place = "home"
     elif tag in AWAY:
         place = "away"

@@ -80,7 +80,7 @@ def page(rng: random.Random) -> tuple[str, list[str]]:
     notice = pick([named("div", "cookie-notice", "alert", "disclaimer"), '<div role="alert">{}</div>', named("p", "notice", "copyright", "consent-text")])
     side = pick(["<aside><p>{}</p><ul>{}</ul></aside>", '<div class="sidebar"><p>{}</p><ul>{}</ul></div>', '<div class="related-widget"><h3>{}</h3><ul>{}</ul></div>', "<div><h3>{}</h3><ul>{}</ul></div>"]).format(_sentence(rng, 2, 12), _links(rng))
     form = pick(["<form><p>{}</p><input></form>", '<div class="newsletter"><p>{}</p></div>', '<form><label>{}</label></form>', '<div class="subscribe-form">{}</div>']).format(_sentence(rng, 2, 9))
-    remarks = "".join(pick(["<p>{}</p>", "<div><p>{}</p></div>", '<li><p>{}</p></li>', '<article class="comment"><p>{}</p></article>', '<div class="reply">{}</div>']).format(_prose(rng, 1, 3)) for _ in range(rng.randint(1, 5)))
+    remarks = "".join(pick(["<p>{}</p>", "<div><p>{}</p></div>", '<li><p>{}</p></li>', '<article class="comment"><p>{}</p></article>', "<article><p>{}</p></article>", '<div class="reply">{}</div>']).format(_prose(rng, 1, 3)) for _ in range(rng.randint(1, 5)))
     comments = pick(['<section id="comments"><h3>{}</h3>{}</section>', '<div class="comment-list"><h3>{}</h3>{}</div>', '<div class="discussion"><h4>{}</h4>{}</div>']).format(" ".join(_words(rng, 2)), remarks)
     footer = pick(["<footer>{}</footer>", "<footer><p>{}</p></footer>", named("div", "footer", "site-footer", "legal"), "<div><p>{}</p></div>"]).format("&copy; " + _sentence(rng, 2, 12))
     body = _inside(rng, kept)
