@@ -4,13 +4,14 @@ A document is a bag of sentences. A sentence's score is a logistic function of i
 their noisy-or, 1 - prod(1 - p). Only documents have labels: the loss is taken on the noisy-or, and its gradient
 spreads a toxic label over the sentences that explain it, so sentences can be located without sentence labels.
 
-The model is fitted on a bounded sample of labelled rows (``max_train_docs``, in hash order of the id); every
-document of the table is scored, whole. Words are hashed into ``BUCKETS`` weights, so the model that executors
+The model is fitted on a bounded sample of labelled rows (``max_train_docs`` and MAX_TRAIN_BYTES, in hash order of the
+id); every document of the table is scored, whole. Words are hashed into ``BUCKETS`` weights, so the model that executors
 get has a fixed size. Neither labels nor languages, sources or ids are inputs of a score.
 
 Edge cases: a null or empty text is one sentence without words; its score is the bias alone. Rows of labels
 with a null id or label are not learnt from; with no labels at all every score is ``PRIOR``'s. Repeated rows
-score alike. An empty table gives an empty result. Other columns are not carried.
+score alike. Of several worst sentences the first is given. Very long texts are read whole, sentence by sentence.
+An empty table gives an empty result. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from urbanloom.llm.common import crc_bucket, text_or_empty
 
 BUCKETS = 1 << 18
 PRIOR = 0.02
-#: Labelled documents that the model is fitted on at most; a documented bound, not a limit on what is scored.
-MAX_TRAIN_DOCS = 12_000
+#: Labelled documents, and bytes of their texts, that the model is fitted on at most; not a limit on what is scored.
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 12_000, 64 << 20
 SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?\n]+|\Z)")
 EDGES = b" \t\n\r\x0b\x0c\"'()[]{}<>,;:.!?*#$%&|-_"
 
@@ -75,13 +76,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "words", "sizes"])
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, label_col: str, max_train_docs: int, holdout: int) -> list:
+def training_bags(docs: DataFrame, labels: DataFrame, label_col: str, max_train_docs: int, holdout: int, max_train_bytes: int = MAX_TRAIN_BYTES) -> list:
+    """Labelled texts in hash order of their ids, up to both bounds; all rows of an id count."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
     chosen = known.where(crc_bucket(F.col("doc_id"), holdout) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_train_docs).collect()
-    spark = docs.sparkSession
-    small = spark.createDataFrame(picked, "doc_id long, label int")  # max_train_docs rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(small), "doc_id").select("label", "text")
+    first = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_train_docs).collect()
+    spark, kind = docs.sparkSession, "doc_id long, label int"
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    sizes = base.join(F.broadcast(spark.createDataFrame(first, kind)), "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    size, picked, total = {r.doc_id: r.n for r in sizes}, [], 0
+    for row in first:  # max_train_docs rows at most
+        total += size.get(row.doc_id, 0)
+        if total > max_train_bytes:
+            break
+        picked.append(row)
+    texts = base.join(F.broadcast(spark.createDataFrame(picked, kind)), "doc_id").select("label", "text")
     return texts.mapInArrow(_features, "label int, words binary, sizes binary").collect()
 
 
@@ -122,13 +131,14 @@ def fit(bags: list, *, rounds: int = 100, rate: float = 0.3, ridge: float = 2e-4
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
         theta -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6) * (1 if step < rounds * 2 // 3 else 0.2)
-    weights[kept] = np.where(np.abs(theta[:-1]) < 0.05, 0, theta[:-1])  # the many near-zero ones cost time only
+    weights[kept] = theta[:-1]
     return weights, float(theta[-1])
 
 
 def _scores(model, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, cache = model.value, {}
+        weights, cache = model.value.tolist(), {}
+        weight = weights.__getitem__
         for batch in batches:
             scores, starts, ends, tops = [], [], [], []
             for text in batch.column(1):
@@ -144,7 +154,7 @@ def _scores(model, bias: float):
                             used = cache[word] = tuple(k for k in word_features(word) if weights[k])
                         if used:
                             fresh.update(used)
-                    z = bias + sum(float(weights[k]) for k in fresh)
+                    z = bias + sum(map(weight, sorted(fresh)))  # in one order, so that reruns agree
                     p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
                     none += math.log1p(-min(p, 1 - 1e-12))
                     if p > best:
