@@ -180,6 +180,34 @@ def test_decontamination_at_the_threshold_and_of_short_texts(spark):
     assert [got[k].similarity for k in (0, 1, 2)] == [56 / 70, 58 / 63, 53 / 63]
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    """A text that repeats a passage, or one word, has hits everywhere; starts come in linear time."""
+    item = prose(920, 40).split()
+    texts = {0: item * 500, 1: ["word"] * 20_000, 2: item[:30] + ["y"] * 3 + item[33:40]}
+    items = [(0, " ".join(item)), (1, "word " * 30)]
+    docs = spark.createDataFrame([(k, " ".join(t), *[None] * 13) for k, t in texts.items()], SCHEMA)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0): 1.0, (1, 1): 1.0}
+
+
+def test_votes_of_many_hashes(spark):
+    row = spark.range(1).select(decontaminate.simhash(F.concat(F.array_repeat(F.lit(-1).cast("long"), 70_000), F.array_repeat(F.lit(5).cast("long"), 69_999))).alias("fp")).first()
+    assert row.fp == -1
+
+
+def test_windows_beyond_the_radius_are_found(spark):
+    """Windows at 0.8 exactly: within a radius of 1 there are next to none of them."""
+    rng, items, texts = np.random.default_rng(3), [], []
+    for k in range(40):
+        words = prose(930 + k, 67).split()
+        at = int(rng.integers(5, 55))
+        items.append((k, " ".join(words)))
+        texts.append(" ".join([*prose(5000 + k, 15).split(), *words[:at], "x", "y", "z", *words[at + 3 :], *prose(6000 + k, 15).split()]))
+    docs, bench = spark.createDataFrame([(k, t, *[None] * 13) for k, t in enumerate(texts)], SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    for radius in (1, decontaminate.RADIUS):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, radius=radius).collect()} == {(k, k) for k in range(40)}
+
+
 def repeats(rows):
     first = {}
     for i, t in sorted(((math.inf if r[0] is None else r[0], r[1] or "") for r in rows), key=lambda x: x[0]):

@@ -4,13 +4,13 @@ For an item of n words, the windows of n words of a text are compared with it by
 ``SHINGLE`` words, A-Z and other letters lower-cased). The stages, all JVM-side:
 
 1. Shingles of every text are looked up among the benchmark's. A window with weighted similarity s >= t shares
-   at least 2t/(1+t) of its m shingles with the item, so its first such hit lies within its first
-   m - ceil(2t m/(1+t)) shingles: those starts, and no others, can qualify, and only where enough hits follow.
+   at least 2t/(1+t) of its m shingles with the item: starts with so many hits, and no others, can qualify.
    A text shorter than the item is one window of its whole length; with s >= t it holds at least t m of the shingles.
 2. The SimHash of each such window meets those of the items of its size by multi-index Hamming blocks: with
    ``RADIUS`` + 1 blocks at least one is equal, so no pair within the radius is lost.
-3. Pairs within the radius are verified: exact similarity of the weighted shingles, sum of the smaller counts
-   over sum of the larger ones, at least ``threshold``.
+3. Those pairs are verified: exact similarity of the weighted shingles, sum of the smaller counts over sum of the
+   larger ones, at least ``threshold``. A window of less similarity may be beyond the radius, as a fingerprint
+   bounds nothing there, so the windows' and items' pairs that step 1 named are verified as well. The result is exact.
 
 Equal texts are judged once, by the text's hash, so copies cost one window each. Items shorter than a shingle
 have one shingle, all their words. Edge cases: texts and items that are null or without words match nothing;
@@ -27,8 +27,8 @@ from urbanloom.llm.common import bounded, cut, shuffle_partitions, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Of 64 bits. At similarity 0.8 the mean distance is about 10 bits with a deviation of 3.
-RADIUS = 18
+#: Of 64 bits, in blocks of 8 bits. Near-verbatim windows are within it; at similarity 0.8 the mean distance is about 10.
+RADIUS = 7
 
 
 def shingles(word_array: Column, width: int) -> Column:
@@ -42,29 +42,56 @@ def shingles(word_array: Column, width: int) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """64 bits; a bit is 1 if it is set in over half of the hashes. Votes are counted in 16-bit lanes, in pieces."""
-    lanes = 0x0001000100010001
+    """64 bits; a bit is 1 if it is set in over half of the hashes. Votes are counted in 32-bit lanes, which no array overflows."""
+    lanes = 0x0000000100000001
 
     def votes(k: int) -> Column:
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: total + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(lanes)))
 
     half = F.size(hashes)
     bits = F.lit(0).cast("long")
-    for k in range(16):
+    for k in range(32):
         total = votes(k)
-        for lane in range(4):
-            count = F.shiftrightunsigned(total, 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            shift = k + 16 * lane
+        for lane in range(2):
+            count = F.shiftrightunsigned(total, 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+            shift = k + 32 * lane
             bit = 1 << shift if shift < 63 else -(1 << 63)
             bits = bits.bitwiseOR(F.when(2 * count > half, F.lit(bit)).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """Of two arrays of hashes as multisets: sum of the smaller counts over sum of the larger ones."""
-    count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(b), F.lit(0), lambda total, x: total + F.least(count(a, x), count(b, x)))
-    return shared / (F.size(a) + F.size(b) - shared)
+    """Of two arrays of hashes as multisets: sum of the smaller counts over sum of the larger ones, by a merge of both."""
+    tagged = lambda array, tag: F.transform(array, lambda x: F.struct(x.alias("x"), F.lit(tag).alias("tag")))
+    none = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).alias("na"), F.lit(0).alias("nb"), F.lit(0).alias("shared"))
+
+    def step(state: Column, item: Column) -> Column:
+        same, one, two = state["x"] == item["x"], (item["tag"] == 0).cast("int"), (item["tag"] == 1).cast("int")
+        return F.struct(
+            item["x"].alias("x"), F.when(same, state["na"] + one).otherwise(one).alias("na"), F.when(same, state["nb"] + two).otherwise(two).alias("nb"),
+            F.when(same, state["shared"]).otherwise(state["shared"] + F.least(state["na"], state["nb"])).alias("shared"),
+        )
+
+    both = F.array_sort(F.concat(tagged(a, 0), tagged(b, 1)))
+    shared = F.aggregate(both, none, step, lambda state: state["shared"] + F.least(state["na"], state["nb"]))
+    return F.element_at(F.transform(F.array(shared), lambda n: n / (F.size(a) + F.size(b) - n)), 1)
+
+
+def window_starts(at: Column, m: Column, need: Column, whole: Column) -> Column:
+    """Starts s of windows of m shingles with ``need`` of the sorted hits ``at``; 0 also where it has ``whole`` of them.
+
+    The first hit at or behind s is at[i] for s from at[i - 1] + 1 on, and the window has enough where at[i + need - 1] is
+    before s + m. These ranges are disjoint, so this is linear in the hits and starts.
+    """
+    count = F.size(at)
+
+    def starts(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.coalesce(F.get(at, i - 1) + 1, F.lit(0)), F.get(at, i + need - 1) - m + 1)
+        return F.when(low <= F.get(at, i), F.sequence(low, F.get(at, i))).otherwise(F.array().cast("array<int>"))
+
+    found = F.when(count >= need, F.flatten(F.transform(F.sequence(F.lit(0), count - need), starts))).otherwise(F.array().cast("array<int>"))
+    first = F.when(F.size(F.filter(at, lambda p: p < m)) >= whole, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.array_union(first, found)
 
 
 def benchmark_items(items: DataFrame, width: int = SHINGLE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -97,11 +124,10 @@ def leaks(
     if hits is None:
         hits = sought.select(F.lit("").alias("key"), "width", "item_id", "n", "m", F.lit(0).alias("pos")).limit(0)
     spots = hits.groupBy("key", "width", "item_id", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    first = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("m") - need(F.col("m")))), p))))
     # The window at 0 may be a whole text shorter than the item, which needs fewer hits.
-    asked = lambda s: F.when(s == 0, at_least(threshold, F.col("m"))).otherwise(need(F.col("m")))
-    enough = F.filter(first, lambda s: F.size(F.filter(F.col("at"), lambda p: (p >= s) & (p < s + F.col("m")))) >= asked(s))
-    windows = spots.select("key", "width", "n", "m", F.explode(enough).alias("start")).distinct()
+    starts = window_starts(F.col("at"), F.col("m"), need(F.col("m")), at_least(threshold, F.col("m")))
+    asked = cut(spots.select("key", "width", "item_id", "n", "m", F.explode(starts).alias("start")))
+    windows = asked.select("key", "width", "n", "m", "start").distinct()
     windows = cut(windows)
     # One text for each key with windows: copies meet in partial sums.
     keys = bounded(cut(windows.select("key").distinct()))
@@ -122,7 +148,7 @@ def leaks(
     whole = cut(whole.repartition(shuffle_partitions(docs.sparkSession), "key", "start"))
     printed = cut(whole.withColumn("fp", simhash(F.col("grams"))))
     item_prints = known.withColumn("fp", simhash(F.col("grams"))).select("item_id", "n", F.col("grams").alias("item_grams"), F.col("fp").alias("item_fp"))
-    return match_windows(printed, cut(item_prints), threshold, radius)
+    return match_windows(printed, cut(item_prints), asked.select("key", "n", "start", "item_id"), threshold, radius)
 
 
 def block_values(fp: Column, radius: int) -> Column:
@@ -134,12 +160,14 @@ def block_values(fp: Column, radius: int) -> Column:
     ])
 
 
-def match_windows(printed: DataFrame, item_prints: DataFrame, threshold: float, radius: int) -> DataFrame:
+def match_windows(printed: DataFrame, item_prints: DataFrame, asked: DataFrame, threshold: float, radius: int) -> DataFrame:
+    """Verified pairs: those within the radius, by their blocks, and the pairs of ``asked`` that are beyond it."""
     left = printed.select("key", "n", "start", "fp", F.explode(block_values(F.col("fp"), radius)).alias("b")).select("key", "n", "start", "fp", "b.block", "b.value")
     right = item_prints.select("item_id", "n", "item_fp", F.explode(block_values(F.col("item_fp"), radius)).alias("b")).select("item_id", "n", "item_fp", "b.block", "b.value")
+    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "n", "start", "item_id")
+    chosen = near.unionByName(asked).distinct()
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = left.join(right, ["n", "block", "value"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("key", "start", "n", "item_id", "distance").distinct()
-    paired = near.join(printed.select("key", "start", "n", "grams"), ["key", "start", "n"]).join(item_prints.select("item_id", "n", "item_grams"), ["item_id", "n"])
+    paired = chosen.join(printed.select("key", "start", "n", "grams", "fp"), ["key", "start", "n"]).join(item_prints.select("item_id", "n", "item_grams", "item_fp"), ["item_id", "n"]).withColumn("distance", distance)
     return (
         paired.withColumn("similarity", weighted_similarity(F.col("grams"), F.col("item_grams")))
         .where(F.col("similarity") >= threshold)

@@ -59,8 +59,8 @@ e AS (SELECT row_id, doc_id, source, kind, rank, unnest(range(1, len(found) + 1)
 s AS (SELECT row_id, doc_id, source, kind, rank, list_extract(found, i) AS value, list_extract(held, i) AS secret,
   length(list_aggregate(list_slice(pieces, 1, i), 'string_agg', '')) + coalesce(length(list_aggregate(list_slice(found, 1, i - 1), 'string_agg', '')), 0) AS a FROM e),
 f AS (SELECT *, a + length(value) AS b FROM s WHERE kind <> 'assign' OR length(secret) >= 6),
-o AS (SELECT secret, count(DISTINCT coalesce(source, '') || (source IS NULL)) AS owners, count(DISTINCT coalesce(doc_id, -1) || coalesce(source, '')) AS docs FROM f GROUP BY secret),
-j AS (SELECT f.*, owners <= {max_owners} AND docs <= {max_docs} AS live, kind IN ({base}) AS base FROM f JOIN o USING (secret)),
+o AS (SELECT secret, count(DISTINCT coalesce(source, '') || (source IS NULL)) AS owners, count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) AS docs FROM f GROUP BY secret),
+j AS (SELECT f.*, owners = 1 OR (owners <= {max_owners} AND docs <= {max_docs}) AS live, kind IN ({base}) AS base FROM f JOIN o USING (secret)),
 r AS (SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   coalesce({listed} FILTER (base), '') AS base_list, coalesce({listed} FILTER (base OR live), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM j GROUP BY row_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_list, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.llm.common import cut, text_or_empty
+from urbanloom.llm.common import cut, text_or_empty, written
 
 #: Fixed values of the query's contract: the base kinds, in the order in which ties are listed.
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -25,7 +25,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: Wider kinds of the method: other well-known shapes of keys, and private key blocks.
 BEARER = "[Bb][Ee][Aa][Rr][Ee][Rr]\\x20+[A-Za-z0-9+/_.=-]{16,}"
-ISSUED = "(?:ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-)[A-Za-z0-9_-]{16,}"
+ISSUED = "\\b(?:ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-)[A-Za-z0-9_-]{16,}"
 SIGNED = "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"
 PRIVATE = "-----BEGIN[A-Z\\x20]*PRIVATE\\x20KEY-----"
 KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("bearer", BEARER), ("issued", ISSUED), ("signed", SIGNED), ("private", PRIVATE))
@@ -84,10 +84,9 @@ def ownership(scanned: DataFrame) -> DataFrame:
     """Per candidate hash over the whole corpus: distinct documents and owners. Partial sums come before any shuffle."""
     each = scanned.where(F.size("spans") > 0).select("doc_id", "owner", F.explode("spans").alias("span"))
     hashed = each.select(F.sha2(secret_value(F.col("span.kind"), F.col("span.value")), 256).alias("hash"), "doc_id", "owner")
-    # Two steps: equal (hash, owner, document) meet first, so that a value in a third of all rows is small by then.
+    # Equal (hash, owner, document) meet first, so that a value in a third of all rows is small by then. Structs count nulls.
     by_doc = hashed.groupBy("hash", "owner", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = by_doc.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-    return by_owner.groupBy("hash").agg(F.sum("docs").alias("n_docs"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_found"))
+    return by_doc.groupBy("hash").agg(F.count_distinct(F.struct("doc_id")).alias("n_docs"), F.count_distinct(F.struct("owner")).alias("n_owners"), F.sum("n").alias("n_found"))
 
 
 def find_secrets(
@@ -105,12 +104,12 @@ def find_secrets(
     Without owners all rows are one owner's, so that no value counts as copied.
     """
     scanned = scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col).withColumn("__row", F.monotonically_increasing_id())
-    return judge(scanned, max_live_owners, max_live_docs).select("doc_id", "spans", "n_live", "n_copied")
+    # Spans are a small part of the texts, which are read and matched once.
+    return judge(cut(scanned), max_live_owners, max_live_docs).select("doc_id", "spans", "n_live", "n_copied")
 
 
 def judge(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Decide on the candidates of scan()'s rows by ownership; only rows with candidates are shuffled."""
-    scanned = cut(scanned)  # spans are a small part of the texts, which are read and matched once
+    """Decide on the candidates of scan()'s rows, stored, by ownership; only rows with candidates are shuffled."""
     shared = F.col("n_owners") > 1  # an owner may copy a credential of its own as often as it likes
     owned = ownership(scanned).where(shared & ((F.col("n_owners") > max_live_owners) | (F.col("n_docs") > max_live_docs))).select("hash", F.lit(True).alias("copied"))
     each = scanned.where(F.size("spans") > 0).select("__row", F.explode("spans").alias("span"))
@@ -139,22 +138,19 @@ def span_list(spans: Column) -> Column:
 def redact_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source") -> DataFrame:
     """The input rows with the spans of find_secrets() replaced in their texts; all columns stay.
 
-    Only rows with candidates, few of a corpus, are shuffled; rows alike in id and text share a decision.
+    Texts are matched once: rows and spans are stored, and only rows with spans are shuffled. Input columns may be called
+    like any of this module's own.
     """
-    key = lambda: F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text_col)), 256)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    has = F.lit(False)
-    for kind, pattern in KINDS:
-        has = has | (text_or_empty(text_col).rlike(HINTS[kind]) & text_or_empty(text_col).rlike(pattern))
-    some = docs.where(has)
     owner = F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")
-    narrow = some.select(F.col(id_col).alias("doc_id"), owner.alias("owner"), F.col(text_col).alias("text"), key().alias("key"))
-    scanned = scan(narrow, owner_col="owner", carry=("key",)).withColumn("__row", F.monotonically_increasing_id())
-    decided = judge(scanned, carry=("key",)).select("key", "spans").dropDuplicates(["key"])
-    joined = some.select(row, key().alias("key")).join(decided, "key")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), owner.alias("owner"), F.col(text_col).alias("text"), row)
+    scanned = written(lambda: scan(narrow, owner_col="owner", carry=("row",)).withColumn("__row", F.monotonically_increasing_id()), docs.sparkSession)
+    decided = judge(scanned.select("doc_id", "owner", "spans", "__row")).where(F.size("spans") > 0).select("__row", F.col("spans").alias("stay"))
+    some = scanned.where(F.size("spans") > 0).select("row", "__row").join(cut(decided), "__row", "left")
     text = F.col(f"row.`{text_col}`")
-    cleaned = joined.select(*[(redact(text, F.col("spans")) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
-    return docs.where(~has).unionByName(cleaned)
+    clean = F.when(F.col("stay").isNull(), text).otherwise(redact(text, F.col("stay")))
+    cleaned = some.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return scanned.where(F.size("spans") == 0).select("row.*").unionByName(cleaned)
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
