@@ -61,7 +61,7 @@ def test_shocks(spark):
 
 
 def test_hexagons_have_the_square_s_area_and_tile(spark):
-    grid = spatial.hexagon_grid(spark, (0, 0, 5000, 4000), 1000.0)
+    grid = spatial.hexagon_grid(spark, (0, 0, 5000, 4000), (2500, 2000), 1000.0)
     areas = grid.select(C.polygon_area(F.col("rings")).alias("a")).agg(F.min("a"), F.max("a")).first()
     assert areas[0] == pytest.approx(1e6) and areas[1] == pytest.approx(1e6)
     probe = spark.createDataFrame([(float(x), float(y)) for x in range(137, 5000, 531) for y in range(211, 4000, 617)], "px double, py double")

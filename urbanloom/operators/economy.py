@@ -178,6 +178,28 @@ def balance(kernels: Kernels, decay: float, rows: np.ndarray, columns: np.ndarra
     return u, v, maximum
 
 
+def floor_space(city: City, wage: np.ndarray, income: np.ndarray, p: Parameters) -> dict[str, np.ndarray]:
+    """output, shops and homes (floor space), density, theta (the shops' share) and produced (total productivity) from wages and incomes."""
+    works, lives = city.employment > 0, city.population > 0
+    output = np.where(works, wage * city.employment / p.alpha, 0.0)
+    shops = np.where(works, (1 - p.alpha) * output / city.rent, 0.0)
+    homes = np.where(lives, (1 - p.beta) * income / city.rent, 0.0)
+    floor = shops + homes
+    produced = np.where(works, output / np.maximum(city.employment**p.alpha * np.maximum(shops, TINY) ** (1 - p.alpha), TINY), 0.0)
+    return {"output": output, "shops": shops, "homes": homes, "density": _ratio(floor, city.land_area**p.land_share), "theta": _ratio(shops, floor), "produced": produced}
+
+
+def _utility(p: Parameters, amenity: np.ndarray, rent: np.ndarray, reach: np.ndarray) -> float:
+    pull = np.where(amenity > 0, amenity**p.epsilon * rent ** (-(1 - p.beta) * p.epsilon), 0.0)
+    return p.gamma_constant * float(np.sum(pull * reach)) ** (1 / p.epsilon)
+
+
+def expected_utility(kernels: Kernels, p: Parameters, amenity: np.ndarray, rent: np.ndarray, wage: np.ndarray) -> float:
+    """The utility that all locations' amenities, rents and reachable wages offer together."""
+    (reach,) = kernels.rows([(0, p.epsilon * p.kappa, None, np.where(wage > 0, wage**p.epsilon, 0.0))])
+    return _utility(p, amenity, rent, reach)
+
+
 def invert(city: City, kernels: Kernels, p: Parameters) -> Inversion:
     """Amenities and wages that reproduce the margins, and the primitives behind them. Matrix 0 is the baseline."""
     total = float(city.population.sum())
@@ -195,17 +217,11 @@ def invert(city: City, kernels: Kernels, p: Parameters) -> Inversion:
         (0, decay, None, v * wage), (0, decay, None, v), (0, p.productivity_decay, None, by_land(city.employment)), (0, p.amenity_decay, None, by_land(city.population)), (0, decay, None, weighted),
     ])
     income = total * u * paid
-    output = np.where(works, wage * city.employment / p.alpha, 0.0)
-    shops = np.where(works, (1 - p.alpha) * output / city.rent, 0.0)
-    homes = np.where(lives, (1 - p.beta) * income / city.rent, 0.0)
-    floor = shops + homes
-    density = _ratio(floor, city.land_area**p.land_share)
-    theta = _ratio(shops, floor)
-    produced = np.where(works, output / np.maximum(city.employment**p.alpha * np.maximum(shops, TINY) ** (1 - p.alpha), TINY), 0.0)
+    space = floor_space(city, wage, income, p)
+    output, density, theta, produced = (space[c] for c in ("output", "density", "theta", "produced"))
     productivity = np.where(works, produced / np.maximum(jobs, TINY) ** p.productivity_spillover, 0.0)
     liking = np.where(lives, amenity / np.maximum(people, TINY) ** p.amenity_spillover, 0.0)
-    flows = float(np.sum(np.where(lives, amenity**p.epsilon * city.rent ** (-(1 - p.beta) * p.epsilon), 0.0) * mass))
-    utility = p.gamma_constant * flows ** (1 / p.epsilon)
+    utility = _utility(p, amenity, city.rent, mass)
     start = {"wage": wage, "income": income, "theta": theta, "q_res": city.rent, "q_com": city.rent, "employment": city.employment, "population": city.population}
     state = start | {"output": output, "combined_rent": city.rent, "total_productivity": produced, "total_amenity": amenity, "productivity": productivity, "amenity": liking}
     gaps = float(np.abs(u * reach - rows).max()), float(np.abs(v * kernels.columns((0, decay, None, u)) - columns).max())

@@ -29,15 +29,15 @@ def square_grid(spark: SparkSession, bounds: tuple[float, float, float, float],
     return cells.withColumn("rings", F.array(C.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))))
 
 
-def hexagon_grid(spark: SparkSession, bounds: tuple[float, float, float, float], size: float) -> DataFrame:
-    """Pointy-topped hexagons of the area of a square of ``size``; grid_sequence, x, y (centres) and rings."""
+def hexagon_grid(spark: SparkSession, bounds: tuple[float, float, float, float], centre: tuple[float, float], size: float) -> DataFrame:
+    """Pointy-topped hexagons of the area of a square of ``size``, laid out about ``centre``, row by row from the top left; grid_sequence, x, y (centres) and rings."""
     x_min, y_min, x_max, y_max = bounds
     side = math.sqrt(2 * size * size / (3 * math.sqrt(3)))
     dx, dy = math.sqrt(3) * side, 1.5 * side
     n_cols, n_rows = math.ceil((x_max - x_min) / dx) + 3, math.ceil((y_max - y_min) / dy) + 3
     row, col = F.floor(F.col("id") / n_cols), F.col("id") % n_cols
-    x = F.lit(x_min - dx) + col * dx + (row % 2) * (dx / 2)
-    y = F.lit(y_min - dy) + row * dy
+    x = F.lit(centre[0] - (n_cols - 1) * dx / 2) + col * dx + (row % 2) * (dx / 2)
+    y = F.lit(centre[1] + (n_rows - 1) * dy / 2) - row * dy
     centres = spark.range(n_cols * n_rows).select((F.col("id") + 1).alias("grid_sequence"), x.alias("x"), y.alias("y"))
     corner = lambda k: F.struct((F.col("x") + side * math.cos(math.radians(30 + 60 * k))).alias("x"), (F.col("y") + side * math.sin(math.radians(30 + 60 * k))).alias("y"))
     return centres.withColumn("rings", F.array(F.array(*[corner(k) for k in range(6)])))

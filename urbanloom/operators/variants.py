@@ -101,7 +101,7 @@ def browser_grid(spark: SparkSession, bounds: tuple[float, float, float, float],
     lon0, lat0 = (bounds[0] + bounds[2]) / 2, (bounds[1] + bounds[3]) / 2
     kx, ky = KM_PER_DEGREE_LON * math.cos(math.radians(lat0)), KM_PER_DEGREE_LAT
     box = ((bounds[0] - lon0) * kx, (bounds[1] - lat0) * ky, (bounds[2] - lon0) * kx, (bounds[3] - lat0) * ky)
-    cells = spatial.hexagon_grid(spark, box, size_km) if shape == "hexagon" else spatial.square_grid(spark, box, (0.0, 0.0), size_km)
+    cells = spatial.hexagon_grid(spark, box, (0.0, 0.0), size_km) if shape == "hexagon" else spatial.square_grid(spark, box, (0.0, 0.0), size_km)
     if cells.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} cells; choose a larger size")
     back = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["x"] / kx + lon0).alias("x"), (p["y"] / ky + lat0).alias("y"))))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,19 +147,19 @@ def square_grid(spark, sf_dir):
 
 HEX_SQL = BOUNDS_SQL + """, h0 AS (SELECT *, sqrt(2 * 1200.0 * 1200.0 / (3 * sqrt(3.0))) AS s FROM box), h1 AS (SELECT *, sqrt(3.0) * s AS dx, 1.5 * s AS dy FROM h0),
 h AS (SELECT *, CAST(ceil((x1 - x0) / dx) + 3 AS BIGINT) AS nc, CAST(ceil((y1 - y0) / dy) + 3 AS BIGINT) AS nr FROM h1), hx AS (SELECT h.*, unnest(range(0, nc * nr)) AS id FROM h),
-hex AS (SELECT id + 1 AS grid_sequence, x0 - dx + (id % nc) * dx + ((id // nc) % 2) * dx / 2 AS x, y0 - dy + (id // nc) * dy AS y FROM hx)"""
+hex AS (SELECT id + 1 AS grid_sequence, (x0 + x1) / 2 - (nc - 1) * dx / 2 + (id % nc) * dx + ((id // nc) % 2) * dx / 2 AS x, (y0 + y1) / 2 + (nr - 1) * dy / 2 - (id // nc) * dy AS y FROM hx)"""
 
 
 @query("hexagon_grid", HEX_SQL + " SELECT grid_sequence, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM hex")
 def hexagon_grid(spark, sf_dir):
-    box, _ = city_bounds(spark, sf_dir)
-    return spatial.hexagon_grid(spark, box, 1200.0).select("grid_sequence", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+    box, centre = city_bounds(spark, sf_dir)
+    return spatial.hexagon_grid(spark, box, centre, 1200.0).select("grid_sequence", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
 @query("polygon_area_centroid", HEX_SQL + " SELECT grid_sequence, 1440000.0::DOUBLE AS area, round(x, 3) + 0.0 AS cx, round(y, 3) + 0.0 AS cy FROM hex")
 def polygon_area_centroid(spark, sf_dir):
-    box, _ = city_bounds(spark, sf_dir)
-    grid = spatial.hexagon_grid(spark, box, 1200.0)
+    box, centre = city_bounds(spark, sf_dir)
+    grid = spatial.hexagon_grid(spark, box, centre, 1200.0)
     centre = C.ring_centroid(F.col("rings")[0])
     return grid.select("grid_sequence", F.round(C.polygon_area(F.col("rings")), 3).alias("area"), r6(centre["x"], 3).alias("cx"), r6(centre["y"], 3).alias("cy"))
 
@@ -190,8 +192,8 @@ def area_interpolation_intensive(spark, sf_dir):
 
 @query("area_interpolation_hexagons", None)
 def area_interpolation_hexagons(spark, sf_dir):
-    box, _ = city_bounds(spark, sf_dir)
-    target = spatial.hexagon_grid(spark, box, 1200.0).select(F.col("grid_sequence").alias("target_id"), "rings")
+    box, centre = city_bounds(spark, sf_dir)
+    target = spatial.hexagon_grid(spark, box, centre, 1200.0).select(F.col("grid_sequence").alias("target_id"), "rings")
     source = cell_polygons(spark, sf_dir).withColumn("source_id", F.col("loc_idx"))
     return spatial.area_interpolate(source, target, ["population"]).select("target_id", r6(F.col("population")).alias("population"))
 
@@ -236,11 +238,11 @@ def changed_locations(spark, sf_dir):
 
 
 @query("point_in_polygon", HEX_SQL + """, near AS (SELECT loc_idx, grid_sequence, (site.x - hex.x)^2 + (site.y - hex.y)^2 AS d FROM site, hex), best AS (SELECT loc_idx, grid_sequence, row_number() OVER (PARTITION BY loc_idx ORDER BY d) AS k FROM near)
-SELECT loc_idx, grid_sequence FROM best WHERE k = 1 AND loc_idx % 3 = 1""")
+SELECT loc_idx, grid_sequence FROM best WHERE k = 1""")
 def point_in_polygon(spark, sf_dir):
-    box, _ = city_bounds(spark, sf_dir)
-    grid = spatial.hexagon_grid(spark, box, 1200.0).select("grid_sequence", "rings", F.explode(spatial._cells(spatial.bounds_of(F.col("rings")), 1500.0)).alias("cell"))
-    points = city.sites(spark, sf_dir).where(F.col("loc_idx") % 3 == 1).select("loc_idx", F.col("x").alias("px"), F.col("y").alias("py"), F.struct(F.floor(F.col("x") / 1500).alias("i"), F.floor(F.col("y") / 1500).alias("j")).alias("cell"))
+    box, centre = city_bounds(spark, sf_dir)
+    grid = spatial.hexagon_grid(spark, box, centre, 1200.0).select("grid_sequence", "rings", F.explode(spatial._cells(spatial.bounds_of(F.col("rings")), 1500.0)).alias("cell"))
+    points = city.sites(spark, sf_dir).select("loc_idx", F.col("x").alias("px"), F.col("y").alias("py"), F.struct(F.floor(F.col("x") / 1500).alias("i"), F.floor(F.col("y") / 1500).alias("j")).alias("cell"))
     return points.join(grid, "cell").where(C.point_in_polygon(F.col("px"), F.col("py"), F.col("rings"))).select("loc_idx", "grid_sequence")
 
 
@@ -280,12 +282,10 @@ def matrix_id_antijoin(spark, sf_dir):
     return matrices.id_differences(found.select("location_id"), known.select("location_id"))
 
 
-@query("wide_matrix_roundtrip", "SELECT o_idx, d_idx, round(minutes, 6) AS minutes FROM od WHERE o_idx < 40 AND d_idx < 40")
+@query("wide_matrix_roundtrip", "SELECT o_idx, d_idx, round(minutes, 6) AS minutes FROM od")
 def wide_matrix_roundtrip(spark, sf_dir):
-    """A wide table of forty locations: the width is the sink's, not a sample of a computation."""
-    sites = city.sites(spark, sf_dir).select("loc_idx", F.col("loc_idx").cast("string").alias("location_id")).where("loc_idx < 40")
-    od = baseline(spark, sf_dir).where("o_idx < 40 and d_idx < 40")
-    return matrices.wide_to_long(matrices.long_to_wide(od, sites), sites).withColumn("minutes", r6(F.col("minutes")))
+    sites = city.sites(spark, sf_dir).select("loc_idx", F.col("loc_idx").cast("string").alias("location_id"))
+    return matrices.wide_to_long(matrices.long_to_wide(baseline(spark, sf_dir), sites), sites).withColumn("minutes", r6(F.col("minutes")))
 
 
 def stations(spark, sf_dir) -> DataFrame:
@@ -427,12 +427,17 @@ def commute_kernel_margins(spark, sf_dir):
     return margins.crossJoin(F.broadcast(total)).select("loc_idx", "side", r6(F.col("phi") / F.col("total"), 9).alias("share"))
 
 
-def balancing_pass(kernel: DataFrame, loc: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One half-pair of balancing on long pairs: u over origins, then v over destinations."""
-    forth = kernel.join(v.withColumnsRenamed({"loc_idx": "d_idx", "v": "__v"}), "d_idx").groupBy(F.col("o_idx").alias("loc_idx")).agg(F.sum(F.col("weight") * F.col("__v")).alias("kv"))
-    u = loc.join(forth, "loc_idx").select("loc_idx", F.when(F.col("kv") > 0, F.col("rows") / F.col("kv")).otherwise(0.0).alias("u"))
-    back = kernel.join(u.withColumnsRenamed({"loc_idx": "o_idx", "u": "__u"}), "o_idx").groupBy(F.col("d_idx").alias("loc_idx")).agg(F.sum(F.col("weight") * F.col("__u")).alias("ku"))
-    return u, loc.join(back, "loc_idx").select("loc_idx", F.when(F.col("ku") > 0, F.col("cols") / F.col("ku")).otherwise(0.0).alias("v"))
+def in_one_task(blocks: DataFrame, n: int, solve: Callable[[economy.Kernels], dict], schema: str) -> DataFrame:
+    """What ``solve`` makes of the kernels, as rows: in a task for cities that fit one, else on cached row blocks."""
+    if n > economy.DENSE_LIMIT:
+        return blocks.sparkSession.createDataFrame(pd.DataFrame(solve(economy.BlockedKernels(blocks.persist(), n))), schema)
+    names = [c for c in blocks.columns if c != "o_idx"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("o_idx")
+        return pd.DataFrame(solve(economy.DenseKernels(*(np.stack(ordered[c].to_numpy()) for c in names))))
+
+    return blocks.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(run, schema)
 
 
 PASS_SQL = """, m AS (SELECT loc_idx, population / (SELECT sum(population) FROM loc) AS r, employment_model / (SELECT sum(population) FROM loc) AS c FROM loc),
@@ -442,14 +447,15 @@ u2 AS (SELECT o_idx AS i, any_value(r) / sum(k * v) AS u FROM ker JOIN v1 ON d_i
 
 @query("sinkhorn_2_passes", PASS_SQL + " SELECT i AS loc_idx, round(u, 9) AS u, round(v, 6) AS v FROM u2 JOIN v2 ON i = j")
 def sinkhorn_2_passes(spark, sf_dir):
-    loc = locations(spark, sf_dir)
-    total = loc.agg(F.sum("population").alias("total"))
-    margins = loc.crossJoin(F.broadcast(total)).select("loc_idx", (F.col("population") / F.col("total")).alias("rows"), (F.col("employment_model") / F.col("total")).alias("cols"))
-    kernel = matrices.kernel(baseline(spark, sf_dir), DECAY)
-    v = margins.select("loc_idx", F.lit(1.0).alias("v"))
-    for _ in range(2):
-        u, v = balancing_pass(kernel, margins, v)
-    return u.join(v, "loc_idx").select("loc_idx", r6(F.col("u"), 9).alias("u"), r6(F.col("v")).alias("v"))
+    town = economy.City.of(locations(spark, sf_dir))
+    total, n = town.population.sum(), len(town.population)
+
+    def solve(kernels):
+        u, v, _ = economy.balance(kernels, DECAY, town.population / total, town.employment / total, 0.0, 2)
+        return {"loc_idx": np.arange(n), "u": u, "v": v}
+
+    made = in_one_task(economy.row_blocks(baseline(spark, sf_dir)), n, solve, "loc_idx long, u double, v double")
+    return made.select("loc_idx", r6(F.col("u"), 9).alias("u"), r6(F.col("v")).alias("v"))
 
 
 @query("spillover_density", """SELECT o_idx AS loc_idx, round(sum(exp(-0.2 * minutes) * employment_model / land_area), 9) AS job_density, round(sum(exp(-0.3 * minutes) * population / land_area), 9) AS people_density,
@@ -466,23 +472,20 @@ def spillover_density(spark, sf_dir):
 f AS (SELECT *, 0.2 * output / rent AS shops, 0.25 * income / rent AS homes FROM y) SELECT loc_idx, round(shops, 6) AS commercial, round(homes, 6) AS residential, round((shops + homes) / pow(land_area, 0.25), 6) AS density, round(shops / (shops + homes), 9) AS share,
 round(output / (pow(employment_model, 0.8) * pow(shops, 0.2)), 6) AS productivity FROM f""")
 def floor_space_inversion(spark, sf_dir):
-    k = F.col("loc_idx")
-    made = locations(spark, sf_dir).withColumns({"wage": 0.9 + (k % 7) / 20, "income": 100.0 + k % 13})
-    made = made.withColumn("output", F.col("wage") * F.col("employment_model") / P.alpha)
-    made = made.withColumns({"shops": (1 - P.alpha) * F.col("output") / F.col("rent_floor_space"), "homes": (1 - P.beta) * F.col("income") / F.col("rent_floor_space")})
-    floor = F.col("shops") + F.col("homes")
-    return made.select(
-        "loc_idx", r6(F.col("shops")).alias("commercial"), r6(F.col("homes")).alias("residential"), r6(floor / F.pow("land_area", P.land_share)).alias("density"), r6(F.col("shops") / floor, 9).alias("share"),
-        r6(F.col("output") / (F.pow("employment_model", P.alpha) * F.pow("shops", 1 - P.alpha))).alias("productivity"),
-    )
+    town = economy.City.of(locations(spark, sf_dir))
+    k = np.arange(len(town.population))
+    found = economy.floor_space(town, 0.9 + (k % 7) / 20, 100.0 + k % 13, P)
+    made = spark.createDataFrame(pd.DataFrame({"loc_idx": k} | found))
+    return made.select("loc_idx", r6(F.col("shops")).alias("commercial"), r6(F.col("homes")).alias("residential"), r6(F.col("density")).alias("density"), r6(F.col("theta"), 9).alias("share"), r6(F.col("produced")).alias("productivity"))
 
 
 @query("reservation_utility", ", f AS (SELECT sum(k * pow(1 + (o_idx % 5) / 50, 4) * pow(rent, -1.0) * pow(0.9 + (d_idx % 7) / 20, 4)) AS phi FROM ker JOIN loc ON o_idx = loc_idx) SELECT round(gamma(0.75) * pow(phi, 0.25), 6) AS utility FROM f")
 def reservation_utility(spark, sf_dir):
-    rent = locations(spark, sf_dir).select(F.col("loc_idx").alias("o_idx"), "rent_floor_space")
-    amenity, wage = 1 + (F.col("o_idx") % 5) / 50, 0.9 + (F.col("d_idx") % 7) / 20
-    phi = F.col("weight") * F.pow(amenity, P.epsilon) * F.pow("rent_floor_space", -(1 - P.beta) * P.epsilon) * F.pow(wage, P.epsilon)
-    return matrices.kernel(baseline(spark, sf_dir), DECAY).join(rent, "o_idx").agg(F.sum(phi).alias("phi")).select(r6(P.gamma_constant * F.pow("phi", 1 / P.epsilon)).alias("utility"))
+    town = economy.City.of(locations(spark, sf_dir))
+    n = len(town.population)
+    k = np.arange(n)
+    solve = lambda kernels: {"utility": [economy.expected_utility(kernels, P, 1 + (k % 5) / 50, town.rent, 0.9 + (k % 7) / 20)]}
+    return in_one_task(economy.row_blocks(baseline(spark, sf_dir)), n, solve, "utility double").select(r6(F.col("utility")).alias("utility"))
 
 
 @query("commuting_market_access", "SELECT o_idx AS loc_idx, round(sum(k * pow(0.9 + (d_idx % 7) / 20, 4)), 6) AS access FROM ker GROUP BY o_idx")
@@ -499,44 +502,46 @@ ro AS (SELECT o_idx, sum(phi) / any_value(s) * any_value(h) AS people, sum(phi *
 y AS (SELECT s1.*, people, income, jobs, aa * pow(jobs, 0.8) * pow(theta * floor, 0.2) AS output FROM s1 JOIN ro ON s1.loc_idx = o_idx JOIN co ON s1.loc_idx = d_idx)"""
 
 
-@query("equilibrium_one_step", STEP_SQL + " SELECT loc_idx, round(people, 6) AS population, round(jobs, 6) AS employment, round(income, 6) AS income, round(output, 6) AS output, round(0.8 * output / jobs, 6) AS wage, round((0.2 * output + 0.25 * income) / floor, 6) AS rent, round(0.2 * output / (0.2 * output + 0.25 * income), 9) AS theta FROM y")
+def stepped(town: economy.City) -> tuple[economy.Fundamentals, dict]:
+    """Fundamentals and a starting state that are no equilibrium."""
+    k = np.arange(len(town.population))
+    start = {"wage": 0.9 + (k % 7) / 20, "theta": 0.4 + (k % 3) / 10, "q_res": town.rent, "q_com": town.rent, "employment": town.employment, "population": town.population}
+    return economy.Fundamentals(1 + (k % 5) / 50, 1 + (k % 4) / 40, np.full(len(k), 30.0), town.land_area, start), start
+
+
+@query("equilibrium_one_step", STEP_SQL + """ SELECT loc_idx, round(people, 6) AS population, round(jobs, 6) AS employment, round(income, 6) AS income, round(output, 6) AS output, round(0.5 * wage + 0.5 * 0.8 * output / jobs, 6) AS wage,
+round(0.5 * rent + 0.5 * (0.2 * output + 0.25 * income) / floor, 6) AS rent, round(0.5 * theta + 0.5 * 0.2 * output / (0.2 * output + 0.25 * income), 9) AS theta FROM y""")
 def equilibrium_one_step(spark, sf_dir):
-    k = F.col("loc_idx")
-    loc = locations(spark, sf_dir).withColumns({
-        "wage": 0.9 + (k % 7) / 20, "theta": 0.4 + (k % 3) / 10, "a": 1 + (k % 5) / 50, "b": 1 + (k % 4) / 40, "floor": 30.0 * F.pow("land_area", P.land_share),
-        "jobs_by_land": F.col("employment_model") / F.col("land_area"), "people_by_land": F.col("population") / F.col("land_area"),
-    })
-    od = baseline(spark, sf_dir)
-    near = matrices.kernel_sum(od, loc, P.productivity_decay, "jobs_by_land", "near_jobs").join(matrices.kernel_sum(od, loc, P.amenity_decay, "people_by_land", "near_people"), "loc_idx")
-    state = loc.join(near, "loc_idx").withColumns({"total_a": F.col("a") * F.pow("near_jobs", P.productivity_spillover), "total_b": F.col("b") * F.pow("near_people", P.amenity_spillover)})
-    r = state.select(k.alias("o_idx"), (F.pow("total_b", P.epsilon) * F.pow("rent_floor_space", -(1 - P.beta) * P.epsilon)).alias("r"))
-    s = state.select(k.alias("d_idx"), F.pow("wage", P.epsilon).alias("s"), "wage")
-    phi = matrices.kernel(od, DECAY).join(r, "o_idx").join(s, "d_idx").withColumn("phi", F.col("weight") * F.col("r") * F.col("s"))
-    total = phi.agg(F.sum("phi").alias("mass")).crossJoin(loc.agg(F.sum("population").alias("h")))
-    rows = phi.groupBy(F.col("o_idx").alias("loc_idx")).agg(F.sum("phi").alias("row"), F.sum(F.col("phi") * F.col("wage")).alias("paid"))
-    columns = phi.groupBy(F.col("d_idx").alias("loc_idx")).agg(F.sum("phi").alias("col"))
-    scale = F.col("h") / F.col("mass")
-    made = state.join(rows, "loc_idx").join(columns, "loc_idx").crossJoin(F.broadcast(total)).withColumns({"people": F.col("row") * scale, "income": F.col("paid") * scale, "jobs": F.col("col") * scale})
-    made = made.withColumn("output", F.col("total_a") * F.pow("jobs", P.alpha) * F.pow(F.col("theta") * F.col("floor"), 1 - P.alpha))
-    shops, homes = (1 - P.alpha) * F.col("output"), (1 - P.beta) * F.col("income")
-    return made.select(
-        "loc_idx", r6(F.col("people")).alias("population"), r6(F.col("jobs")).alias("employment"), r6(F.col("income")).alias("income"), r6(F.col("output")).alias("output"),
-        r6(P.alpha * F.col("output") / F.col("jobs")).alias("wage"), r6((shops + homes) / F.col("floor")).alias("rent"), r6(shops / (shops + homes), 9).alias("theta"),
-    )
+    town = economy.City.of(locations(spark, sf_dir))
+    n, names = len(town.population), {"population": 6, "employment": 6, "income": 6, "output": 6, "wage": 6, "q_res": 6, "theta": 9}
+
+    def solve(kernels):
+        after = economy.solve_closure("closed", Parameters(damping=0.5, maximum_iterations=1), stepped(town)[0], kernels)
+        return {"loc_idx": np.arange(n)} | {c: after.state[c] for c in names}
+
+    made = in_one_task(economy.row_blocks(baseline(spark, sf_dir)), n, solve, "loc_idx long, " + ", ".join(f"{c} double" for c in names))
+    return made.select("loc_idx", *[r6(F.col(c), digits).alias("rent" if c == "q_res" else c) for c, digits in names.items()])
 
 
-@query("fixed_distribution_welfare", """, p AS (SELECT o_idx, d_idx, flow / (SELECT sum(flow) FROM flow) AS p FROM flow), c AS (SELECT -0.01 * sum(p * (b.minutes - a.minutes)) AS v FROM p JOIN od a USING (o_idx, d_idx) JOIN od1 b USING (o_idx, d_idx)),
-w AS (SELECT sum(p * ln(1 + (d_idx % 5) / 500)) AS v FROM p), a AS (SELECT sum(p * ln(1 + (o_idx % 3) / 300)) AS v FROM p), x AS (SELECT 'commuting' AS component, v FROM c UNION ALL SELECT 'productivity_wage', v FROM w UNION ALL SELECT 'amenity', v FROM a),
+@query("fixed_distribution_welfare", STEP_SQL + """, den1 AS (SELECT o_idx, sum(exp(-0.2 * minutes) * employment_model / land_area) AS jd1, sum(exp(-0.3 * minutes) * population / land_area) AS pd1 FROM od1 JOIN s0 ON d_idx = loc_idx GROUP BY o_idx),
+p AS (SELECT ker.o_idx, ker.d_idx, k / (SELECT sum(k) FROM ker) AS p, ker.minutes AS m0, od1.minutes AS m1 FROM ker JOIN od1 USING (o_idx, d_idx)), e AS (SELECT s1.*, a * pow(jd1, 0.071) AS a1, b * pow(pd1, 0.155) AS b1 FROM s1 JOIN den1 ON loc_idx = o_idx),
+c AS (SELECT -0.01 * sum(p * (m1 - m0)) AS v FROM p), w AS (SELECT sum(p * ln(0.8 * a1 * pow(employment_model, 0.8) * pow(theta * floor, 0.2) / employment_model / wage)) AS v FROM p JOIN e ON d_idx = loc_idx), am AS (SELECT sum(p * ln(b1 / bb)) AS v FROM p JOIN e ON p.o_idx = loc_idx),
+x AS (SELECT 'commuting' AS component, v FROM c UNION ALL SELECT 'productivity_wage', v FROM w UNION ALL SELECT 'amenity', v FROM am),
 z AS (SELECT * FROM x UNION ALL SELECT 'total', sum(v) FROM x) SELECT component, round(v, 9) AS log_change, round(100 * (exp(v) - 1), 6) AS pct FROM z""")
 def fixed_distribution_welfare(spark, sf_dir):
-    flows = city.flows(spark, sf_dir)
-    key = ["o_idx", "d_idx"]
-    joined = flows.join(baseline(spark, sf_dir).withColumnRenamed("minutes", "m0"), key).join(counterfactual(spark, sf_dir).withColumnRenamed("minutes", "m1"), key)
-    weigh = lambda x: F.sum(F.col("flow") * x) / F.sum("flow")
-    parts = joined.agg(
-        (-P.kappa * weigh(F.col("m1") - F.col("m0"))).alias("commuting"), weigh(F.log(1 + (F.col("d_idx") % 5) / 500)).alias("productivity_wage"), weigh(F.log(1 + (F.col("o_idx") % 3) / 300)).alias("amenity")
-    ).withColumn("total", F.col("commuting") + F.col("productivity_wage") + F.col("amenity"))
-    wide = parts.select(*[F.col(c).alias(f"{c}_log_change") for c in parts.columns], *[(100 * F.expm1(c)).alias(f"{c}_pct") for c in parts.columns])
+    town = economy.City.of(locations(spark, sf_dir))
+    n, parts = len(town.population), ("commuting", "productivity_wage", "amenity", "total")
+    names = [f"{c}_{kind}" for c in parts for kind in ("log_change", "pct")]
+
+    def solve(kernels):
+        f, start = stepped(town)
+        ones = np.ones(n)
+        (near,), (reach,) = kernels.rows([(0, P.amenity_decay, None, town.population / town.land_area)]), kernels.rows([(0, DECAY, None, ones)])
+        state = start | {"total_amenity": f.amenity * near**P.amenity_spillover}
+        before = economy.Solution("closed", state, f, ones / reach.sum(), ones, float(town.population.sum()), 1.0, True, 0)
+        return {c: [x] for c, x in economy.solve_fixed_distribution(P, f, kernels, before).welfare.items()}
+
+    wide = in_one_task(economy.row_blocks(baseline(spark, sf_dir), counterfactual(spark, sf_dir)), n, solve, ", ".join(f"{c} double" for c in names))
     return reporting.welfare_long(wide).select("component", r6(F.col("log_change"), 9).alias("log_change"), r6(F.col("pct")).alias("pct"))
 
 
@@ -589,11 +594,14 @@ def percent_changes(spark, sf_dir):
 @query("local_outcomes", """SELECT loc_idx, round(population, 6) AS population_baseline, round(population * (1 + (loc_idx % 5) / 100), 6) AS population_counterfactual, round(loc_idx % 5, 6)::DOUBLE AS population_pct,
 round(0.25 * (rent * 0.4 * 30 * pow(land_area, 0.25) + rent * 0.6 * 30 * pow(land_area, 0.25)), 6) AS annual_land_rent FROM loc""")
 def local_outcomes(spark, sf_dir):
-    k = F.col("loc_idx")
+    k, loc = F.col("loc_idx"), locations(spark, sf_dir)
+    town = economy.City.of(loc)
+    n = len(town.population)
+    f = economy.Fundamentals(np.ones(n), np.ones(n), np.full(n, 30.0), town.land_area, {})
+    held = economy.Solution("closed", {"q_com": town.rent, "q_res": town.rent, "theta": np.full(n, 0.4)}, f, np.ones(n), np.ones(n), 1.0, 1.0, True, 0)
+    rents = spark.createDataFrame(pd.DataFrame({"loc_idx": np.arange(n), "annual_land_rent": economy.land_rent(P, held)}))
     after = F.col("population") * (1 + (k % 5) / 100)
-    floor, q = 30 * F.pow("land_area", P.land_share), F.col("rent_floor_space")
-    rent = P.land_share * (q * 0.4 * floor + q * 0.6 * floor)
-    return locations(spark, sf_dir).select("loc_idx", r6(F.col("population")).alias("population_baseline"), r6(after).alias("population_counterfactual"), r6(C.percent_change(after, F.col("population"))).alias("population_pct"), r6(rent).alias("annual_land_rent"))
+    return loc.join(rents, "loc_idx").select("loc_idx", r6(F.col("population")).alias("population_baseline"), r6(after).alias("population_counterfactual"), r6(C.percent_change(after, F.col("population"))).alias("population_pct"), r6(F.col("annual_land_rent")).alias("annual_land_rent"))
 
 
 @query("shock_percent", "SELECT loc_idx, primitive, round(h::DOUBLE, 6) + 0.0 AS pct FROM (SELECT loc_idx, (loc_idx % 4) * 5.0 AS productivity_hat, 0.0 AS amenity_hat, -(loc_idx % 3) * 2.0 AS structural_density_hat FROM site) UNPIVOT (h FOR primitive IN (productivity_hat, amenity_hat, structural_density_hat))")

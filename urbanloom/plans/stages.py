@@ -33,8 +33,19 @@ def _projector(crs: str, target: str):
             return F.struct(q["x"].alias("x"), (q["y"] + shift).alias("y"))
 
         return forward
+    if target == "EPSG:4326" and (crs.startswith("EPSG:326") or crs.startswith("EPSG:327")):
+        south = crs.startswith("EPSG:327")
+
+        def inverse(p):
+            q = C.utm_inverse(p["x"], p["y"], F.lit(int(crs[-2:])), F.lit(south))
+            return F.struct(q["lon"].alias("x"), q["lat"].alias("y"))
+
+        return inverse
     if crs == "EPSG:4326" and target == "EPSG:3857":
         return lambda p: C.web_mercator(p["x"], p["y"])
+    if crs == "EPSG:3857" and target == "EPSG:4326":
+        radius = 6378137.0
+        return lambda p: F.struct(F.degrees(p["x"] / radius).alias("x"), F.degrees(F.atan(F.sinh(p["y"] / radius))).alias("y"))
     raise UnsupportedCrs(f"{crs} to {target}")
 
 
@@ -56,9 +67,28 @@ def projected_crs(layer: DataFrame, configured: str | None) -> str:
     crs = layer.select("crs").first().crs
     if crs != "EPSG:4326":
         return crs
-    points = layer.select(F.explode(F.flatten("coords")).alias("p")).agg(F.avg("p.x").alias("lon"), F.avg("p.y").alias("lat")).first()
-    zone = int((points.lon + 180) // 6) % 60 + 1
-    return f"EPSG:{326 if points.lat >= 0 else 327}{zone:02d}"
+    lon, lat = middle(extent(layer, "coords"))
+    zone = int((lon + 180) // 6) % 60 + 1
+    return f"EPSG:{326 if lat >= 0 else 327}{zone:02d}"
+
+
+def extent(layer: DataFrame, rings: str) -> tuple[float, float, float, float]:
+    return tuple(layer.select(spatial.bounds_of(F.col(rings)).alias("b")).agg(F.min("b.x0"), F.min("b.y0"), F.max("b.x1"), F.max("b.y1")).first())
+
+
+def middle(bounds: tuple[float, float, float, float]) -> tuple[float, float]:
+    return (bounds[0] + bounds[2]) / 2, (bounds[1] + bounds[3]) / 2
+
+
+def grid_centre(layer: DataFrame, crs: str) -> tuple[float, float]:
+    """The middle of a layer's bounds in degrees, in ``crs``; of the projected bounds where degrees are not to be had."""
+    try:
+        x, y = middle(extent(reprojected(layer, "EPSG:4326"), "coords"))
+        move = _projector("EPSG:4326", crs)
+    except UnsupportedCrs:
+        return middle(extent(reprojected(layer, crs), "coords"))
+    at = layer.sparkSession.range(1).select(move(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))).alias("p")).first().p
+    return at.x, at.y
 
 
 def read_layer(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
@@ -101,10 +131,8 @@ def generate_grid_inputs(layer: DataFrame, settings: Mapping[str, Any]) -> tuple
         grid = cells.select("grid_sequence", "location_id", "rings", *filled, *intensive)
     else:
         size = float(settings["cell_size_km"]) * 1000
-        box = source.select(spatial.bounds_of(F.col("rings")).alias("b")).agg(F.min("b.x0"), F.min("b.y0"), F.max("b.x1"), F.max("b.y1")).first()
-        bounds = tuple(box)
-        centre = ((bounds[0] + bounds[2]) / 2, (bounds[1] + bounds[3]) / 2)
-        made = spatial.square_grid(spark, bounds, centre, size) if settings["cell_geometry"] == "square" else spatial.hexagon_grid(spark, bounds, size)
+        bounds, centre = extent(source, "rings"), grid_centre(layer, crs)
+        made = spatial.square_grid(spark, bounds, centre, size) if settings["cell_geometry"] == "square" else spatial.hexagon_grid(spark, bounds, centre, size)
         target = made.select(F.col("grid_sequence").alias("target_id"), "rings")
         found = spatial.area_interpolate(source, target, extensive, intensive, bucket=size)
         grid = target.join(found, "target_id").withColumnsRenamed({"target_id": "grid_sequence"}).withColumn("location_id", F.col("grid_sequence").cast("string"))
@@ -129,8 +157,9 @@ def generate_grid_inputs(layer: DataFrame, settings: Mapping[str, Any]) -> tuple
 
 def prepare_grid_inputs(attributes: DataFrame, geometry: DataFrame, settings: Mapping[str, Any]) -> DataFrame:
     """Standardise a ready-made grid: attributes joined with polygons by id, employment balanced, areas in metres."""
-    ids = attributes.select(
-        C.canonical_id(F.col(settings["id_variable"])).alias("location_id"), C.strict_double(F.col(settings["population_variable"]), "population").alias("population"),
+    # The file's order is the locations' order.
+    ids = attributes.withColumn("__order", F.monotonically_increasing_id()).select(
+        "__order", C.canonical_id(F.col(settings["id_variable"])).alias("location_id"), C.strict_double(F.col(settings["population_variable"]), "population").alias("population"),
         C.strict_double(F.col(settings["employment_variable"]), "employment").alias("employment_raw"), C.strict_double(F.col(settings["rent_variable"]), "rent").alias("rent_floor_space"),
     )
     crs = projected_crs(geometry, settings.get("target_crs"))
@@ -138,7 +167,7 @@ def prepare_grid_inputs(attributes: DataFrame, geometry: DataFrame, settings: Ma
     if ids.join(shapes, "location_id", "left_anti").limit(1).count():
         raise GridInputError("locations without geometry")
     centre = C.ring_centroid(F.col("rings")[0])
-    joined = spatial.employment_balanced(ids.join(shapes, "location_id")).withColumn("loc_idx", F.row_number().over(W.orderBy("location_id")).cast("long") - 1)
+    joined = spatial.employment_balanced(ids.join(shapes, "location_id")).withColumn("loc_idx", F.row_number().over(W.orderBy("__order")).cast("long") - 1).drop("__order")
     return joined.withColumns({"land_area": C.polygon_area(F.col("rings")), "x": centre["x"], "y": centre["y"], "crs": F.lit(crs)})
 
 
