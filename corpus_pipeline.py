@@ -55,7 +55,8 @@ STAGES = [
     ("source_mix", mix),
 ]
 
-#: Near-duplicate groups and simhashes have no SQL; tests hold the pipeline against a brute-force version.
+#: Near-duplicate groups have no SQL. Tests hold groups, leaks, secrets and mixes against brute force, stage by stage, and the
+#: pipeline against its stages.
 ORACLE_SQL = None
 
 

@@ -275,8 +275,8 @@ def test_pitman_yor(spark):
     assert pitman_yor.score_texts(empty(spark)).count() == 0
 
 
-def test_pitman_yor_probabilities_add_up(spark):
-    """Texts of one word each, over all words and one unknown: the first token's probabilities sum to one."""
+def test_pitman_yor_beats_its_base(spark):
+    """Texts of one word each, over all words and one unknown, next to the texts that were learnt from."""
     rng = np.random.default_rng(1)
     vocabulary = [f"v{k}" for k in range(30)]
     train = [(k, " ".join(rng.choice(vocabulary, 20, p=np.arange(30, 0, -1) / 465)), *[None] * 13) for k in range(60)]
@@ -285,7 +285,6 @@ def test_pitman_yor_probabilities_add_up(spark):
     asked = [*sorted(known), "unseen", ""]
     docs = spark.createDataFrame([*train, *[(i, w, *[None] * 13) for i, w in zip(probes, asked, strict=True)]], SCHEMA)
     rows = {r.doc_id: r for r in pitman_yor.score_texts(docs).collect()}
-    # A text's second token is its end; its class depends on the word, so texts of two tokens carry that factor too.
     scores = pitman_yor.score_texts(docs.where("doc_id < 10000").unionByName(docs.where("doc_id >= 10000")))
     assert scores.count() == len(train) + len(asked)
     seen = pitman_yor.perplexity(scores).collect()
