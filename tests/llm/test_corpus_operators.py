@@ -263,18 +263,116 @@ def test_loser_tree_merges():
 
 def test_pitman_yor(spark):
     rows = awkward_rows()
-    got = pitman_yor.score_texts(awkward(spark), chunk_bytes=9_000, bucket_bytes=12_000).collect()
+    got = pitman_yor.score_texts(awkward(spark)).collect()
     assert len(got) == len(rows)
     tokens = [((r[1] or "").encode().lower().split() + [b" "], zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 == 2, r[0]) for r in rows]
     counts = collections.Counter(w for ws, held, _ in tokens if not held for w in ws)
     n, v = sum(counts.values()), len(counts)
     expected = collections.Counter((i, held, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for ws, held, i in tokens)
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
-    again = pitman_yor.score_texts(awkward(spark).repartition(5), chunk_bytes=9_000, bucket_bytes=12_000).collect()
-    assert sorted((r.n_tokens, round(r.score, 9)) for r in got) == sorted((r.n_tokens, round(r.score, 9)) for r in again)
     assert pitman_yor.score_texts(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("chunk_bytes", "bucket_bytes"), [(3_000, 500_000), (9_000, 12_000), (100_000, 3_000)])
+def test_pitman_yor_is_the_same_for_all_chunks_and_buckets(spark, chunk_bytes, bucket_bytes):
+    """Frequent contexts are split when there are many buckets; the scores do not show it."""
+    rng = np.random.default_rng(4)
+    spelled = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join(w for pair in zip(["the"] * 60, rng.choice(spelled, 60, p=np.arange(200, 0, -1) / 20100), strict=True) for w in pair), *[None] * 13) for k in range(150)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    one = {r.doc_id: r.score for r in pitman_yor.score_texts(frame).collect()}
+    many = {r.doc_id: r.score for r in pitman_yor.score_texts(frame.repartition(5), chunk_bytes=chunk_bytes, bucket_bytes=bucket_bytes).collect()}
+    assert one == pytest.approx(many, abs=1e-6)
+
+
+def test_pitman_yor_splits_frequent_contexts(spark):
+    frame = spark.createDataFrame([(b"The a the b the c " * 50,), (b"",)], "data binary")
+    found = pitman_yor.frequent_contexts(frame, 1_000, 4)
+    assert set(found) == {xxhash.xxh64_intdigest(w, 42) for w in (b"the", b"a", b"b", b"c")} and found[xxhash.xxh64_intdigest(b"the", 42)] == 4
+    split = pitman_yor.Split(4, found)
+    the = np.full(100, xxhash.xxh64_intdigest(b"the", 42), np.uint64)
+    assert len(set(split.bucket(the, np.arange(100, dtype=np.uint64)).tolist())) > 1
+    assert len(set(split.bucket(the + np.uint64(1), np.arange(100, dtype=np.uint64)).tolist())) == 1
+
+
+def test_pitman_yor_probabilities_add_up(spark):
+    """Scores against the model in dictionaries, whose probabilities over the known words, the end and one unknown word are summed."""
+    rng = np.random.default_rng(6)
+    spelled = [f"v{k}" for k in range(25)]
+    train = [" ".join(rng.choice(spelled, 30, p=np.arange(25, 0, -1) / 325)) for _ in range(60)]
+    in_training = iter([k for k in range(1_000) if zlib.crc32(str(k).encode()) % 7 != 2])
+    held = iter([k for k in range(1_000, 9_000) if zlib.crc32(str(k).encode()) % 7 == 2])
+    docs = [(next(in_training), text) for text in train]
+    known = sorted({w for text in train for w in text.split()})
+    after = {c: {w: next(held) for w in [*known, "unseen"]} for c in ("v0", "v7", "v24")}
+    ends = {c: next(held) for c in after}
+    texts = {i: f"{c} {w}" for c, of in after.items() for w, i in of.items()} | {i: c for c, i in ends.items()}
+    starts = {w: next(held) for w in [*known, "unseen"]}
+    texts |= {i: w for w, i in starts.items()}
+    none = next(held)
+    docs += [*texts.items(), (none, "")]
+    score = {r.doc_id: r.score for r in pitman_yor.score_texts(spark.createDataFrame([(i, x, *[None] * 13) for i, x in docs], SCHEMA)).collect()}
+    model = slow_pitman_yor(train)
+    for i, x in texts.items():
+        assert score[i] == pytest.approx(model.score(x), abs=1e-4)
+    assert score[none] == pytest.approx(model.score(""), abs=1e-4)
+    for c in [None, "v0", "v7", "v24", "unseen"]:
+        assert sum(model.probability(c, w) for w in [*known, END_WORD, "unseen"]) == pytest.approx(1, abs=1e-9)
+
+
+END_WORD = " "
+
+
+class slow_pitman_yor:
+    """The model in dictionaries, dish by dish; draws are the operator's, all else is written anew."""
+
+    def __init__(self, texts):
+        d, s = pitman_yor.CONTEXT
+        d0, s0 = pitman_yor.PARENT
+        digest = lambda w: pitman_yor.START if w is None else xxhash.xxh64_intdigest(w.encode(), 42)
+        self.pairs = collections.Counter(p for text in texts for p in zip([None, *text.split()], [*text.split(), END_WORD], strict=True))
+        self.followers = collections.Counter()
+        for (c, _), n in self.pairs.items():
+            self.followers[c] += n
+        self.known = {w for _, w in self.pairs}
+        tables = dict.fromkeys(self.pairs, 1)
+        self.samples = []
+        for sweep in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES + 1):
+            if sweep:
+                opened = collections.Counter()
+                for (c, _), t in tables.items():
+                    opened[c] += t
+                t_all, s_all = sum(guests.values()), sum(seated.values())
+                fresh = {}
+                for (c, w), n in self.pairs.items():
+                    others = guests[w] - tables[c, w]
+                    base = (max(others - d0 * min(seated[w], others), 0) + (s0 + d0 * s_all) / (len(self.known) + 1)) / (s0 + t_all)
+                    key = pitman_yor.mixed(np.array([digest(c)], np.uint64), 3) ^ np.array([digest(w)], np.uint64)
+                    fresh[c, w] = int(pitman_yor.seat(np.array([n]), np.array([(s + d * opened[c]) * base]), d, key, sweep)[0])
+                tables = fresh
+                pull = (s0 + d0 * s_all) / (len(self.known) + 1)
+            guests = collections.Counter()
+            for (_, w), t in tables.items():
+                guests[w] += t
+            seated = {w: int(pitman_yor.seat(np.array([g]), np.array([pull]), d0, np.array([digest(w)], np.uint64), sweep)[0]) if sweep else 1 for w, g in guests.items()}
+            if sweep > pitman_yor.BURN_IN:
+                self.samples.append((tables, guests, seated))
+
+    def probability(self, context, word):
+        d, s = pitman_yor.CONTEXT
+        d0, s0 = pitman_yor.PARENT
+        found = []
+        for tables, guests, seated in self.samples:
+            base = (guests.get(word, 0) - d0 * seated.get(word, 0) + (s0 + d0 * sum(seated.values())) / (len(self.known) + 1)) / (s0 + sum(guests.values()))
+            opened = sum(t for (c, _), t in tables.items() if c == context)
+            found.append((self.pairs.get((context, word), 0) - d * tables.get((context, word), 0) + (s + d * opened) * base) / (s + self.followers.get(context, 0)))
+        return sum(found) / len(found)
+
+    def score(self, text):
+        w = text.split()
+        return sum(math.log10(self.probability(c, x)) for c, x in zip([None, *w], [*w, END_WORD], strict=True))
+
+
 def test_pitman_yor_beats_its_base(spark):
     """Texts of one word each, over all words and one unknown, next to the texts that were learnt from."""
     rng = np.random.default_rng(1)
@@ -292,17 +390,30 @@ def test_pitman_yor_beats_its_base(spark):
     assert rows[probes[-1]].n_tokens == 1 and 10 ** rows[probes[-1]].score < 0.5
 
 
-def test_stirling_numbers_and_table_draws():
-    table = pitman_yor.log_stirling(0.5, 6)
-    assert np.exp(table[3, 1]) == pytest.approx(0.5 * 1.5) and np.exp(table[3, 3]) == pytest.approx(1)
-    assert np.exp(table[3, 2]) == pytest.approx(0.5 + 1.0)
+def test_seating():
+    keys = np.arange(40_000, dtype=np.uint64)
+    drawn = pitman_yor.seat(np.full(40_000, 3), np.full(40_000, 2.0), 0.5, keys, 1)
+    second = 2 / 2.5
+    third = (2 / 3.5, 2 / 3.0)  # with one table, with two
+    chance = [(1 - second) * (1 - third[0]), (1 - second) * third[0] + second * (1 - third[1]), second * third[1]]
+    assert np.bincount(drawn, minlength=4)[1:] / 40_000 == pytest.approx(chance, abs=0.01)
+    odd = pitman_yor.seat(np.array([0, 1, 5_000, 100_000]), np.array([1.0, 1.0, 3.0, 3.0]), 0.5, keys[:4], 1)
+    assert odd[0] == 0 and odd[1] == 1 and 1 <= odd[2] <= 5_000
+    # Blocks of customers against one customer after the other.
     rng = np.random.default_rng(0)
-    stirling = pitman_yor.log_stirling(0.5)
-    drawn = pitman_yor.draw_tables(np.full(40_000, 3), np.full(40_000, 2.0), 0.5, stirling, rng)
-    weight = np.array([0.75 * 2, 1.5 * 4, 8.0])
-    assert np.bincount(drawn, minlength=4)[1:] / 40_000 == pytest.approx(weight / weight.sum(), abs=0.01)
-    many = pitman_yor.draw_tables(np.array([0, 1, 5000, 100_000]), np.array([1.0, 1.0, 3.0, 3.0]), 0.5, stirling, rng)
-    assert many[0] == 0 and many[1] == 1 and 1 <= many[2] <= 5000
+    slow = np.ones(2_000)
+    for i in range(1, 1_500):
+        slow += rng.random(2_000) < 30.0 / (30.0 + i - 0.8 * slow)
+    fast = pitman_yor.seat(np.full(2_000, 1_500), np.full(2_000, 30.0), 0.8, keys[:2_000], 2)
+    assert fast.mean() == pytest.approx(slow.mean(), rel=0.01) and fast.std() == pytest.approx(slow.std(), rel=0.1)
+
+
+def test_binomial_quantiles():
+    u = (np.arange(20_000) + 0.5) / 20_000
+    for n, p in ((2, 0.5), (40, 0.3), (16, 0.99)):
+        k = pitman_yor.binomial(u, np.full(len(u), float(n)), np.full(len(u), p))
+        expected = [math.comb(n, x) * p**x * (1 - p) ** (n - x) for x in range(n + 1)]
+        assert np.bincount(k.astype(int), minlength=n + 1) / len(u) == pytest.approx(expected, abs=1e-3)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>Site &amp; co</title><style>p{}</style></head><body><header><p>Logo and slogan of the site</p></header>
