@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.llm.common import checkpoint_folder, delete_folder, shuffle_partitions, text_or_empty, words, written
+from urbanloom.llm.common import Scratch, delete_folder, shuffle_partitions, text_or_empty, words, written
 
 END = b" "  # no word holds a space
 START = 0x9E3779B97F4A7C15  # the context of a text's first token, in the place of a word's hash
@@ -102,17 +102,32 @@ def binomial(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return k
 
 
+def planes(array: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte place by byte place, as most have few bytes."""
+    return zlib.compress(array.view(np.uint8).reshape(-1, array.itemsize).T.tobytes(), 1)
+
+
+def unplanes(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(size, -1).T.tobytes(), kind)
+
+
 def pack(array: np.ndarray) -> bytes:
     wide = len(array) and int(array.max()) >= 1 << 32
-    return (b"q" if wide else b"u") + zlib.compress(array.astype(np.int64 if wide else np.uint32).tobytes(), 1)
+    return (b"q" if wide else b"u") + planes(array.astype(np.int64 if wide else np.uint32))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), np.int64 if blob[:1] == b"q" else np.uint32).astype(np.int64)
+    return unplanes(blob[1:], np.int64 if blob[:1] == b"q" else np.uint32).astype(np.int64)
+
+
+def listed(hashes: np.ndarray) -> bytes:
+    """Distinct hashes in order, as steps."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
 
 
 def names(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint64)
+    return np.cumsum(unplanes(blob, np.uint64), dtype=np.uint64)
 
 
 def rows_of(rows: list[tuple]) -> pa.Table:
@@ -195,7 +210,7 @@ def coded(contexts: np.ndarray, followers: np.ndarray) -> list[bytes]:
     """Pairs, in order, as distinct hashes and numbers into them."""
     spelled, at = np.unique(np.concatenate([contexts, followers]), return_inverse=True)
     first, second = at[: len(contexts)], at[len(contexts) :]
-    return [spelled.tobytes(), pack(np.diff(first, prepend=0)), pack(second)]
+    return [listed(spelled), pack(np.diff(first, prepend=0)), pack(second)]
 
 
 def decoded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,12 +227,12 @@ def _ask(split: Split, holdout: tuple[int, int]):
 
 def _tell(split: Split, bucket: int, kind: int, hashes: np.ndarray, *values: np.ndarray) -> list[tuple]:
     """Rows to the buckets of words, with the words' hashes and figures."""
-    return [(to, kind, bucket, [hashes[some].tobytes(), *[pack(v[some]) for v in values]], None) for to, some in by_part(split.word_bucket(hashes))]
+    return [(to, kind, bucket, [listed(hashes[some]), *[pack(v[some]) for v in values]], None) for to, some in by_part(split.word_bucket(hashes))]
 
 
 def _shared(split: Split, bucket: int, contexts: np.ndarray, *values: np.ndarray) -> list[tuple]:
     often = split.shared(contexts)
-    return [(-1, SHARED, bucket, [contexts[often].tobytes(), *[pack(v[often]) for v in values]], None)] if often.any() else []
+    return [(-1, SHARED, bucket, [listed(contexts[often]), *[pack(v[often]) for v in values]], None)] if often.any() else []
 
 
 def _gather(split: Split):
@@ -235,10 +250,10 @@ def _gather(split: Split):
         pairs, pair_of = np.unique(np.concatenate(code), return_inverse=True)
         count = np.bincount(pair_of, weights=np.concatenate([unpack(p[3]) for p in table.column("parts").to_pylist()]), minlength=len(pairs)).astype(np.int64)
         context, word = pairs // len(spelled), pairs % len(spelled)
-        out = [(bucket, PAIRS, bucket, [spelled.tobytes(), pack(np.diff(context, prepend=0)), pack(word), pack(count)], None)]
+        out = [(bucket, PAIRS, bucket, [listed(spelled), pack(np.diff(context, prepend=0)), pack(word), pack(count)], None)]
         begin = 0
         for chunk, own in zip(table.column("sender").to_pylist(), code, strict=True):
-            out.append((bucket, CHUNK, chunk, [pack(pair_of[begin : begin + len(own)])], None))
+            out.append((bucket, CHUNK, chunk, [pack(np.diff(pair_of[begin : begin + len(own)], prepend=0))], None))
             begin += len(own)
         sums = lambda of, x: np.bincount(of, weights=x, minlength=len(spelled)).astype(np.int64)
         seen = np.unique(word)
@@ -276,8 +291,8 @@ def _root(split: Split, sweep: int, pull: float):
             customers[at] += tables
         tables = seat(customers, np.full(len(spelled), pull), PARENT[0], spelled, sweep) if sweep else np.minimum(customers, 1)
         figures = [float(x) for x in (count.sum(), (count > 0).sum(), customers.sum(), tables.sum())]
-        out = [(to, ROOT, sweep, [spelled.tobytes(), pack(count), pack(fixed), pack(customers), pack(tables)], figures)]
-        out += [(sender, REPLY, to, [a.tobytes(), pack(customers[at]), pack(tables[at])], None) for at, (sender, a, _) in zip(places, asked, strict=True)]
+        out = [(to, ROOT, sweep, [listed(spelled), pack(count), pack(fixed), pack(customers), pack(tables)], figures)]
+        out += [(sender, REPLY, to, [listed(a), pack(customers[at]), pack(tables[at])], None) for at, (sender, a, _) in zip(places, asked, strict=True)]
         return rows_of(out)
 
     return run
@@ -320,28 +335,22 @@ def _seat(split: Split, sweep: int, parent: tuple[float, float, float], shared:
     return run
 
 
-def _base(roots: dict[int, list[float]]):
-    """A bucket of words answers with the words' counts and the parent's probability of them in each sample."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        to = rows[0]["to"]
-        probable, count, spelled = [], np.empty(0, np.int64), np.empty(0, np.uint64)
-        for root in sorted((r for r in rows if r["kind"] == ROOT), key=lambda r: r["sender"]):
-            spelled, count, _, customers, tables = names(root["parts"][0]), *[unpack(p) for p in root["parts"][1:]]
-            _, known, root_customers, root_tables = roots[root["sender"]]
-            probable.append((customers - PARENT[0] * tables + (PARENT[1] + PARENT[0] * root_tables) / (known + 1)) / (PARENT[1] + root_customers))
-        out = []
-        for r in rows:
-            if r["kind"] == NAMES:
-                at = np.searchsorted(spelled, names(r["parts"][0]))
-                out.append((r["sender"], REPLY, to, [r["parts"][0], pack(count[at]), *[p[at].tobytes() for p in probable]], None))
-        return rows_of(out)
-
-    return run
+def _base(table: pa.Table) -> pa.Table:
+    """A bucket of words answers with the words' counts, and the parent's customers and tables of them in each sample."""
+    rows = table.to_pylist()
+    to = rows[0]["to"]
+    samples = sorted((r for r in rows if r["kind"] == ROOT), key=lambda r: r["sender"])
+    spelled, count = names(samples[0]["parts"][0]), unpack(samples[0]["parts"][1])
+    figures = [unpack(part) for r in samples for part in r["parts"][3:]]
+    out = []
+    for r in rows:
+        if r["kind"] == NAMES:
+            at = np.searchsorted(spelled, names(r["parts"][0]))
+            out.append((r["sender"], REPLY, to, [r["parts"][0], pack(count[at]), *[pack(x[at]) for x in figures]], None))
+    return rows_of(out)
 
 
-def _answer(split: Split, shared: dict[int, tuple[int, dict[int, int]]]):
+def _answer(split: Split, shared: dict[int, tuple[int, dict[int, int]]], roots: dict[int, list[float]]):
     """A bucket of contexts answers each chunk with log10 probabilities of its pairs and counts of their words."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -357,7 +366,9 @@ def _answer(split: Split, shared: dict[int, tuple[int, dict[int, int]]]):
             at = np.searchsorted(spelled, names(parts[0]))
             word_count[at] = unpack(parts[1])
             for k in range(SAMPLES):
-                base[k, at] = np.frombuffer(parts[2 + k])
+                _, known, root_customers, root_tables = roots[BURN_IN + 1 + k]
+                guests, seated = unpack(parts[2 + 2 * k]), unpack(parts[3 + 2 * k])
+                base[k, at] = (guests - PARENT[0] * seated + (PARENT[1] + PARENT[0] * root_tables) / (known + 1)) / (PARENT[1] + root_customers)
         customers = np.bincount(context, weights=count, minlength=len(spelled))
         own = np.unique(context)
         often = own[split.shared(spelled[own])]
@@ -377,7 +388,7 @@ def _answer(split: Split, shared: dict[int, tuple[int, dict[int, int]]]):
         out = []
         for r in rows:
             if r["kind"] == CHUNK:
-                at = unpack(r["parts"][0])
+                at = np.cumsum(unpack(r["parts"][0]))
                 out.append((r["sender"], FOUND, bucket, [log_p[at].tobytes(), pack(told[at])], None))
         return rows_of(out)
 
@@ -439,7 +450,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return (frame.repartition(groups, column) if groups > usual else frame).groupBy(column)
 
     dealt = grouped(base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "data"), F.lit(chunks))), "chunk", chunks)
-    first = written(lambda: grouped(dealt.applyInArrow(_ask(split, holdout), ROWS), "to", buckets).applyInArrow(_gather(split), ROWS), spark)
+    scratch = Scratch(spark)
+    first = scratch.write(lambda: grouped(dealt.applyInArrow(_ask(split, holdout), ROWS), "to", buckets).applyInArrow(_gather(split), ROWS))
     small, moving = F.col("kind").isin(SEATING, NAMES, TABLES), F.col("kind").isin(SEATING, TABLES, ROOT, REPLY)
 
     def figures(frame: DataFrame) -> list[float]:
@@ -454,8 +466,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 found[key] = [a + b for a, b in zip(found.get(key, [0] * len(values)), values, strict=True)]
         return found
 
-    last = checkpoint_folder(spark, "sweep")
-    state = written(lambda: grouped(first.where(small), "to", 2 * buckets).applyInArrow(_root(split, 0, 0.0), ROWS), spark, last)
+    state = scratch.write(lambda: grouped(first.where(small), "to", 2 * buckets).applyInArrow(_root(split, 0, 0.0), ROWS))
     roots, opened = {0: figures(state)}, of_shared(first)
     split_customers = {k: v[0] for k, v in opened.items()}
     split_tables = {0: {k: v[1] + v[2] for k, v in opened.items()}}
@@ -464,24 +475,24 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         _, known, customers, tables = roots[sweep - 1]
         pull = (PARENT[1] + PARENT[0] * tables) / (known + 1)
         seated = _seat(split, sweep, (known, customers, tables), split_tables[sweep - 1])
-        before, folder = state, checkpoint_folder(spark, "sweep")
-        state = written(lambda: grouped(grouped(before.where(moving), "to", 2 * buckets).applyInArrow(seated, ROWS), "to", 2 * buckets).applyInArrow(_root(split, sweep, pull), ROWS), spark, folder)  # noqa: B023
+        before = state
+        state = scratch.write(lambda: grouped(grouped(before.where(moving), "to", 2 * buckets).applyInArrow(seated, ROWS), "to", 2 * buckets).applyInArrow(_root(split, sweep, pull), ROWS))  # noqa: B023
         roots[sweep] = figures(state)
         changed = of_shared(state)
         split_tables[sweep] = {k: v[1] + changed.get(k, [0])[0] for k, v in opened.items()}
         if sweep > BURN_IN:
             kept.append(state)
         if sweep <= BURN_IN + 1:
-            delete_folder(spark, last)
-        last = folder
+            delete_folder(spark, f"{scratch.folder}/{scratch.count - 1}")
     samples = kept[0]
     for more in kept[1:]:
         samples = samples.unionByName(more)
     asked = first.where(F.col("kind") == NAMES).unionByName(samples.where(F.col("kind") == ROOT))
-    replies = grouped(asked, "to", buckets).applyInArrow(_base(roots), ROWS)
+    replies = grouped(asked, "to", buckets).applyInArrow(_base, ROWS)
     shared = {k: (c, {s: split_tables[s][k] for s in range(BURN_IN + 1, BURN_IN + SAMPLES + 1)}) for k, c in split_customers.items()}
     waiting = first.where(F.col("kind").isin(PAIRS, CHUNK)).unionByName(samples.where(F.col("kind") == SEATING)).unionByName(replies)
-    answers = grouped(waiting, "to", buckets).applyInArrow(_answer(split, shared), ROWS)
+    answers = written(lambda: grouped(waiting, "to", buckets).applyInArrow(_answer(split, shared, roots), ROWS), spark)
+    scratch.clear()
     return dealt.cogroup(grouped(answers, "to", chunks)).applyInArrow(_score(split, holdout, *roots[0][:2]), SCORED)
 
 
