@@ -25,6 +25,7 @@ whole. An empty table gives an empty result. Other columns are not carried.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.llm.common import Scratch, delete_folder, shuffle_partitions, text_or_empty, words, written
+from urbanloom.llm.common import Scratch, delete_folder, shuffle_partitions, text_or_empty, words
 
 END = b" "  # no word holds a space
 START = 0x9E3779B97F4A7C15  # the context of a text's first token, in the place of a word's hash
@@ -44,6 +45,8 @@ BUCKET_BYTES = 12 << 20
 #: Bytes of text that are read for each bucket, and at least, to find the contexts to split.
 SAMPLE_A_BUCKET, SAMPLE_LEAST = 8 << 10, 16 << 20
 BURN_IN, SAMPLES = 3, 3
+#: Shares of the buckets that are shuffled one after the other.
+ROUNDS = 4
 #: (discount, strength) of the context restaurants and of their parent.
 CONTEXT, PARENT = (0.8, 5.0), (0.8, 20.0)
 SEED = 42
@@ -451,7 +454,15 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     dealt = grouped(base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "data"), F.lit(chunks))), "chunk", chunks)
     scratch = Scratch(spark)
-    first = scratch.write(lambda: grouped(dealt.applyInArrow(_ask(split, holdout), ROWS), "to", buckets).applyInArrow(_gather(split), ROWS))
+    rounds = [F.pmod("to", F.lit(min(ROUNDS, buckets))) == k for k in range(min(ROUNDS, buckets))]
+
+    def by_rounds(store: Scratch, make) -> DataFrame:
+        """One share of the buckets after the other, so that shuffle files are on disk for one share only."""
+        return functools.reduce(DataFrame.unionByName, [store.write(lambda: make(share)) for share in rounds])  # noqa: B023
+
+    requests = scratch.write(lambda: dealt.applyInArrow(_ask(split, holdout), ROWS))
+    first = by_rounds(scratch, lambda share: grouped(requests.where(share), "to", buckets).applyInArrow(_gather(split), ROWS))
+    delete_folder(spark, f"{scratch.folder}/1")
     small, moving = F.col("kind").isin(SEATING, NAMES, TABLES), F.col("kind").isin(SEATING, TABLES, ROOT, REPLY)
 
     def figures(frame: DataFrame) -> list[float]:
@@ -488,10 +499,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     for more in kept[1:]:
         samples = samples.unionByName(more)
     asked = first.where(F.col("kind") == NAMES).unionByName(samples.where(F.col("kind") == ROOT))
-    replies = grouped(asked, "to", buckets).applyInArrow(_base, ROWS)
+    replies = scratch.write(lambda: grouped(asked, "to", buckets).applyInArrow(_base, ROWS))
     shared = {k: (c, {s: split_tables[s][k] for s in range(BURN_IN + 1, BURN_IN + SAMPLES + 1)}) for k, c in split_customers.items()}
     waiting = first.where(F.col("kind").isin(PAIRS, CHUNK)).unionByName(samples.where(F.col("kind") == SEATING)).unionByName(replies)
-    answers = written(lambda: grouped(waiting, "to", buckets).applyInArrow(_answer(split, shared, roots), ROWS), spark)
+    answers = by_rounds(Scratch(spark), lambda share: grouped(waiting.where(share), "to", buckets).applyInArrow(_answer(split, shared, roots), ROWS))
     scratch.clear()
     return dealt.cogroup(grouped(answers, "to", chunks)).applyInArrow(_score(split, holdout, *roots[0][:2]), SCORED)
 
