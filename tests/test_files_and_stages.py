@@ -9,8 +9,9 @@ import yaml
 from pyspark.sql import functions as F
 
 from urbanloom.errors import ConfigurationError, GridInputError, MatrixInputError
+from urbanloom.operators import variants
 from urbanloom.plans import config as configuration
-from urbanloom.plans import stages
+from urbanloom.plans import outputs, stages
 from urbanloom.plans.parameters import Parameters
 from urbanloom.sources import files
 
@@ -118,6 +119,7 @@ def test_configuration(tmp_path):
     for change, message in (
         ({"model": {"construction_land_share": 0.3}}, "add up"), ({"grid": {"cell_geometry": "triangle"}}, "one of"), ({"paths": {"baseline_network": "x"}}, "go together"),
         ({"ttmatrix": {"network_speed_kmh": None}}, "required"), ({"ttmatrix": {"point_walking_neighbors": 0}}, "1 or more"), ({"grid": {"cell_size_km": 0}}, "required|positive"),
+        ({"paths": {"output": None}}, "paths.output"), ({"grid": {"mode": "standardize_existing_output"}}, "source_grid_csv"),
     ):
         with pytest.raises(ConfigurationError, match=message):
             configured(tmp_path, **change)
@@ -144,8 +146,20 @@ def test_whole_appraisal(spark, tmp_path):
     local = tables["block_outcomes_closed_city"]
     assert len(local.columns) == 22 and local.count() >= 9
     assert (tmp_path / "out" / "aggregate_changes.csv").exists() and (tmp_path / "std" / "shocks" / "shocks.csv").exists()
-    again = stages.run(spark, config, model_only=True)["aggregate_changes"].collect()
+    assert files.read_shapefile(spark, str(tmp_path / "std" / "grid.shp")).count() == files.read_geopackage(spark, str(tmp_path / "std" / "grid.gpkg"), "grid").count() >= 9
+    assert files.read_geopackage(spark, str(tmp_path / "std" / "shocks" / "shocks.gpkg")).first().crs == "EPSG:4326"
+    published = files.read_locations(spark, str(tmp_path / "std" / "locations.csv"))
+    near = outputs.read_centroids(spark, str(tmp_path / "std" / "centroids.gpkg"), published).collect()
+    assert len(near) == published.count() and all(abs(r.x - 15) < 0.1 and abs(r.y) < 0.1 for r in near)
+    with zipfile.ZipFile(tmp_path / "out" / "run_package.zip") as archive:
+        assert {"scenario.json", "inputs/locations.csv", "results/aggregate_changes.csv", "run_report.json"} <= set(archive.namelist())
+    assert "map_classes" not in tables and tables["console_summary"].where("label = 'spill_closed'").count() == 1
+    (tmp_path / "out" / "map_classes.csv").write_text("stale")
+    (tmp_path / "out" / "notes.csv").write_text("the user's")
+    config["reporting"]["make_maps"] = True
+    again = stages.run(spark, config, model_only=True, skip_maps=True)["aggregate_changes"].collect()
     assert [r.ExpectedUtilityPct for r in again] == pytest.approx([r.ExpectedUtilityPct for r in rows], abs=1e-6)
+    assert not (tmp_path / "out" / "map_classes.csv").exists() and (tmp_path / "out" / "notes.csv").exists()
     locations = stages.run(spark, config, prepare_only=True)["locations"]
     assert locations.agg(F.sum("population")).first()[0] == pytest.approx(1000)
     assert locations.agg(F.sum("employment_model")).first()[0] == pytest.approx(1000)
@@ -156,3 +170,50 @@ def test_payload(spark):
     payload = {"ids": ["a", "b"], "population": [60, 40], "employment": [50, 50], "rent": [1, 1.2], "land_area": [1, 1], "travel_time_baseline": [[1, 2], [2, 1]], "travel_time_counterfactual": [[0.9, 1.8], [1.8, 0.9]]}
     out = stages.run_payload(spark, payload, Parameters(damping=0.2))
     assert set(out["aggregate"]) == {"closed", "open", "fixed_distribution"} and out["local"]["open"].count() == 2
+
+
+def test_reports(spark):
+    pairs = {"employment": (10, 11), "population": (10, 9), "wage": (1, 1), "output": (2, 3), "annual_land_rent": (1, 2), "rent_residential": (1, 1.5), "rent_commercial": (2, 3)}
+    row = {"location_id": "a"} | {k: float(v) for n, (x, y) in pairs.items() for k, v in ((f"{n}_baseline", x), (f"{n}_counterfactual", y), (f"{n}_pct", 100 * (y / x - 1)))}
+    local = spark.createDataFrame([row, row | {"location_id": "b", "employment_pct": -4.0}])
+    aggregate = spark.createDataFrame([("with_spillovers", "fixed_distribution", 1e-12)], "Specification string, Closure string, OutputPct double")
+    hats = spark.createDataFrame([(0, 1.0, 1.2, 1.0), (1, 1.0, 0.7, 1.0)], "loc_idx long, productivity_hat double, amenity_hat double, structural_density_hat double")
+    made = outputs.report_tables({"aggregate_changes": aggregate, "block_outcomes_open_city": local}, hats)
+    assert {r.outcome for r in made["map_classes"].collect()} == {"employment", "population", "wage", "output", "annual_land_rent", "rent"}
+    assert made["console_summary"].collect() == [(0.0, "spill_fixed")]
+    ranges = {r.primitive: (r.largest, r.legend) for r in made["shock_map_ranges"].collect()}
+    assert ranges["productivity_hat"] == (0.0, "No imposed change") and ranges["amenity_hat"][0] == pytest.approx(30)
+    assert outputs.scenario_report(hats)["amenity_hat_changed"] == 2
+    views = {r.view: r.value for r in variants.browser_views(local, "employment").where("location_id = 'a'").collect()}
+    assert views == {"baseline": 10, "counterfactual": 11, "absolute": 1, "pct": pytest.approx(10)}
+
+
+def test_checked_join_and_variants(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    layer = frame(("a", 1), ("b", 2)).select("k")
+    assert sorted(tuple(r) for r in outputs.checked_join(layer, frame(("a", 5), ("z", 6)), "k").collect()) == [("a", 5), ("b", None)]
+    for bad, message in ((frame(("a", 5), ("a", 6)), "more than once"), (frame(("z", 1)), "is in the table")):
+        with pytest.raises(GridInputError, match=message):
+            outputs.checked_join(layer, bad, "k")
+    assert outputs.checked_join(layer.limit(0), frame(("z", 1)), "k").count() == 0
+    assert str(outputs.variant_folder("out", "x")) == "out/x" and str(outputs.variant_folder("out", None)) == "out"
+    for name in ("a/b", ".."):
+        with pytest.raises(ConfigurationError, match="single folder"):
+            outputs.variant_folder("out", name)
+    layer = spark.createDataFrame([(0, {"POP_SH": "0.1"}), (1, {"DEVLE": "0", "pop_sh": "x"}), (2, {"Emp_Sh": "2", "emp_sh": "0"}), (3, {})], "feature int, properties map<string,string>")
+    assert [r.feature for r in variants.browser_sources(layer).collect()] == [0]
+
+
+def test_shapefile_export(spark, tmp_path):
+    hole = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)], [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (1.0, 1.0)]]
+    files.write_shapefile([("polygon", hole, {"loc_id": "ä1", "population": 2.5}), ("polygon", hole[:1], {"loc_id": None})], str(tmp_path / "g.shp"), 32733)
+    rows = files.read_shapefile(spark, str(tmp_path / "g.shp")).orderBy("feature").collect()
+    assert [r.properties for r in rows] == [{"loc_id": "ä1", "population": "2.5"}, {"loc_id": "", "population": ""}]
+    assert rows[0].crs == "EPSG:32733" and [len(ring) for ring in rows[0].coords] == [5, 4]
+    assert [(p.x, p.y) for p in rows[0].coords[0]] == hole[0][::-1]
+    files.write_shapefile([], str(tmp_path / "none.shp"), 4326)
+    assert len((tmp_path / "none.shp").read_bytes()) == 100
+    files.write_shapefile([("polygon", hole, {"employment_raw": 1, "employment_model": 2})], str(tmp_path / "g.shp"), 4326)
+    assert files.read_shapefile(spark, str(tmp_path / "g.shp")).first().properties == {"employment": "1", "employme_1": "2"}
+    with pytest.raises(GridInputError, match="distinct"):
+        files.write_shapefile([("polygon", hole, {f"population_{k}": k for k in range(12)})], str(tmp_path / "g.shp"), 4326)

@@ -15,12 +15,14 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--config", required=True)
     parser.add_argument("--prepare-only", action="store_true")
     parser.add_argument("--model-only", action="store_true")
-    parser.add_argument("--skip-maps", action="store_true", help="accepted; maps are class tables and are not drawn")
+    parser.add_argument("--skip-maps", action="store_true", help="leave out the map classes; maps are tables and are not drawn")
     given = parser.parse_args(arguments)
     config, _ = configuration.load_config(given.config)
-    tables = stages.run(build_session(), config, given.prepare_only, given.model_only)
+    tables = stages.run(build_session(), config, given.prepare_only, given.model_only, given.skip_maps)
     for name in sorted(tables):
         print(name)
+    if "console_summary" in tables:
+        tables["console_summary"].show(truncate=False)
     return 0
 
 

@@ -117,6 +117,26 @@ def browser_attribution(cells: DataFrame, sources: DataFrame, columns: list[str]
     return inside.groupBy("grid_sequence").agg(*[F.sum(c).alias(c) for c in columns])
 
 
+def browser_sources(layer: DataFrame) -> DataFrame:
+    """A LAYER's features with developed land, residents or jobs; the names of their properties in lower case.
+
+    Of names that differ in case only, the last by code point gives the value: a map has no order of its own.
+    """
+    entries = F.array_sort(F.map_entries("properties"))
+    names = F.array_distinct(F.transform(F.map_keys("properties"), F.lower))
+    last = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"])
+    named = F.map_from_arrays(names, last)
+    positive = [F.coalesce(F.col("properties")[name].try_cast("double"), F.lit(0.0)) for name in ("devle", "pop_sh", "emp_sh")]
+    return layer.withColumn("properties", named).where(F.greatest(*[F.nanvl(x, F.lit(0.0)) for x in positive]) > 0)
+
+
+def browser_views(local: DataFrame, outcome: str) -> DataFrame:
+    """location_id, view, value: an outcome before, after, their difference and its percentage (null for a baseline of 0)."""
+    a, b = F.col(f"{outcome}_baseline"), F.col(f"{outcome}_counterfactual")
+    views = {"baseline": a, "counterfactual": b, "absolute": b - a, "pct": F.when(F.abs(a) > 1e-12, 100 * (b / a - 1))}
+    return local.select("location_id", F.explode(F.array(*[F.struct(F.lit(k).alias("view"), v.alias("value")) for k, v in views.items()])).alias("r")).select("location_id", "r.*")
+
+
 def browser_shocks(cells: DataFrame, policies: DataFrame) -> DataFrame:
     """grid_sequence, hat: the product over policies (rings, pct) whose polygon holds a cell's centre, else 1."""
     inside = cells.join(F.broadcast(policies.select(F.col("rings").alias("policy"), "pct")), C.point_in_polygon(F.col("lon"), F.col("lat"), F.col("policy")))  # drawn by hand, so few

@@ -81,6 +81,11 @@ def checked(config: dict[str, Any]) -> dict[str, Any]:
             required(config, name)
         if grid["cell_geometry"] != "original" and float(required(config, "grid.cell_size_km")) <= 0:
             raise ConfigurationError("grid.cell_size_km must be positive")
+    elif not config["project"]["reuse_standardized_inputs"]:
+        for name in ("paths.source_grid_csv", "paths.source_grid_geometry", *[f"grid.{k}_variable" for k in ("id", "population", "employment", "rent", "geometry_id")]):
+            required(config, name)
+    for name in ("paths.standardized_input", "paths.output"):
+        required(config, name)
     for prefix in ("baseline", "counterfactual"):
         if (config["paths"][f"{prefix}_network"] is None) != (config["paths"][f"{prefix}_stations"] is None):
             raise ConfigurationError(f"{prefix} network and stations go together")

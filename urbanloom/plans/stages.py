@@ -16,6 +16,8 @@ from urbanloom.errors import GridInputError, MatrixInputError, UnsupportedCrs
 from urbanloom.functions import columns as C
 from urbanloom.lineage import cut
 from urbanloom.operators import economy, matrices, reporting, routing, spatial
+from urbanloom.plans import config as configuration
+from urbanloom.plans import outputs
 from urbanloom.plans.parameters import Parameters
 from urbanloom.sources import files
 
@@ -266,10 +268,43 @@ def run_payload(spark: SparkSession, payload: Mapping[str, Any], p: Parameters |
     return {"aggregate": {s.closure: row for _, _, s, row, _ in solved}, "local": {s.closure: reporting.local_outcomes(spark, list(payload["ids"]), q, b, s) for _, b, s, _, q in solved}}
 
 
-def run(spark: SparkSession, config: Mapping[str, Any], prepare_only: bool = False, model_only: bool = False) -> dict[str, DataFrame]:
-    """A configured appraisal from layers or tables to result files."""
+def in_output_crs(locations: DataFrame, crs: str) -> tuple[DataFrame, int]:
+    """(locations with rings and centroids in ``crs``, its EPSG number)."""
+    own = locations.select("crs").first()
+    move = _projector(own.crs if own else crs, crs)
+    centre = move(F.struct("x", "y"))
+    moved = locations.withColumns({"rings": F.transform("rings", lambda ring: F.transform(ring, move)), "x": centre["x"], "y": centre["y"], "crs": F.lit(crs)})
+    return moved, int(crs.removeprefix("EPSG:"))
+
+
+def run(spark: SparkSession, config: Mapping[str, Any], prepare_only: bool = False, model_only: bool = False, skip_maps: bool = False) -> dict[str, DataFrame]:
+    """A configured appraisal from layers or tables to result files, layers, reports and a package of them all."""
+    paths, standard = config["paths"], Path(config["paths"]["standardized_input"])
+    output = outputs.variant_folder(paths["output"], config["project"].get("variant"))
+    timers = outputs.Timers()
+    configuration.save_config(config, str(output / "runtime_config.json"))
+    with timers.step("prepare"):
+        locations, before, after, hats = prepared(spark, config, model_only)
+    if prepare_only:
+        return {"locations": locations, "baseline": before, "counterfactual": after, "hats": hats}
+    p = Parameters.from_config(config)
+    closures = ("closed", "open") if config["model"]["city_closure"] == "both" else (config["model"]["city_closure"],)
+    spillovers = (True, False) if config["project"]["run_no_spillover_comparison"] else (True,)
+    tables = run_model(spark, locations, before, after, hats, p, closures, spillovers)
+    maps = config["reporting"]["make_maps"] and not skip_maps
+    tables |= {k: v for k, v in outputs.report_tables(tables, hats).items() if maps or k == "console_summary"}
+    for name, table in tables.items():
+        with timers.step(name):
+            files.write_csv(table, str(output / f"{name}.csv"))
+    stale = outputs.purge(output, list(tables))
+    files.write_json({"seconds": timers.seconds, "tables": list(tables), "deleted": stale}, str(output / "run_report.json"))
+    outputs.package(str(output / "run_package.zip"), config, output, standard, list(tables))
+    return tables
+
+
+def prepared(spark: SparkSession, config: Mapping[str, Any], model_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(locations, baseline, counterfactual, hats): made from the sources and published, or read from a run before."""
     paths, standard = config["paths"], Path(config["paths"]["standardized_input"])
-    output = Path(config["paths"]["output"])
     if model_only or config["project"].get("reuse_standardized_inputs"):
         locations = files.read_locations(spark, str(standard / "locations.csv")).withColumn("loc_idx", F.row_number().over(W.orderBy("loc_idx")).cast("long") - 1).persist()
         before = files.read_matrix(spark, str(standard / "travel_times_baseline.csv"), locations)
@@ -299,17 +334,14 @@ def run(spark: SparkSession, config: Mapping[str, Any], prepare_only: bool = Fal
         files.write_matrix(before, locations, str(standard / "travel_times_baseline.csv"))
         files.write_matrix(after, locations, str(standard / "travel_times_counterfactual.csv"))
         files.write_json(report.first().asDict(), str(standard / "travel_time_report.json"))
+        shown, epsg = in_output_crs(locations, config["grid"]["output_crs"])
+        outputs.publish_layers(shown, standard, epsg)
         shocks = standard / "shocks" / "shocks.csv"
         if policies is None:
-            shocks.unlink(missing_ok=True)  # a stale scenario must not be read by a later run
+            for stale in (shocks, shocks.with_suffix(".gpkg")):
+                stale.unlink(missing_ok=True)  # a stale scenario must not be read by a later run
         else:
             files.write_csv(hats.join(locations.select("loc_idx", "location_id"), "loc_idx").orderBy("loc_idx").select(*files.SHOCKS.names), str(shocks))
-    if prepare_only:
-        return {"locations": locations, "baseline": before, "counterfactual": after, "hats": hats}
-    p = Parameters.from_config(config)
-    closures = ("closed", "open") if config["model"]["city_closure"] == "both" else (config["model"]["city_closure"],)
-    spillovers = (True, False) if config["project"]["run_no_spillover_comparison"] else (True,)
-    tables = run_model(spark, locations, before, after, hats, p, closures, spillovers)
-    for name, table in tables.items():
-        files.write_csv(table, str(output / f"{name}.csv"))
-    return tables
+            outputs.publish_shocks(shown, hats, shocks.with_suffix(".gpkg"), epsg)
+        files.write_json(outputs.scenario_report(hats), str(standard / "scenario_report.json"))
+    return locations, before, after, hats

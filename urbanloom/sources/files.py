@@ -18,6 +18,7 @@ import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,6 +162,75 @@ def crs_of_prj(text: str | None) -> str:
     raise UnsupportedCrs(text[:120])
 
 
+def prj_of(epsg: int) -> str:
+    """The well-known text that crs_of_prj() reads back: WGS84, its UTM zones and web Mercator."""
+    world = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
+    if epsg == 4326:
+        return world
+    if epsg == 3857:
+        return f'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",{world},PROJECTION["Mercator_Auxiliary_Sphere"],UNIT["Meter",1.0]]'
+    side, zone = divmod(epsg, 100)
+    if side not in (326, 327) or not 1 <= zone <= 60:
+        raise UnsupportedCrs(f"EPSG:{epsg}")
+    north = side == 326
+    numbers = {"False_Easting": 500000.0, "False_Northing": 0.0 if north else 10000000.0, "Central_Meridian": 6.0 * zone - 183, "Scale_Factor": 0.9996, "Latitude_Of_Origin": 0.0}
+    given = ",".join(f'PARAMETER["{k}",{v}]' for k, v in numbers.items())
+    return f'PROJCS["WGS_1984_UTM_Zone_{zone}{"N" if north else "S"}",{world},PROJECTION["Transverse_Mercator"],{given},UNIT["Meter",1.0]]'
+
+
+def write_shapefile(features: Sequence[tuple[str, Sequence, Mapping]], path: str, epsg: int) -> None:
+    """.shp, .shx, .dbf and .prj of polygons or of points, each published by a rename. Names are cut at 10 characters.
+
+    Names that are equal once cut get _1 to _9 instead of their last two characters. Outer rings run clockwise and holes
+    against it. Texts over 254 bytes do not fit the format and are an error.
+    """
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    kinds = {k for k, _, _ in features}
+    if len(kinds) > 1 or kinds - {"point", "polygon"}:
+        raise GridInputError(f"a shapefile holds either points or polygons, not {sorted(kinds)}")
+    kind = 1 if kinds == {"point"} else 5
+    around = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))
+    box = lambda points: (min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points))
+    shapes, index, at, everything = [], [], 50, []
+    for k, (_, parts, _) in enumerate(features):
+        if kind == 1:
+            points = [parts[0][0]]
+            record = struct.pack("<i2d", 1, *points[0])
+        else:
+            rings = [list(ring) if ring[0] == ring[-1] else [*ring, ring[0]] for ring in parts]
+            rings = [ring if (around(ring) < 0) == (i == 0) else ring[::-1] for i, ring in enumerate(rings)]
+            points = [p for ring in rings for p in ring]
+            starts = np.cumsum([0, *[len(ring) for ring in rings[:-1]]]).tolist()
+            record = struct.pack("<i4d2i", 5, *box(points), len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        everything.append(box(points))
+        shapes.append(struct.pack(">2i", k + 1, len(record) // 2) + record)
+        index.append(struct.pack(">2i", at, len(record) // 2))
+        at += 4 + len(record) // 2
+    corners = list(zip(*everything, strict=True)) or [(0.0,)] * 4
+    bounds = (min(corners[0]), min(corners[1]), max(corners[2]), max(corners[3]))
+    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, kind, *bounds, 0, 0, 0, 0)
+    names = list(dict.fromkeys(name for _, _, given in features for name in given))
+    short: list[str] = []
+    for name in names:
+        tries = [name[:10], *[f"{name[:8]}_{k}" for k in range(1, 10)]]
+        if not (free := [t for t in tries if t not in short]):
+            raise GridInputError(f"names are not distinct in 10 characters: {names}")
+        short.append(free[0])
+    cells = [[("" if given.get(n) is None else str(given[n])).encode() for n in names] for _, _, given in features]
+    widths = [max([1, *[len(row[j]) for row in cells]]) for j in range(len(names))]
+    if max(widths, default=0) > 254:
+        raise GridInputError("a text is longer than the 254 bytes of a shapefile's field")
+    fields = b"".join(n.encode("latin-1", "replace").ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w, 0]) + b"\0" * 14 for n, w in zip(short, widths, strict=True))
+    table = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(cells), 33 + 32 * len(names), 1 + sum(widths)) + fields + b"\r"
+    table += b"".join(b" " + b"".join(c.ljust(w) for c, w in zip(row, widths, strict=True)) for row in cells) + b"\x1a"
+    body = {".shp": head(at) + b"".join(shapes), ".shx": head(50 + 4 * len(index)) + b"".join(index), ".dbf": table, ".prj": prj_of(epsg).encode()}
+    for suffix, data in body.items():
+        scratch = target.with_name(f".{target.stem}.{uuid.uuid4().hex}{suffix}")
+        scratch.write_bytes(data)
+        os.replace(scratch, target.with_suffix(suffix))
+
+
 def _layer_rows(name: str, crs: str, features) -> Iterator[tuple]:
     for feature, kind, parts, properties in features:
         for part, coords in enumerate([parts] if kind == "polygon" else [[p] for p in parts]):
