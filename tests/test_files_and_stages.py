@@ -1,5 +1,6 @@
 """File formats, configuration and a whole appraisal from layers."""
 
+import csv
 import json
 import struct
 import zipfile
@@ -9,7 +10,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from urbanloom.errors import ConfigurationError, GridInputError, MatrixInputError
-from urbanloom.operators import variants
+from urbanloom.operators import reporting, variants
 from urbanloom.plans import config as configuration
 from urbanloom.plans import outputs, stages
 from urbanloom.plans.parameters import Parameters
@@ -91,6 +92,30 @@ def test_matrix_labels_are_checked(spark, tmp_path):
         files.read_matrix(spark, str(path), places)
 
 
+def test_matrix_lines(spark, tmp_path):
+    places = spark.createDataFrame([('b "x", y', 1), ("a", 0)], "location_id string, loc_idx long")
+    pairs = [(0, 0, 0.0), (0, 1, 2.5), (1, 0, 1e-4), (1, 1, 0.0), (7, 0, 1.0), (0, 7, 1.0)]
+    od = spark.createDataFrame(pairs, "o_idx long, d_idx long, minutes double")
+    path = tmp_path / "m.csv"
+    files.write_matrix(od, places, str(path))
+    with path.open(newline="") as lines:
+        rows = list(csv.reader(lines))
+    assert rows[0] == ["location_id", "location_id_a", 'location_id_b "x", y']
+    assert [(r[0], *map(float, r[1:])) for r in rows[1:]] == [("a", 0, 2.5), ('b "x", y', 1e-4, 0)]
+    for bad, message in ((od.where("not (o_idx = 0 and d_idx = 1)"), "origin a has 1 pairs"), (od.where("o_idx = 0"), "1 of 2 origins"), (od.unionByName(od), "has 4 pairs")):
+        with pytest.raises(MatrixInputError, match=message):
+            files.write_matrix(bad, places, str(path))
+    assert [p.name for p in tmp_path.iterdir()] == ["m.csv"]
+
+
+def test_floor_rank_percentiles(spark):
+    values = [float(x % 37) for x in range(1000)]
+    frame = spark.createDataFrame([(x,) for x in [*values, None, float("nan")]], "v double").repartition(7)
+    got = reporting.floor_rank_percentiles(frame, "v", (0.0, 0.025, 0.5, 0.975, 1.0)).first()
+    assert list(got) == [sorted(values)[int(s * 999)] for s in (0.0, 0.025, 0.5, 0.975, 1.0)]
+    assert list(reporting.floor_rank_percentiles(frame.limit(0), "v").first()) == [None, None]
+
+
 def test_city_catalogue(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text('metro_id,metro_name\n2,"Springfield, IL-MO"\n1,"avalon, NJ"\n')

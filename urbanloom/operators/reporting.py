@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.functions import columns as C
+from urbanloom.lineage import cut
 from urbanloom.operators import economy, spatial
 from urbanloom.plans.parameters import Parameters
 
@@ -109,11 +111,25 @@ def with_mean_rent(local: DataFrame) -> DataFrame:
 
 
 def floor_rank_percentiles(frame: DataFrame, column: str, shares: Sequence[float] = (0.025, 0.975)) -> DataFrame:
-    """Percentiles by floor rank (no interpolation): the value at floor(share * (n - 1)) of the sorted finite values."""
-    ordered = F.sort_array(F.collect_list(F.col(column)))
-    finite = frame.where(F.col(column).isNotNull() & ~F.isnan(column))
-    picked = [F.element_at(F.col("v"), (F.floor(F.lit(s) * (F.size("v") - 1)) + 1).cast("int")).alias(f"p{k}") for k, s in enumerate(shares)]
-    return finite.agg(ordered.alias("v")).select(*picked)
+    """Percentiles by floor rank (no interpolation): the value at floor(share * (n - 1)) of the sorted values; null if there are none.
+
+    Values are sorted over ranges; the driver gets the ranges' sizes only, and each rank is then a place in one range.
+    """
+    value = F.col(column)
+    # A generated id is the range's number in the upper bits and the place in it in the lower 33.
+    ranked = cut(frame.where(value.isNotNull() & ~F.isnan(value)).select(value.alias("v")).sort("v").withColumn("place", F.monotonically_increasing_id()))
+    sizes = ranked.groupBy(F.shiftright("place", 33).alias("part")).count().orderBy("part").collect()
+    total = sum(r["count"] for r in sizes)
+
+    def place(share: float) -> int:
+        rest = math.floor(share * (total - 1))
+        for r in sizes:
+            if rest < r["count"]:
+                return (r.part << 33) + rest
+            rest -= r["count"]
+        return -1
+
+    return ranked.agg(*[F.max(F.when(F.col("place") == place(s), F.col("v"))).alias(f"p{k}") for k, s in enumerate(shares)])
 
 
 def shock_percent(hats: DataFrame) -> DataFrame:

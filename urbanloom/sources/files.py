@@ -6,6 +6,7 @@ they are read from bytes that Spark loads (binaryFile), so any store that Spark
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import os
@@ -79,9 +80,31 @@ def write_csv(frame: DataFrame, path: str) -> None:
 
 
 def write_matrix(od: DataFrame, locations: DataFrame, path: str) -> None:
+    """A labelled wide CSV, published by a rename. Lines are made in tasks; the driver holds some of them at a time.
+
+    Origins and destinations that are no locations are left out; an origin without each destination once is an error.
+    """
     from urbanloom.operators import matrices
 
-    write_csv(matrices.long_to_wide(od, locations), path)
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    ordered = [r.location_id for r in locations.orderBy("loc_idx").select("location_id").collect()]
+    scratch = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+    written = 0
+    try:
+        with scratch.open("w", encoding="utf-8", newline="") as out:
+            lines = csv.writer(out, lineterminator="\n")
+            lines.writerow(["location_id", *[f"location_id_{i}" for i in ordered]])
+            for row in matrices.text_lines(od, locations).toLocalIterator():
+                if not row.pairs == row.destinations == len(ordered):
+                    raise MatrixInputError(f"origin {row.location_id} has {row.pairs} pairs and {row.destinations} destinations of {len(ordered)}")
+                lines.writerow([row.location_id, *row.line.split(",")])
+                written += 1
+        if written != len(ordered):
+            raise MatrixInputError(f"{written} of {len(ordered)} origins have pairs")
+        os.replace(scratch, target)
+    finally:
+        scratch.unlink(missing_ok=True)
 
 
 def write_json(document: Mapping, path: str) -> None:
