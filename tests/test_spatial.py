@@ -1,6 +1,7 @@
 """Interpolation, shocks, grids, routing, overlays and classes against known figures and brute force."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -213,3 +214,24 @@ def test_identifiers_and_changes(spark):
             spark.createDataFrame([(bad,)], "v string").select(C.canonical_id(F.col("v"))).collect()
     got = spark.createDataFrame([(2.0, 0.0), (3.0, 2.0)], "c double, b double").select(C.percent_change(F.col("c"), F.col("b")).alias("p")).collect()
     assert math.isnan(got[0].p) and got[1].p == 50
+
+
+def test_nearest_line_against_all_pairs(spark):
+    draw = random.Random(5)
+    lines = [(k, draw.uniform(0, 9000), draw.uniform(0, 9000)) for k in range(40)]
+    lines = [(k, x, y, x + draw.uniform(-900, 900), y + draw.uniform(-900, 900)) for k, x, y in lines] + [(40, 5.0, 5.0, 5.0, 5.0), (41, 5.0, 5.0, 5.0, 5.0)]
+    points = [(k, draw.uniform(-500, 9500), draw.uniform(-500, 9500)) for k in range(60)] + [(60, 90_000.0, -70_000.0), (61, 5.0, 5.0), (62, None, 1.0), (63, float("nan"), 1.0)]
+
+    def gap(x, y, x0, y0, x1, y1):
+        dx, dy = x1 - x0, y1 - y0
+        t = max(0.0, min(1.0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.hypot(x - x0 - t * dx, y - y0 - t * dy)
+
+    segments = spark.createDataFrame([*lines, (42, None, 0.0, 0.0, 0.0)], "line_id long, x0 double, y0 double, x1 double, y1 double")
+    places = spark.createDataFrame(points, "point_id long, x double, y double")
+    expected = {k: min((gap(x, y, *line[1:]), line[0]) for line in lines) for k, x, y in points[:62]}
+    for cell in (None, 3000.0):
+        got = {r.point_id: (r.distance, r.line_id) for r in spatial.nearest_line(places, segments, cell).collect()}
+        assert got.keys() == expected.keys()
+        assert all(got[k][1] == expected[k][1] and abs(got[k][0] - expected[k][0]) < 1e-6 for k in got)
+    assert spatial.nearest_line(places, segments.limit(0)).count() == spatial.nearest_line(places.limit(0), segments).count() == 0

@@ -314,15 +314,43 @@ def within_radius(points: DataFrame, radius: float) -> DataFrame:
     return seek.join(there, "cell").where(C.distance(F.col("px"), F.col("py"), F.col("ox"), F.col("oy")) <= radius).select("point_id", "other_id")
 
 
-def nearest_line(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """point_id, line_id, distance, px, py: the nearest point on the nearest segment. Lines are the small side of a city's data."""
+def nearest_line(points: DataFrame, segments: DataFrame, cell: float | None = None) -> DataFrame:
+    """point_id, line_id, distance, px, py: the nearest point on the nearest segment; ties go to the smaller line id.
+
+    Rounds as in nearest(): a point meets the segments whose boxes reach its own or the eight adjoining cells, and is settled by
+    one no farther than a cell's side; cells double until they span everything. Points and segments without coordinates are left out.
+    """
+    numbers = lambda frame, names: frame.where(~F.isnan(sum((F.col(c) for c in names), F.lit(0.0)))).na.drop(subset=list(names))
+    lines, left = numbers(segments.select("line_id", "x0", "y0", "x1", "y1"), ("x0", "y0", "x1", "y1")), numbers(points.select("point_id", "x", "y"), ("x", "y"))
+    side = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    ends = [(f(F.least(p, q)) if f is F.min else f(F.greatest(p, q))) for p, q in (("x0", "x1"), ("y0", "y1")) for f in (F.min, F.max)]
+    box = lines.agg(F.count(F.lit(1)), F.avg(side), *ends).first()
+    around = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length2 = dx * dx + dy * dy
     t = F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / length2))).otherwise(0.0)
-    pairs = points.crossJoin(segments).withColumn("t", t).withColumn("px", F.col("x0") + F.col("t") * dx).withColumn("py", F.col("y0") + F.col("t") * dy)
-    far = pairs.withColumn("distance", C.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
-    best = far.groupBy("point_id").agg(F.min(F.struct("distance", "line_id", "px", "py")).alias("b"))
-    return best.select("point_id", "b.line_id", "b.distance", "b.px", "b.py")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        met = pairs.withColumn("t", t).withColumn("px", F.col("x0") + F.col("t") * dx).withColumn("py", F.col("y0") + F.col("t") * dy)
+        far = met.withColumn("distance", C.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+        return far.groupBy("point_id").agg(F.min(F.struct("distance", "line_id", "px", "py")).alias("b")).select("point_id", "b.line_id", "b.distance", "b.px", "b.py")
+
+    if not box[0] or around[0] is None:
+        return best(left.join(lines, F.lit(False)))
+    spread = max(max(box[3], around[1]) - min(box[2], around[0]), max(box[5], around[3]) - min(box[4], around[2]))
+    size, settled = cell or max(box[1], spread / math.sqrt(box[0])) or 1.0, None
+    while True:
+        raster = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: E731,B023
+        adjoining = _cells(F.struct(((raster("x") - 0.5) * size).alias("x0"), ((raster("y") - 0.5) * size).alias("y0"), ((raster("x") + 1.5) * size).alias("x1"), ((raster("y") + 1.5) * size).alias("y1")), size)
+        reach = F.struct(F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
+        found = cut(best(left.withColumn("cell", F.explode(adjoining)).join(lines.withColumn("cell", F.explode(_cells(reach, size))), "cell")).where(F.col("distance") <= size))
+        settled = found if settled is None else settled.unionByName(found)
+        left = cut(left.join(found, "point_id", "left_anti"))
+        if left.isEmpty():
+            return settled
+        if size > 2 * spread:
+            raise RuntimeError("nearest lines not settled")
+        size *= 2
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
