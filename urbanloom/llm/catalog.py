@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from urbanloom.llm import decontaminate, html_extract, oracles, pitman_yor, quality_rules, secret_scan, simhash, source_mix, suffix_dedup, toxicity, url_filter
+from urbanloom.llm import decontaminate, html_extract, oracles, pitman_yor, quality_rules, secret_scan, sharding, simhash, source_mix, suffix_dedup, toxicity, url_filter
 from urbanloom.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_html_extract": op2_html_extract,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_sharding": op11_sharding,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
