@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from urbanloom.llm import decontaminate, html_extract, oracles, pitman_yor, quality_rules, secret_scan, sharding, simhash, source_mix, suffix_dedup, toxicity, url_filter
+from urbanloom.llm import collocations, decontaminate, html_extract, oracles, pitman_yor, quality_rules, secret_scan, sharding, simhash, source_mix, suffix_dedup, toxicity, url_filter, whitening
 from urbanloom.llm.common import table
 
 
@@ -72,6 +72,18 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    parts = F.posexplode(F.arrays_zip(F.col("whitened"), F.lit(model.explained).alias("explained")))
+    return rows.select("vec_id", "deviation", parts.alias("at", "part")).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "part.whitened", "part.explained", F.lit(model.identity_error).alias("identity_error")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_html_extract": op2_html_extract,
@@ -84,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_sharding": op11_sharding,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
 

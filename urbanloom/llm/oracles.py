@@ -67,6 +67,24 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM t LEFT JOIN r USING (row_id)"""
 
 
+def collocation_sql(least: int = 100, longest: int = 5, top: int = 2000) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: list_slice(words, i, i + size - 1))) AS phrase FROM w, (SELECT unnest(range(1, {longest + 1})) AS size) WHERE len(words) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {least}),
+x AS (SELECT DISTINCT lang, unnest([list_slice(phrase, 1, size - 1), list_slice(phrase, 2, size)]) AS phrase, f FROM f WHERE size > 2),
+c AS (SELECT * FROM f WHERE size > 1 AND NOT EXISTS (SELECT 1 FROM x WHERE x.lang = f.lang AND x.phrase = f.phrase AND x.f >= f.f)),
+k AS (SELECT lang, size, phrase, f AS a, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.*, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM k JOIN t USING (lang)
+  JOIN f AS l ON l.lang = k.lang AND l.phrase = list_slice(k.phrase, 1, k) JOIN f AS r ON r.lang = k.lang AND r.phrase = list_slice(k.phrase, k + 1, size)),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM b)
+SELECT * FROM o WHERE rank <= {top}"""
+
+
 def url_sql() -> str:
     """Rules, templates, tree and purity as in url_verdicts() with its production parameters."""
     ordered = sorted(url_filter.CONTRACT_RULES, key=lambda r: (-len(r[1]), r[1]))
@@ -106,4 +124,4 @@ j AS (SELECT host, template, support >= 5 AND purity >= 0.9 AS rejected FROM h{d
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template, rejected AS template_rejected FROM w JOIN j USING (host, template)"""
 
 
-ORACLES = {"op1_url_filter": url_sql(), "op3_source_mix": mix_sql(), "op4_quality_rules": quality_sql(), "op8_secret_scan": secret_sql()}
+ORACLES = {"op1_url_filter": url_sql(), "op3_source_mix": mix_sql(), "op4_quality_rules": quality_sql(), "op8_secret_scan": secret_sql(), "op12_collocations": collocation_sql()}
