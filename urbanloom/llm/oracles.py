@@ -79,7 +79,7 @@ x AS (SELECT DISTINCT lang, unnest([list_slice(phrase, 1, size - 1), list_slice(
 c AS (SELECT * FROM f WHERE size > 1 AND NOT EXISTS (SELECT 1 FROM x WHERE x.lang = f.lang AND x.phrase = f.phrase AND x.f >= f.f)),
 k AS (SELECT lang, size, phrase, f AS a, unnest(range(1, size)) AS k FROM c),
 s AS (SELECT k.*, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM k JOIN t USING (lang)
-  JOIN f AS l ON l.lang = k.lang AND l.phrase = list_slice(k.phrase, 1, k) JOIN f AS r ON r.lang = k.lang AND r.phrase = list_slice(k.phrase, k + 1, size)),
+  JOIN f AS l ON l.lang = k.lang AND l.phrase = list_slice(k.phrase, 1, k.k) JOIN f AS r ON r.lang = k.lang AND r.phrase = list_slice(k.phrase, k.k + 1, k.size)),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM b)
 SELECT * FROM o WHERE rank <= {top}"""
