@@ -9,8 +9,10 @@ So every occurrence of a phrase is counted in exactly one place, and common word
 receive little. A phrase is counted only if its parts with the pivot were frequent enough in the bucket.
 
 Sizes: a bucket stands for about TOKENS_PER_BUCKET words of the corpus. A pivot that occurs more often than HOT is
-divided among buckets by a hash of the fragment; its parts are emitted with partial counts and summed afterwards. A task
-holds TOKENS_PER_FLUSH words at a time. Numbers are broadcast in slices of SLICE words; a larger vocabulary takes more
+divided by its neighbour: phrases that go on after the pivot are mined where the pivot's right word sends them, phrases
+that end with it where its left word does, so counts stay whole. What then meets in a bucket are the distinct fragments
+of a pair of words, and the commoner a pivot, the fewer commoner words there are to make distinct ones of. A task holds
+TOKENS_PER_FLUSH words at a time. Numbers are broadcast in slices of SLICE words; a larger vocabulary takes more
 passes over the texts, whose numbers so far are written between them, and gives the same rows.
 
 Scores are exact: products are decimals of 38 digits.
@@ -39,7 +41,7 @@ MARK = b"\xff"
 FOLD = bytes.maketrans(DIVIDERS + bytes(range(65, 91)), MARK * len(DIVIDERS) + bytes(range(97, 123)))
 TOKENS_PER_BUCKET = 250_000
 TOKENS_PER_FLUSH = 1_000_000
-#: Occurrences from which a pivot is divided; at least a millionth of all words, so at most a million pivots are.
+#: Occurrences beyond which a pivot is divided.
 HOT = 100_000
 #: Words whose numbers one broadcast holds.
 SLICE = 500_000
@@ -156,13 +158,23 @@ def combined(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows[begin], np.add.reduceat(weights, begin) if len(begin) else weights, h[begin]
 
 
-def buckets_of(pivots: np.ndarray, hashes: np.ndarray, parts: np.ndarray, buckets: int) -> np.ndarray:
-    """``parts``: for the commonest words, by number, among how many buckets each is divided."""
-    own = np.ones(len(pivots), np.uint64)
-    hot = pivots < len(parts)
-    own[hot] = parts[pivots[hot]]
-    key = (pivots.astype(np.uint64) * MIX ^ ((hashes >> np.uint64(7)) % own) * SPREAD) * SPREAD
-    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+def dealt(rows: np.ndarray, weights: np.ndarray, hot: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, weights and buckets. Pivots numbered below ``hot`` are divided: a row goes where its right word sends it, and
+    its left part, alone, where its left word does."""
+    reach = rows.shape[1] // 2
+    divided = rows[:, reach] < hot
+    left = rows[divided & (rows[:, reach - 1] >= 0)].copy()
+    left[:, reach + 1 :] = -1
+    left, left_weights, _ = combined(left, weights[divided & (rows[:, reach - 1] >= 0)])
+    whole = ~divided | (rows[:, reach + 1] >= 0)
+    rows, weights, divided = rows[whole], weights[whole], divided[whole]
+    key = np.concatenate([
+        np.where(divided, (rows[:, reach + 1].astype(np.uint64) + np.uint64(1)) * MIX, np.uint64(0)), ~((left[:, reach - 1].astype(np.uint64) + np.uint64(1)) * MIX),
+    ])
+    rows, weights = np.concatenate([rows, left]), np.concatenate([weights, left_weights])
+    key = (rows[:, reach].astype(np.uint64) * MIX ^ key * SPREAD) * SPREAD
+    key ^= key >> np.uint64(31)
+    return rows, weights, ((key * MIX >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -193,16 +205,16 @@ def unpacked(data: bytes, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, _from_planes(data[at + 4 * n : at + 8 * n])
 
 
-def _fragments(texts: DataFrame, numbers: dict[str, dict[bytes, int]], parts: np.ndarray, buckets: int, longest: int) -> DataFrame:
+def _fragments(texts: DataFrame, numbers: dict[str, dict[bytes, int]], hot: int, buckets: int, longest: int) -> DataFrame:
     """bucket, fragments: the last slice's numbers are filled in, then fragments are cut, combined and dealt."""
-    shared = texts.sparkSession.sparkContext.broadcast((numbers, parts))
+    shared = texts.sparkSession.sparkContext.broadcast(numbers)
 
-    def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def pass_on(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = cut_fragments(np.concatenate(held), longest)
         if not len(rows):
             return
-        rows, weights, hashes = combined(rows, np.ones(len(rows), np.int64))
-        bucket = buckets_of(rows[:, longest - 1], hashes, shared.value[1], buckets)
+        rows, weights, _ = combined(rows, np.ones(len(rows), np.int64))
+        rows, weights, bucket = dealt(rows, weights, hot, buckets)
         order = np.argsort(bucket, kind="stable")
         rows, weights, bucket = rows[order], weights[order], bucket[order]
         begin = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -214,13 +226,13 @@ def _fragments(texts: DataFrame, numbers: dict[str, dict[bytes, int]], parts: np
         size, end = 0, np.array([-1], np.int32)
         for batch in batches:
             for lang, text, before in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held += [_ids(shared.value[0], lang, text, before), end]
+                held += [_ids(shared.value, lang, text, before), end]
                 size += len(held[-2])
                 if size >= TOKENS_PER_FLUSH:
-                    yield from dealt(held)
+                    yield from pass_on(held)
                     held, size = [], 0
         if held:
-            yield from dealt(held)
+            yield from pass_on(held)
 
     return texts.mapInArrow(run, "bucket long, fragments binary")
 
@@ -240,12 +252,14 @@ def _grouped(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse
 
 
-def mine(rows: np.ndarray, weights: np.ndarray, divided: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrases that the rows' pivots own, and their counts; those of a divided pivot with any count.
+def mine(rows: np.ndarray, weights: np.ndarray, hot: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Phrases that the rows' pivots own and that occur often enough, and their counts.
 
-    A window of a words before and b after the pivot is counted only where both shorter windows have passed.
+    A window of a words before and b after the pivot is counted only where both shorter windows have passed. Of a divided
+    pivot's row that goes on to the right, windows that end with the pivot are counted elsewhere.
     """
     reach = rows.shape[1] // 2
+    onward = (rows[:, reach] < hot) & (rows[:, reach + 1] >= 0)
     passed = {(0, 0): np.ones(len(rows), bool)}
     for size in range(2, reach + 2):
         for a in range(size):
@@ -255,23 +269,23 @@ def mine(rows: np.ndarray, weights: np.ndarray, divided: np.ndarray, least: int)
                 open_ &= passed[a - 1, b]
             if b:
                 open_ &= passed[a, b - 1]
-            at = np.flatnonzero(open_)
-            passed[a, b] = np.zeros(len(rows), bool)
+            elsewhere = onward & open_ if b == 0 else np.zeros(len(rows), bool)
+            at = np.flatnonzero(open_ & ~elsewhere)
+            passed[a, b] = elsewhere
             if not len(at):
                 continue
             columns = rows[at, reach - a : reach + b + 1]
             first, inverse = _grouped(columns)
             found = np.zeros(len(first), np.int64)
             np.add.at(found, inverse, weights[at])
-            good = (found >= least) | divided[at[first]]
+            good = found >= least
             passed[a, b][at] = good[inverse]
             yield columns[first[good]], found[good]
 
 
 def phrase_counts(texts: DataFrame, lexicon: DataFrame, n_tokens: int, least: int, longest: int, scratch: Scratch) -> DataFrame:
     """ids (array of word numbers), f: every phrase of 2 to ``longest`` words that occurs ``least`` times or more."""
-    hot = max(HOT, n_tokens // 1_000_000)
-    parts = np.array([-(-r.n // hot) for r in lexicon.where(F.col("n") > hot).orderBy("id").select("n").toLocalIterator()], np.uint64)
+    hot = lexicon.where(F.col("n") > HOT).count()  # the commonest words have the lowest numbers
     buckets = max(1, -(-n_tokens // TOKENS_PER_BUCKET))
     n_words = lexicon.count()
     texts = texts.withColumn("ids", F.lit(None).cast("binary"))
@@ -279,23 +293,18 @@ def phrase_counts(texts: DataFrame, lexicon: DataFrame, n_tokens: int, least: in
         numbers = _numbers(lexicon, low, low + SLICE)
         texts = scratch.write(lambda texts=texts, numbers=numbers: _encoded(texts, numbers))
     last = max(0, -(-n_words // SLICE) - 1) * SLICE
-    dealt = _fragments(texts, _numbers(lexicon, last, n_words), parts, buckets, longest)
+    fragments = _fragments(texts, _numbers(lexicon, last, n_words), hot, buckets, longest)
 
     def run(table: pa.Table) -> pa.Table:
         read = [unpacked(x, longest) for x in table.column("fragments").to_pylist()]
         rows, weights = np.concatenate([r for r, _ in read]), np.concatenate([w for _, w in read]).astype(np.int64)
-        pivots = rows[:, longest - 1]
-        divided = np.zeros(len(rows), bool)
-        hot = pivots < len(parts)
-        divided[hot] = parts[pivots[hot]] > 1
         ids, counts = [], []
-        for phrases, found in mine(rows, weights, divided, least):
+        for phrases, found in mine(rows, weights, hot, least):
             ids += phrases.tolist()
             counts.append(found)
         return pa.table({"ids": pa.array(ids, pa.list_(pa.int32())), "f": pa.array(np.concatenate(counts) if counts else [], pa.int64())})
 
-    mined = dealt.groupBy("bucket").applyInArrow(run, "ids array<int>, f long")
-    return scratch.write(lambda: mined.groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    return scratch.write(lambda: fragments.groupBy("bucket").applyInArrow(run, "ids array<int>, f long"))
 
 
 def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
