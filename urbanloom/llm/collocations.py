@@ -40,7 +40,7 @@ DIVIDERS = b".,;:!?\n\x0b\x0c\r"
 MARK = b"\xff"
 FOLD = bytes.maketrans(DIVIDERS + bytes(range(65, 91)), MARK * len(DIVIDERS) + bytes(range(97, 123)))
 TOKENS_PER_BUCKET = 250_000
-TOKENS_PER_FLUSH = 1_000_000
+TOKENS_PER_FLUSH = 600_000
 #: Occurrences beyond which a pivot is divided.
 HOT = 100_000
 #: Words whose numbers one broadcast holds.
