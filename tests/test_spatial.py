@@ -1,5 +1,6 @@
 """Interpolation, shocks, grids, routing, overlays and classes against known figures and brute force."""
 
+import heapq
 import math
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from urbanloom.errors import GridInputError, ScenarioInputError
 from urbanloom.functions import columns as C
-from urbanloom.operators import matrices, reporting, routing, spatial
+from urbanloom.operators import geometry, matrices, networks, paths, reporting, routing, spatial
 
 
 def ring(*points):
@@ -38,12 +39,13 @@ def test_area_interpolation(spark, exact):
 
 
 def test_overlap_of_concave_polygons_and_holes():
+    shared = lambda a, b: geometry.shared_areas([a], [b])[0]
     u = [np.array([(0, 0), (6, 0), (6, 5), (4, 5), (4, 2), (2, 2), (2, 5), (0, 5)], float)]
-    assert spatial.overlap_area(u, [np.array([(0, 3), (6, 3), (6, 4), (0, 4)], float)]) == pytest.approx(4)
-    assert spatial.overlap_area(u, u) == pytest.approx(24)
+    assert shared(u, [np.array([(0, 3), (6, 3), (6, 4), (0, 4)], float)]) == pytest.approx(4)
+    assert shared(u, u) == pytest.approx(24)
     holed = [np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float), np.array([(1, 1), (3, 1), (3, 3), (1, 3)], float)]
-    assert spatial.overlap_area(holed, [np.array([(0, 0), (2, 0), (2, 2), (0, 2)], float)]) == pytest.approx(3)
-    assert spatial.overlap_area([np.array([(0, 0), (2, 0), (2, 2), (0, 2)], float)], holed) == pytest.approx(3)
+    assert shared(holed, [np.array([(0, 0), (2, 0), (2, 2), (0, 2)], float)]) == pytest.approx(3)
+    assert shared([np.array([(0, 0), (2, 0), (2, 2), (0, 2)], float)], holed) == pytest.approx(3)
 
 
 def test_shocks(spark):
@@ -112,18 +114,18 @@ def as_array(od, n):
 
 
 def test_standalone_routing(spark):
-    edges = routing.augmented_graph(places(spark), [STATIONS], STATIONS, routing.RoutingSettings(), 700.0)
-    times = as_array(routing.shortest_paths(edges, places(spark)), 6)
+    edges = routing.augmented_graph(places(spark), routing.Network.of(spark, [STATIONS], STATIONS), routing.RoutingSettings(), 700.0)
+    times = as_array(paths.shortest_paths(edges, places(spark)), 6)
     assert times == pytest.approx(np.array(EXPECTED), abs=1e-9)
-    assert as_array(routing.relaxation(edges, places(spark)), 6) == pytest.approx(times, abs=1e-12)
-    fixed = as_array(matrices.intrazonal(routing.shortest_paths(edges, places(spark)), "configured_constant", 1.0), 6)
+    assert as_array(paths.relaxation(edges, places(spark)), 6) == pytest.approx(times, abs=1e-12)
+    fixed = as_array(matrices.intrazonal(paths.shortest_paths(edges, places(spark)), "configured_constant", 1.0), 6)
     assert (np.diag(fixed) == 1).all()
 
 
-def test_direct_station_access(spark):
+def test_direct_station_access(spark, monkeypatch):
     points = [(0, 500), (1000, 500), (2000, 500), (3000, 500)]
     settings = routing.RoutingSettings(walking_kmh=5, network_kmh=60)
-    run = lambda c: as_array(routing.travel_times(places(spark, points), [[(0, 0), (3000, 0)]], STATIONS, settings, "legacy_access_network_egress", c), 4)
+    run = lambda c: as_array(routing.travel_times(places(spark, points), routing.Network.of(spark, [[(0, 0), (3000, 0)]], STATIONS), settings, "legacy_access_network_egress", c), 4)
     walk, ride = 5000 / 60, 1000.0
     p, s = np.array(points, float), np.array(STATIONS)
     access = np.hypot(*(p[:, None] - s[None]).transpose(2, 0, 1)) / walk
@@ -131,13 +133,18 @@ def test_direct_station_access(spark):
     direct = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) / walk
     brute = np.minimum(direct, (access[:, None, :, None] + net[None, None] + access[None, :, None, :]).min(axis=(2, 3)))
     assert run(None) == pytest.approx(brute, abs=1e-12)
+    monkeypatch.setattr(routing, "MAX_ACCESS_BYTES", 0)  # the same by joins of tables
+    assert run(None) == pytest.approx(brute, abs=1e-12)
+    joined = run(1)
+    monkeypatch.undo()
     one = run(1)
+    assert one == pytest.approx(joined, abs=1e-12)
     assert one == pytest.approx(one.T) and (one <= direct + 1e-12).all()
 
 
 def test_null_counterfactual_is_identical(spark):
     points = places(spark, [(0, 0), (1000, 0), (0, 1000)])
-    od = matrices.intrazonal(routing.travel_times(points, None, None, routing.RoutingSettings(walking_kmh=20, network_kmh=33)), "configured_constant", 1.0)
+    od = matrices.intrazonal(routing.travel_times(points, None, routing.RoutingSettings(walking_kmh=20, network_kmh=33)), "configured_constant", 1.0)
     row = matrices.summary(od, od).first()
     assert (row.improved, row.unchanged, row.slower) == (0, 9, 0)
 
@@ -145,7 +152,7 @@ def test_null_counterfactual_is_identical(spark):
 def test_unreachable_and_components(spark):
     edges = spark.createDataFrame([("p:0", "p:1", 1.0, "point_walk")], "src string, dst string, minutes double, kind string")
     points = places(spark, [(0, 0), (1, 0), (9, 9)])
-    od = routing.shortest_paths(edges, points)
+    od = paths.shortest_paths(edges, points)
     assert od.where(F.col("minutes") == float("inf")).count() == 4
     with pytest.raises(ValueError, match="unreachable"):
         routing.require_reachable(od)
@@ -155,20 +162,134 @@ def test_unreachable_and_components(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3}
 
 
-def test_snapping_and_splitting():
-    lines = routing.snap_endpoints([[(0, 0), (10, 0)], [(10.6, 0), (20, 0)], [(50, 0), (60, 0)]], 1.0)
-    assert lines[0][-1] == lines[1][0] == pytest.approx((10.3, 0)) and lines[2] == [(50, 0), (60, 0)]
-    assert routing.snap_endpoints([[(0, 0), (0.1, 0)]], 0) == [[(0, 0), (0.1, 0)]]
-    pieces = routing.split_at_discs([[(0, 0), (10, 0)]], [(5, 0.3)], 0.5)
-    assert len(pieces) == 3 and pieces[1][0] == pytest.approx((4.6, 0)) and pieces[1][1] == pytest.approx((5.4, 0))
-
-
-def test_noding_crossings():
-    metres, snapped = routing.station_distances([[(0, 0), (10, 0)], [(5, -5), (5, 5)]], [(0, 1), (5.2, 5)])
+def as_lines(segs):
+    lines = {}
+    for r in segs.orderBy("line_id", "seg").collect():
+        lines.setdefault(r.line_id, []).append(((r.x0, r.y0), (r.x1, r.y1)))
+    return lines
+
+
+def test_snapping_and_splitting(spark):
+    snap = lambda lines, tolerance: as_lines(networks.snap_ends(networks.segments(spark, lines), tolerance))
+    lines = snap([[(0, 0), (10, 0)], [(10.6, 0), (20, 0)], [(50, 0), (60, 0)]], 1.0)
+    assert lines[0][0][1] == lines[1][0][0] == pytest.approx((10.3, 0)) and lines[2] == [((50, 0), (60, 0))]
+    assert snap([[(0, 0), (0.1, 0)]], 0) == {0: [((0, 0), (0.1, 0))]}
+    assert networks.moved_ends([(0, 0), (0.5, 0), (1.2, 0)], 1.0) == {(0, 0): (0.25, 0), (0.5, 0): (0.85, 0), (1.2, 0): (0.85, 0)}
+    stations = spark.createDataFrame([(0, 5.0, 0.3)], "station long, x double, y double")
+    split = networks.split_at_stations(networks.segments(spark, [[(0, 0), (10, 0)], [(0, float("nan")), (1, 1)]]), stations, 0.5)
+    pieces = as_lines(split.segs)
+    assert len(pieces[0]) == 3 and pieces[0][1] == (pytest.approx((4.6, 0)), pytest.approx((5.4, 0)))
+    assert [r.line_id for r in split.failed.collect()] == [1] and len(pieces[1]) == 1
+
+
+def brute_crossings(lines):
+    parts = [(i, k, np.array(p), np.array(q)) for i, line in enumerate(lines) for k, (p, q) in enumerate(zip(line, line[1:], strict=False))]
+    found = set()
+    for a, (i, k, p, q) in enumerate(parts):
+        for j, m, r, s in parts[a + 1 :]:
+            d, e, f = q - p, s - r, r - p
+            cross = d[0] * e[1] - d[1] * e[0]
+            if abs(cross) < 1e-12:
+                continue
+            t, u = (f[0] * e[1] - f[1] * e[0]) / cross, (f[0] * d[1] - f[1] * d[0]) / cross
+            if 0 <= t <= 1 and 0 <= u <= 1:
+                found |= {x for x in ((i, k, round(t, 9)), (j, m, round(u, 9))) if 0 < x[2] < 1}
+    return found
+
+
+@pytest.mark.parametrize("size", [None, 3.0, 40.0, 1000.0])
+def test_crossings_against_all_pairs(spark, size):
+    rng = np.random.default_rng(8)
+    lines = [[tuple(map(float, p)) for p in np.cumsum(rng.normal(0, 12, (9, 2)), axis=0) + rng.uniform(-30, 30, 2)] for _ in range(8)]
+    got = networks.crossings(networks.segments(spark, lines), size).collect()
+    expect = brute_crossings(lines)
+    assert len(expect) > 30 and {(r.line_id, r.seg, round(r.t, 9)) for r in got} == expect
+    for r in got:
+        p, q = lines[r.line_id][r.seg : r.seg + 2]
+        assert (r.x, r.y) == pytest.approx((p[0] + r.t * (q[0] - p[0]), p[1] + r.t * (q[1] - p[1])), abs=1e-8)
+
+
+def test_parallel_lines_cut_each_other_at_their_ends(spark):
+    lines = [[(0, 0), (10, 0)], [(4, 0), (20, 0)], [(0, 1), (9, 1)], [(3, 0), (3, 0)]]
+    assert {(r.line_id, r.t) for r in networks.crossings(networks.segments(spark, lines)).collect()} == {(0, 0.4), (1, 0.375)}
+    whole = as_lines(networks.noded(networks.segments(spark, lines)))
+    assert whole[0] == [((0, 0), (4, 0)), ((4, 0), (10, 0))] and whole[1] == [((4, 0), (10, 0)), ((10, 0), (20, 0))] and 3 not in whole
+
+
+def test_noding_crossings(spark):
+    def distances(lines, stations):
+        network = routing.Network.of(spark, lines, stations)
+        metres, snapped = networks.station_distances(network.segs, network.stations)
+        n = len(stations)
+        found = np.zeros((n, n))
+        for r in metres.collect():
+            found[r.s, r.t] = r.metres
+        return found, [(r.x, r.y) for r in snapped.orderBy("station").collect()]
+
+    metres, snapped = distances([[(0, 0), (10, 0)], [(5, -5), (5, 5)]], [(0, 1), (5.2, 5)])
     assert snapped == [(0.0, 0.0), (5.0, 5.0)]
     assert metres == pytest.approx(np.array([[0, 10], [10, 0]]))
+    # Two stations on one segment, and one on the crossing.
+    metres, _ = distances([[(0, 0), (10, 0)], [(5, -5), (5, 5)]], [(1, 1), (4, -2), (5, 0)])
+    assert metres == pytest.approx(np.array([[0, 6, 4], [6, 0, 2], [4, 2, 0]]))
     with pytest.raises(ValueError, match="connect"):
-        routing.station_distances([[(0, 0), (1, 0)], [(5, 5), (6, 5)]], [(0, 0), (6, 5)])
+        distances([[(0, 0), (1, 0)], [(5, 5), (6, 5)]], [(0, 0), (6, 5)])
+
+
+def test_breakpoints_repeat_no_place(spark):
+    rows = [(0, 0.0, 1), (0, 5e-9, 0), (0, 1.2e-8, 2), (0, 1.0, 1), (0, 1.0, 0), (0, 2.0, 2), (1, 0.0, 1)]
+    frame = spark.createDataFrame([(a, b, b, 0.0, c) for a, b, c in rows], "line_id long, location double, x double, y double, rank int")
+    # Each place is compared with the one before it; a stop is where its first rank is.
+    got = {(r.line_id, r.location, r["rank"]): (r.stop, r["at"].x) for r in networks.breakpoints(frame).collect()}
+    assert [got[r] for r in rows] == [(1, 5e-9), (1, 5e-9), (1, 5e-9), (2, 1.0), (2, 1.0), (3, 2.0), (1, 0.0)]
+
+
+def heap_times(n, edges, origin):
+    best, heap = {origin: 0.0}, [(0.0, origin)]
+    while heap:
+        d, a = heapq.heappop(heap)
+        if d > best[a]:
+            continue
+        for b, w in edges[a]:
+            if d + w < best.get(b, float("inf")):
+                best[b] = d + w
+                heapq.heappush(heap, (d + w, b))
+    return [best.get(k, float("inf")) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_labels_against_a_heap(seed):
+    rng = np.random.default_rng(seed)
+    n, m = 80, 160
+    a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+    w = rng.choice([0.0, 1.0, 2.5, 40.0], m) + rng.uniform(0, 1, m) * (seed > 0)
+    edges = [[] for _ in range(n)]
+    for x, y, c in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+        edges[x].append((y, c))
+        edges[y].append((x, c))
+    origins = np.array([0, 5, 33, 79])
+    got = paths.labels(paths.Arcs.both_ways(a, b, w, n), origins)
+    for k, o in enumerate(origins):
+        assert got[:, k].tolist() == pytest.approx(heap_times(n, edges, int(o)), abs=1e-12)
+
+
+def test_large_graphs_stay_in_tables(spark, monkeypatch):
+    points = places(spark, [(float(k % 5), float(k // 5)) for k in range(25)])
+    edges = routing.walking_graph(points, routing.RoutingSettings(), 2.0)
+    dense = as_array(paths.shortest_paths(edges, points), 25)
+    monkeypatch.setattr(paths, "MAX_GRAPH_BYTES", 0)
+    assert as_array(paths.shortest_paths(edges, points), 25) == pytest.approx(dense, abs=1e-12)
+    monkeypatch.undo()
+    monkeypatch.setattr(paths, "BATCH", 7)
+    monkeypatch.setattr(paths, "PIECE_ROWS", 60)
+    assert as_array(paths.shortest_paths(edges, points), 25) == pytest.approx(dense, abs=1e-12)
+
+
+def test_graph_report(spark):
+    points, network = places(spark), routing.Network.of(spark, [STATIONS], STATIONS)
+    split = routing.split_network(network, routing.RoutingSettings())
+    report = {r.kind: r.n_edges for r in routing.graph_report(routing.augmented_graph(points, network, routing.RoutingSettings(), 700.0, split), points, split.failed).collect()}
+    assert report["walking_components"] == 1 and report["failed_splits"] == 0 and report["station_connector"] == len(STATIONS)
 
 
 @pytest.mark.parametrize("k", [1, 3])
@@ -183,7 +304,7 @@ def test_nearest_against_brute_force(spark, k):
 
 
 def test_network_layers(spark):
-    segs = lambda lines: routing.segments(spark, lines)
+    segs = lambda lines: networks.segments(spark, lines)
     before, after = segs([[(0, 5), (10, 5)], [(0, 8), (5, 8)]]), segs([[(0, 5), (20, 5)]])
     existing, added, removed = reporting.overlay_layers(before, after)
     assert existing.select("line_id").distinct().count() == 2

@@ -50,9 +50,3 @@ def test_interactive_grid_and_shocks(spark):
     assert len(hats) == cells.count() and all(h == pytest.approx(0.99) for h in hats)
     with pytest.raises(ValueError, match="cells"):
         variants.browser_grid(spark, (10.0, 50.0, 11.0, 51.0), 0.5)
-
-
-def test_interactive_times(spark):
-    points = spark.createDataFrame([(0, 0.0, 0.0), (1, 3000.0, 0.0), (2, 0.0, 500.0)], "loc_idx long, x double, y double")
-    times = {(r.o_idx, r.d_idx): r.minutes for r in variants.browser_times(points, [[(0.0, 0.0), (3000.0, 0.0)]], None, 5.0, 60.0).collect()}
-    assert times[0, 0] == 1 and times[0, 1] == pytest.approx(3.0) and times[1, 2] == pytest.approx(3.0 + 6.0)

@@ -94,7 +94,7 @@ def significant3(value: float) -> str:
     return f"{value:.3g}"
 
 
-# Polygons are arrays of rings, rings arrays of (x, y) structs; the first ring is the shell, others are holes.
+# Polygons are arrays of rings, rings arrays of (x, y) structs. A ring inside an even number of the others is a shell, else a hole.
 
 
 def _turns(ring: Column) -> Column:
@@ -109,9 +109,29 @@ def ring_signed_area(ring: Column) -> Column:
     return _sum(F.transform(_turns(ring), lambda t: t["a"]["x"] * t["b"]["y"] - t["b"]["x"] * t["a"]["y"])) / 2
 
 
+def _ring_signs(rings: Column) -> Column:
+    """1 for each ring that is a shell, -1 for a hole. Rings that touch do so in points, so the middle of an edge decides."""
+
+    def sign(ring: Column, k: Column) -> Column:
+        x, y = ((F.get(ring, F.lit(0))[c] + F.get(ring, F.lit(1))[c]) / 2 for c in "xy")
+        around = F.filter(rings, lambda other, j: (j != k) & point_in_ring(x, y, other))
+        return F.when(F.size(around) % 2 == 0, 1.0).otherwise(-1.0)
+
+    return F.when(F.size(rings) == 1, F.array(F.lit(1.0))).otherwise(F.transform(rings, sign))
+
+
 def polygon_area(rings: Column) -> Column:
-    areas = F.transform(rings, lambda ring, i: F.when(i == 0, F.abs(ring_signed_area(ring))).otherwise(-F.abs(ring_signed_area(ring))))
-    return _sum(areas)
+    return _sum(F.zip_with(rings, _ring_signs(rings), lambda ring, sign: sign * F.abs(ring_signed_area(ring))))
+
+
+def polygon_centroid(rings: Column) -> Column:
+    """(x, y) of the centroid of all shells less all holes; the mean of the points where the area is 0."""
+    weights = F.zip_with(rings, _ring_signs(rings), lambda ring, sign: sign * F.abs(ring_signed_area(ring)))
+    whole = _sum(weights)
+    moment = lambda axis: _sum(F.zip_with(rings, weights, lambda ring, w: F.when(w != 0, w * ring_centroid(ring)[axis]).otherwise(0.0)))
+    points = F.flatten(rings)
+    mean = lambda axis: F.try_divide(_sum(F.transform(points, lambda p: p[axis])), F.size(points))
+    return F.struct(*[F.when(whole != 0, moment(axis) / whole).otherwise(mean(axis)).alias(axis) for axis in "xy"])
 
 
 def ring_centroid(ring: Column) -> Column:

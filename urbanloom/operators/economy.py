@@ -1,104 +1,212 @@
 """The spatial model: inversion, closed and open cities, and the fixed-distribution benchmark.
 
-With row factors r and column factors s the flow matrix is r_i K_ij s_j, so a pass of the fixed point needs
-products of kernels with vectors, never the matrix of probabilities. Vectors have one entry a location and live on
-the driver; kernels are N x N and live on executors as row blocks (BlockedKernels), or, for cities that fit one
-task, in one process (DenseKernels). The solvers do not know which.
+With row factors r and column factors s the flow matrix is r_i K_ij s_j, so a pass of a fixed point needs products of
+kernels with vectors, never the matrix of probabilities. Vectors have one entry a location, the square root of the
+matrices' size, and live on the driver; kernels are N x N and stay on executors as blocks of rows (BlockedKernels).
+
+Solvers are generators: they ask for products and are sent the answers. ``together`` runs any number of them in step, a
+job a round for all: each task takes every exponential of its block once, multiplies it with all the vectors, lets each
+solver make the factors of the block's rows out of their products, and multiplies those with the block's columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanloom.lineage import cut
 from urbanloom.plans.parameters import TINY, Parameters
 
-#: A product asks for sum_j w_ij exp(-decay m_ij) v_j: (matrix, decay, weight matrix or None, vector).
+#: A kernel w_ij exp(-decay m_ij): (matrix, decay, weight matrix or None).
+Kernel = tuple[int, float, int | None]
+#: A product asks for sum_j kernel_ij v_j.
 Ask = tuple[int, float, int | None, np.ndarray]
+#: What a row's factor is made of: the rows' numbers and their products.
+Factor = Callable[[np.ndarray, list[np.ndarray]], np.ndarray]
+#: Values of one matrix in a block at most, and blocks for each partition.
+BLOCK_VALUES, BLOCKS_PER_PARTITION = 1 << 22, 4
+#: Partial vectors that one task or the driver adds up.
+FAN = 32
+
+
+@dataclass(frozen=True)
+class Products:
+    """Products by rows; then, of a factor that each row makes of its own products, one by columns."""
+
+    rows: Sequence[Ask] = ()
+    factor: Factor | None = None
+    back: Kernel | None = None
+
+
+@dataclass
+class Answer:
+    rows: list[np.ndarray]
+    factor: np.ndarray | None = None
+    back: np.ndarray | None = None
+
+
+Solver = Generator[Products, Answer, Any]
 
 
-class Kernels(Protocol):
+def block_products(at: np.ndarray, minutes: Sequence[np.ndarray], requests: Sequence[Products]) -> list[Answer]:
+    """The answers of rows ``at``, whose minutes to all locations are given by matrix; ``back`` is their part of the sum."""
+    made: dict[Kernel, np.ndarray] = {}
+
+    def kernel(key: Kernel) -> np.ndarray:
+        matrix, decay, weight = key
+        if key not in made:
+            plain = np.exp(-decay * minutes[matrix]) if weight is None else kernel((matrix, decay, None)) * minutes[weight]
+            made[key] = plain
+        return made[key]
+
+    vectors: dict[Kernel, list[np.ndarray]] = {}
+    for request in requests:
+        for *key, v in request.rows:
+            vectors.setdefault(tuple(key), []).append(v)
+    products = {key: iter((kernel(key) @ np.stack(vs, axis=1)).T) for key, vs in vectors.items()}
+    out = []
+    for request in requests:
+        rows = [next(products[tuple(key)]) for *key, _ in request.rows]
+        factor = request.factor(at, rows) if request.factor else None
+        out.append(Answer(rows, factor, factor @ kernel(request.back) if request.back else None))
+    return out
+
+
+def _by_row(answers: Sequence[Answer]) -> list[np.ndarray]:
+    return [x for a in answers for x in [*a.rows, *([a.factor] if a.factor is not None else [])]]
+
+
+class Kernels:
     n: int
 
-    def rows(self, asks: Sequence[Ask]) -> list[np.ndarray]: ...
+    def answer(self, requests: Sequence[Products]) -> list[Answer]:
+        raise NotImplementedError
+
+    def rows(self, asks: Sequence[Ask]) -> list[np.ndarray]:
+        return self.answer([Products(asks)])[0].rows
 
     def columns(self, ask: Ask) -> np.ndarray:
         """sum_i w_ij exp(-decay m_ij) v_i."""
+        *key, v = ask
+        return self.answer([Products((), lambda at, _: v[at], tuple(key))])[0].back
 
 
-class DenseKernels:
+class DenseKernels(Kernels):
+    """The same on arrays of this process, for cities that come as arrays."""
+
     def __init__(self, *minutes: np.ndarray):
-        self.minutes, self.n, self._made = minutes, len(minutes[0]), {}
+        self.minutes, self.n = minutes, len(minutes[0])
 
-    def _kernel(self, matrix: int, decay: float, weight: int | None) -> np.ndarray:
-        key = (matrix, decay, weight)
-        if key not in self._made:
-            made = np.exp(-decay * self.minutes[matrix])
-            self._made[key] = made if weight is None else made * self.minutes[weight]
-        return self._made[key]
+    def answer(self, requests: Sequence[Products]) -> list[Answer]:
+        return block_products(np.arange(self.n), self.minutes, requests)
 
-    def rows(self, asks: Sequence[Ask]) -> list[np.ndarray]:
-        return [self._kernel(m, c, w) @ v for m, c, w, v in asks]
 
-    def columns(self, ask: Ask) -> np.ndarray:
-        m, c, w, v = ask
-        return v @ self._kernel(m, c, w)
+def row_blocks(n: int, *matrices: DataFrame) -> DataFrame:
+    """first, m0, m1, ...: the minutes of consecutive origins to all ``n`` destinations, packed as 64-bit floats.
 
-
-def row_blocks(*matrices: DataFrame) -> DataFrame:
-    """o_idx, m0, m1, ...: each origin's minutes in destination order. Cache it: solvers scan it in each pass."""
-    out = None
+    One shuffle of the pairs (o_idx, d_idx, minutes) of all matrices; a pair that is missing raises.
+    """
+    spark = matrices[0].sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    height = max(1, min(-(-n // (slots * BLOCKS_PER_PARTITION)), BLOCK_VALUES // max(1, n)))
+    partitions = max(slots, -(-n // height) // BLOCKS_PER_PARTITION)
+    names = [f"m{k}" for k in range(len(matrices))]
+    pairs = None
     for k, od in enumerate(matrices):
-        rows = od.groupBy("o_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("d_idx", "minutes"))), lambda p: p["minutes"]).alias(f"m{k}"))
-        out = rows if out is None else out.join(rows, "o_idx")
-    return out
+        own = od.select(F.floor(F.col("o_idx") / height).alias("block"), F.lit(k).alias("matrix"), F.col("o_idx").cast("long").alias("o_idx"), F.col("d_idx").cast("long").alias("d_idx"), F.col("minutes").cast("double").alias("minutes"))
+        pairs = own if pairs is None else pairs.unionByName(own)
 
+    def pack(table: pa.Table) -> pa.Table:
+        block, matrix, o, d, minutes = (table.column(c).to_numpy() for c in ("block", "matrix", "o_idx", "d_idx", "minutes"))
+        first = int(block[0]) * height
+        rows = np.full((len(names), min(height, n - first), n), np.nan)
+        rows[matrix, o - first, d] = minutes
+        if np.isnan(rows).any():
+            raise ValueError(f"minutes are missing from origins {first} to {first + rows.shape[1] - 1}")
+        return pa.table({"first": [first]} | {c: [m.tobytes()] for c, m in zip(names, rows, strict=True)})
 
-class BlockedKernels:
-    """Products as one job over cached row blocks; results are vectors of one entry a location."""
+    return pairs.repartition(partitions, "block").groupBy("block").applyInArrow(pack, "first long, " + ", ".join(f"{c} binary" for c in names))
 
-    def __init__(self, blocks: DataFrame, n: int):
-        self.blocks, self.n = blocks, n
 
-    def rows(self, asks: Sequence[Ask]) -> list[np.ndarray]:
-        asks = [(m, c, w, np.asarray(v, float)) for m, c, w, v in asks]
+class BlockedKernels(Kernels):
+    """Answers as one job over blocks of rows, which a checkpoint keeps and the cluster's memory caches."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                stacked = {k: np.stack(batch[f"m{k}"].to_numpy()) for k in {a[0] for a in asks} | {a[2] for a in asks if a[2] is not None}}
-                out = {"o_idx": batch.o_idx}
-                for k, (m, c, w, v) in enumerate(asks):
-                    kernel = np.exp(-c * stacked[m])
-                    out[f"r{k}"] = (kernel if w is None else kernel * stacked[w]) @ v
-                yield pd.DataFrame(out)
+    def __init__(self, n: int, *matrices: DataFrame):
+        self.n = n
+        self.blocks = cut(row_blocks(n, *matrices)).persist()
+        self.names = [f"m{k}" for k in range(len(matrices))]
+        self.parts = self.blocks.rdd.getNumPartitions()
 
-        schema = "o_idx long, " + ", ".join(f"r{k} double" for k in range(len(asks)))
-        found = self.blocks.mapInPandas(run, schema).toPandas().sort_values("o_idx")
-        return [found[f"r{k}"].to_numpy(float) for k in range(len(asks))]
-
-    def columns(self, ask: Ask) -> np.ndarray:
-        m, c, w, v = ask
-        v = np.asarray(v, float)
+    def answer(self, requests: Sequence[Products]) -> list[Answer]:
+        n, names = self.n, self.names
+        used = sorted({m for r in requests for k in [*(tuple(a[:3]) for a in r.rows), *([r.back] if r.back else [])] for m in (k[0], k[2]) if m is not None})
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            first = 0
             for batch in batches:
-                kernel = np.exp(-c * np.stack(batch[f"m{m}"].to_numpy()))
-                if w is not None:
-                    kernel = kernel * np.stack(batch[f"m{w}"].to_numpy())
-                part = v[batch.o_idx.to_numpy()] @ kernel
-                total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"part": [total.tolist()]})
-
-        parts = self.blocks.mapInPandas(run, "part array<double>").collect()  # one vector a task
-        return np.sum([row.part for row in parts], axis=0)
+                for first, *packed in zip(*(batch.column(k).to_pylist() for k in range(1 + len(used))), strict=True):
+                    minutes = {m: np.frombuffer(x).reshape(-1, n) for m, x in zip(used, packed, strict=True)}
+                    at = np.arange(first, first + len(next(iter(minutes.values()))))
+                    found = block_products(at, minutes, requests)
+                    yield pa.RecordBatch.from_pydict({"request": pa.array([-1], pa.int32()), "part": pa.array([first], pa.int64()), "data": [b"".join(x.tobytes() for x in _by_row(found))]})
+                    for k, a in enumerate(found):
+                        if a.back is not None:
+                            sums[k] = sums.get(k, 0.0) + a.back
+            for k, total in sums.items():
+                yield pa.RecordBatch.from_pydict({"request": pa.array([k], pa.int32()), "part": pa.array([first], pa.int64()), "data": [total.tobytes()]})
+
+        def added(table: pa.Table) -> pa.Table:
+            data = table.column("data").to_pylist()
+            if table.column("request")[0].as_py() >= 0:
+                data = [np.sum([np.frombuffer(x) for x in data], axis=0).tobytes()]
+            return table.slice(0, 1).set_column(2, "data", [pa.array(data[:1], pa.binary())])
+
+        schema = "request int, part long, data binary"
+        out = self.blocks.select("first", *[names[m] for m in used]).mapInArrow(run, schema)
+        parts = self.parts if any(r.back for r in requests) else 0
+        while parts > FAN:  # sums by columns meet in a tree; what belongs to rows is a group of its own
+            parts = -(-parts // FAN)
+            share = F.when(F.col("request") < 0, F.col("part")).otherwise(F.pmod(F.xxhash64("part"), F.lit(parts)))
+            out = out.withColumn("share", share).groupBy("request", "share").applyInArrow(lambda table: added(table.drop_columns(["share"])), schema)
+        answers = [Answer([np.empty(n) for _ in r.rows], np.empty(n) if r.factor else None, np.zeros(n) if r.back else None) for r in requests]
+        slots = _by_row(answers)
+        for row in out.collect():
+            values = np.frombuffer(row.data)
+            if row.request >= 0:
+                answers[row.request].back += values
+                continue
+            for slot, own in zip(slots, np.split(values, len(slots)) if slots else [], strict=True):
+                slot[row.part : row.part + len(own)] = own
+        return answers
+
+
+def together(kernels: Kernels, solvers: Sequence[Solver]) -> list:
+    """What the solvers return, run in step: the products that all of them ask for in a round are one job."""
+    results: list[Any] = [None] * len(solvers)
+    asked: dict[int, Products] = {}
+
+    def advance(k: int, answer: Answer | None) -> None:
+        try:
+            asked[k] = solvers[k].send(answer)
+        except StopIteration as stop:
+            asked.pop(k, None)
+            results[k] = stop.value
+
+    for k in range(len(solvers)):
+        advance(k, None)
+    while asked:
+        running = list(asked)
+        for k, answer in zip(running, kernels.answer([asked[k] for k in running]), strict=True):
+            advance(k, answer)
+    return results
 
 
 @dataclass(frozen=True)
@@ -164,20 +272,27 @@ def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
     return np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0)
 
 
-def balance(kernels: Kernels, decay: float, rows: np.ndarray, columns: np.ndarray, tolerance: float, maximum: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Factors u, v with u K v on the given margins; the gap is looked at every tenth pass."""
+def balancing(decay: float, rows: np.ndarray, columns: np.ndarray, tolerance: float, maximum: int) -> Solver:
+    """Factors u, v with u K v on the given margins, and the passes; the gap is looked at every tenth pass."""
     v = np.where(columns > 0, 1.0, 0.0)
-    (forth,) = kernels.rows([(0, decay, None, v)])
+    ask = lambda v: Products([(0, decay, None, v)], lambda at, forth: _ratio(rows[at], forth[0]), (0, decay, None))
+    found = yield ask(v)
     for k in range(1, maximum + 1):
-        u = _ratio(rows, forth)
-        v = _ratio(columns, kernels.columns((0, decay, None, u)))
-        (forth,) = kernels.rows([(0, decay, None, v)])
+        u, v = found.factor, _ratio(columns, found.back)
+        if k == maximum:
+            break
+        back = found.back
+        found = yield ask(v)  # the next pass's products show this one's gap
         # After the column step the columns fit, so the rows carry the gap; both are compared all the same.
-        if k % 10 == 0 and max(np.abs(u * forth - rows).max(), np.abs(kernels.columns((0, decay, None, u)) * v - columns).max()) < tolerance:
+        if k % 10 == 0 and max(np.abs(u * found.rows[0] - rows).max(), np.abs(back * v - columns).max()) < tolerance:
             return u, v, k
     return u, v, maximum
 
 
+def balance(kernels: Kernels, decay: float, rows: np.ndarray, columns: np.ndarray, tolerance: float, maximum: int) -> tuple[np.ndarray, np.ndarray, int]:
+    return together(kernels, [balancing(decay, rows, columns, tolerance, maximum)])[0]
+
+
 def floor_space(city: City, wage: np.ndarray, income: np.ndarray, p: Parameters) -> dict[str, np.ndarray]:
     """output, shops and homes (floor space), density, theta (the shops' share) and produced (total productivity) from wages and incomes."""
     works, lives = city.employment > 0, city.population > 0
@@ -189,33 +304,60 @@ def floor_space(city: City, wage: np.ndarray, income: np.ndarray, p: Parameters)
     return {"output": output, "shops": shops, "homes": homes, "density": _ratio(floor, city.land_area**p.land_share), "theta": _ratio(shops, floor), "produced": produced}
 
 
+def floor_space_columns(p: Parameters) -> dict[str, Column]:
+    """floor_space() over a table with population, employment_model, rent_floor_space, land_area, wage and income."""
+    works, lives, rent = F.col("employment_model") > 0, F.col("population") > 0, F.col("rent_floor_space")
+    over = lambda top, bottom: F.when(bottom > 0, top / bottom).otherwise(0.0)
+    output = F.when(works, F.col("wage") * F.col("employment_model") / p.alpha).otherwise(0.0)
+    shops = F.when(works, (1 - p.alpha) * output / rent).otherwise(0.0)
+    homes = F.when(lives, (1 - p.beta) * F.col("income") / rent).otherwise(0.0)
+    made = F.pow("employment_model", F.lit(p.alpha)) * F.pow(F.greatest(shops, F.lit(TINY)), F.lit(1 - p.alpha))
+    produced = F.when(works, output / F.greatest(made, F.lit(TINY))).otherwise(0.0)
+    return {"output": output, "shops": shops, "homes": homes, "density": over(shops + homes, F.pow("land_area", F.lit(p.land_share))), "theta": over(shops, shops + homes), "produced": produced}
+
+
 def _utility(p: Parameters, amenity: np.ndarray, rent: np.ndarray, reach: np.ndarray) -> float:
     pull = np.where(amenity > 0, amenity**p.epsilon * rent ** (-(1 - p.beta) * p.epsilon), 0.0)
     return p.gamma_constant * float(np.sum(pull * reach)) ** (1 / p.epsilon)
 
 
+def land_rent_column(p: Parameters) -> Column:
+    """land_rent() over a table with q_com, q_res, theta, density and land_area."""
+    floor = F.col("density") * F.pow("land_area", F.lit(p.land_share))
+    return p.land_share * (F.col("q_com") * F.col("theta") * floor + F.col("q_res") * (1 - F.col("theta")) * floor)
+
+
 def expected_utility(kernels: Kernels, p: Parameters, amenity: np.ndarray, rent: np.ndarray, wage: np.ndarray) -> float:
     """The utility that all locations' amenities, rents and reachable wages offer together."""
     (reach,) = kernels.rows([(0, p.epsilon * p.kappa, None, np.where(wage > 0, wage**p.epsilon, 0.0))])
     return _utility(p, amenity, rent, reach)
 
 
-def invert(city: City, kernels: Kernels, p: Parameters) -> Inversion:
-    """Amenities and wages that reproduce the margins, and the primitives behind them. Matrix 0 is the baseline."""
+def margins_balanced(city: City, p: Parameters) -> Solver:
+    total = float(city.population.sum())
+    return (yield from balancing(p.epsilon * p.kappa, city.population / total, city.employment / total, max(p.tolerance, 1e-12), p.maximum_iterations))
+
+
+def inverting(city: City, p: Parameters, balanced: tuple[np.ndarray, np.ndarray, int] | None = None) -> Solver:
+    """Amenities and wages that reproduce the margins, and the primitives behind them. Matrix 0 is the baseline.
+
+    ``balanced``: the margins' factors where they are known already; they do not depend on spillovers.
+    """
     total = float(city.population.sum())
     rows, columns = city.population / total, city.employment / total
     lives, works = rows > 0, columns > 0
     decay = p.epsilon * p.kappa
-    u, v, iterations = balance(kernels, decay, rows, columns, max(p.tolerance, 1e-12), p.maximum_iterations)
+    u, v, iterations = balanced or (yield from margins_balanced(city, p))
     wage = np.where(works, np.maximum(v, TINY) ** (1 / p.epsilon), 0.0)
     wage = wage / np.average(wage[works], weights=city.employment[works])
     amenity = np.where(lives, np.maximum(u, TINY) ** (1 / p.epsilon) * city.rent ** (1 - p.beta), 0.0)
     amenity = amenity / np.average(amenity[lives], weights=city.population[lives])
     by_land = lambda x: _ratio(x, city.land_area)
     weighted = wage**p.epsilon * works
-    paid, reach, jobs, people, mass = kernels.rows([
+    found = yield Products([
         (0, decay, None, v * wage), (0, decay, None, v), (0, p.productivity_decay, None, by_land(city.employment)), (0, p.amenity_decay, None, by_land(city.population)), (0, decay, None, weighted),
-    ])
+    ], lambda at, _: u[at], (0, decay, None))
+    paid, reach, jobs, people, mass = found.rows
     income = total * u * paid
     space = floor_space(city, wage, income, p)
     output, density, theta, produced = (space[c] for c in ("output", "density", "theta", "produced"))
@@ -224,18 +366,32 @@ def invert(city: City, kernels: Kernels, p: Parameters) -> Inversion:
     utility = _utility(p, amenity, city.rent, mass)
     start = {"wage": wage, "income": income, "theta": theta, "q_res": city.rent, "q_com": city.rent, "employment": city.employment, "population": city.population}
     state = start | {"output": output, "combined_rent": city.rent, "total_productivity": produced, "total_amenity": amenity, "productivity": productivity, "amenity": liking}
-    gaps = float(np.abs(u * reach - rows).max()), float(np.abs(v * kernels.columns((0, decay, None, u)) - columns).max())
+    gaps = float(np.abs(u * reach - rows).max()), float(np.abs(v * found.back - columns).max())
     made = Fundamentals(productivity, liking, density, city.land_area, start)
     return Inversion(made, state, utility, u, v, iterations, max(gaps) < max(p.tolerance, 1e-10), *gaps)
 
 
+def invert(city: City, kernels: Kernels, p: Parameters) -> Inversion:
+    return together(kernels, [inverting(city, p)])[0]
+
+
 def _log_gap(old: np.ndarray, new: np.ndarray, mask: np.ndarray | None = None) -> float:
     if mask is not None:
         old, new = old[mask], new[mask]
     return float(np.max(np.abs(np.log(np.maximum(old, TINY)) - np.log(np.maximum(new, TINY))))) if old.size else 0.0
 
 
-def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels, reservation_utility: float | None = None, matrix: int = 0, report=None, stopping: str = "log_gap") -> Solution:
+def _residence_pull(p: Parameters, amenity: np.ndarray, lives: np.ndarray, rent: np.ndarray) -> Factor:
+    """Row factors of the flows: what draws residents, made of the second product (people near)."""
+
+    def pull(at: np.ndarray, products: list[np.ndarray]) -> np.ndarray:
+        liked = amenity[at] * np.maximum(products[1], TINY) ** p.amenity_spillover
+        return np.where(lives[at], liked**p.epsilon * rent[at] ** (-(1 - p.beta) * p.epsilon), 0.0)
+
+    return pull
+
+
+def solving_closure(closure: str, p: Parameters, f: Fundamentals, reservation_utility: float | None = None, matrix: int = 0, report=None, stopping: str = "log_gap") -> Solver:
     """The damped fixed point of a closed or an open city, on travel times ``matrix`` of the kernels.
 
     ``stopping`` is "log_gap" (below the tolerance) or "rounded" (old and new values equal to two digits).
@@ -256,16 +412,16 @@ def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels
     path: list[float] = []
     for k in range(1, p.maximum_iterations + 1):
         s = np.where(works, wage**p.epsilon, 0.0)
-        near_jobs, near_people, reach, paid = kernels.rows([
+        found = yield Products([
             (matrix, p.productivity_decay, None, by_land(jobs)), (matrix, p.amenity_decay, None, by_land(people)), (matrix, decay, None, s), (matrix, decay, None, s * wage),
-        ])
+        ], _residence_pull(p, f.amenity, lives, q_res), (matrix, decay, None))
+        (near_jobs, near_people, reach, paid), r = found.rows, found.factor
         productivity = f.productivity * np.maximum(near_jobs, TINY) ** p.productivity_spillover
         amenity = f.amenity * np.maximum(near_people, TINY) ** p.amenity_spillover
-        r = np.where(lives, amenity**p.epsilon * q_res ** (-(1 - p.beta) * p.epsilon), 0.0)
         mass = float(r @ reach)
         if not np.isfinite(mass) or mass <= 0:
             raise RuntimeError("commuting probabilities are undefined")
-        people, jobs = total * r * reach / mass, total * s * kernels.columns((matrix, decay, None, r)) / mass
+        people, jobs = total * r * reach / mass, total * s * found.back / mass
         income = total * r * paid / mass
         output = np.where(works, productivity * np.maximum(jobs, TINY) ** p.alpha * np.maximum(theta * floor, TINY) ** (1 - p.alpha), 0.0)
         new_wage = np.where(works, p.alpha * output / np.maximum(jobs, TINY), wage)
@@ -298,22 +454,27 @@ def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels
     return Solution(closure, state, f, r / mass, s, total, utility, settled, len(path), path)
 
 
-def solve_fixed_distribution(p: Parameters, f: Fundamentals, kernels: Kernels, baseline: Solution) -> Solution:
+def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels, reservation_utility: float | None = None, matrix: int = 0, report=None, stopping: str = "log_gap") -> Solution:
+    return together(kernels, [solving_closure(closure, p, f, reservation_utility, matrix, report, stopping)])[0]
+
+
+def fixing_distribution(p: Parameters, f: Fundamentals, baseline: Solution) -> Solver:
     """People and jobs stay; productivity, amenities, wages and commuting respond. Matrix 1 is the counterfactual."""
     e = baseline.state
     jobs, people = e["employment"], e["population"]
     decay, r, s = p.epsilon * p.kappa, baseline.row_factor, baseline.column_factor
-    near_jobs, near_people, t0, t1 = kernels.rows([
-        (1, p.productivity_decay, None, _ratio(jobs, f.land_area)), (1, p.amenity_decay, None, _ratio(people, f.land_area)), (0, decay, 0, s), (0, decay, 1, s),
-    ])
+    found = yield Products([
+        (1, p.productivity_decay, None, _ratio(jobs, f.land_area)), (1, p.amenity_decay, None, _ratio(people, f.land_area)), (0, decay, 0, s), (0, decay, 1, s), (0, decay, None, s),
+    ], lambda at, _: r[at], (0, decay, None))
+    near_jobs, near_people, t0, t1, reach = found.rows
     productivity = f.productivity * np.maximum(near_jobs, TINY) ** p.productivity_spillover
     amenity = f.amenity * np.maximum(near_people, TINY) ** p.amenity_spillover
     floor = e["theta"] * f.density * f.land_area**p.land_share
     works = jobs > 0
     output = np.where(works, productivity * np.where(works, jobs, 1.0) ** p.alpha * np.maximum(floor, TINY) ** (1 - p.alpha), 0.0)
     wage = np.where(works, p.alpha * output / np.where(works, jobs, 1.0), 0.0)
-    paid, reach = kernels.rows([(0, decay, None, s * wage), (0, decay, None, s)])
-    margins = r * reach, s * kernels.columns((0, decay, None, r))
+    (paid,) = (yield Products([(0, decay, None, s * wage)])).rows
+    margins = r * reach, s * found.back
     change = lambda new, old, share: float(np.sum(share * np.log(np.maximum(new, TINY) / np.maximum(old, TINY))))
     parts = {
         "commuting": float(-p.kappa * (r @ t1 - r @ t0)), "productivity_wage": change(wage, e["wage"], margins[1]), "amenity": change(amenity, e["total_amenity"], margins[0]),
@@ -324,18 +485,22 @@ def solve_fixed_distribution(p: Parameters, f: Fundamentals, kernels: Kernels, b
     return Solution("fixed_distribution", state, f, r, s, baseline.population, baseline.utility * float(np.exp(parts["total"])), True, 0, [], welfare)
 
 
+def solve_fixed_distribution(p: Parameters, f: Fundamentals, kernels: Kernels, baseline: Solution) -> Solution:
+    return together(kernels, [fixing_distribution(p, f, baseline)])[0]
+
+
 def land_rent(p: Parameters, solution: Solution) -> np.ndarray:
     e, f = solution.state, solution.fundamentals
     floor = f.density * f.land_area**p.land_share
     return p.land_share * (e["q_com"] * e["theta"] * floor + e["q_res"] * (1 - e["theta"]) * floor)
 
 
-def aggregate_row(p: Parameters, kernels: Kernels, baseline: Solution, after: Solution, specification: str) -> dict:
+def aggregating(p: Parameters, baseline: Solution, after: Solution, specification: str) -> Solver:
     """The appraisal's aggregate percentages. The matrix of ``after``'s flows is 1, or 0 for a fixed distribution."""
     decay = p.epsilon * p.kappa
     s0, s1 = baseline.column_factor, after.column_factor
     own = 0 if after.closure == "fixed_distribution" else 1
-    b0, b1, a1 = kernels.rows([(0, decay, 0, s0), (0, decay, 1, s0), (own, decay, 1, s1)])
+    b0, b1, a1 = (yield Products([(0, decay, 0, s0), (0, decay, 1, s0), (own, decay, 1, s1)])).rows
     t00, t01, t11 = baseline.row_factor @ b0, baseline.row_factor @ b1, after.row_factor @ a1
     pct = lambda new, old: 100 * (float(new) / float(old) - 1)
     return {
@@ -354,65 +519,56 @@ STATE_COLUMNS = ("wage", "income", "theta", "output", "q_res", "q_com", "employm
 OUTCOMES = {"employment": "employment", "population": "population", "wage": "wage", "rent_residential": "q_res", "rent_commercial": "q_com", "output": "output"}
 
 
-def appraise(city: City, kernels: Kernels, p: Parameters, hats: dict[str, np.ndarray] | None = None, closures: Sequence[str] = ("closed", "open"), spillovers: Sequence[bool] = (True, False), report=None) -> list[tuple[str, Solution, Solution, dict, Parameters]]:
-    """For each specification and closure, then the fixed distribution: (specification, baseline, counterfactual, aggregate row)."""
-    out = []
-    for with_spillovers in spillovers:
-        q = p if with_spillovers else p.without_spillovers()
-        name = "with_spillovers" if with_spillovers else "no_spillovers"
-        inversion = invert(city, kernels, q)
-        shocked = inversion.fundamentals.shocked(**(hats or {}))
-        closed = None
-        for closure in closures:
-            before = solve_closure(closure, q, inversion.fundamentals, kernels, inversion.utility, 0, report)
-            after = solve_closure(closure, q, shocked, kernels, inversion.utility, 1, report)
-            if not (before.converged and after.converged):
-                raise RuntimeError(f"{name}, {closure} city did not converge")
-            closed = before if closure == "closed" else closed
-            out.append((name, before, after, aggregate_row(q, kernels, before, after, name), q))
-        closed = closed or solve_closure("closed", q, inversion.fundamentals, kernels, None, 0, report)
-        fixed = solve_fixed_distribution(q, shocked, kernels, closed)
-        out.append((name, closed, fixed, aggregate_row(q, kernels, closed, fixed, name), q))
-    return out
+def appraise(city: City, kernels: Kernels, p: Parameters, hats: dict[str, np.ndarray] | None = None, closures: Sequence[str] = ("closed", "open"), spillovers: Sequence[bool] = (True, False), report=None, inversions: dict[str, Inversion] | None = None) -> list[tuple[str, Solution, Solution, dict, Parameters]]:
+    """For each specification and closure, then the fixed distribution: (specification, baseline, counterfactual, aggregate row, parameters).
+
+    All fixed points run in step, so an appraisal takes as many jobs as its slowest one has passes. ``inversions``: by
+    specification, where they are known already, as from a saved state.
+    """
+    variants = [("with_spillovers" if x else "no_spillovers", p if x else p.without_spillovers()) for x in spillovers]
+    known = inversions or invert_variants(city, kernels, variants)
+    shocked = {name: known[name].fundamentals.shocked(**(hats or {})) for name, _ in variants}
+    wanted = {name: [*closures, *(["closed"] if "closed" not in closures else [])] for name, _ in variants}
+    sides = []
+    for name, q in variants:
+        say = (lambda text, name=name: report(f"{name}: {text}")) if report else None
+        for closure in wanted[name]:
+            sides.append((name, closure, "before", solving_closure(closure, q, known[name].fundamentals, known[name].utility, 0, say)))
+            if closure in closures:
+                sides.append((name, closure, "after", solving_closure(closure, q, shocked[name], known[name].utility, 1, say)))
+    solved = dict(zip([side[:3] for side in sides], together(kernels, [side[3] for side in sides]), strict=True))
+    for name, closure, side in solved:
+        if closure in closures and not solved[name, closure, side].converged:
+            raise RuntimeError(f"{name}, {closure} city did not converge")
+    fixed = together(kernels, [fixing_distribution(q, shocked[name], solved[name, "closed", "before"]) for name, q in variants])
+    rows = []
+    for (name, q), still in zip(variants, fixed, strict=True):
+        rows += [(name, solved[name, c, "before"], solved[name, c, "after"], q) for c in closures]
+        rows.append((name, solved[name, "closed", "before"], still, q))
+    summed = together(kernels, [aggregating(q, before, after, name) for name, before, after, q in rows])
+    return [(name, before, after, row, q) for (name, before, after, q), row in zip(rows, summed, strict=True)]
+
+
+def invert_variants(city: City, kernels: Kernels, variants: Sequence[tuple[str, Parameters]]) -> dict[str, Inversion]:
+    """Inversions by name; the margins are balanced once, as spillovers do not change their factors."""
+    (balanced,) = together(kernels, [margins_balanced(city, variants[0][1])])
+    found = together(kernels, [inverting(city, q, balanced) for _, q in variants])
+    return {name: inversion for (name, _), inversion in zip(variants, found, strict=True)}
 
 
-#: Locations up to which a specification's kernels are held in one task.
-DENSE_LIMIT = 4000
-#: Rows of appraise_in_tasks(): the aggregate row, and vectors by name in location order.
-TASK_SCHEMA = AGGREGATE_SCHEMA + ", before map<string,array<double>>, after map<string,array<double>>, welfare map<string,double>"
+#: Rows of solved_rows(): the aggregate row, and vectors by name in location order.
+SOLVED_SCHEMA = AGGREGATE_SCHEMA + ", before map<string,array<double>>, after map<string,array<double>>, welfare map<string,double>"
 
 
-def _task_rows(solved: Sequence[tuple]) -> list[dict]:
+def solved_rows(spark: SparkSession, solved: Sequence[tuple]) -> DataFrame:
+    """What appraise() returns as a table; its vectors have one entry a location."""
     rows = []
     for _, before, after, row, q in solved:
         sides = {}
         for name, s in (("before", before), ("after", after)):
             sides[name] = {k: np.asarray(s.state[k], float).tolist() for k in STATE_COLUMNS} | {"annual_land_rent": land_rent(q, s).tolist()}
         rows.append(row | sides | {"welfare": after.welfare or None})
-    return rows
-
-
-def task_rows(spark: SparkSession, solved: Sequence[tuple]) -> DataFrame:
-    """What appraise() returns, as the rows of appraise_in_tasks()."""
-    return spark.createDataFrame(_task_rows(solved), TASK_SCHEMA)
-
-
-def appraise_in_tasks(blocks: DataFrame, city: City, p: Parameters, hats: dict[str, np.ndarray] | None = None, closures: Sequence[str] = ("closed", "open"), spillovers: Sequence[bool] = (True, False)) -> DataFrame:
-    """appraise() with each specification's whole fixed point in one task, all of them at once.
-
-    For cities whose kernels fit a task (8 N squared bytes each): the matrices go from row blocks to the tasks that
-    use them and never to the driver. Larger cities take BlockedKernels.
-    """
-    n = len(city.population)
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("o_idx")
-        kernels = DenseKernels(np.stack(ordered.m0.to_numpy()), np.stack(ordered.m1.to_numpy()))
-        assert kernels.n == n
-        return pd.DataFrame(_task_rows(appraise(city, kernels, p, hats, closures, (bool(key[0]),))))
-
-    each = blocks.withColumn("spillovers", F.explode(F.array(*[F.lit(bool(x)) for x in spillovers])))
-    return each.groupBy("spillovers").applyInPandas(run, TASK_SCHEMA)
+    return spark.createDataFrame(rows, SOLVED_SCHEMA)
 
 
 PRIMITIVES = ("fundamental_productivity", "fundamental_amenity", "structural_density", "wage", "commercial_floor_share", "total_productivity", "total_amenity", "expected_income")
@@ -425,18 +581,6 @@ def primitives(inversion: Inversion) -> pd.DataFrame:
     return pd.DataFrame({"loc_idx": np.arange(len(f.density), dtype=np.int64)} | dict(zip(PRIMITIVES, values, strict=True)))
 
 
-def inverted(blocks: DataFrame, city: City, p: Parameters) -> DataFrame:
-    """loc_idx and PRIMITIVES: in one task up to DENSE_LIMIT locations, over cached row blocks beyond. ``blocks`` have m0."""
-    n = len(city.population)
-    if n > DENSE_LIMIT:
-        return blocks.sparkSession.createDataFrame(primitives(invert(city, BlockedKernels(blocks.persist(), n), p)))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return primitives(invert(city, DenseKernels(np.stack(frame.sort_values("o_idx").m0.to_numpy())), p))
-
-    return blocks.select("o_idx", "m0", F.lit(True).alias("all")).groupBy("all").applyInPandas(run, "loc_idx long, " + ", ".join(f"{c} double" for c in PRIMITIVES))
-
-
 def aggregate_of(solved: DataFrame) -> DataFrame:
     return solved.select(*[f.split()[0] for f in AGGREGATE_SCHEMA.split(", ")])
 

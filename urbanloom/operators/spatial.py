@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from urbanloom.errors import GridInputError, ScenarioInputError
 from urbanloom.functions import columns as C
 from urbanloom.lineage import cut
+from urbanloom.operators import geometry
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -60,66 +62,10 @@ def bounds_of(rings: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def clip_by_convex(subject: np.ndarray, window: np.ndarray) -> float:
-    """Area of a ring inside a convex counter-clockwise window. Bridges of concave subjects enclose no area."""
-    points = subject
-    for a, b in zip(window, np.roll(window, -1, axis=0), strict=True):
-        if len(points) == 0:
-            return 0.0
-        side = (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0])
-        kept: list[np.ndarray] = []
-        for k in range(len(points)):
-            p, q, sp, sq = points[k], points[(k + 1) % len(points)], side[k], side[(k + 1) % len(points)]
-            if sp >= 0:
-                kept.append(p)
-            if (sp > 0 > sq) or (sp < 0 < sq):
-                kept.append(p + (q - p) * (sp / (sp - sq)))
-        points = np.array(kept)
-    if len(points) < 3:
-        return 0.0
-    x, y = points[:, 0], points[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y))) / 2
-
-
-def _ears(ring: np.ndarray) -> list[np.ndarray]:
-    """Triangles of a simple ring, by cutting ears."""
-    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    points = [tuple(p) for p in ring]
-    x, y = ring[:, 0], ring[:, 1]
-    if np.dot(x, np.roll(y, -1)) < np.dot(np.roll(x, -1), y):
-        points.reverse()
-    triangles = []
-    while len(points) > 3:
-        for k in range(len(points)):
-            a, b, c = points[k - 1], points[k], points[(k + 1) % len(points)]
-            if turn(a, b, c) <= 0:
-                continue
-            if any(turn(a, b, p) >= 0 and turn(b, c, p) >= 0 and turn(c, a, p) >= 0 for p in points if p not in (a, b, c)):
-                continue
-            triangles.append(np.array([a, b, c]))
-            del points[k]
-            break
-        else:
-            del points[0]  # a spike without area
-    triangles.append(np.array(points))
-    return triangles
-
-
-def overlap_area(left: Sequence[np.ndarray], right: Sequence[np.ndarray]) -> float:
-    """Area shared by two polygons with holes: the right one's rings are cut into triangles, shells count and holes take away."""
-    total = 0.0
-    for k, ring in enumerate(right):
-        for triangle in _ears(ring):
-            for j, subject in enumerate(left):
-                total += (-1 if k else 1) * (-1 if j else 1) * clip_by_convex(subject, triangle)
-    return max(0.0, total)
-
-
-def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rings = lambda polygon: [np.array([(p["x"], p["y"]) for p in ring], float) for ring in polygon]
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        areas = [overlap_area(rings(a), rings(b)) for a, b in zip(batch.source_rings, batch.target_rings, strict=True)]
-        yield pd.DataFrame({"source_id": batch.source_id, "target_id": batch.target_id, "overlap": areas})
+        areas = geometry.shared_areas(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(areas)], ["source_id", "target_id", "overlap"])
 
 
 def _cells(box: Column, size: float) -> Column:
@@ -145,7 +91,7 @@ def polygon_overlaps(source: DataFrame, target: DataFrame, bucket: float, exact_
         shared = C.box_overlap((a["x0"], a["y0"], a["x1"], a["y1"]), (b["x0"], b["y0"], b["x1"], b["y1"]))
         found = pairs.select("source_id", "target_id", shared.alias("overlap"))
     else:
-        found = pairs.select("source_id", "target_id", "source_rings", "target_rings").mapInPandas(_overlaps, "source_id long, target_id long, overlap double")
+        found = pairs.select("source_id", "target_id", "source_rings", "target_rings").mapInArrow(_overlaps, "source_id long, target_id long, overlap double")
     return found.where("overlap > 0")
 
 

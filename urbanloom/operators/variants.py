@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.functions import columns as C
-from urbanloom.operators import economy, routing, spatial
+from urbanloom.operators import economy, spatial
 from urbanloom.plans.parameters import TINY, Parameters
 
 KM_PER_DEGREE_LON, KM_PER_DEGREE_LAT = 111.32, 110.574
@@ -105,7 +105,7 @@ def browser_grid(spark: SparkSession, bounds: tuple[float, float, float, float],
     if cells.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} cells; choose a larger size")
     back = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["x"] / kx + lon0).alias("x"), (p["y"] / ky + lat0).alias("y"))))
-    centre = C.ring_centroid(F.col("rings")[0])
+    centre = C.polygon_centroid(F.col("rings"))
     return cells.select("grid_sequence", (centre["x"] / kx + lon0).alias("lon"), (centre["y"] / ky + lat0).alias("lat"), back.alias("rings"))
 
 
@@ -142,20 +142,3 @@ def browser_shocks(cells: DataFrame, policies: DataFrame) -> DataFrame:
     inside = cells.join(F.broadcast(policies.select(F.col("rings").alias("policy"), "pct")), C.point_in_polygon(F.col("lon"), F.col("lat"), F.col("policy")))  # drawn by hand, so few
     found = inside.groupBy("grid_sequence").agg(F.product(1 + F.col("pct") / 100).alias("hat"))
     return cells.select("grid_sequence").join(found, "grid_sequence", "left").select("grid_sequence", F.coalesce("hat", F.lit(1.0)).alias("hat"))
-
-
-def browser_times(points: DataFrame, lines: list[routing.Line], stations: list[tuple[float, float]] | None, off_kmh: float, on_kmh: float) -> DataFrame:
-    """Minutes on the local plane (x, y in metres): lines noded, entered at stations, or anywhere with none, the least of
-    direct and network times, a diagonal of 1."""
-    from urbanloom.operators import matrices
-
-    direct = matrices.direct_minutes(points, off_kmh)
-    if lines:
-        places = stations or [(float(r.x), float(r.y)) for r in points.orderBy("loc_idx").collect()]
-        metres, snapped = routing.station_distances(lines, places)
-        spark = points.sparkSession
-        # Without stations the network is entered at every location's nearest point on it.
-        known = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(snapped)], "station long, x double, y double")
-        between = spark.createDataFrame([(i, j, float(metres[i, j] / C.metres_per_minute(on_kmh))) for i in range(len(metres)) for j in range(len(metres))], "s long, t long, minutes double")
-        direct = routing.direct_station_access(direct, routing.access_minutes(points, known, off_kmh), between)
-    return matrices.intrazonal(direct, "configured_constant", 1.0)

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanloom.functions import columns as C
-from urbanloom.operators import economy, matrices, reporting, routing, spatial
+from urbanloom.lineage import cut
+from urbanloom.operators import economy, geometry, matrices, networks, reporting, routing, spatial
 from urbanloom.plans.parameters import Parameters
 from urbanloom.sources import city
 
@@ -156,11 +157,23 @@ def hexagon_grid(spark, sf_dir):
     return spatial.hexagon_grid(spark, box, centre, 1200.0).select("grid_sequence", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
+@query("repaired_polygons", ", w AS (SELECT loc_idx, 100.0 + loc_idx % 7 * 10 AS w FROM site) SELECT loc_idx, round(w * w * CASE loc_idx % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 ELSE 1.5 END, 6)::DOUBLE AS area, 2 AS n_rings FROM w")
+def repaired_polygons(spark, sf_dir):
+    """At each site a bow-tie, a box in a box of the same direction, or two boxes that overlap: the even-odd inside."""
+    x, y, w = F.col("x"), F.col("y"), 100.0 + F.col("loc_idx") % 7 * 10
+    point = lambda a, b: F.struct((x + a * w).alias("x"), (y + b * w).alias("y"))
+    square = lambda low, high: F.array(point(low, low), point(high, low), point(high, high), point(low, high))
+    kind = F.col("loc_idx") % 3
+    rings = F.when(kind == 0, F.array(F.array(point(0, 0), point(1, 1), point(1, 0), point(0, 1)))).when(kind == 1, F.array(square(0, 1), square(0.25, 0.75))).otherwise(F.array(square(0, 1), square(0.5, 1.5)))
+    made = geometry.repaired(city.sites(spark, sf_dir).select("loc_idx", rings.alias("coords")))
+    return made.select("loc_idx", r6(C.polygon_area(F.col("coords"))).alias("area"), F.size("coords").alias("n_rings"))
+
+
 @query("polygon_area_centroid", HEX_SQL + " SELECT grid_sequence, 1440000.0::DOUBLE AS area, round(x, 3) + 0.0 AS cx, round(y, 3) + 0.0 AS cy FROM hex")
 def polygon_area_centroid(spark, sf_dir):
     box, centre = city_bounds(spark, sf_dir)
     grid = spatial.hexagon_grid(spark, box, centre, 1200.0)
-    centre = C.ring_centroid(F.col("rings")[0])
+    centre = C.polygon_centroid(F.col("rings"))
     return grid.select("grid_sequence", F.round(C.polygon_area(F.col("rings")), 3).alias("area"), r6(centre["x"], 3).alias("cx"), r6(centre["y"], 3).alias("cy"))
 
 
@@ -363,11 +376,11 @@ def shortest_paths_walking(spark, sf_dir):
     return times.withColumn("minutes", r6(F.col("minutes")))
 
 
-def line_network(spark, sf_dir) -> tuple[list, list]:
+def line_network(spark, sf_dir) -> routing.Network:
     """One straight line through the middle row, with a station at every third location of it."""
     _, side = city.size(spark, sf_dir)
     y = float(side // 2) * city.SPACING
-    return [[(0.0, y), ((side - 1) * city.SPACING, y)]], [(k * city.SPACING, y) for k in range(0, side, 3)]
+    return routing.Network.of(spark, [[(0.0, y), ((side - 1) * city.SPACING, y)]], [(k * city.SPACING, y) for k in range(0, side, 3)])
 
 
 @query("direct_station_access", """, sta AS (SELECT k AS station, k * 1000.0::DOUBLE AS sx, (side // 2) * 1000.0::DOUBLE AS sy FROM (SELECT side, unnest(range(0, side, 3)) AS k FROM n)),
@@ -375,14 +388,12 @@ acc AS (SELECT loc_idx, station, sqrt((x - sx)^2 + (y - sy)^2) / (4.0 * 1000 / 6
 reach AS (SELECT loc_idx AS o_idx, t, min(access + ride) AS m FROM acc JOIN ride ON station = s GROUP BY ALL), via AS (SELECT o_idx, loc_idx AS d_idx, min(m + access) AS via FROM reach JOIN acc ON t = station GROUP BY ALL),
 dir AS (SELECT a.loc_idx AS o_idx, b.loc_idx AS d_idx, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) / (4.0 * 1000 / 60) AS m FROM site a, site b) SELECT o_idx, d_idx, round(least(m, via), 6) + 0.0 AS minutes FROM dir JOIN via USING (o_idx, d_idx)""")
 def direct_station_access(spark, sf_dir):
-    lines, places = line_network(spark, sf_dir)
-    times = routing.travel_times(city.sites(spark, sf_dir), lines, places, routing.RoutingSettings(), "direct_station_access")
+    times = routing.travel_times(city.sites(spark, sf_dir), line_network(spark, sf_dir), routing.RoutingSettings(), "direct_station_access")
     return times.withColumn("minutes", r6(F.col("minutes")))
 
 
 def standalone_times(spark, sf_dir) -> DataFrame:
-    lines, places = line_network(spark, sf_dir)
-    return routing.travel_times(city.sites(spark, sf_dir), lines, places, routing.RoutingSettings(), "standalone_ttmatrix", cell=1500.0)
+    return routing.travel_times(city.sites(spark, sf_dir), line_network(spark, sf_dir), routing.RoutingSettings(), "standalone_ttmatrix", cell=1500.0)
 
 
 @query("standalone_routing", None)
@@ -392,8 +403,9 @@ def standalone_routing(spark, sf_dir):
 
 @query("graph_report", None)
 def graph_report(spark, sf_dir):
-    lines, places = line_network(spark, sf_dir)
-    return routing.graph_report(routing.augmented_graph(city.sites(spark, sf_dir), lines, places, routing.RoutingSettings(), 1500.0))
+    points, network, settings = city.sites(spark, sf_dir), line_network(spark, sf_dir), routing.RoutingSettings()
+    split = routing.split_network(network, settings)
+    return routing.graph_report(cut(routing.augmented_graph(points, network, settings, 1500.0, split)), points, split.failed)
 
 
 @query("path_stats", "SELECT count(*) FILTER (o_idx % 50 = 1 AND d_idx % 50 = 2) AS unreachable, round(max(minutes) FILTER (o_idx <> d_idx AND NOT (o_idx % 50 = 1 AND d_idx % 50 = 2)), 6) AS maximum, round(avg(minutes) FILTER (o_idx <> d_idx AND NOT (o_idx % 50 = 1 AND d_idx % 50 = 2)), 6) AS mean FROM od")
@@ -427,17 +439,15 @@ def commute_kernel_margins(spark, sf_dir):
     return margins.crossJoin(F.broadcast(total)).select("loc_idx", "side", r6(F.col("phi") / F.col("total"), 9).alias("share"))
 
 
-def in_one_task(blocks: DataFrame, n: int, solve: Callable[[economy.Kernels], dict], schema: str) -> DataFrame:
-    """What ``solve`` makes of the kernels, as rows: in a task for cities that fit one, else on cached row blocks."""
-    if n > economy.DENSE_LIMIT:
-        return blocks.sparkSession.createDataFrame(pd.DataFrame(solve(economy.BlockedKernels(blocks.persist(), n))), schema)
-    names = [c for c in blocks.columns if c != "o_idx"]
+def kernels(spark: SparkSession, sf_dir: str, both: bool = False) -> economy.BlockedKernels:
+    """Blocks of the baseline's rows, and with ``both`` of the counterfactual's."""
+    n, _ = city.size(spark, sf_dir)
+    return economy.BlockedKernels(n, baseline(spark, sf_dir), *([counterfactual(spark, sf_dir)] if both else []))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("o_idx")
-        return pd.DataFrame(solve(economy.DenseKernels(*(np.stack(ordered[c].to_numpy()) for c in names))))
 
-    return blocks.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(run, schema)
+def vectors(spark: SparkSession, columns: dict[str, np.ndarray], n: int) -> DataFrame:
+    """A table of vectors of one entry a location."""
+    return spark.createDataFrame(pd.DataFrame({"loc_idx": np.arange(n, dtype=np.int64)} | columns))
 
 
 PASS_SQL = """, m AS (SELECT loc_idx, population / (SELECT sum(population) FROM loc) AS r, employment_model / (SELECT sum(population) FROM loc) AS c FROM loc),
@@ -448,13 +458,9 @@ u2 AS (SELECT o_idx AS i, any_value(r) / sum(k * v) AS u FROM ker JOIN v1 ON d_i
 @query("sinkhorn_2_passes", PASS_SQL + " SELECT i AS loc_idx, round(u, 9) AS u, round(v, 6) AS v FROM u2 JOIN v2 ON i = j")
 def sinkhorn_2_passes(spark, sf_dir):
     town = economy.City.of(locations(spark, sf_dir))
-    total, n = town.population.sum(), len(town.population)
-
-    def solve(kernels):
-        u, v, _ = economy.balance(kernels, DECAY, town.population / total, town.employment / total, 0.0, 2)
-        return {"loc_idx": np.arange(n), "u": u, "v": v}
-
-    made = in_one_task(economy.row_blocks(baseline(spark, sf_dir)), n, solve, "loc_idx long, u double, v double")
+    total = town.population.sum()
+    u, v, _ = economy.balance(kernels(spark, sf_dir), DECAY, town.population / total, town.employment / total, 0.0, 2)
+    made = vectors(spark, {"u": u, "v": v}, len(u))
     return made.select("loc_idx", r6(F.col("u"), 9).alias("u"), r6(F.col("v")).alias("v"))
 
 
@@ -472,20 +478,18 @@ def spillover_density(spark, sf_dir):
 f AS (SELECT *, 0.2 * output / rent AS shops, 0.25 * income / rent AS homes FROM y) SELECT loc_idx, round(shops, 6) AS commercial, round(homes, 6) AS residential, round((shops + homes) / pow(land_area, 0.25), 6) AS density, round(shops / (shops + homes), 9) AS share,
 round(output / (pow(employment_model, 0.8) * pow(shops, 0.2)), 6) AS productivity FROM f""")
 def floor_space_inversion(spark, sf_dir):
-    town = economy.City.of(locations(spark, sf_dir))
-    k = np.arange(len(town.population))
-    found = economy.floor_space(town, 0.9 + (k % 7) / 20, 100.0 + k % 13, P)
-    made = spark.createDataFrame(pd.DataFrame({"loc_idx": k} | found))
-    return made.select("loc_idx", r6(F.col("shops")).alias("commercial"), r6(F.col("homes")).alias("residential"), r6(F.col("density")).alias("density"), r6(F.col("theta"), 9).alias("share"), r6(F.col("produced")).alias("productivity"))
+    k = F.col("loc_idx")
+    town = locations(spark, sf_dir).withColumns({"wage": 0.9 + (k % 7) / 20, "income": 100.0 + k % 13})
+    found = town.withColumns(economy.floor_space_columns(P))
+    return found.select("loc_idx", r6(F.col("shops")).alias("commercial"), r6(F.col("homes")).alias("residential"), r6(F.col("density")).alias("density"), r6(F.col("theta"), 9).alias("share"), r6(F.col("produced")).alias("productivity"))
 
 
 @query("reservation_utility", ", f AS (SELECT sum(k * pow(1 + (o_idx % 5) / 50, 4) * pow(rent, -1.0) * pow(0.9 + (d_idx % 7) / 20, 4)) AS phi FROM ker JOIN loc ON o_idx = loc_idx) SELECT round(gamma(0.75) * pow(phi, 0.25), 6) AS utility FROM f")
 def reservation_utility(spark, sf_dir):
     town = economy.City.of(locations(spark, sf_dir))
-    n = len(town.population)
-    k = np.arange(n)
-    solve = lambda kernels: {"utility": [economy.expected_utility(kernels, P, 1 + (k % 5) / 50, town.rent, 0.9 + (k % 7) / 20)]}
-    return in_one_task(economy.row_blocks(baseline(spark, sf_dir)), n, solve, "utility double").select(r6(F.col("utility")).alias("utility"))
+    k = np.arange(len(town.population))
+    found = economy.expected_utility(kernels(spark, sf_dir), P, 1 + (k % 5) / 50, town.rent, 0.9 + (k % 7) / 20)
+    return spark.createDataFrame([(found,)], "utility double").select(r6(F.col("utility")).alias("utility"))
 
 
 @query("commuting_market_access", "SELECT o_idx AS loc_idx, round(sum(k * pow(0.9 + (d_idx % 7) / 20, 4)), 6) AS access FROM ker GROUP BY o_idx")
@@ -513,13 +517,9 @@ def stepped(town: economy.City) -> tuple[economy.Fundamentals, dict]:
 round(0.5 * rent + 0.5 * (0.2 * output + 0.25 * income) / floor, 6) AS rent, round(0.5 * theta + 0.5 * 0.2 * output / (0.2 * output + 0.25 * income), 9) AS theta FROM y""")
 def equilibrium_one_step(spark, sf_dir):
     town = economy.City.of(locations(spark, sf_dir))
-    n, names = len(town.population), {"population": 6, "employment": 6, "income": 6, "output": 6, "wage": 6, "q_res": 6, "theta": 9}
-
-    def solve(kernels):
-        after = economy.solve_closure("closed", Parameters(damping=0.5, maximum_iterations=1), stepped(town)[0], kernels)
-        return {"loc_idx": np.arange(n)} | {c: after.state[c] for c in names}
-
-    made = in_one_task(economy.row_blocks(baseline(spark, sf_dir)), n, solve, "loc_idx long, " + ", ".join(f"{c} double" for c in names))
+    names = {"population": 6, "employment": 6, "income": 6, "output": 6, "wage": 6, "q_res": 6, "theta": 9}
+    after = economy.solve_closure("closed", Parameters(damping=0.5, maximum_iterations=1), stepped(town)[0], kernels(spark, sf_dir))
+    made = vectors(spark, {c: after.state[c] for c in names}, len(town.population))
     return made.select("loc_idx", *[r6(F.col(c), digits).alias("rent" if c == "q_res" else c) for c, digits in names.items()])
 
 
@@ -530,18 +530,12 @@ x AS (SELECT 'commuting' AS component, v FROM c UNION ALL SELECT 'productivity_w
 z AS (SELECT * FROM x UNION ALL SELECT 'total', sum(v) FROM x) SELECT component, round(v, 9) AS log_change, round(100 * (exp(v) - 1), 6) AS pct FROM z""")
 def fixed_distribution_welfare(spark, sf_dir):
     town = economy.City.of(locations(spark, sf_dir))
-    n, parts = len(town.population), ("commuting", "productivity_wage", "amenity", "total")
-    names = [f"{c}_{kind}" for c in parts for kind in ("log_change", "pct")]
-
-    def solve(kernels):
-        f, start = stepped(town)
-        ones = np.ones(n)
-        (near,), (reach,) = kernels.rows([(0, P.amenity_decay, None, town.population / town.land_area)]), kernels.rows([(0, DECAY, None, ones)])
-        state = start | {"total_amenity": f.amenity * near**P.amenity_spillover}
-        before = economy.Solution("closed", state, f, ones / reach.sum(), ones, float(town.population.sum()), 1.0, True, 0)
-        return {c: [x] for c, x in economy.solve_fixed_distribution(P, f, kernels, before).welfare.items()}
-
-    wide = in_one_task(economy.row_blocks(baseline(spark, sf_dir), counterfactual(spark, sf_dir)), n, solve, ", ".join(f"{c} double" for c in names))
+    held, (f, start) = kernels(spark, sf_dir, both=True), stepped(town)
+    ones = np.ones(held.n)
+    near, reach = held.rows([(0, P.amenity_decay, None, town.population / town.land_area), (0, DECAY, None, ones)])
+    state = start | {"total_amenity": f.amenity * near**P.amenity_spillover}
+    before = economy.Solution("closed", state, f, ones / reach.sum(), ones, float(town.population.sum()), 1.0, True, 0)
+    wide = spark.createDataFrame([economy.solve_fixed_distribution(P, f, held, before).welfare])
     return reporting.welfare_long(wide).select("component", r6(F.col("log_change"), 9).alias("log_change"), r6(F.col("pct")).alias("pct"))
 
 
@@ -594,14 +588,11 @@ def percent_changes(spark, sf_dir):
 @query("local_outcomes", """SELECT loc_idx, round(population, 6) AS population_baseline, round(population * (1 + (loc_idx % 5) / 100), 6) AS population_counterfactual, round(loc_idx % 5, 6)::DOUBLE AS population_pct,
 round(0.25 * (rent * 0.4 * 30 * pow(land_area, 0.25) + rent * 0.6 * 30 * pow(land_area, 0.25)), 6) AS annual_land_rent FROM loc""")
 def local_outcomes(spark, sf_dir):
-    k, loc = F.col("loc_idx"), locations(spark, sf_dir)
-    town = economy.City.of(loc)
-    n = len(town.population)
-    f = economy.Fundamentals(np.ones(n), np.ones(n), np.full(n, 30.0), town.land_area, {})
-    held = economy.Solution("closed", {"q_com": town.rent, "q_res": town.rent, "theta": np.full(n, 0.4)}, f, np.ones(n), np.ones(n), 1.0, 1.0, True, 0)
-    rents = spark.createDataFrame(pd.DataFrame({"loc_idx": np.arange(n), "annual_land_rent": economy.land_rent(P, held)}))
+    k = F.col("loc_idx")
+    held = {"q_com": F.col("rent_floor_space"), "q_res": F.col("rent_floor_space"), "theta": F.lit(0.4), "density": F.lit(30.0)}
+    loc = locations(spark, sf_dir).withColumns(held).withColumn("annual_land_rent", economy.land_rent_column(P))
     after = F.col("population") * (1 + (k % 5) / 100)
-    return loc.join(rents, "loc_idx").select("loc_idx", r6(F.col("population")).alias("population_baseline"), r6(after).alias("population_counterfactual"), r6(C.percent_change(after, F.col("population"))).alias("population_pct"), r6(F.col("annual_land_rent")).alias("annual_land_rent"))
+    return loc.select("loc_idx", r6(F.col("population")).alias("population_baseline"), r6(after).alias("population_counterfactual"), r6(C.percent_change(after, F.col("population"))).alias("population_pct"), r6(F.col("annual_land_rent")).alias("annual_land_rent"))
 
 
 @query("shock_percent", "SELECT loc_idx, primitive, round(h::DOUBLE, 6) + 0.0 AS pct FROM (SELECT loc_idx, (loc_idx % 4) * 5.0 AS productivity_hat, 0.0 AS amenity_hat, -(loc_idx % 3) * 2.0 AS structural_density_hat FROM site) UNPIVOT (h FOR primitive IN (productivity_hat, amenity_hat, structural_density_hat))")
@@ -649,26 +640,21 @@ def slugs(spark, sf_dir):
 
 @query("consecutive_vertices", ", v AS (SELECT CAST(y AS BIGINT) AS line_id, x, y, row_number() OVER (PARTITION BY y ORDER BY x) AS k, lead(x) OVER (PARTITION BY y ORDER BY x) AS nx FROM site) SELECT line_id, k AS seg, round(nx - x, 6) AS length FROM v WHERE nx IS NOT NULL")
 def consecutive_vertices(spark, sf_dir):
-    w = W.partitionBy("line_id").orderBy("x")
-    v = city.sites(spark, sf_dir).select(F.col("y").cast("long").alias("line_id"), "x").withColumns({"seg": F.row_number().over(w).cast("long"), "nx": F.lead("x").over(w)})
-    return v.where("nx is not null").select("line_id", "seg", r6(F.col("nx") - F.col("x")).alias("length"))
+    points = city.sites(spark, sf_dir).select(F.col("y").cast("long").alias("line_id"), F.col("x").alias("at"), "x", "y")
+    found = networks.consecutive_vertices(points)
+    return found.select("line_id", "seg", r6(C.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("length"))
 
 
 def appraised(spark: SparkSession, sf_dir: str, spillovers=(True,), closures=("closed",)) -> DataFrame:
-    """The derived city's appraisal: fixed points in tasks, or, for cities too large for one, over row blocks."""
-    n, _ = city.size(spark, sf_dir)
-    blocks = economy.row_blocks(baseline(spark, sf_dir), counterfactual(spark, sf_dir))
+    """The derived city's appraisal, all its fixed points in step over one set of row blocks."""
     town, p = economy.City.of(locations(spark, sf_dir)), Parameters(damping=0.5)
-    if n <= economy.DENSE_LIMIT:
-        return economy.appraise_in_tasks(blocks, town, p, None, closures, spillovers)
-    solved = economy.appraise(town, economy.BlockedKernels(blocks.persist(), n), p, closures=closures, spillovers=spillovers)
-    return economy.task_rows(spark, solved)
+    return economy.solved_rows(spark, economy.appraise(town, kernels(spark, sf_dir, both=True), p, None, closures, spillovers))
 
 
 @query("inversion_full")
 def inversion_full(spark, sf_dir):
-    found = economy.inverted(economy.row_blocks(baseline(spark, sf_dir)), economy.City.of(locations(spark, sf_dir)), Parameters())
-    return city.sites(spark, sf_dir).select("loc_idx", "location_id").join(found, "loc_idx")
+    found = economy.primitives(economy.invert(economy.City.of(locations(spark, sf_dir)), kernels(spark, sf_dir), Parameters()))
+    return city.sites(spark, sf_dir).select("loc_idx", "location_id").join(spark.createDataFrame(found), "loc_idx")
 
 
 @query("closed_city")

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanloom.errors import GridInputError, MatrixInputError, UnsupportedCrs
+from urbanloom.errors import GridInputError, MatrixInputError, ScenarioInputError, UnsupportedCrs
 from urbanloom.functions import columns as C
 from urbanloom.lineage import cut
-from urbanloom.operators import economy, matrices, reporting, routing, spatial
+from urbanloom.operators import economy, geometry, matrices, networks, reporting, routing, spatial
 from urbanloom.plans import config as configuration
 from urbanloom.plans import outputs
 from urbanloom.plans.parameters import Parameters
@@ -124,7 +124,7 @@ def generate_grid_inputs(layer: DataFrame, settings: Mapping[str, Any]) -> tuple
     keys = layer.select(F.explode(F.map_keys("properties")).alias("k")).distinct()
     if missing := set(names.values()) - {r.k for r in keys.collect()}:
         raise GridInputError(f"source layers have no {', '.join(sorted(missing))}")
-    source = reprojected(layer, crs).select("source_id", F.col("coords").alias("rings"), *values, *([F.col("properties")[settings["original_id_variable"]].alias("original_id")] if settings.get("original_id_variable") else []))
+    source = geometry.repaired(reprojected(layer, crs)).where(F.size("coords") > 0).select("source_id", F.col("coords").alias("rings"), *values, *([F.col("properties")[settings["original_id_variable"]].alias("original_id")] if settings.get("original_id_variable") else []))
     extensive, intensive = ["population", "employment_raw"], [c for c in ("developed", "rent_raw") if c in names]
     original = settings["cell_geometry"] == "original"
     if original:
@@ -148,7 +148,7 @@ def generate_grid_inputs(layer: DataFrame, settings: Mapping[str, Any]) -> tuple
         ready = spatial.rent_normalized(ready, "rent_raw")
     else:
         ready = spatial.synthetic_rent(ready, float(settings.get("synthetic_rent_population_elasticity", 0.25)), float(settings.get("synthetic_rent_random_spread", 0.1)), int(settings.get("random_seed", 1)))
-    centre = C.ring_centroid(F.col("rings")[0])
+    centre = C.polygon_centroid(F.col("rings"))
     out = ready.select(
         "loc_idx", "location_id", "population", "employment_raw", "employment_model", "rent_floor_space", C.polygon_area(F.col("rings")).alias("land_area"),
         centre["x"].alias("x"), centre["y"].alias("y"), "rings", F.lit(crs).alias("crs"),
@@ -157,37 +157,47 @@ def generate_grid_inputs(layer: DataFrame, settings: Mapping[str, Any]) -> tuple
     return out, report
 
 
-def prepare_grid_inputs(attributes: DataFrame, geometry: DataFrame, settings: Mapping[str, Any]) -> DataFrame:
-    """Standardise a ready-made grid: attributes joined with polygons by id, employment balanced, areas in metres."""
+def prepare_grid_inputs(attributes: DataFrame, polygons: DataFrame, settings: Mapping[str, Any]) -> DataFrame:
+    """Standardise a ready-made grid: attributes joined with polygons by id, employment balanced, areas in metres.
+
+    Polygons are repaired; one without area raises. Without ``geometry_id_variable`` both sides use ``id_variable``.
+    """
     # The file's order is the locations' order.
     ids = attributes.withColumn("__order", F.monotonically_increasing_id()).select(
         "__order", C.canonical_id(F.col(settings["id_variable"])).alias("location_id"), C.strict_double(F.col(settings["population_variable"]), "population").alias("population"),
         C.strict_double(F.col(settings["employment_variable"]), "employment").alias("employment_raw"), C.strict_double(F.col(settings["rent_variable"]), "rent").alias("rent_floor_space"),
     )
-    crs = projected_crs(geometry, settings.get("target_crs"))
-    shapes = reprojected(geometry, crs).select(C.canonical_id(F.col("properties")[settings["geometry_id_variable"]]).alias("location_id"), F.col("coords").alias("rings"))
+    crs = projected_crs(polygons, settings.get("target_crs"))
+    named = settings.get("geometry_id_variable") or settings["id_variable"]
+    shapes = geometry.repaired(reprojected(polygons, crs).select(C.canonical_id(F.col("properties")[named]).alias("location_id"), F.col("coords").alias("rings")), "rings")
+    shapes = cut(shapes)
+    if shapes.where("location_id is null").limit(1).count():
+        raise GridInputError(f"geometry without {named}")
+    if shapes.groupBy("location_id").count().where("count > 1").limit(1).count():
+        raise GridInputError("geometry with repeated location identifiers")
+    flat = [r.location_id for r in ids.join(shapes, "location_id").where((F.size("rings") == 0) | (C.polygon_area(F.col("rings")) <= 0)).select("location_id").limit(5).collect()]
+    if flat:
+        raise GridInputError(f"locations without land area: {', '.join(flat)}")
     if ids.join(shapes, "location_id", "left_anti").limit(1).count():
         raise GridInputError("locations without geometry")
-    centre = C.ring_centroid(F.col("rings")[0])
+    centre = C.polygon_centroid(F.col("rings"))
     joined = spatial.employment_balanced(ids.join(shapes, "location_id")).withColumn("loc_idx", F.row_number().over(W.orderBy("__order")).cast("long") - 1).drop("__order")
     return joined.withColumns({"land_area": C.polygon_area(F.col("rings")), "x": centre["x"], "y": centre["y"], "crs": F.lit(crs)})
 
 
-def network_lists(lines: DataFrame, stations: DataFrame, crs: str) -> tuple[list, list]:
-    """The network's lines and stations in ``crs`` on the driver; a station that is no point counts by its vertices' mean."""
-    read = lambda layer: reprojected(layer, crs).orderBy("feature", "part").select("coords").collect()
-    parts = [[(p.x, p.y) for p in ring] for row in read(lines) for ring in row.coords if len(ring) > 1]
-    places = []
-    for row in read(stations):
-        points = [p for ring in row.coords for p in ring]
-        if points:
-            places.append((sum(p.x for p in points) / len(points), sum(p.y for p in points) / len(points)))
-    if not places:
+def read_network(lines: DataFrame, stations: DataFrame, crs: str) -> routing.Network:
+    """The network in ``crs``; a station that is no point counts by its vertices' mean."""
+    points = F.flatten("coords")
+    mean = lambda name: F.aggregate(points, F.lit(0.0), lambda total, p: total + p[name]) / F.size(points)
+    # A number for each station in the layer's order; its features are few beside the locations.
+    places = reprojected(stations, crs).where(F.size(points) > 0).select((F.row_number().over(W.orderBy("feature", "part")).cast("long") - 1).alias("station"), mean("x").alias("x"), mean("y").alias("y"))
+    places = cut(places)
+    if places.isEmpty():
         raise MatrixInputError("the station layer is empty")
-    return parts, places
+    return routing.Network(cut(networks.layer_segments(reprojected(lines, crs))), places)
 
 
-def generate_travel_times(locations: DataFrame, networks: Mapping[str, tuple[list, list] | None], settings: Mapping[str, Any]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def generate_travel_times(locations: DataFrame, layers: Mapping[str, routing.Network | None], settings: Mapping[str, Any]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(baseline, counterfactual, report); without a counterfactual network the baseline's times are taken over."""
     points = locations.select("loc_idx", "x", "y")
     routes = routing.RoutingSettings(
@@ -198,12 +208,11 @@ def generate_travel_times(locations: DataFrame, networks: Mapping[str, tuple[lis
     spread = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
     cell = max(1.0, math.sqrt(max(1.0, spread[0]) * max(1.0, spread[1]) / spread[2]) * 1.5)
 
-    def times(network: tuple[list, list] | None) -> DataFrame:
-        lines, stations = network or (None, None)
-        return routing.require_reachable(routing.travel_times(points, lines, stations, routes, settings["routing_method"], None if candidates == "all" else int(candidates), cell), settings["unreachable_rule"])
+    def times(network: routing.Network | None) -> DataFrame:
+        return routing.require_reachable(routing.travel_times(points, network, routes, settings["routing_method"], None if candidates == "all" else int(candidates), cell), settings["unreachable_rule"])
 
-    before = cut(times(networks.get("baseline")))
-    after = before if networks.get("counterfactual") is None else cut(times(networks["counterfactual"]))
+    before = cut(times(layers.get("baseline")))
+    after = before if layers.get("counterfactual") is None else cut(times(layers["counterfactual"]))
     direct = matrices.direct_minutes(points, routes.walking_kmh)
     fix = lambda od: matrices.intrazonal(od, settings["intrazonal_rule"], float(settings["intrazonal_minutes"]))
     # Detours are measured before the diagonal's constant.
@@ -225,23 +234,26 @@ def prepare_primitive_shocks(locations: DataFrame, policies: DataFrame | None, s
     crs = locations.select("crs").first().crs
     fields = {h: settings.get(f"{h}_variable") for h in spatial.HATS}
     given = [C.strict_double(F.col("properties")[f], f).alias(h) for h, f in fields.items() if f]
-    shapes = reprojected(policies, crs).select(F.monotonically_increasing_id().alias("policy_id"), F.col("coords").alias("rings"), *given)
+    if policies.where("kind <> 'polygon'").limit(1).count():
+        raise ScenarioInputError("shocks need polygons")
+    if locations.where(C.polygon_area(F.col("rings")) <= 0).limit(1).count():
+        raise ScenarioInputError("locations without area")
+    shapes = geometry.repaired(reprojected(policies, crs)).where(F.size("coords") > 0).select(F.monotonically_increasing_id().alias("policy_id"), F.col("coords").alias("rings"), *given)
+    shapes = cut(shapes)
     return spatial.shock_hats(shapes, locations.select("loc_idx", "rings")).drop("coverage")
 
 
 def run_model(spark: SparkSession, locations: DataFrame, before: DataFrame, after: DataFrame, hats: DataFrame, p: Parameters, closures=("closed", "open"), spillovers=(True, False), report=None) -> dict[str, DataFrame]:
     """The result tables by name: aggregate_changes, block_outcomes_*, welfare_decomposition, inverted_primitives."""
     town = economy.City.of(locations)
-    n = len(town.population)
     given = hats.orderBy("loc_idx").toPandas()
     shocks = {"productivity": given.productivity_hat.to_numpy(float), "amenity": given.amenity_hat.to_numpy(float), "density": given.structural_density_hat.to_numpy(float)}
-    blocks = economy.row_blocks(before, after).persist()
-    if n <= economy.DENSE_LIMIT:
-        solved = economy.appraise_in_tasks(blocks, town, p, shocks, closures, spillovers).persist()
-    else:
-        solved = economy.task_rows(spark, economy.appraise(town, economy.BlockedKernels(blocks, n), p, shocks, closures, spillovers, report))
+    kernels = economy.BlockedKernels(len(town.population), before, after)
+    inversions = economy.invert_variants(town, kernels, [("with_spillovers" if x else "no_spillovers", p if x else p.without_spillovers()) for x in spillovers])
+    solved = economy.solved_rows(spark, economy.appraise(town, kernels, p, shocks, closures, spillovers, report, inversions)).persist()
     out = {"aggregate_changes": economy.aggregate_of(solved).orderBy(F.col("Specification").desc(), F.array_position(F.array(*[F.lit(c) for c in ("closed", "open", "fixed_distribution")]), F.col("Closure")))}
-    out["inverted_primitives"] = locations.select("loc_idx", "location_id").join(economy.inverted(blocks, town, p), "loc_idx").orderBy("loc_idx").select("location_id", *economy.PRIMITIVES[:5])
+    first = inversions["with_spillovers" if "with_spillovers" in inversions else "no_spillovers"]
+    out["inverted_primitives"] = locations.select("loc_idx", "location_id").join(spark.createDataFrame(economy.primitives(first)), "loc_idx").orderBy("loc_idx").select("location_id", *economy.PRIMITIVES[:5])
     local = economy.outcomes_of(solved, locations)
     for spilling in spillovers:
         name, suffix = ("with_spillovers", "") if spilling else ("no_spillovers", "_no_spillovers")
@@ -325,8 +337,8 @@ def prepared(spark: SparkSession, config: Mapping[str, Any], model_only: bool =
             before, after, report = prepare_travel_times(spark, locations, paths["baseline_matrix"], paths["counterfactual_matrix"], matrix)
         else:
             crs = locations.select("crs").first().crs
-            networks = {k: network_lists(read_layer(spark, paths[f"{k}_network"]), read_layer(spark, paths[f"{k}_stations"]), crs) if paths.get(f"{k}_network") else None for k in ("baseline", "counterfactual")}
-            before, after, report = generate_travel_times(locations, networks, matrix)
+            layers = {k: read_network(read_layer(spark, paths[f"{k}_network"]), read_layer(spark, paths[f"{k}_stations"]), crs) if paths.get(f"{k}_network") else None for k in ("baseline", "counterfactual")}
+            before, after, report = generate_travel_times(locations, layers, matrix)
         scenario = config["scenario"]
         policies = read_layer(spark, scenario["shocks_shapefile"], scenario.get("shocks_layer")) if scenario.get("shocks_shapefile") else None
         hats = prepare_primitive_shocks(locations, policies, scenario)
