@@ -151,6 +151,13 @@ def test_configuration(tmp_path):
     config, _ = configured(tmp_path, ttmatrix={"routing_method": "legacy_access_network_egress", "station_candidates": 2})
     assert config["ttmatrix"]["routing_method"] == "direct_station_access" and config["ttmatrix"]["legacy_station_candidates"] == 2
     assert Parameters.from_config(config).damping == 0.4
+    config, _ = configured(tmp_path, model={"city_closure": "BOTH"}, grid={"cell_geometry": "Hexagon", "missing_value_rule": "drop"}, ttmatrix={"source": "TTMATRIX", "routing_method": "Standalone_TTMatrix"})
+    assert config["model"]["city_closure"] == "both" and config["grid"]["cell_geometry"] == "hexagon" and config["ttmatrix"]["source"] == "ttmatrix"
+    with pytest.raises(ConfigurationError, match="missing_value_rule"):
+        configured(tmp_path, grid={"missing_value_rule": "guess"})
+    ready = {"mode": "standardize_existing_output", "id_variable": "id", "population_variable": "p", "employment_variable": "e", "rent_variable": "r"}
+    config, _ = configured(tmp_path, grid=ready, paths={"source_grid_csv": "a.csv", "source_grid_geometry": "a.shp"})
+    assert config["grid"]["geometry_id_variable"] == "id"
     with pytest.raises(ConfigurationError):
         Parameters(alpha=1.0)
 
@@ -185,12 +192,36 @@ def test_whole_appraisal(spark, tmp_path):
     again = stages.run(spark, config, model_only=True, skip_maps=True)["aggregate_changes"].collect()
     assert [r.ExpectedUtilityPct for r in again] == pytest.approx([r.ExpectedUtilityPct for r in rows], abs=1e-6)
     assert not (tmp_path / "out" / "map_classes.csv").exists() and (tmp_path / "out" / "notes.csv").exists()
+    # The baseline inverted from the sources, then a counterfactual from the saved state over the published inputs.
+    inverted = stages.run(spark, config, invert_only=True)["inverted_primitives"]
+    assert inverted.count() == local.count() and (tmp_path / "out" / "inversion" / "baseline_inversion.json").exists()
+    said = []
+    saved = stages.run(spark, config, saved_inversion=True, skip_maps=True, report=said.append)["aggregate_changes"].collect()
+    assert [r.ExpectedUtilityPct for r in saved] == pytest.approx([r.ExpectedUtilityPct for r in rows], abs=1e-6) and any("open city" in x for x in said)
     locations = stages.run(spark, config, prepare_only=True)["locations"]
     assert locations.agg(F.sum("population")).first()[0] == pytest.approx(1000)
     assert locations.agg(F.sum("employment_model")).first()[0] == pytest.approx(1000)
     assert locations.agg(F.avg("rent_floor_space")).first()[0] == pytest.approx(1)
 
 
+def test_ready_grids(spark):
+    def layer(polygons):
+        point = lambda p: {"x": 500_000.0 + p[0], "y": float(p[1])}
+        rows = [(k, 0, "polygon", [[point(p) for p in ring] for ring in rings], {"id": name}, "f", "EPSG:32631") for k, (name, rings) in enumerate(polygons)]
+        return spark.createDataFrame(rows, files.LAYER)
+
+    attributes = spark.createDataFrame([("2.0", "3", "1", "1"), ("1", "1", "4", "2")], "id string, p string, e string, r string")
+    settings = {"id_variable": "id", "population_variable": "p", "employment_variable": "e", "rent_variable": "r"}
+    square, bowtie = [(0, 0), (10, 0), (10, 10), (0, 10)], [(20, 0), (30, 10), (30, 0), (20, 10)]
+    got = stages.prepare_grid_inputs(attributes, layer([("1", [square]), ("2", [bowtie])]), settings).orderBy("loc_idx").collect()
+    assert [(r.location_id, r.land_area, r.employment_model) for r in got] == [("2", 50.0, 0.8), ("1", 100.0, 3.2)] and (got[0].x, got[0].y) == pytest.approx((500_025, 5))
+    for polygons, message in (([("1", [square])], "without geometry"), ([("1", [square]), ("2", [bowtie]), ("2.0", [square])], "repeated"), ([("1", [square]), ("2", [[(0, 0), (1, 1), (2, 2)]])], "land area: 2")):
+        with pytest.raises(GridInputError, match=message):
+            stages.prepare_grid_inputs(attributes, layer(polygons), settings)
+    with pytest.raises(GridInputError, match="nonnegative"):
+        stages.prepare_grid_inputs(attributes.replace("3", "-3", "p"), layer([("1", [square]), ("2", [bowtie])]), settings)
+
+
 def test_payload(spark):
     payload = {"ids": ["a", "b"], "population": [60, 40], "employment": [50, 50], "rent": [1, 1.2], "land_area": [1, 1], "travel_time_baseline": [[1, 2], [2, 1]], "travel_time_counterfactual": [[0.9, 1.8], [1.8, 0.9]]}
     out = stages.run_payload(spark, payload, Parameters(damping=0.2))

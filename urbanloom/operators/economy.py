@@ -30,8 +30,8 @@ Kernel = tuple[int, float, int | None]
 Ask = tuple[int, float, int | None, np.ndarray]
 #: What a row's factor is made of: the rows' numbers and their products.
 Factor = Callable[[np.ndarray, list[np.ndarray]], np.ndarray]
-#: Values of one matrix in a block at most, and blocks for each partition.
-BLOCK_VALUES, BLOCKS_PER_PARTITION = 1 << 22, 4
+#: Values of one matrix in a block at most, values of all matrices that are worth a task of their own, and blocks for each partition.
+BLOCK_VALUES, TASK_VALUES, BLOCKS_PER_PARTITION = 1 << 22, 1 << 19, 4
 #: Partial vectors that one task or the driver adds up.
 FAN = 32
 
@@ -114,9 +114,9 @@ def row_blocks(n: int, *matrices: DataFrame) -> DataFrame:
     One shuffle of the pairs (o_idx, d_idx, minutes) of all matrices; a pair that is missing raises.
     """
     spark = matrices[0].sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    height = max(1, min(-(-n // (slots * BLOCKS_PER_PARTITION)), BLOCK_VALUES // max(1, n)))
-    partitions = max(slots, -(-n // height) // BLOCKS_PER_PARTITION)
+    tasks = min(spark.sparkContext.defaultParallelism, -(-n * n * len(matrices) // TASK_VALUES))
+    height = max(1, min(-(-n // (max(1, tasks) * BLOCKS_PER_PARTITION)), BLOCK_VALUES // max(1, n)))
+    partitions = max(1, tasks, -(-n // height) // BLOCKS_PER_PARTITION)
     names = [f"m{k}" for k in range(len(matrices))]
     pairs = None
     for k, od in enumerate(matrices):
@@ -250,6 +250,9 @@ class Inversion:
     converged: bool
     residence_gap: float
     workplace_gap: float
+    #: Of the inversion by updates: its passes, and how often it drew anew.
+    passes: int = 1
+    restarts: int = 0
 
 
 @dataclass
@@ -391,11 +394,8 @@ def _residence_pull(p: Parameters, amenity: np.ndarray, lives: np.ndarray, rent:
     return pull
 
 
-def solving_closure(closure: str, p: Parameters, f: Fundamentals, reservation_utility: float | None = None, matrix: int = 0, report=None, stopping: str = "log_gap") -> Solver:
-    """The damped fixed point of a closed or an open city, on travel times ``matrix`` of the kernels.
-
-    ``stopping`` is "log_gap" (below the tolerance) or "rounded" (old and new values equal to two digits).
-    """
+def solving_closure(closure: str, p: Parameters, f: Fundamentals, reservation_utility: float | None = None, matrix: int = 0, report=None) -> Solver:
+    """The damped fixed point of a closed or an open city, on travel times ``matrix`` of the kernels."""
     if closure not in ("closed", "open"):
         raise ValueError("closure must be 'closed' or 'open'")
     if closure == "open" and reservation_utility is None:
@@ -438,8 +438,7 @@ def solving_closure(closure: str, p: Parameters, f: Fundamentals, reservation_ut
         path.append(gap)
         if report and (k == 1 or k % p.print_every == 0):
             report(f"{closure} city, iteration {k}: largest log gap {gap:.3e}")
-        pairs = ((wage, new_wage), (q_res, new_res), (q_com, new_com), (theta, new_theta))
-        settled = gap < p.tolerance if stopping == "log_gap" else all(np.array_equal(np.round(a, 2), np.round(b, 2)) for a, b in pairs) and (closure == "closed" or round(utility, 2) == round(reservation_utility, 2))
+        settled = gap < p.tolerance
         if settled:
             wage, q_res, q_com, theta = new_wage, new_res, new_com, new_theta
             break
@@ -454,8 +453,8 @@ def solving_closure(closure: str, p: Parameters, f: Fundamentals, reservation_ut
     return Solution(closure, state, f, r / mass, s, total, utility, settled, len(path), path)
 
 
-def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels, reservation_utility: float | None = None, matrix: int = 0, report=None, stopping: str = "log_gap") -> Solution:
-    return together(kernels, [solving_closure(closure, p, f, reservation_utility, matrix, report, stopping)])[0]
+def solve_closure(closure: str, p: Parameters, f: Fundamentals, kernels: Kernels, reservation_utility: float | None = None, matrix: int = 0, report=None) -> Solution:
+    return together(kernels, [solving_closure(closure, p, f, reservation_utility, matrix, report)])[0]
 
 
 def fixing_distribution(p: Parameters, f: Fundamentals, baseline: Solution) -> Solver:

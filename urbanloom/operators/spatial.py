@@ -220,12 +220,16 @@ def nearest(points: DataFrame, targets: DataFrame, k: int, cell: float, other_th
     """point_id, target_id, distance, rank: the k nearest targets; ties go to the smaller target id.
 
     Points look at targets of their own and the eight adjoining cells of a raster. A point whose k-th find is no
-    farther than a cell's side is settled; the others look again with cells twice as large. ``points`` has
-    point_id, x, y, ``targets`` target_id, x, y.
+    farther than a cell's side is settled; the others look again with cells twice as large. The first cells have at least
+    the side ``cell``, and that at which as many as k targets would lie about a point if they were spread evenly.
+    ``points`` has point_id, x, y, ``targets`` target_id, x, y.
     """
-    k = min(k, targets.count() - int(other_than_self))
+    both = targets.select("x", "y", F.lit(1).alias("n")).unionByName(points.select("x", "y", F.lit(0).alias("n")))
+    spread = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    k = min(k, spread.n - int(other_than_self))
+    even = math.sqrt(max(spread.w or 0.0, spread.h or 0.0, cell) * max(min(spread.w or 0.0, spread.h or 0.0), cell) * max(k, 1) / max(spread.n, 1)) / 1.5
     order = W.partitionBy("point_id").orderBy("distance", "target_id")
-    left, settled, size = points, None, cell
+    left, settled, size = points, None, max(cell, even)
     for round_ in range(max_rounds):
         raster = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: E731,B023
         near = F.array(*[F.struct((raster("x") + i).alias("i"), (raster("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -234,11 +238,13 @@ def nearest(points: DataFrame, targets: DataFrame, k: int, cell: float, other_th
         pairs = seek.join(there, "cell").withColumn("distance", C.distance(F.col("px"), F.col("py"), F.col("tx"), F.col("ty")))
         if other_than_self:
             pairs = pairs.where("point_id <> target_id")
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", "target_id", "distance", "rank")
-        done = ranked.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select("point_id")
-        found = ranked.join(done, "point_id", "left_semi")
+        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", F.struct("rank", "target_id", "distance").alias("found"))
+        # A point's finds come as one array, k long at most, so that one table holds the settled points and those that look again.
+        met = cut(left.join(ranked.groupBy("point_id").agg(F.sort_array(F.collect_list("found")).alias("found")), "point_id", "left"))
+        done = F.coalesce((F.size("found") == k) & (F.element_at("found", -1)["distance"] <= size), F.lit(False))
+        found = met.where(done).select("point_id", F.explode("found").alias("f")).select("point_id", "f.target_id", "f.distance", "f.rank")
         settled = found if settled is None else settled.unionByName(found)
-        left = cut(left.join(done, "point_id", "left_anti"))
+        left = met.where(~done).select("point_id", "x", "y")
         if left.isEmpty():
             return settled
         size *= 2

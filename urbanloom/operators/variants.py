@@ -1,9 +1,10 @@
-"""Alternatives to the main methods: the multiplicative inversion, the rounded stopping rule, self-checks, and the
-interactive variant's geometry and routing."""
+"""Alternatives to the main methods: the multiplicative inversion, the rounded closures, self-checks, and the interactive
+variant's geometry."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,72 +12,180 @@ from pyspark.sql import functions as F
 
 from urbanloom.functions import columns as C
 from urbanloom.operators import economy, spatial
+from urbanloom.operators.economy import Products
 from urbanloom.plans.parameters import TINY, Parameters
 
 KM_PER_DEGREE_LON, KM_PER_DEGREE_LAT = 111.32, 110.574
 
 
-def multiplicative_inversion(city: economy.City, kernels: economy.Kernels, p: Parameters, passes: int = 10, inner: int = 199, precision: float = 1e-4) -> economy.Inversion:
-    """Productivity and amenity by damped multiplicative updates until workers and residents agree to ``precision``.
+def rounded(values: np.ndarray | float, scale: float) -> np.ndarray:
+    """Whole multiples of 1 / scale, halves away from zero."""
+    values = np.asarray(values, float) * scale
+    return np.sign(values) * np.floor(np.abs(values) + 0.5)
 
-    Wages follow from zero profits given productivity and rent; each step moves both by the square root of observed
-    over predicted counts. Normalisation: the geometric mean of productivity is 1 and the flows' mass the population.
+
+#: Passes of an inversion, updates in a pass, what of a worker counts as agreement, and the seed and spread of draws after a breakdown.
+PASSES, UPDATES, WORKER_PARTS = 10, 199, 1e4
+SEED, SPREAD = 1, 0.05
+
+
+def inverting_by_updates(city: economy.City, p: Parameters, passes: int = PASSES, updates: int = UPDATES, report=None) -> economy.Solver:
+    """Productivity and amenity by damped multiplicative updates until workers and residents agree to 1 / WORKER_PARTS.
+
+    Wages follow from zero profits given productivity and rent. An update moves productivity and amenity half way to those
+    at which the ratio of observed to predicted counts, to 1 / epsilon, would be made good; then the geometric mean of
+    productivity is 1 and the flows' mass the population. A pass that has not agreed after its updates is followed by
+    another from where it stands. Where a count is no number, both are drawn anew near 1, from one stream of the Mersenne
+    Twister over the whole inversion, workplaces first.
     """
-    total = float(city.population.sum())
+    total = float(city.employment.sum())
     works, lives = city.employment > 0, city.population > 0
-    decay = p.epsilon * p.kappa
+    decay, draws = p.epsilon * p.kappa, np.random.RandomState(SEED)
     a, b = np.where(works, 1.0, 0.0), np.where(lives, 1.0, 0.0)
-    steps, done = 0, False
-    for _ in range(passes):
-        for _ in range(inner):
-            wage = np.where(works, p.alpha * np.maximum(a, TINY) ** (1 / p.alpha) * ((1 - p.alpha) / city.rent) ** ((1 - p.alpha) / p.alpha), 0.0)
-            r = np.where(lives, b**p.epsilon * city.rent ** (-(1 - p.beta) * p.epsilon), 0.0)
-            s = np.where(works, wage**p.epsilon, 0.0)
-            (reach,) = kernels.rows([(0, decay, None, s)])
-            mass = float(r @ reach)
-            people, jobs = total * r * reach / mass, total * s * kernels.columns((0, decay, None, r)) / mass
+    drawn = lambda on: 1 - SPREAD + 2 * SPREAD * draws.random_sample(int(on.sum()))
+    done, steps, restarts = False, 0, 0
+    for pass_ in range(1, passes + 1):
+        for step in range(1, updates + 1):
+            with np.errstate(all="ignore"):
+                wage = np.where(works, p.alpha * a ** (1 / p.alpha) * ((1 - p.alpha) / city.rent) ** ((1 - p.alpha) / p.alpha), 0.0)
+                r = np.where(lives, b**p.epsilon * city.rent ** (-(1 - p.beta) * p.epsilon), 0.0)
+                s = np.where(works, wage**p.epsilon, 0.0)
+            found = yield Products([(0, decay, None, s)], lambda at, _, r=r: r[at], (0, decay, None))
             steps += 1
-            agree = lambda x, y: np.array_equal(np.round(x / precision), np.round(y / precision))
-            if agree(people, city.population) and agree(jobs, city.employment):
+            with np.errstate(all="ignore"):
+                mass = float(r @ found.rows[0])
+                people, jobs = total * r * found.rows[0] / mass, total * s * found.back / mass
+                gaps = [float(np.abs(rounded(seen - have, WORKER_PARTS)[on]).max()) for seen, have, on in ((city.employment, jobs, works), (city.population, people, lives))]
+            if report:
+                report(f"inversion pass {pass_}, update {step}: largest gap {max(gaps) / WORKER_PARTS:.4g}")
+            if gaps == [0.0, 0.0]:
                 done = True
                 break
-            move = lambda have, seen, on: np.where(on, np.sqrt(np.divide(seen, have, out=np.ones_like(have), where=have > 0)), 1.0)
-            # A wage moves as productivity to 1 / alpha and flows as wages to epsilon, so steps are scaled to counts.
-            a = a * move(jobs, city.employment, works) ** (p.alpha / p.epsilon)
-            b = b * move(people, city.population, lives) ** (1 / p.epsilon)
-            a = np.where(works, a / np.exp(np.log(np.maximum(a[works], TINY)).mean()), 0.0)
+            if np.isnan(gaps).any():
+                restarts += 1
+                a[works], b[lives] = drawn(works), drawn(lives)
+            else:
+                move = lambda seen, have, on: np.where(on, 0.5 + 0.5 * np.divide(seen, have, out=np.ones_like(have), where=on & (have > 0)) ** (1 / p.epsilon), 1.0)
+                a, b = a * move(city.employment, jobs, works), b * move(city.population, people, lives)
+            a[works] = a[works] / np.exp(np.log(a[works]).mean())
+            if np.isfinite(mass) and mass > 0:
+                b = b * (total / mass) ** (1 / p.epsilon)
         if done:
             break
-    b = np.where(lives, b * (total / mass) ** (1 / p.epsilon), 0.0)
-    r = np.where(lives, b**p.epsilon * city.rent ** (-(1 - p.beta) * p.epsilon), 0.0)
+    if not done:
+        raise RuntimeError(f"the inversion did not agree in {passes} passes; largest gaps {gaps[0] / WORKER_PARTS:.4g} workers, {gaps[1] / WORKER_PARTS:.4g} residents")
     by_land = lambda x: np.divide(x, city.land_area, out=np.zeros_like(x), where=city.land_area > 0)
-    paid, reach, near_jobs, near_people = kernels.rows([
+    products = yield Products([
         (0, decay, None, s * wage), (0, decay, None, s), (0, p.productivity_decay, None, by_land(city.employment)), (0, p.amenity_decay, None, by_land(city.population)),
     ])
-    mass = float(r @ reach)
-    income = total * r * paid / mass
-    output = np.where(works, wage * city.employment / p.alpha, 0.0)
-    shops, homes = np.where(works, (1 - p.alpha) * output / city.rent, 0.0), np.where(lives, (1 - p.beta) * income / city.rent, 0.0)
-    floor = shops + homes
-    density = np.divide(floor, city.land_area**p.land_share, out=np.zeros_like(floor), where=city.land_area > 0)
-    theta = np.divide(shops, floor, out=np.zeros_like(floor), where=floor > 0)
+    paid, reach, near_jobs, near_people = products.rows
+    # Income of the residents that the data show, by the chances to work at each wage.
+    income = np.where(lives, city.population * paid / np.where(lives, reach, 1.0), 0.0)
+    space = economy.floor_space(city, wage, income, p)
     productivity = np.where(works, a / np.maximum(near_jobs, TINY) ** p.productivity_spillover, 0.0)
     amenity = np.where(lives, b / np.maximum(near_people, TINY) ** p.amenity_spillover, 0.0)
-    start = {"wage": wage, "income": income, "theta": theta, "q_res": city.rent, "q_com": city.rent, "employment": city.employment, "population": city.population}
-    state = start | {"output": output, "combined_rent": city.rent, "total_productivity": a, "total_amenity": b, "productivity": productivity, "amenity": amenity}
-    gaps = float(np.abs(people - city.population).max()) / total, float(np.abs(jobs - city.employment).max()) / total
-    made = economy.Fundamentals(productivity, amenity, density, city.land_area, start)
-    return economy.Inversion(made, state, p.gamma_constant * mass ** (1 / p.epsilon), r / mass, s, steps, done, *gaps)
-
-
-def rounded_gaps(pairs: list[tuple[np.ndarray, np.ndarray]], digits: int = 2) -> dict[str, float | bool]:
-    """The rounded stopping rule's measures over (old, new) vectors: equal to the digits, the largest gap of logs of
-    rounded values plus one, and the mean squared log error times 1e6 over the number of vectors."""
-    scale = 10.0**digits
-    equal = all(np.array_equal(np.round(scale * a), np.round(scale * b)) for a, b in pairs)
-    largest = max(float(np.abs(np.log(np.round(scale * a) + 1) - np.log(np.round(scale * b) + 1)).max()) for a, b in pairs)
-    squared = sum(float(np.mean((np.log(np.maximum(a, TINY)) - np.log(np.maximum(b, TINY))) ** 2)) for a, b in pairs)
-    return {"equal": equal, "largest_log_gap": largest, "objective": 1e6 * squared / len(pairs)}
+    start = {"wage": wage, "income": income, "theta": space["theta"], "q_res": city.rent, "q_com": city.rent, "employment": city.employment, "population": city.population}
+    state = start | {"output": space["output"], "combined_rent": city.rent, "total_productivity": a, "total_amenity": b, "productivity": productivity, "amenity": amenity}
+    made = economy.Fundamentals(productivity, amenity, space["density"], city.land_area, start)
+    share = float(np.abs(people - city.population).max()) / total, float(np.abs(jobs - city.employment).max()) / total
+    out = economy.Inversion(made, state, p.gamma_constant * mass ** (1 / p.epsilon), r / mass, s, steps, done, *share)
+    out.restarts, out.passes = restarts, pass_
+    return out
+
+
+def multiplicative_inversion(city: economy.City, kernels: economy.Kernels, p: Parameters, passes: int = PASSES, updates: int = UPDATES) -> economy.Inversion:
+    return economy.together(kernels, [inverting_by_updates(city, p, passes, updates)])[0]
+
+
+def rounded_gaps(pairs: Mapping[str, tuple[np.ndarray, np.ndarray]], digits: int = 2) -> dict[str, float | bool]:
+    """The rounded stopping rule's measures over (guessed, predicted) vectors by name: whether all are equal to the digits,
+    each one's largest gap of logs of rounded values plus one, the largest of all, and the mean squared one times 1e6."""
+    parts = {k: np.abs(np.log(rounded(a, 10.0**digits) + 1) - np.log(rounded(b, 10.0**digits) + 1)) for k, (a, b) in pairs.items()}
+    equal = all(np.array_equal(rounded(a, 10.0**digits), rounded(b, 10.0**digits)) for a, b in pairs.values())
+    gaps = {k: float(np.max(v, initial=0.0)) for k, v in parts.items()}
+    return {"equal": equal} | gaps | {"largest": max(gaps.values()), "objective": 1e6 / len(parts) * sum(float(np.mean(v**2)) if v.size else 0.0 for v in parts.values())}
+
+
+#: Iterations of a rounded closure, and the weights of predicted values near and far from agreement.
+ROUNDED_ITERATIONS, NEAR, NEAR_WEIGHT, FAR_WEIGHT = 999, 0.1, 0.25, 0.5
+PATH_COLUMNS = ("wage", "q_com", "q_res", "theta", "largest", "objective")
+
+
+def solving_rounded(closure: str, p: Parameters, f: economy.Fundamentals, reservation_utility: float | None = None, matrix: int = 0, report=None) -> economy.Solver:
+    """A closed or open city, sought until guesses and predictions agree to two digits.
+
+    Output uses the productivity of this iteration's jobs, flows the amenity of the iteration before. Each guess moves
+    by NEAR_WEIGHT of the way to its prediction where its own largest gap is below NEAR, else by FAR_WEIGHT; the rents
+    move together, by the residential one's gap. A city that has not agreed in ROUNDED_ITERATIONS raises.
+    """
+    if closure not in ("closed", "open"):
+        raise ValueError("closure must be 'closed' or 'open'")
+    if closure == "open" and reservation_utility is None:
+        raise ValueError("an open city needs a reservation utility")
+    works, lives = f.productivity > 0, f.amenity > 0
+    mixed, shops_only, homes_only = works & lives, works & ~lives, lives & ~works
+    floor = f.density * f.land_area**p.land_share
+    wage = np.where(works, f.start["wage"], 0.0)
+    q_res, q_com = np.where(lives, f.start["q_res"], 0.0), np.where(works, f.start["q_com"], 0.0)
+    theta, people, jobs = np.array(f.start["theta"], float), f.start["population"], f.start["employment"]
+    total, decay = float(jobs.sum()), p.epsilon * p.kappa
+    by_land = lambda x: np.divide(x, f.land_area, out=np.zeros_like(x), where=f.land_area > 0)
+    spilled = lambda own, near, strength: np.where(own > 0, own * np.maximum(near, TINY) ** strength, 0.0)
+    near = yield Products([(matrix, p.amenity_decay, None, by_land(people))])
+    amenity = spilled(f.amenity, near.rows[0], p.amenity_spillover)
+    over = lambda top, bottom, on, otherwise: np.where(on, np.divide(top, bottom, out=np.zeros_like(top), where=on & (bottom > 0)), otherwise)
+    path: list[dict] = []
+    for k in range(1, ROUNDED_ITERATIONS + 1):
+        s = np.where(works, wage**p.epsilon, 0.0)
+        r = np.where(lives, amenity**p.epsilon * np.maximum(q_res, TINY) ** (-(1 - p.beta) * p.epsilon), 0.0)
+        found = yield Products([(matrix, decay, None, s), (matrix, decay, None, s * wage)], lambda at, _, r=r: r[at], (matrix, decay, None))
+        reach, paid = found.rows
+        mass = float(r @ reach)
+        if not np.isfinite(mass) or mass <= 0:
+            raise RuntimeError("commuting probabilities are undefined")
+        people, jobs, income = total * r * reach / mass, total * s * found.back / mass, total * r * paid / mass
+        utility = p.gamma_constant * mass ** (1 / p.epsilon)
+        near = yield Products([(matrix, p.productivity_decay, None, by_land(jobs)), (matrix, p.amenity_decay, None, by_land(people))])
+        productivity = spilled(f.productivity, near.rows[0], p.productivity_spillover)
+        lagged, amenity = amenity, spilled(f.amenity, near.rows[1], p.amenity_spillover)
+        output = np.where(works, productivity * jobs**p.alpha * (theta * floor) ** (1 - p.alpha), 0.0)
+        new_wage = over(p.alpha * output, jobs, works, 0.0)
+        joint = over((1 - p.alpha) * output + (1 - p.beta) * income, floor, mixed, 0.0)
+        new_com = np.where(mixed, joint, over((1 - p.alpha) * output, theta * floor, shops_only, q_com))
+        new_res = np.where(mixed, joint, over((1 - p.beta) * income, (1 - theta) * floor, homes_only, q_res))
+        new_theta = over((1 - p.alpha) * output, joint * floor, mixed, theta)
+        gaps = rounded_gaps({"wage": (wage, new_wage), "q_com": (q_com, new_com), "q_res": (q_res, new_res), "theta": (theta, new_theta)})
+        settled = gaps["equal"]
+        if closure == "open":
+            settled = settled and bool(rounded(utility, 100) == rounded(reservation_utility, 100))
+            gaps["largest"] = max(gaps["largest"], abs(float(np.log(utility / reservation_utility))))
+        path.append({"iteration": k} | {c: gaps[c] for c in PATH_COLUMNS})
+        if report:
+            report(f"{closure} city, iteration {k} of {ROUNDED_ITERATIONS}: largest gap {gaps['largest']:.3e}")
+        if settled:
+            break
+        step = {c: NEAR_WEIGHT if gaps[c] < NEAR else FAR_WEIGHT for c in ("wage", "q_res", "theta")}
+        blend = lambda old, new, w: w * new + (1 - w) * old
+        wage, q_com, q_res, theta = blend(wage, new_wage, step["wage"]), blend(q_com, new_com, step["q_res"]), blend(q_res, new_res, step["q_res"]), blend(theta, new_theta, step["theta"])
+        if closure == "open":
+            total = 0.95 * total + 0.05 * total * (utility / reservation_utility) ** p.epsilon
+    else:
+        raise RuntimeError(f"{closure}-city equilibrium did not converge in {ROUNDED_ITERATIONS} iterations")
+    state = {
+        "wage": wage, "income": income, "theta": theta, "output": output, "q_res": q_res, "q_com": q_com, "employment": jobs, "population": people,
+        "combined_rent": np.where(lives, q_res, q_com), "total_productivity": productivity, "total_amenity": lagged, "productivity": f.productivity, "amenity": f.amenity,
+    }
+    return economy.Solution(closure, state, f, r / mass, s, total, utility, True, len(path), path)
+
+
+def solve_rounded(closure: str, p: Parameters, f: economy.Fundamentals, kernels: economy.Kernels, reservation_utility: float | None = None, matrix: int = 0, report=None) -> economy.Solution:
+    return economy.together(kernels, [solving_rounded(closure, p, f, reservation_utility, matrix, report)])[0]
+
+
+def convergence_table(spark: SparkSession, solution: economy.Solution) -> DataFrame:
+    """iteration and the gaps of a solution's path, a row for each iteration; a path of largest gaps only has that one."""
+    rows = [step if isinstance(step, dict) else {"iteration": k, "largest": step} for k, step in enumerate(solution.path, 1)]
+    return spark.createDataFrame([tuple(r.get(c) for c in ("iteration", *PATH_COLUMNS)) for r in rows], "iteration int, " + ", ".join(f"{c} double" for c in PATH_COLUMNS))
 
 
 def self_checks(p: Parameters, kernels: economy.Kernels, solution: economy.Solution, matrix: int = 0) -> dict[str, float]:

@@ -16,7 +16,7 @@ DEFAULTS: dict[str, Any] = {
     "paths": {"baseline_network": None, "baseline_stations": None, "counterfactual_network": None, "counterfactual_stations": None, "baseline_matrix": None, "counterfactual_matrix": None},
     "grid": {
         "mode": "standardize_existing_output", "cell_geometry": "square", "original_id_variable": None, "analysis_crs": None, "output_crs": "EPSG:4326", "developed_source_variable": None,
-        "rent_source_variable": None, "synthetic_rent_population_elasticity": 0.25, "synthetic_rent_random_spread": 0.10, "random_seed": 1,
+        "rent_source_variable": None, "geometry_id_variable": None, "target_crs": None, "missing_value_rule": "stop", "synthetic_rent_population_elasticity": 0.25, "synthetic_rent_random_spread": 0.10, "random_seed": 1,
     },
     "ttmatrix": {
         "source": "ttmatrix", "routing_method": "standalone_ttmatrix", "point_station_neighbors": 3, "point_walking_neighbors": 5, "snap_tolerance_m": 1.0, "station_split_buffer_m": 0.5,
@@ -63,10 +63,12 @@ def checked(config: dict[str, Any]) -> dict[str, Any]:
         if old in config[section]:
             config[section][new] = config[section].pop(old)
     grid, matrix, model = config["grid"], config["ttmatrix"], config["model"]
-    matrix["routing_method"] = METHOD_ALIASES.get(matrix["routing_method"], matrix["routing_method"])
+    method = str(matrix["routing_method"]).lower()
+    matrix["routing_method"] = METHOD_ALIASES.get(method, method)
     choices = {
         "grid.mode": (grid["mode"], ("generate_from_source_layers", "standardize_existing_output")),
         "grid.cell_geometry": (grid["cell_geometry"], ("square", "hexagon", "original")),
+        "grid.missing_value_rule": (grid["missing_value_rule"], ("stop", "drop")),
         "ttmatrix.source": (matrix["source"], ("ttmatrix", "user_provided")),
         "ttmatrix.routing_method": (matrix["routing_method"], ("standalone_ttmatrix", "direct_station_access")),
         "ttmatrix.time_unit": (matrix["time_unit"], ("minutes", "seconds", "hours")),
@@ -74,16 +76,19 @@ def checked(config: dict[str, Any]) -> dict[str, Any]:
         "model.city_closure": (model["city_closure"], ("closed", "open", "both")),
     }
     for name, (value, allowed) in choices.items():
-        if value not in allowed:
+        if str(value).lower() not in allowed:
             raise ConfigurationError(f"{name} is {value!r}; it must be one of {', '.join(allowed)}")
+        section, key = name.split(".")
+        config[section][key] = str(value).lower()  # choices may be written in any case
     if grid["mode"] == "generate_from_source_layers":
         for name in ("paths.source_grid_folder", "grid.population_source_variable", "grid.employment_source_variable", "grid.total_population"):
             required(config, name)
         if grid["cell_geometry"] != "original" and float(required(config, "grid.cell_size_km")) <= 0:
             raise ConfigurationError("grid.cell_size_km must be positive")
     elif not config["project"]["reuse_standardized_inputs"]:
-        for name in ("paths.source_grid_csv", "paths.source_grid_geometry", *[f"grid.{k}_variable" for k in ("id", "population", "employment", "rent", "geometry_id")]):
+        for name in ("paths.source_grid_csv", "paths.source_grid_geometry", *[f"grid.{k}_variable" for k in ("id", "population", "employment", "rent")]):
             required(config, name)
+        grid["geometry_id_variable"] = grid.get("geometry_id_variable") or grid["id_variable"]
     for name in ("paths.standardized_input", "paths.output"):
         required(config, name)
     for prefix in ("baseline", "counterfactual"):

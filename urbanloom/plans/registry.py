@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from urbanloom.functions import columns as C
 from urbanloom.lineage import cut
-from urbanloom.operators import economy, geometry, matrices, networks, reporting, routing, spatial
+from urbanloom.operators import economy, geometry, matrices, networks, reporting, routing, spatial, variants
 from urbanloom.plans.parameters import Parameters
 from urbanloom.sources import city
 
@@ -63,10 +63,15 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.intrazonal(matrices.direct_minutes(city.sites(spark, sf_dir), city.WALK_KMH), "configured_constant", 1.0)
 
 
-def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+def on_new_line(spark: SparkSession, sf_dir: str):
+    """Minutes after a line through the middle row, from those before."""
     _, side = city.size(spark, sf_dir)
     on_line = lambda c: F.floor(F.col(c) / side) == side // 2
-    return baseline(spark, sf_dir).withColumn("minutes", F.when(on_line("o_idx") & on_line("d_idx"), F.col("minutes") * 0.9).otherwise(F.col("minutes")))
+    return F.when(on_line("o_idx") & on_line("d_idx"), F.col("minutes") * 0.9).otherwise(F.col("minutes"))
+
+
+def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline(spark, sf_dir).withColumn("minutes", on_new_line(spark, sf_dir))
 
 
 def cell_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +92,11 @@ BOUNDS_SQL = """, box AS (SELECT -500.0::DOUBLE AS x0, -500.0::DOUBLE AS y0, (si
 @query("mean_commute_minutes", ", total AS (SELECT sum(flow) AS f FROM flow) SELECT 'observed' AS scenario, round(sum(flow * minutes) / any_value(f), 6) + 0.0 AS mean_minutes, sum(flow)::BIGINT AS trips FROM flow JOIN od USING (o_idx, d_idx), total "
        "UNION ALL SELECT 'counterfactual', round(sum(flow * minutes) / any_value(f), 6) + 0.0, sum(flow)::BIGINT FROM flow JOIN od1 USING (o_idx, d_idx), total")
 def mean_commute_minutes(spark, sf_dir):
-    flows = city.flows(spark, sf_dir)
-    mean = lambda od, name: flows.join(od, ["o_idx", "d_idx"]).agg(F.lit(name).alias("scenario"), r6(F.sum(F.col("flow") * F.col("minutes")) / F.sum("flow")).alias("mean_minutes"), F.sum("flow").alias("trips"))
-    return mean(baseline(spark, sf_dir), "observed").unionByName(mean(counterfactual(spark, sf_dir), "counterfactual"))
+    # Minutes are made for the pairs that have trips, not for all pairs.
+    flows, points = city.flows(spark, sf_dir), city.sites(spark, sf_dir)
+    before = matrices.intrazonal(matrices.minutes_of_pairs(flows, points, city.WALK_KMH), "configured_constant", 1.0)
+    both = before.select("flow", F.explode(F.array(F.struct(F.lit("observed").alias("scenario"), "minutes"), F.struct(F.lit("counterfactual").alias("scenario"), on_new_line(spark, sf_dir).alias("minutes")))).alias("s"))
+    return both.groupBy("s.scenario").agg(r6(F.sum(F.col("flow") * F.col("s.minutes")) / F.sum("flow")).alias("mean_minutes"), F.sum("flow").alias("trips"))
 
 
 @query("locations_balanced", "SELECT loc_idx, population, round(employment_raw, 6) AS employment_raw, round(employment_model, 6) AS employment_model, land_area FROM loc")
@@ -396,18 +403,66 @@ def standalone_times(spark, sf_dir) -> DataFrame:
     return routing.travel_times(city.sites(spark, sf_dir), line_network(spark, sf_dir), routing.RoutingSettings(), "standalone_ttmatrix", cell=1500.0)
 
 
-@query("standalone_routing", None)
+#: The graph of the line through the middle row: stations from 1,000,000, vertices from 2,000,000.
+GRAPH_SQL = """, ln AS (SELECT (side // 2) * 1000.0::DOUBLE AS ly, (side - 1) * 1000.0::DOUBLE AS ll FROM n), sta AS (SELECT 1000000 + k AS s, k * 1000.0::DOUBLE AS sx, ly AS sy FROM (SELECT unnest(range(0, side, 3)) AS k FROM n), ln),
+vx AS (SELECT 0.0::DOUBLE AS vx UNION SELECT ll FROM ln UNION SELECT sx - 0.5 FROM sta, ln WHERE sx - 0.5 > 0 AND sx - 0.5 < ll UNION SELECT sx + 0.5 FROM sta, ln WHERE sx + 0.5 > 0 AND sx + 0.5 < ll),
+vert AS (SELECT 2000000 + row_number() OVER (ORDER BY vx) AS v, vx, lead(vx) OVER (ORDER BY vx) AS nx FROM vx),
+near AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY abs(sx - vx), vx) AS k FROM sta, vert), acc AS (SELECT loc_idx, s, sqrt((x - sx)^2 + (y - sy)^2) AS d, row_number() OVER (PARTITION BY loc_idx ORDER BY (x - sx)^2 + (y - sy)^2, s) AS k FROM site, sta),
+edges AS (SELECT 'network' AS kind, v AS a, v + 1 AS b, (nx - vx) / (35.0 * 1000 / 60) AS d FROM vert WHERE nx IS NOT NULL UNION ALL SELECT 'station_connector', s, v, 0.0001 FROM near WHERE k = 1
+  UNION ALL SELECT 'point_station_walk', loc_idx, s, d / (4.0 * 1000 / 60) FROM acc WHERE k <= 3 UNION ALL SELECT 'point_walk', a, b, d / (4.0 * 1000 / 60) FROM walk)"""
+
+
+@query("standalone_routing", WALK_SQL + GRAPH_SQL + ", d1 AS (SELECT a, b, min(d) AS d FROM (SELECT a, b, d FROM edges UNION ALL SELECT b, a, d FROM edges UNION ALL SELECT a, a, 0.0 FROM edges UNION ALL SELECT b, b, 0.0 FROM edges) GROUP BY ALL)" + SQUARINGS
+       + " SELECT a AS o_idx, b AS d_idx, round(d, 6) + 0.0 AS minutes FROM d32 WHERE a < 1000000 AND b < 1000000")
 def standalone_routing(spark, sf_dir):
     return standalone_times(spark, sf_dir).withColumn("minutes", r6(F.col("minutes")))
 
 
-@query("graph_report", None)
+@query("graph_report", WALK_SQL + GRAPH_SQL + ", reach(a, b) AS (SELECT loc_idx, loc_idx FROM site UNION SELECT reach.a, e.b FROM reach JOIN (SELECT a, b FROM walk UNION SELECT b, a FROM walk) e ON reach.b = e.a), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a) "
+       "SELECT kind, count(*) AS n_edges FROM edges GROUP BY kind UNION ALL SELECT 'nodes', count(*) FROM (SELECT a FROM edges UNION SELECT b FROM edges) UNION ALL SELECT 'walking_components', count(DISTINCT c) FROM comp UNION ALL SELECT 'failed_splits', 0")
 def graph_report(spark, sf_dir):
     points, network, settings = city.sites(spark, sf_dir), line_network(spark, sf_dir), routing.RoutingSettings()
     split = routing.split_network(network, settings)
     return routing.graph_report(cut(routing.augmented_graph(points, network, settings, 1500.0, split)), points, split.failed)
 
 
+def street_lines(spark, sf_dir) -> DataFrame:
+    """A straight line along each row and each column of the sites, half a cell beyond them."""
+    sites = city.sites(spark, sf_dir)
+    ends = sites.agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("low"), F.max("y").alias("high"))
+    along = lambda column, offset: sites.select(F.col(column).alias("at")).distinct().crossJoin(F.broadcast(ends)).withColumn("line_id", F.col("at").cast("long") * 2 + offset)
+    rows = along("y", 0).select("line_id", F.lit(0).cast("long").alias("seg"), (F.col("left") - city.HALF).alias("x0"), F.col("at").alias("y0"), (F.col("right") + city.HALF).alias("x1"), F.col("at").alias("y1"))
+    columns = along("x", 1).select("line_id", F.lit(0).cast("long").alias("seg"), F.col("at").alias("x0"), (F.col("low") - city.HALF).alias("y0"), F.col("at").alias("x1"), (F.col("high") + city.HALF).alias("y1"))
+    return rows.unionByName(columns)
+
+
+STREET_SQL = """, row_line AS (SELECT DISTINCT CAST(y AS BIGINT) * 2 AS line_id, y AS pos FROM site), column_line AS (SELECT DISTINCT CAST(x AS BIGINT) * 2 + 1 AS line_id, x AS pos FROM site),
+stops AS (SELECT r.line_id, c.pos FROM row_line r, column_line c UNION ALL SELECT c.line_id, r.pos FROM row_line r, column_line c UNION ALL SELECT line_id, unnest([(SELECT min(x) - 500 FROM site), (SELECT max(x) + 500 FROM site)]) FROM row_line
+  UNION ALL SELECT line_id, unnest([(SELECT min(y) - 500 FROM site), (SELECT max(y) + 500 FROM site)]) FROM column_line)"""
+
+
+@query("noded_lines", STREET_SQL + ", s AS (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY pos) - 1 AS seg, lead(pos) OVER (PARTITION BY line_id ORDER BY pos) - pos AS length FROM stops) SELECT line_id, seg, round(length, 6) AS length FROM s WHERE length IS NOT NULL")
+def noded_lines(spark, sf_dir):
+    pieces = networks.noded(street_lines(spark, sf_dir))
+    return pieces.select("line_id", "seg", r6(C.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("length"))
+
+
+@query("station_splits", STREET_SQL + ", t AS (SELECT line_id, count(*) AS k FROM row_line JOIN site ON y = pos GROUP BY ALL UNION ALL SELECT line_id, count(*) FROM column_line JOIN site ON x = pos GROUP BY ALL), l AS (SELECT line_id, max(pos) - min(pos) AS length FROM stops GROUP BY line_id) SELECT line_id, 2 * k + 1 AS pieces, round(length, 6) AS length FROM t JOIN l USING (line_id)")
+def station_splits(spark, sf_dir):
+    """Every site is a station of 100 metres about it; its row and its column are cut where they enter and leave it."""
+    split = networks.split_at_stations(street_lines(spark, sf_dir), city.sites(spark, sf_dir).select("x", "y"), 100.0)
+    length = C.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return split.segs.groupBy("line_id").agg(F.count(F.lit(1)).alias("pieces"), r6(F.sum(length)).alias("length"))
+
+
+@query("network_distances", STATION_SQL.replace("AS target_id,", "AS target_id, x, y,") + " SELECT a.target_id AS s, b.target_id AS t, round(CASE WHEN a.y = b.y THEN abs(a.x - b.x) ELSE abs(a.y - b.y) + CASE WHEN a.x = b.x THEN 260 ELSE abs(a.x - b.x) END END, 6) + 0.0 AS metres FROM st a, st b")
+def network_distances(spark, sf_dir):
+    """Metres along rows and columns between stations beside their rows: every seventh site, a made-up layer."""
+    places = stations(spark, sf_dir).withColumnRenamed("target_id", "station")
+    metres, _ = networks.station_distances(street_lines(spark, sf_dir), places)
+    return metres.select("s", "t", r6(F.col("metres")).alias("metres"))
+
+
 @query("path_stats", "SELECT count(*) FILTER (o_idx % 50 = 1 AND d_idx % 50 = 2) AS unreachable, round(max(minutes) FILTER (o_idx <> d_idx AND NOT (o_idx % 50 = 1 AND d_idx % 50 = 2)), 6) AS maximum, round(avg(minutes) FILTER (o_idx <> d_idx AND NOT (o_idx % 50 = 1 AND d_idx % 50 = 2)), 6) AS mean FROM od")
 def path_stats(spark, sf_dir):
     hole = (F.col("o_idx") % 50 == 1) & (F.col("d_idx") % 50 == 2)
@@ -628,9 +683,13 @@ def utm_roundtrip(spark, sf_dir):
 
 @query("browser_attribution", ", h AS (SELECT loc_idx, floor(x / 2500) AS i, floor(y / 2500) AS j, population FROM raw) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(population), 6) AS population, round(exp(sum(ln(1 + (loc_idx % 3) / 100))), 9) AS hat FROM h GROUP BY i, j")
 def browser_attribution(spark, sf_dir):
-    """Centroid-in-cell sums, and multiplicative shocks over the sources of a cell."""
-    cells = city.raw_locations(spark, sf_dir).withColumns({"i": F.floor(F.col("x") / 2500), "j": F.floor(F.col("y") / 2500)})
-    return cells.groupBy("i", "j").agg(r6(F.sum("population")).alias("population"), r6(F.product(1 + (F.col("loc_idx") % 3) / 100), 9).alias("hat"))
+    """Sums over the sites whose centres lie in each cell, and the product of their shocks."""
+    sites = city.raw_locations(spark, sf_dir).withColumn("log_hat", F.log(1 + (F.col("loc_idx") % 3) / 100))
+    corner = sites.select(F.floor(F.col("x") / 2500).alias("i"), F.floor(F.col("y") / 2500).alias("j")).distinct()
+    x, y = F.col("i") * 2500.0 - 1e-6, F.col("j") * 2500.0 - 1e-6  # a site on an edge belongs to the cell on its right or above
+    cells = corner.select(F.struct("i", "j").alias("grid_sequence"), F.array(C.box_ring(x, y, x + 2500.0, y + 2500.0)).alias("rings"))
+    found = variants.browser_attribution(cells, sites, ["population", "log_hat"], 2500.0)
+    return found.select("grid_sequence.i", "grid_sequence.j", r6(F.col("population")).alias("population"), r6(F.exp("log_hat"), 9).alias("hat"))
 
 
 @query("slugs", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' #' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part", whole_city=False)
@@ -686,3 +745,22 @@ def block_outcomes(spark, sf_dir):
 def pooled_map_classes(spark, sf_dir):
     local = economy.outcomes_of(appraised(spark, sf_dir, closures=("closed", "open")), city.sites(spark, sf_dir))
     return reporting.pooled_classes(local, ["population", "employment", "wage", "output"])
+
+
+@query("rounded_cities")
+def rounded_cities(spark, sf_dir):
+    """The closed and the open city sought to two digits, in step, and how their searches went."""
+    town, held = economy.City.of(locations(spark, sf_dir)), kernels(spark, sf_dir, both=True)
+    inverted = economy.invert(town, held, P)
+    solved = economy.together(held, [variants.solving_rounded(c, P, inverted.fundamentals, inverted.utility, 1) for c in ("closed", "open")])
+    rows = None
+    for x in solved:
+        path = variants.convergence_table(spark, x).withColumns({"closure": F.lit(x.closure), "population": F.lit(float(x.population)), "utility": F.lit(float(x.utility))})
+        rows = path if rows is None else rows.unionByName(path)
+    return rows
+
+
+@query("inversion_by_updates")
+def inversion_by_updates(spark, sf_dir):
+    found = variants.multiplicative_inversion(economy.City.of(locations(spark, sf_dir)), kernels(spark, sf_dir), P)
+    return city.sites(spark, sf_dir).select("loc_idx", "location_id").join(spark.createDataFrame(economy.primitives(found)), "loc_idx")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from pathlib import Path
 from typing import Any
 
@@ -17,7 +17,7 @@ from urbanloom.functions import columns as C
 from urbanloom.lineage import cut
 from urbanloom.operators import economy, geometry, matrices, networks, reporting, routing, spatial
 from urbanloom.plans import config as configuration
-from urbanloom.plans import outputs
+from urbanloom.plans import outputs, state
 from urbanloom.plans.parameters import Parameters
 from urbanloom.sources import files
 
@@ -167,6 +167,15 @@ def prepare_grid_inputs(attributes: DataFrame, polygons: DataFrame, settings: Ma
         "__order", C.canonical_id(F.col(settings["id_variable"])).alias("location_id"), C.strict_double(F.col(settings["population_variable"]), "population").alias("population"),
         C.strict_double(F.col(settings["employment_variable"]), "employment").alias("employment_raw"), C.strict_double(F.col(settings["rent_variable"]), "rent").alias("rent_floor_space"),
     )
+    ids = cut(ids)
+    if ids.groupBy("location_id").count().where("count > 1").limit(1).count():
+        raise GridInputError("attributes with repeated location identifiers")
+    sums = ids.agg(F.min("population"), F.sum("population"), F.min("employment_raw"), F.sum("employment_raw"), F.min("rent_floor_space")).first()
+    for name, least, total in (("population", *sums[:2]), ("employment", *sums[2:4])):
+        if total is None or least < 0 or total <= 0:
+            raise GridInputError(f"{name} must be nonnegative everywhere and positive in all")
+    if sums[4] <= 0:
+        raise GridInputError("observed rents must be positive everywhere")
     crs = projected_crs(polygons, settings.get("target_crs"))
     named = settings.get("geometry_id_variable") or settings["id_variable"]
     shapes = geometry.repaired(reprojected(polygons, crs).select(C.canonical_id(F.col("properties")[named]).alias("location_id"), F.col("coords").alias("rings")), "rings")
@@ -243,13 +252,32 @@ def prepare_primitive_shocks(locations: DataFrame, policies: DataFrame | None, s
     return spatial.shock_hats(shapes, locations.select("loc_idx", "rings")).drop("coverage")
 
 
-def run_model(spark: SparkSession, locations: DataFrame, before: DataFrame, after: DataFrame, hats: DataFrame, p: Parameters, closures=("closed", "open"), spillovers=(True, False), report=None) -> dict[str, DataFrame]:
-    """The result tables by name: aggregate_changes, block_outcomes_*, welfare_decomposition, inverted_primitives."""
+def specifications(p: Parameters, spillovers=(True, False)) -> list[tuple[str, Parameters]]:
+    return [("with_spillovers" if x else "no_spillovers", p if x else p.without_spillovers()) for x in spillovers]
+
+
+def invert_baseline(spark: SparkSession, locations: DataFrame, before: DataFrame, p: Parameters, spillovers=(True, False), folder: str | None = None) -> dict[str, economy.Inversion]:
+    """The inversions by specification, saved in ``folder`` for later counterfactuals where one is given."""
+    town = economy.City.of(locations)
+    found = economy.invert_variants(town, economy.BlockedKernels(len(town.population), before), specifications(p, spillovers))
+    if folder:
+        state.save(spark, folder, found, p, locations, before)
+    return found
+
+
+def run_model(
+    spark: SparkSession, locations: DataFrame, before: DataFrame, after: DataFrame, hats: DataFrame, p: Parameters, closures=("closed", "open"), spillovers=(True, False), report=None,
+    inversions: Mapping[str, economy.Inversion] | None = None,
+) -> dict[str, DataFrame]:
+    """The result tables by name: aggregate_changes, block_outcomes_*, welfare_decomposition, inverted_primitives.
+
+    ``inversions``: those of a saved state; without them the baseline is inverted here.
+    """
     town = economy.City.of(locations)
     given = hats.orderBy("loc_idx").toPandas()
     shocks = {"productivity": given.productivity_hat.to_numpy(float), "amenity": given.amenity_hat.to_numpy(float), "density": given.structural_density_hat.to_numpy(float)}
     kernels = economy.BlockedKernels(len(town.population), before, after)
-    inversions = economy.invert_variants(town, kernels, [("with_spillovers" if x else "no_spillovers", p if x else p.without_spillovers()) for x in spillovers])
+    inversions = inversions or economy.invert_variants(town, kernels, specifications(p, spillovers))
     solved = economy.solved_rows(spark, economy.appraise(town, kernels, p, shocks, closures, spillovers, report, inversions)).persist()
     out = {"aggregate_changes": economy.aggregate_of(solved).orderBy(F.col("Specification").desc(), F.array_position(F.array(*[F.lit(c) for c in ("closed", "open", "fixed_distribution")]), F.col("Closure")))}
     first = inversions["with_spillovers" if "with_spillovers" in inversions else "no_spillovers"]
@@ -289,20 +317,36 @@ def in_output_crs(locations: DataFrame, crs: str) -> tuple[DataFrame, int]:
     return moved, int(crs.removeprefix("EPSG:"))
 
 
-def run(spark: SparkSession, config: Mapping[str, Any], prepare_only: bool = False, model_only: bool = False, skip_maps: bool = False) -> dict[str, DataFrame]:
-    """A configured appraisal from layers or tables to result files, layers, reports and a package of them all."""
+def run(
+    spark: SparkSession, config: Mapping[str, Any], prepare_only: bool = False, model_only: bool = False, skip_maps: bool = False, report: Callable[[str], None] | None = None,
+    invert_only: bool = False, saved_inversion: bool = False,
+) -> dict[str, DataFrame]:
+    """A configured appraisal from layers or tables to result files, layers, reports and a package of them all.
+
+    ``invert_only`` saves the baseline's inversion and stops; ``saved_inversion`` starts from a saved one, read like the
+    other inputs of a run that only models. ``report`` is told of the solvers' progress.
+    """
     paths, standard = config["paths"], Path(config["paths"]["standardized_input"])
     output = outputs.variant_folder(paths["output"], config["project"].get("variant"))
     timers = outputs.Timers()
     configuration.save_config(config, str(output / "runtime_config.json"))
     with timers.step("prepare"):
-        locations, before, after, hats = prepared(spark, config, model_only)
+        locations, before, after, hats = prepared(spark, config, model_only or saved_inversion)
     if prepare_only:
         return {"locations": locations, "baseline": before, "counterfactual": after, "hats": hats}
     p = Parameters.from_config(config)
     closures = ("closed", "open") if config["model"]["city_closure"] == "both" else (config["model"]["city_closure"],)
     spillovers = (True, False) if config["project"]["run_no_spillover_comparison"] else (True,)
-    tables = run_model(spark, locations, before, after, hats, p, closures, spillovers)
+    folder = str(output / "inversion")
+    if invert_only:
+        with timers.step("invert"):
+            found = invert_baseline(spark, locations, before, p, spillovers, folder)
+        primitives = spark.createDataFrame(economy.primitives(next(iter(found.values())))).join(locations.select("loc_idx", "location_id"), "loc_idx")
+        table = primitives.orderBy("loc_idx").select("location_id", *economy.PRIMITIVES[:5])
+        files.write_csv(table, str(output / "inverted_primitives.csv"))
+        return {"inverted_primitives": table}
+    inversions = state.load(spark, folder, p, locations, before, [name for name, _ in specifications(p, spillovers)]) if saved_inversion else None
+    tables = run_model(spark, locations, before, after, hats, p, closures, spillovers, report, inversions)
     maps = config["reporting"]["make_maps"] and not skip_maps
     tables |= {k: v for k, v in outputs.report_tables(tables, hats).items() if maps or k == "console_summary"}
     for name, table in tables.items():
