@@ -528,8 +528,7 @@ def test_cut_of_whole_pages_is_minimal():
             continue
         seen += 1
         content, boiler = html_extract.terminal_costs(blocks, weights)
-        edges = [(a, b, agree[min(len(agree) - 1, html_extract.dom_distance(blocks[a], blocks[b]))]) for a, b in html_extract.neighbours(blocks)]
-        edges = [(a, b, round(html_extract.SCALE * html_extract.EDGE * w)) for a, b, w in edges]
+        edges = html_extract.edges_of(blocks, agree)
         cost = lambda side: sum(b if s else c for s, c, b in zip(side, content, boiler, strict=True)) + sum(w for a, b, w in edges if side[a] != side[b])  # noqa: E731,B023
         kept = [b.text for b in html_extract.main_blocks(html)]
         side = html_extract.minimum_cut(content, boiler, edges)

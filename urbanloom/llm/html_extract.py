@@ -2,16 +2,20 @@
 
 A page becomes a row of text blocks. A classifier (page_model.py) gives every block a probability of being content,
 from its text, links, element, nearest landmark and container names; the negative logarithms are the costs of either
-label and the capacities to the two terminals. Blocks that follow each other, and blocks with the same parent, are
-tied by smoothness edges: the log-odds that such blocks agree, which weaken with their distance in the DOM. The
-minimum cut between the terminals is the labelling of least total cost; the blocks on the content side are kept.
+label and the capacities to the two terminals. Blocks that follow each other, and blocks with the same parent, the last
+one and the last of the same element, are tied by smoothness edges: the log-odds that such blocks agree, which weaken
+with their distance in the DOM. All edges of a block together hold at most HELD, so that what stands around it decides
+on a block only where the classifier is not sure. The minimum cut between the terminals is the labelling of least total
+cost; the blocks on the content side are kept.
 
 Markup is read as browsers do where it matters: elements close implicitly, a tag cut off by the end of the page
 is dropped, a bare ``<`` is text, comments, scripts and styles are skipped, character references are decoded.
-Inline elements do not break a block; ``br`` and table cells count as white space in it.
+Inline elements do not break a block; ``br`` and table cells count as white space in it. In a tag a quote opens a value
+only behind ``=``, so a stray apostrophe does not swallow what follows.
 
 Edge cases: a null or empty html, or one without content, gives an empty text. Repeated rows have a row each,
-alike. Very long pages are read whole; time is linear in the markup and the cut's graph has two edges a block.
+alike. Very long pages are read whole; time is linear in the markup, however deep it is, and the cut's graph has three
+edges a block at most.
 An empty table gives an empty result. Input columns but the id, url and html are not carried.
 """
 
@@ -20,7 +24,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -28,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.llm.page_model import SUREST, fitted
+from urbanloom.llm.page_model import FAR, SUREST, fitted
 
 Model = tuple[Sequence[float], Sequence[float]]
-#: Costs are whole numbers: so many to one unit of log-odds. An edge has EDGE of its log-odds, as a block has two to four.
-SCALE, EDGE = 1000, 0.7
+#: Costs are whole numbers: so many to one unit of log-odds. An edge has EDGE of its log-odds, as a block has two to four,
+#: and a block's edges HELD of them at most: what a probability of 0.83 has.
+SCALE, EDGE, HELD = 1000, 0.7, 1.6
 #: What a container's names still say one level deeper.
 FADING = 0.8
-PROSE, HEADINGS = frozenset("p blockquote pre figcaption dd td".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
-TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*(?:>|\Z))|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?P<end>>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+PROSE, HEADINGS, LISTED = frozenset("p blockquote pre figcaption dd td".split()), frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("tr td th caption dt dd address".split())
+TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*(?:>|\Z))|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?>[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?P<end>>|\Z))", re.S)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SKIPPED = frozenset("script style noscript template svg math iframe object head title select textarea button datalist audio video canvas".split())
 #: Of these, the content is not markup; only their own end tag ends them.
 RAW = frozenset("script style textarea title iframe noscript".split())
@@ -48,6 +53,7 @@ BLOCK = frozenset(
 )
 SPACED = frozenset("br td th img".split())
 CLOSES_P = BLOCK - {"html", "body", "option", "legend", "caption", "thead", "tbody", "tfoot", "tr", "summary", "figcaption"}
+NOT_P, LISTS = BLOCK - {"p"}, frozenset(("ul", "ol", "dl", "table", "menu"))
 AWAY = frozenset("nav aside footer form fieldset menu dialog address".split())
 HOME = frozenset("article main".split())
 BAD_NAMES = frozenset(
@@ -61,30 +67,40 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form m
 WORD = re.compile(r"[A-Za-z]+")
 
 
+@dataclass(eq=False)
+class _Open:
+    """An open element; ``place`` is its nearest landmark, ``names`` what it and its containers are called: 1 bad, -1 good."""
+
+    tag: str
+    parent: _Open | None = None
+    place: str = ""
+    names: float = 0.0
+    depth: int = 0
+
+
 @dataclass
 class Block:
     text: str
-    chain: tuple[int, ...]
-    own: str
-    place: str
-    names: float
+    node: _Open
     link_share: float
 
+    @property
+    def own(self) -> str:
+        return self.node.tag
 
-@dataclass
-class _Open:
-    """An open element; ``place`` is its nearest landmark, ``names`` what it and its containers are called: 1 bad, -1 good."""
+    @property
+    def place(self) -> str:
+        return self.node.place
 
-    tag: str
-    number: int
-    place: str = ""
-    names: float = 0.0
+    @property
+    def names(self) -> float:
+        return self.node.names
 
 
-def _opened(tag: str, number: int, attributes: str, parent: _Open | None) -> _Open:
-    place, carried = (parent.place, FADING * parent.names) if parent else ("", 0.0)
+def _opened(tag: str, attributes: str, parent: _Open) -> _Open:
+    place, carried = parent.place, FADING * parent.names
     if tag in ("html", "body"):
-        return _Open(tag, number)  # names of the whole page say nothing on a part of it
+        return _Open(tag, parent, depth=parent.depth + 1)  # names of the whole page say nothing on a part of it
     words: list[str] = []
     for kind, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
@@ -97,29 +113,44 @@ def _opened(tag: str, number: int, attributes: str, parent: _Open | None) -> _Op
         # An article in an article, or in what is called comments, may be a reader's.
         carried = carried if place == "home" or (tag == "article" and carried >= 0.5) else 0.0
         place = "home"
-    elif tag in AWAY:
+    elif tag in AWAY and not (tag == "address" and place == "home"):  # an article may tell an address
         place = "away"
     elif tag == "header":
         place = "home header" if place == "home" else "away"
-    return _Open(tag, number, place, own if abs(own) >= abs(carried) else carried)
+    return _Open(tag, parent, place, own if abs(own) >= abs(carried) else carried, parent.depth + 1)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in page order, with what the classifier looks at."""
+    root = _Open("")
     stack: list[_Open] = []
+    opened: Counter = Counter()  # open elements by tag, so that an end tag without a beginning is no search
     out: list[Block] = []
     parts: list[str] = []
-    linked = number = at = 0
+    linked = at = 0
     in_link = False
 
+    def close(k: int) -> None:
+        for o in stack[k:]:
+            opened[o.tag] -= 1
+        del stack[k:]
+
+    def close_last(ends: set[str], barriers: frozenset[str]) -> None:
+        if any(opened[t] for t in ends):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].tag in ends:
+                    close(k)
+                    return
+                if stack[k].tag in barriers:
+                    return
+
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                last = stack[-1] if stack else _Open("", 0)
-                out.append(Block(text, tuple(o.number for o in stack), last.tag, last.place, last.names, min(1.0, linked / len(text))))
+                out.append(Block(text, stack[-1] if stack else root, min(1.0, linked / len(text))))
         linked = 0
 
     def say(text: str) -> None:
@@ -151,10 +182,7 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(" ") if parts else None
             elif name in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == name:
-                        del stack[k:]
-                        break
+                close_last({name}, frozenset())
             continue
         if name in SKIPPED:
             if not tag["attrs"].rstrip().endswith("/"):
@@ -167,12 +195,12 @@ def blocks_of(page: str) -> list[Block]:
         elif name in BLOCK:
             flush()
             if name in CLOSES_P:
-                _close(stack, {"p"}, BLOCK - {"p"})
+                close_last({"p"}, NOT_P)
             if name in ("li", "dt", "dd", "tr", "option"):
-                _close(stack, {"li"} if name == "li" else {"dt", "dd"} if name in ("dt", "dd") else {name}, frozenset(("ul", "ol", "dl", "table", "menu")))
+                close_last({"dt", "dd"} if name in ("dt", "dd") else {name}, LISTS)
             if name not in VOID:
-                number += 1
-                stack.append(_opened(name, number, tag["attrs"], stack[-1] if stack else None))
+                stack.append(_opened(name, tag["attrs"], stack[-1] if stack else root))
+                opened[name] += 1
     flush()
     return out
 
@@ -189,15 +217,6 @@ def _skip(page: str, at: int, name: str) -> int:
     return body.start() if body else len(page)
 
 
-def _close(stack: list[_Open], ends: set[str], barriers: frozenset[str]) -> None:
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k].tag in ends:
-            del stack[k:]
-            return
-        if stack[k].tag in barriers:
-            return
-
-
 def features(blocks: list[Block]) -> list[list[float]]:
     """What the classifier looks at: text, links, own element, nearest landmark, names, place in the page."""
     out, n = [], len(blocks)
@@ -208,7 +227,7 @@ def features(blocks: list[Block]) -> list[list[float]]:
         home = b.place.startswith("home")
         out.append([
             1.0, min(1.0, math.log1p(size) / 6), min(1.0, 20 * ends / (size + 1)), 1.0 if b.text[-1] in ".!?:" else 0.0, b.link_share, 1.0 if b.own in PROSE else 0.0, 1.0 if heading else 0.0,
-            1.0 if b.own == "li" else 0.0, 1.0 if home else 0.0, 1.0 if b.place == "away" else 0.0, b.link_share if home else 0.0, max(0.0, b.names), max(0.0, -b.names), 0.0 if home else abs(2 * (k + 0.5) / n - 1),
+            1.0 if b.own == "li" else 0.0, 1.0 if b.own in LISTED else 0.0, 1.0 if home else 0.0, 1.0 if b.place == "away" else 0.0, b.link_share if home else 0.0, max(0.0, b.names), max(0.0, -b.names), 0.0 if home else abs(2 * (k + 0.5) / n - 1),
         ])
     return out
 
@@ -226,26 +245,39 @@ def terminal_costs(blocks: list[Block], weights: Sequence[float]) -> tuple[list[
 
 
 def dom_distance(a: Block, b: Block) -> int:
-    """Steps between two blocks' elements in the DOM."""
-    shared = 0
-    for x, y in zip(a.chain, b.chain, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return len(a.chain) + len(b.chain) - 2 * shared
+    """Steps between two blocks' elements in the DOM, up to FAR."""
+    x, y, steps = a.node, b.node, 0
+    while x is not y and steps < FAR:
+        if x.depth >= y.depth:
+            x = x.parent
+        else:
+            y = y.parent
+        steps += 1
+    return steps
 
 
 def neighbours(blocks: list[Block]) -> list[tuple[int, int]]:
-    """Blocks that follow each other, and blocks that follow each other among the same parent's."""
-    found, last_of = [], {}
+    """Blocks that follow each other; with the same parent, the last one and the last of the same element, past what stands between."""
+    found, last_of, last_like = set(), {}, {}
     for k, block in enumerate(blocks):
         if k:
-            found.append((k - 1, k))
-        parent = block.chain[-2] if len(block.chain) > 1 else 0
-        if last_of.get(parent, k - 1) < k - 1:
-            found.append((last_of[parent], k))
-        last_of[parent] = k
-    return found
+            found.add((k - 1, k))
+        parent = id(block.node.parent)
+        for last, key in ((last_of, parent), (last_like, (parent, block.own))):
+            if key in last:
+                found.add((last[key], k))
+            last[key] = k
+    return sorted(found)
+
+
+def edges_of(blocks: list[Block], agree: Sequence[float]) -> list[tuple[int, int, int]]:
+    """(a, b, capacity) of neighbouring blocks; those of a block are scaled down to HELD where they exceed it together."""
+    found = [(a, b, EDGE * agree[dom_distance(blocks[a], blocks[b])]) for a, b in neighbours(blocks)]
+    total: dict[int, float] = defaultdict(float)
+    for a, b, weight in found:
+        total[a] += weight
+        total[b] += weight
+    return [(a, b, int(SCALE * weight * min(1.0, HELD / max(HELD, total[a]), HELD / max(HELD, total[b])))) for a, b, weight in found]
 
 
 def minimum_cut(content: list[int], boilerplate: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -316,8 +348,7 @@ def main_blocks(page: str, model: Model | None = None) -> list[Block]:
     weights, agree = model or fitted()
     blocks = blocks_of(page)
     content, boilerplate = terminal_costs(blocks, weights)
-    edges = [(a, b, round(SCALE * EDGE * agree[min(len(agree) - 1, dom_distance(blocks[a], blocks[b]))])) for a, b in neighbours(blocks)]
-    side = minimum_cut(content, boilerplate, edges)
+    side = minimum_cut(content, boilerplate, edges_of(blocks, agree))
     return [b for b, kept in zip(blocks, side, strict=True) if kept]
 
 

@@ -39,9 +39,18 @@ def _links(rng: random.Random) -> str:
     return "".join(f'<li><a href="/{k}">{" ".join(_words(rng, rng.randint(1, 4)))}</a></li>' for k in range(rng.randint(3, 9)))
 
 
+def _inserted(rng: random.Random) -> str:
+    """What stands between an article's paragraphs and is none of it."""
+    return rng.choice([
+        '<div class="ad">{}</div>', '<div class="advert"><p>{}</p></div>', "<aside><p>{}</p></aside>", '<form><p>{}</p><input></form>', '<form><label>{}</label></form>', '<div class="share">{}</div>',
+        '<div class="social-share"><p>{}</p></div>', '<div class="notice"><p>{}</p></div>', '<div role="alert">{}</div>', '<div class="newsletter"><p>{}</p></div>', '<div class="related">{}</div>',
+    ]).format(_sentence(rng, 2, 14))
+
+
 def _inside(rng: random.Random, kept: list[str]) -> str:
     """Main text; every block goes to ``kept`` as well."""
     out = []
+    cells = lambda n: [" ".join(_words(rng, rng.randint(1, 2))) if rng.random() < 0.5 else str(rng.randint(1, 9999)) for _ in range(n)]
 
     def keep(text: str, form: str) -> None:
         kept.append(text)
@@ -49,8 +58,25 @@ def _inside(rng: random.Random, kept: list[str]) -> str:
 
     keep(_sentence(rng, 3, 9)[:-1], "<h1>{}</h1>")
     for _ in range(rng.randint(1, 9)):
+        if rng.random() < 0.12:
+            out.append(_inserted(rng))
         kind = rng.random()
-        if kind < 0.55:
+        if kind < 0.06:
+            out.append("<table>")
+            for _ in range(rng.randint(2, 6)):
+                row = cells(rng.randint(2, 4))
+                kept.append(" ".join(row))
+                out.append("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>")
+            out.append("</table>")
+        elif kind < 0.1:
+            out.append("<dl>")
+            for _ in range(rng.randint(1, 4)):
+                keep(" ".join(_words(rng, rng.randint(1, 3))), "<dt>{}</dt>")
+                keep(_sentence(rng, 2, 12), "<dd>{}</dd>")
+            out.append("</dl>")
+        elif kind < 0.12:
+            keep(_sentence(rng, 3, 9)[:-1], "<address>{}</address>")
+        elif kind < 0.55:
             keep(_prose(rng, 1, 6), "<p>{}</p>")
         elif kind < 0.65:
             keep(_sentence(rng, 1, 4), "<p>{}</p>")
@@ -82,7 +108,7 @@ def page(rng: random.Random) -> tuple[str, list[str]]:
     form = pick(["<form><p>{}</p><input></form>", '<div class="newsletter"><p>{}</p></div>', '<form><label>{}</label></form>', '<div class="subscribe-form">{}</div>']).format(_sentence(rng, 2, 9))
     remarks = "".join(pick(["<p>{}</p>", "<div><p>{}</p></div>", '<li><p>{}</p></li>', '<article class="comment"><p>{}</p></article>', "<article><p>{}</p></article>", '<div class="reply">{}</div>']).format(_prose(rng, 1, 3)) for _ in range(rng.randint(1, 5)))
     comments = pick(['<section id="comments"><h3>{}</h3>{}</section>', '<div class="comment-list"><h3>{}</h3>{}</div>', '<div class="discussion"><h4>{}</h4>{}</div>']).format(" ".join(_words(rng, 2)), remarks)
-    footer = pick(["<footer>{}</footer>", "<footer><p>{}</p></footer>", named("div", "footer", "site-footer", "legal"), "<div><p>{}</p></div>"]).format("&copy; " + _sentence(rng, 2, 12))
+    footer = pick(["<footer>{}</footer>", "<footer><address>{}</address></footer>", "<footer><table><tr><td>{}</td></tr></table></footer>", "<footer><p>{}</p></footer>", named("div", "footer", "site-footer", "legal"), "<div><p>{}</p></div>"]).format("&copy; " + _sentence(rng, 2, 12))
     body = _inside(rng, kept)
     for extra in (advert.format(_sentence(rng, 3, 14)), side, form):
         if rng.random() < 0.15:
