@@ -9,7 +9,7 @@ value is live-looking.
 
 Edge cases: a null or empty text has no spans; empty strings are hashed for it. Equal values in repeated rows
 count once per document. Null ids and null sources count as one document and one owner of their own. Very
-long texts are scanned whole. An empty table gives an empty result. No other columns are carried.
+long texts are scanned whole, and very many matches of a text in time that grows with their number. An empty table gives an empty result. No other columns are carried.
 """
 
 from __future__ import annotations
@@ -41,25 +41,45 @@ HINTS = {
     "private": "-----BEGIN",
 }
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
+#: Entries of an array that are added up one after the other, and code points of a piece of a text that is cut.
+STEP, PIECE = 256, 4096
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine, empty: int) -> Column:
+    """For each entry of an array of bigint, the entries before it combined; time grows with the array's length.
+
+    An array that grows by an entry a step is copied each time, so steps are taken in parts of STEP entries.
+    """
+    nothing = F.array().cast("array<bigint>")
+    begin = F.struct(F.lit(empty).cast("bigint").alias("at"), nothing.alias("out"))
+
+    def scanned(entries: Column, entry) -> Column:
+        step = lambda state, x: F.struct(combine(state["at"], entry(x)).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+        return F.aggregate(entries, begin, step)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int")), lambda k: scanned(F.slice(values, k * STEP + 1, F.lit(STEP)), lambda x: x))
+    joined = let(parts, lambda p: F.flatten(F.zip_with(p, scanned(p, lambda part: part["at"])["out"], lambda part, before: F.transform(part["out"], lambda x: combine(before, x)))))
+    return F.when(F.size(values) > 0, joined).otherwise(nothing)
 
 
 def spans_of(text: Column, kind: str, rank: int, pattern: str) -> Column:
     """The matches of one kind as an array of SPAN's structs, leftmost and non-overlapping, in order."""
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-
     def placed(pair: Column) -> Column:
-        pieces, found = pair["pieces"], pair["found"]
+        lengths = F.zip_with(F.slice(pair["pieces"], 1, F.size(pair["found"])), pair["found"], lambda piece, value: (F.length(piece) + F.length(value)).cast("bigint"))
 
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(F.get(pieces, i))
-            value = F.get(found, i)
-            end = start + F.length(value)
-            span = F.struct(start.cast("long").alias("start"), F.lit(rank).alias("rank"), end.cast("long").alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-            return F.struct(end.cast("long").alias("at"), F.concat(state["spans"], F.array(span)).cast(SPAN).alias("spans"))
+        def spans(before: Column) -> Column:
+            def span(value: Column, i: Column) -> Column:
+                start = F.get(before, i) + F.length(F.get(pair["pieces"], i))
+                return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
 
-        begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
-        steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, begin, step, lambda state: state["spans"])
+            return F.transform(pair["found"], span).cast(SPAN)
+
+        return let(running(lengths, lambda a, b: a + b, 0), spans)
 
     pair = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     return F.when(text.rlike(HINTS[kind]) & text.rlike(pattern), let(pair, placed)).otherwise(F.array().cast(SPAN))
@@ -154,13 +174,27 @@ def redact_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with its spans replaced; overlapping spans become one mark. Spans come by start."""
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with its spans replaced; overlapping spans become one mark. Spans come by start.
+
+    A place in a string is found by counting from its beginning, so the text is cut into pieces first, and what stays
+    between two spans is taken from the pieces that hold it.
+    """
+
+    def cleaned(pieces: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+            head = F.substr(F.get(pieces, first), (a % PIECE + 1).cast("int"), F.when(first == last, b - a).otherwise(F.lit(PIECE)).cast("int"))
+            middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            tail = F.coalesce(F.substr(F.get(pieces, last), F.lit(1), (b % PIECE).cast("int")), F.lit(""))
+            return F.when(b > a, F.concat(head, F.when(last > first, F.concat(middle, tail)).otherwise(F.lit("")))).otherwise(F.lit(""))
+
+        def parts(ends: Column) -> Column:
+            """``ends``: for each span, how far those before it reach."""
+            kept = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(ends, i), F.concat(between(F.get(ends, i), s["start"]), F.lit(mark))).otherwise(F.lit("")))
+            reach = F.greatest(F.element_at(ends, -1), F.element_at(spans, -1)["end"])
+            return F.concat(F.array_join(kept, ""), between(reach, F.length(text).cast("bigint")))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        kept = F.substr(text, (state["at"] + 1).cast("int"), F.greatest(F.lit(0).cast("long"), s["start"] - state["at"]).cast("int"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.when(fresh, F.concat(kept, F.lit(mark))).otherwise(F.lit(""))).alias("out"))
+        return let(running(F.transform(spans, lambda s: s["end"]), F.greatest, 0), parts)
 
-    done = F.aggregate(spans, begin, step, lambda state: F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int"))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda k: F.substr(text, k * PIECE + 1, F.lit(PIECE)))
+    return F.when(F.size(spans) > 0, let(pieces, cleaned)).otherwise(text)
