@@ -198,7 +198,18 @@ def test_whole_appraisal(spark, tmp_path):
     said = []
     saved = stages.run(spark, config, saved_inversion=True, skip_maps=True, report=said.append)["aggregate_changes"].collect()
     assert [r.ExpectedUtilityPct for r in saved] == pytest.approx([r.ExpectedUtilityPct for r in rows], abs=1e-6) and any("open city" in x for x in said)
-    locations = stages.run(spark, config, prepare_only=True)["locations"]
+    # The published grid and its centroids again, with times made anew.
+    config["project"]["run_grid"] = False
+    reused = stages.run(spark, config, prepare_only=True)
+    config["project"]["run_grid"] = True
+    fresh = stages.run(spark, config, prepare_only=True)
+    locations = fresh["locations"]
+    both = reused["locations"].join(locations.select("location_id", F.col("x").alias("x0"), F.col("y").alias("y0")), "location_id")
+    assert both.count() == local.count() and both.where("abs(x - x0) > 0.01 or abs(y - y0) > 0.01").count() == 0
+    times = reused["counterfactual"].join(fresh["counterfactual"].withColumnRenamed("minutes", "m"), ["o_idx", "d_idx"])
+    assert times.count() == local.count() ** 2 and times.where("abs(minutes - m) > 1e-3").count() == 0
+    report = json.loads((tmp_path / "std" / "grid_report.json").read_text())["allocation"]
+    assert report[0]["candidate_pairs"] >= report[0]["positive_pairs"] >= 9
     assert locations.agg(F.sum("population")).first()[0] == pytest.approx(1000)
     assert locations.agg(F.sum("employment_model")).first()[0] == pytest.approx(1000)
     assert locations.agg(F.avg("rent_floor_space")).first()[0] == pytest.approx(1)

@@ -95,6 +95,18 @@ def polygon_overlaps(source: DataFrame, target: DataFrame, bucket: float, exact_
     return found.where("overlap > 0")
 
 
+def overlap_counts(source: DataFrame, target: DataFrame, bucket: float = 1000.0, exact_boxes: bool = False) -> DataFrame:
+    """One row: candidate_pairs, whose bounding boxes meet or touch, and positive_pairs, which share area."""
+    side = lambda frame, name: frame.select(bounds_of(F.col("rings")).alias(name))
+    a, b = F.col("a"), F.col("b")
+    # A pair is counted in the cell with the lower left corner of what its boxes share.
+    home = (F.floor(F.greatest(a["x0"], b["x0"]) / bucket) == F.col("cell.i")) & (F.floor(F.greatest(a["y0"], b["y0"]) / bucket) == F.col("cell.j"))
+    touching = (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
+    met = side(source, "a").withColumn("cell", F.explode(_cells(a, bucket))).join(side(target, "b").withColumn("cell", F.explode(_cells(b, bucket))), "cell").where(home & touching)
+    shared = polygon_overlaps(source, target, bucket, exact_boxes).agg(F.count(F.lit(1)).alias("positive_pairs"))
+    return met.agg(F.count(F.lit(1)).alias("candidate_pairs")).crossJoin(F.broadcast(shared))  # a row each
+
+
 def area_interpolate(
     source: DataFrame, target: DataFrame, extensive: Sequence[str], intensive: Sequence[str] = (), bucket: float = 1000.0, exact_boxes: bool = False
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from urbanloom.functions import columns as C
 from urbanloom.lineage import cut
 from urbanloom.operators import economy, geometry, matrices, networks, reporting, routing, spatial, variants
+from urbanloom.plans import packages
 from urbanloom.plans.parameters import Parameters
 from urbanloom.sources import city
 
@@ -225,6 +226,11 @@ def allocation_report(spark, sf_dir):
     return report.select("variable", r6(F.col("source_total")).alias("source_total"), r6(F.col("allocated_total")).alias("allocated_total"), r6(F.col("ratio")).alias("ratio"))
 
 
+@query("allocation_counts", BOXES_SQL + " SELECT (SELECT count(*) FROM cell, raw WHERE cx0 <= x + 500 AND x - 500 <= cx0 + 1500 AND cy0 <= y + 500 AND y - 500 <= cy0 + 1500) AS candidate_pairs, (SELECT count(*) FROM lap WHERE overlap > 0) AS positive_pairs")
+def allocation_counts(spark, sf_dir):
+    return spatial.overlap_counts(*_grid_and_sources(spark, sf_dir), exact_boxes=True)
+
+
 def policies(spark, sf_dir) -> DataFrame:
     sites = city.sites(spark, sf_dir).where(F.col("loc_idx") % 10 == 3)
     ring = C.box_ring(F.col("x") - 400, F.col("y") - 300, F.col("x") + 550, F.col("y") + 450)
@@ -650,6 +656,13 @@ def local_outcomes(spark, sf_dir):
     return loc.select("loc_idx", r6(F.col("population")).alias("population_baseline"), r6(after).alias("population_counterfactual"), r6(C.percent_change(after, F.col("population"))).alias("population_pct"), r6(F.col("annual_land_rent")).alias("annual_land_rent"))
 
 
+@query("cell_results", "SELECT 'L' || loc_idx AS location_id, population AS population_baseline, employment_model AS population_counterfactual, round(employment_model - population, 6) AS population_absolute_change, CASE WHEN abs(population) > 1e-12 THEN round(100 * (employment_model / population - 1), 6) END AS population_percentage_change FROM loc")
+def cell_results(spark, sf_dir):
+    loc = locations(spark, sf_dir).select("location_id", F.col("population").alias("population_baseline"), F.col("employment_model").alias("population_counterfactual"))
+    made = packages.cell_results(loc, ["population"])
+    return made.withColumns({c: r6(F.col(c)) for c in made.columns[3:]})
+
+
 @query("shock_percent", "SELECT loc_idx, primitive, round(h::DOUBLE, 6) + 0.0 AS pct FROM (SELECT loc_idx, (loc_idx % 4) * 5.0 AS productivity_hat, 0.0 AS amenity_hat, -(loc_idx % 3) * 2.0 AS structural_density_hat FROM site) UNPIVOT (h FOR primitive IN (productivity_hat, amenity_hat, structural_density_hat))")
 def shock_percent(spark, sf_dir):
     k = F.col("loc_idx")

@@ -154,6 +154,8 @@ def generate_grid_inputs(layer: DataFrame, settings: Mapping[str, Any]) -> tuple
         centre["x"].alias("x"), centre["y"].alias("y"), "rings", F.lit(crs).alias("crs"),
     )
     report = spatial.allocation_report(source, grid, extensive)
+    if not original:
+        report = report.crossJoin(F.broadcast(spatial.overlap_counts(source, target, size)))
     return out, report
 
 
@@ -164,10 +166,14 @@ def prepare_grid_inputs(attributes: DataFrame, polygons: DataFrame, settings: Ma
     """
     # The file's order is the locations' order.
     ids = attributes.withColumn("__order", F.monotonically_increasing_id()).select(
-        "__order", C.canonical_id(F.col(settings["id_variable"])).alias("location_id"), C.strict_double(F.col(settings["population_variable"]), "population").alias("population"),
-        C.strict_double(F.col(settings["employment_variable"]), "employment").alias("employment_raw"), C.strict_double(F.col(settings["rent_variable"]), "rent").alias("rent_floor_space"),
+        "__order", C.canonical_id(F.col(settings["id_variable"])).alias("location_id"), C.coerced_double(F.col(settings["population_variable"])).alias("population"),
+        C.coerced_double(F.col(settings["employment_variable"])).alias("employment_raw"), C.coerced_double(F.col(settings["rent_variable"])).alias("rent_floor_space"),
     )
     ids = cut(ids)
+    for c, label in (("population", "population"), ("employment_raw", "employment"), ("rent_floor_space", "rent")):
+        odd = [str(r.location_id) for r in ids.where(F.col(c).isNull() | F.isnan(c)).orderBy("__order").select("location_id").limit(5).collect()]
+        if odd:
+            raise GridInputError(f"{label} is missing or not numeric at locations {', '.join(odd)}")
     if ids.groupBy("location_id").count().where("count > 1").limit(1).count():
         raise GridInputError("attributes with repeated location identifiers")
     sums = ids.agg(F.min("population"), F.sum("population"), F.min("employment_raw"), F.sum("employment_raw"), F.min("rent_floor_space")).first()
@@ -358,6 +364,19 @@ def run(
     return tables
 
 
+def published_locations(spark: SparkSession, standard: Path, crs: str | None = None) -> DataFrame:
+    """The locations of an earlier run's grid: table, polygons and centroids as it published them, in a projected system."""
+    table = files.read_locations(spark, str(standard / "locations.csv")).withColumn("loc_idx", F.row_number().over(W.orderBy("loc_idx")).cast("long") - 1)
+    grid = files.read_geopackage(spark, str(standard / "grid.gpkg"), "grid")
+    metric, own = projected_crs(grid, crs), grid.select("crs").first().crs
+    shapes = reprojected(grid, metric).select(C.canonical_id(F.col("properties")["location_id"]).alias("location_id"), F.col("coords").alias("rings"))
+    at = outputs.read_centroids(spark, str(standard / "centroids.gpkg"), table).select("location_id", _projector(own, metric)(F.struct("x", "y")).alias("at"))
+    joined = outputs.checked_join(outputs.checked_join(table, shapes, "location_id"), at, "location_id")
+    if joined.where("rings is null").limit(1).count():
+        raise GridInputError("published locations without a polygon")
+    return joined.select(*table.columns, "rings", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.lit(metric).alias("crs"))
+
+
 def prepared(spark: SparkSession, config: Mapping[str, Any], model_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(locations, baseline, counterfactual, hats): made from the sources and published, or read from a run before."""
     paths, standard = config["paths"], Path(config["paths"]["standardized_input"])
@@ -368,8 +387,10 @@ def prepared(spark: SparkSession, config: Mapping[str, Any], model_only: bool =
         shocks = standard / "shocks" / "shocks.csv"
         hats = files.read_shocks(spark, str(shocks), locations) if shocks.exists() else locations.select("loc_idx", *[F.lit(1.0).alias(h) for h in spatial.HATS])
     else:
-        grid = config["grid"]
-        if grid["mode"] == "generate_from_source_layers":
+        grid, project = config["grid"], config["project"]
+        if not project["run_grid"]:
+            locations = published_locations(spark, standard, grid.get("analysis_crs") or grid.get("target_crs"))
+        elif grid["mode"] == "generate_from_source_layers":
             locations, allocation = generate_grid_inputs(read_polygon_folder(spark, paths["source_grid_folder"]), grid)
             files.write_json({"allocation": [r.asDict() for r in allocation.collect()]}, str(standard / "grid_report.json"))
         else:
@@ -377,7 +398,10 @@ def prepared(spark: SparkSession, config: Mapping[str, Any], model_only: bool =
             locations = prepare_grid_inputs(attributes, read_layer(spark, paths["source_grid_geometry"]), grid)
         locations = cut(locations)
         matrix = config["ttmatrix"]
-        if matrix["source"] == "user_provided":
+        if not project["run_ttmatrix"]:
+            before, after = (files.read_matrix(spark, str(standard / f"travel_times_{k}.csv"), locations) for k in ("baseline", "counterfactual"))
+            report = matrices.summary(before, after)
+        elif matrix["source"] == "user_provided":
             before, after, report = prepare_travel_times(spark, locations, paths["baseline_matrix"], paths["counterfactual_matrix"], matrix)
         else:
             crs = locations.select("crs").first().crs
