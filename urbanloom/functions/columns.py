@@ -109,7 +109,7 @@ def ring_signed_area(ring: Column) -> Column:
     return _sum(F.transform(_turns(ring), lambda t: t["a"]["x"] * t["b"]["y"] - t["b"]["x"] * t["a"]["y"])) / 2
 
 
-def _ring_signs(rings: Column) -> Column:
+def ring_signs(rings: Column) -> Column:
     """1 for each ring that is a shell, -1 for a hole. Rings that touch do so in points, so the middle of an edge decides."""
 
     def sign(ring: Column, k: Column) -> Column:
@@ -121,12 +121,12 @@ def _ring_signs(rings: Column) -> Column:
 
 
 def polygon_area(rings: Column) -> Column:
-    return _sum(F.zip_with(rings, _ring_signs(rings), lambda ring, sign: sign * F.abs(ring_signed_area(ring))))
+    return _sum(F.zip_with(rings, ring_signs(rings), lambda ring, sign: sign * F.abs(ring_signed_area(ring))))
 
 
 def polygon_centroid(rings: Column) -> Column:
     """(x, y) of the centroid of all shells less all holes; the mean of the points where the area is 0."""
-    weights = F.zip_with(rings, _ring_signs(rings), lambda ring, sign: sign * F.abs(ring_signed_area(ring)))
+    weights = F.zip_with(rings, ring_signs(rings), lambda ring, sign: sign * F.abs(ring_signed_area(ring)))
     whole = _sum(weights)
     moment = lambda axis: _sum(F.zip_with(rings, weights, lambda ring, w: F.when(w != 0, w * ring_centroid(ring)[axis]).otherwise(0.0)))
     points = F.flatten(rings)

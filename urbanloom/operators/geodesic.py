@@ -50,6 +50,19 @@ def nearest_on_segment(lon: Column, lat: Column, lon0: Column, lat0: Column, lon
     return F.when(inside, at).otherwise(end)
 
 
+def polygon_area_km2(rings: Column) -> Column:
+    """Square kilometres of a polygon in degrees on the sphere: half the sum of each vertex' sine of latitude times the
+    longitudes from the vertex before to the one after; shells less holes."""
+
+    def ring_area(ring: Column) -> Column:
+        around = lambda k, step: F.get(ring, (k + step) % F.size(ring))["x"]
+        terms = F.transform(ring, lambda p, k: F.radians(around(k, F.lit(1)) - around(k, F.size(ring) - 1)) * F.sin(F.radians(p["y"])))
+        return F.abs(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)) * (RADIUS_KM**2 / 2)
+
+    signed = F.zip_with(rings, C.ring_signs(rings), lambda ring, sign: sign * ring_area(ring))
+    return F.aggregate(signed, F.lit(0.0), lambda total, x: total + x)
+
+
 def measured(segs: DataFrame) -> DataFrame:
     """Segments in degrees with km, their length, and before, the length of their line up to them."""
     km = C.haversine_km(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))

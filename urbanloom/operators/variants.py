@@ -246,8 +246,15 @@ def browser_views(local: DataFrame, outcome: str) -> DataFrame:
     return local.select("location_id", F.explode(F.array(*[F.struct(F.lit(k).alias("view"), v.alias("value")) for k, v in views.items()])).alias("r")).select("location_id", "r.*")
 
 
-def browser_shocks(cells: DataFrame, policies: DataFrame) -> DataFrame:
-    """grid_sequence, hat: the product over policies (rings, pct) whose polygon holds a cell's centre, else 1."""
-    inside = cells.join(F.broadcast(policies.select(F.col("rings").alias("policy"), "pct")), C.point_in_polygon(F.col("lon"), F.col("lat"), F.col("policy")))  # drawn by hand, so few
-    found = inside.groupBy("grid_sequence").agg(F.product(1 + F.col("pct") / 100).alias("hat"))
-    return cells.select("grid_sequence").join(found, "grid_sequence", "left").select("grid_sequence", F.coalesce("hat", F.lit(1.0)).alias("hat"))
+def browser_shocks(cells: DataFrame, policies: DataFrame, columns: Mapping[str, str] | None = None, bucket: float = 0.05) -> DataFrame:
+    """grid_sequence and hats: the products over policies (rings and percentages) whose polygon holds a cell's centre, else 1.
+
+    ``columns``: hats by the percentages they come of; a null percentage changes nothing. Centres and polygons meet in the
+    cells of a raster.
+    """
+    columns = columns or {"pct": "hat"}
+    keyed = policies.select(F.col("rings").alias("policy"), *columns, F.explode(spatial._cells(spatial.bounds_of(F.col("rings")), bucket)).alias("cell"))
+    centres = cells.select("grid_sequence", "lon", "lat", F.struct(F.floor(F.col("lon") / bucket).alias("i"), F.floor(F.col("lat") / bucket).alias("j")).alias("cell"))
+    inside = centres.join(keyed, "cell").where(C.point_in_polygon(F.col("lon"), F.col("lat"), F.col("policy")))
+    found = inside.groupBy("grid_sequence").agg(*[F.product(1 + F.coalesce(F.col(pct), F.lit(0.0)) / 100).alias(hat) for pct, hat in columns.items()])
+    return cells.select("grid_sequence").join(found, "grid_sequence", "left").select("grid_sequence", *[F.coalesce(hat, F.lit(1.0)).alias(hat) for hat in columns.values()])

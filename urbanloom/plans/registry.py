@@ -705,6 +705,18 @@ def browser_attribution(spark, sf_dir):
     return found.select("grid_sequence.i", "grid_sequence.j", r6(F.col("population")).alias("population"), r6(F.exp("log_hat"), 9).alias("hat"))
 
 
+@query("drawn_shocks", ", pol AS (SELECT x AS px, y AS py, loc_idx % 20 - 10.0 AS pct FROM site WHERE loc_idx % 10 = 3) SELECT loc_idx AS grid_sequence, round(coalesce(exp(sum(ln(1 + pct / 100))), 1), 9) AS productivity_hat, round(coalesce(exp(sum(ln(1 + abs(pct) / 50))), 1), 9) AS amenity_hat FROM site LEFT JOIN pol ON abs(x - px) < 1600 AND abs(y - py) < 1400 GROUP BY loc_idx")
+def drawn_shocks(spark, sf_dir):
+    """Every tenth site draws a box about itself with two percentages, a made-up layer: products over the boxes at each site."""
+    sites = city.sites(spark, sf_dir)
+    pct = F.col("loc_idx") % 20 - 10.0
+    ring = C.box_ring(F.col("x") - 1600, F.col("y") - 1400, F.col("x") + 1600, F.col("y") + 1400)
+    drawn = sites.where(F.col("loc_idx") % 10 == 3).select(F.array(ring).alias("rings"), pct.alias("pct"), (F.abs(pct) * 2).alias("other_pct"))
+    centres = sites.select(F.col("loc_idx").alias("grid_sequence"), F.col("x").alias("lon"), F.col("y").alias("lat"))
+    found = variants.browser_shocks(centres, drawn, {"pct": "productivity_hat", "other_pct": "amenity_hat"}, 1000.0)
+    return found.select("grid_sequence", *[r6(F.col(c), 9).alias(c) for c in ("productivity_hat", "amenity_hat")])
+
+
 @query("slugs", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' #' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part", whole_city=False)
 def slugs(spark, sf_dir):
     return city.table(spark, sf_dir, "part").select("p_partkey", C.slug(F.concat_ws(" #", "p_name", "p_brand")).alias("slug"))
