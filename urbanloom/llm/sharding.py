@@ -23,7 +23,6 @@ empty; an empty table gives an empty result. Columns but id and text are not rea
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -209,8 +208,3 @@ def write_shards(docs: DataFrame, folder: str, *, shards: int = 24, files: int =
     docs.withColumn(shard_col, plan.shard(text_key(text_col))).repartition(F.col(shard_col), file).write.partitionBy(shard_col).parquet(folder)
     scratch.clear()
     return plan
-
-
-def shard_sizes(assigned: DataFrame, by: Sequence[str] = ("shard",)) -> DataFrame:
-    """Bytes and rows of each shard."""
-    return assigned.groupBy(*by).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
