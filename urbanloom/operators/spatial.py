@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from urbanloom.errors import GridInputError, ScenarioInputError
 from urbanloom.functions import columns as C
-from urbanloom.lineage import cut
+from urbanloom.lineage import cut, numbered
 from urbanloom.operators import geometry
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -47,7 +47,7 @@ def hexagon_grid(spark: SparkSession, bounds: tuple[float, float, float, float],
 
 def original_grid(source: DataFrame, id_col: str | None = None) -> DataFrame:
     """Every source polygon is a cell; ids come from a unique column or from the order."""
-    cells = source.withColumn("grid_sequence", F.row_number().over(W.orderBy("source_id")).cast("long"))
+    cells = numbered(source, ["source_id"], "grid_sequence", 1)
     if id_col is None:
         return cells.withColumn("location_id", F.col("grid_sequence").cast("string"))
     named = cells.withColumn("location_id", C.canonical_id(F.col(id_col)))

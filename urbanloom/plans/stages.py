@@ -9,12 +9,11 @@ from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanloom.errors import GridInputError, MatrixInputError, ScenarioInputError, UnsupportedCrs
 from urbanloom.functions import columns as C
-from urbanloom.lineage import cut
+from urbanloom.lineage import cut, numbered
 from urbanloom.operators import economy, geometry, matrices, networks, reporting, routing, spatial
 from urbanloom.plans import config as configuration
 from urbanloom.plans import outputs, state
@@ -110,7 +109,7 @@ def read_polygon_folder(spark: SparkSession, folder: str) -> DataFrame:
         crs = crs or layer.select("crs").first().crs
         layer = reprojected(layer, crs).withColumn("layer", F.lit(k))
         out = layer if out is None else out.unionByName(layer)
-    return out.withColumn("source_id", F.row_number().over(W.orderBy("layer", "feature", "part")).cast("long") - 1)
+    return numbered(out, ["layer", "feature", "part"], "source_id")
 
 
 def generate_grid_inputs(layer: DataFrame, settings: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +139,7 @@ def generate_grid_inputs(layer: DataFrame, settings: Mapping[str, Any]) -> tuple
         grid = target.join(found, "target_id").withColumnsRenamed({"target_id": "grid_sequence"}).withColumn("location_id", F.col("grid_sequence").cast("string"))
     grid = grid.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in intensive})
     grid = grid if "developed" in grid.columns else grid.withColumn("developed", F.lit(0.0))
-    kept = spatial.retained(grid, original).withColumn("loc_idx", F.row_number().over(W.orderBy("grid_sequence")).cast("long") - 1)
+    kept = numbered(spatial.retained(grid, original), ["grid_sequence"], "loc_idx")
     total = float(settings["total_population"])
     ready = spatial.share_scaled(spatial.positive_replaced(kept, "population"), "population", total)
     ready = spatial.employment_balanced(spatial.positive_replaced(ready, "employment_raw"))
@@ -196,7 +195,7 @@ def prepare_grid_inputs(attributes: DataFrame, polygons: DataFrame, settings: Ma
     if ids.join(shapes, "location_id", "left_anti").limit(1).count():
         raise GridInputError("locations without geometry")
     centre = C.polygon_centroid(F.col("rings"))
-    joined = spatial.employment_balanced(ids.join(shapes, "location_id")).withColumn("loc_idx", F.row_number().over(W.orderBy("__order")).cast("long") - 1).drop("__order")
+    joined = spatial.employment_balanced(numbered(ids.join(shapes, "location_id"), ["__order"], "loc_idx").drop("__order"))
     return joined.withColumns({"land_area": C.polygon_area(F.col("rings")), "x": centre["x"], "y": centre["y"], "crs": F.lit(crs)})
 
 
@@ -204,9 +203,8 @@ def read_network(lines: DataFrame, stations: DataFrame, crs: str) -> routing.Net
     """The network in ``crs``; a station that is no point counts by its vertices' mean."""
     points = F.flatten("coords")
     mean = lambda name: F.aggregate(points, F.lit(0.0), lambda total, p: total + p[name]) / F.size(points)
-    # A number for each station in the layer's order; its features are few beside the locations.
-    places = reprojected(stations, crs).where(F.size(points) > 0).select((F.row_number().over(W.orderBy("feature", "part")).cast("long") - 1).alias("station"), mean("x").alias("x"), mean("y").alias("y"))
-    places = cut(places)
+    told = reprojected(stations, crs).where(F.size(points) > 0).select("feature", "part", mean("x").alias("x"), mean("y").alias("y"))
+    places = cut(numbered(told, ["feature", "part"], "station").select("station", "x", "y"))
     if places.isEmpty():
         raise MatrixInputError("the station layer is empty")
     return routing.Network(cut(networks.layer_segments(reprojected(lines, crs))), places)
@@ -219,12 +217,12 @@ def generate_travel_times(locations: DataFrame, layers: Mapping[str, routing.Net
         float(settings["off_network_speed_kmh"]), float(settings["network_speed_kmh"]), float(settings["snap_tolerance_m"]), float(settings["station_split_buffer_m"]),
         int(settings["point_station_neighbors"]), int(settings["point_walking_neighbors"]), float(settings["station_connector_minutes"]),
     )
-    candidates = settings["legacy_station_candidates"]
+    candidates, tasks = settings["legacy_station_candidates"], None if str(settings["workers"]).lower() == "auto" or int(settings["workers"]) == 1 else int(settings["workers"])
     spread = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
     cell = max(1.0, math.sqrt(max(1.0, spread[0]) * max(1.0, spread[1]) / spread[2]) * 1.5)
 
     def times(network: routing.Network | None) -> DataFrame:
-        return routing.require_reachable(routing.travel_times(points, network, routes, settings["routing_method"], None if candidates == "all" else int(candidates), cell), settings["unreachable_rule"])
+        return routing.require_reachable(routing.travel_times(points, network, routes, settings["routing_method"], None if candidates == "all" else int(candidates), cell, tasks), settings["unreachable_rule"])
 
     before = cut(times(layers.get("baseline")))
     after = before if layers.get("counterfactual") is None else cut(times(layers["counterfactual"]))
@@ -366,7 +364,7 @@ def run(
 
 def published_locations(spark: SparkSession, standard: Path, crs: str | None = None) -> DataFrame:
     """The locations of an earlier run's grid: table, polygons and centroids as it published them, in a projected system."""
-    table = files.read_locations(spark, str(standard / "locations.csv")).withColumn("loc_idx", F.row_number().over(W.orderBy("loc_idx")).cast("long") - 1)
+    table = numbered(files.read_locations(spark, str(standard / "locations.csv")).withColumnRenamed("loc_idx", "__line"), ["__line"], "loc_idx").drop("__line")
     grid = files.read_geopackage(spark, str(standard / "grid.gpkg"), "grid")
     metric, own = projected_crs(grid, crs), grid.select("crs").first().crs
     shapes = reprojected(grid, metric).select(C.canonical_id(F.col("properties")["location_id"]).alias("location_id"), F.col("coords").alias("rings"))
@@ -381,7 +379,7 @@ def prepared(spark: SparkSession, config: Mapping[str, Any], model_only: bool =
     """(locations, baseline, counterfactual, hats): made from the sources and published, or read from a run before."""
     paths, standard = config["paths"], Path(config["paths"]["standardized_input"])
     if model_only or config["project"].get("reuse_standardized_inputs"):
-        locations = files.read_locations(spark, str(standard / "locations.csv")).withColumn("loc_idx", F.row_number().over(W.orderBy("loc_idx")).cast("long") - 1).persist()
+        locations = numbered(files.read_locations(spark, str(standard / "locations.csv")).withColumnRenamed("loc_idx", "__line"), ["__line"], "loc_idx").drop("__line").persist()
         before = files.read_matrix(spark, str(standard / "travel_times_baseline.csv"), locations)
         after = files.read_matrix(spark, str(standard / "travel_times_counterfactual.csv"), locations)
         shocks = standard / "shocks" / "shocks.csv"

@@ -71,11 +71,15 @@ def read_shocks(spark: SparkSession, path: str, locations: DataFrame) -> DataFra
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    """One CSV file, published by a rename."""
+    """One CSV file in the frame's order, published by a rename. The driver holds one partition's rows at a time; null and NaN are empty."""
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     scratch = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-    frame.toPandas().to_csv(scratch, index=False)
+    with open(scratch, "w", newline="", encoding="utf-8") as stream:
+        writer = csv.writer(stream, lineterminator="\n")
+        writer.writerow(frame.columns)
+        for row in frame.toLocalIterator(prefetchPartitions=True):
+            writer.writerow(["" if v is None or v != v else v for v in row])
     os.replace(scratch, target)
 
 
