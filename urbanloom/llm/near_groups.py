@@ -41,7 +41,7 @@ PIECE = 1 << 22
 #: Longer words are hashed one by one.
 LONG_WORD = 64
 #: Parity cells of a set of shingles.
-BITS = 1024
+BITS = 256
 #: Pairs of each two groups that a task gives at first, and the factor for each further round.
 NEAREST, MORE = 8, 16
 #: Counts of a shingle in a chunk are sent in so many bits.
