@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from urbanloom.errors import GridInputError, ScenarioInputError
 from urbanloom.functions import columns as C
 from urbanloom.operators import geometry, matrices, networks, paths, reporting, routing, spatial
+from urbanloom.plans import registry
 
 
 def ring(*points):
@@ -356,3 +357,27 @@ def test_nearest_line_against_all_pairs(spark):
         assert got.keys() == expected.keys()
         assert all(got[k][1] == expected[k][1] and abs(got[k][0] - expected[k][0]) < 1e-6 for k in got)
     assert spatial.nearest_line(places, segments.limit(0)).count() == spatial.nearest_line(places.limit(0), segments).count() == 0
+
+
+def test_detours_side_by_side_are_exact(spark):
+    """Triangles of 3, 4 and 5 are at 1.4 and not above it, at any size."""
+    ways = spark.range(1, 400).select((F.col("id") * 7000.0).alias("minutes"), F.hypot(F.col("id") * 3000.0, F.col("id") * 4000.0).alias("direct"))
+    row = matrices.detour_stats_of(ways, 1.4).first()
+    assert (row.p99, row.maximum, row.n_above) == (1.4, 1.4, 0)
+
+
+def test_a_grid_with_detours_at_the_warning_agrees_with_counting(spark, tmp_path):
+    side = 24
+    spark.range(side * side).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    steps = [(abs(a % side - b % side), abs(a // side - b // side)) for a in range(side * side) for b in range(side * side) if a != b]
+    above = sum(25 * (i + j) ** 2 > 49 * (i * i + j * j) for i, j in steps)  # (i + j) / sqrt(i^2 + j^2) > 7 / 5 in whole numbers
+    assert registry.detour_stats(spark, str(tmp_path)).first().n_above == above
+
+
+def test_all_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    points = places(spark, [(k, 2 * k) for k in range(40)]).coalesce(1)
+    monkeypatch.setattr(matrices, "TASK_PAIRS", 100)
+    od = matrices.direct_minutes(points, 4.0)
+    assert od.rdd.getNumPartitions() == 16 and od.select("o_idx", "d_idx").distinct().count() == 1600
+    monkeypatch.setattr(matrices, "MAX_BROADCAST_ROWS", 0)
+    assert sorted(matrices.direct_minutes(points, 4.0).collect()) == sorted(od.collect())
