@@ -62,6 +62,12 @@ def appraisal_measures(flows0: DataFrame, flows1: DataFrame, od0: DataFrame, od1
     return mean(flows0, od0, "t00").crossJoin(mean(flows0, od1, "t01")).crossJoin(mean(flows1, od1, "t11"))
 
 
+def appraisal_measures_of(pairs: DataFrame) -> DataFrame:
+    """The same of pairs that have both flows (share0, share1) and both times (m0, m1) side by side."""
+    mean = lambda share, minutes: F.sum(F.col(share) * F.col(minutes)) / F.sum(share)
+    return pairs.agg(mean("share0", "m0").alias("t00"), mean("share0", "m1").alias("t01"), mean("share1", "m1").alias("t11"))
+
+
 def symmetric_thresholds(frame: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """q1, q2, q3 of the absolute values over 1e-12: quartiles, or 0.5, 1 and 2 medians where these do not rise."""
     size = F.abs(F.col(column))
