@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -109,6 +110,30 @@ def kept_of(spark, texts):
     return {r.doc_id for r in near_groups.one_of_each_group(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
 
 
+def test_candidates_grow_with_the_texts_not_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_groups, "MEMBERS", 8)
+    rng = random.Random(5)
+    base = prose(600, 300).split()
+
+    def edited(count):
+        at = set(rng.sample(range(300), count))
+        return " ".join(f"new{rng.randrange(10**6)}" if k in at else w for k, w in enumerate(base))
+
+    texts = [edited(4) for _ in range(50)] + [edited(3) for _ in range(10)] + [edited(9) for _ in range(10)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    sets = near_groups.shared_prefixes(frame, 5, 0.8).persist()
+    none = spark.createDataFrame([], "node long, root long")
+    forest = near_groups.candidate_forest(sets, none, 0.8, near_groups.Scratch(spark)).persist()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < forest.count() < 70 * tasks < 70 * 69 / 2 / 3
+    links = near_groups.links_apart(forest, sets, none, frame, 5, 0.8)
+    assert all(jaccard(texts[r.u], texts[r.v]) >= 0.8 for r in links.collect())
+    roots = {r.node: r.root for r in components.connected_components(links).collect()}
+    expected = groups(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert {k: roots.get(k, k) for k in range(len(texts))} == expected
+    assert 5 < len(set(expected.values())) < 60
+
+
 def test_groups_of_block_edits(spark):
     rng, texts = np.random.default_rng(5), []
     for k in range(40):
