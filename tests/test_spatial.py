@@ -381,3 +381,18 @@ def test_all_pairs_are_dealt_to_tasks(spark, monkeypatch):
     assert od.rdd.getNumPartitions() == 16 and od.select("o_idx", "d_idx").distinct().count() == 1600
     monkeypatch.setattr(matrices, "MAX_BROADCAST_ROWS", 0)
     assert sorted(matrices.direct_minutes(points, 4.0).collect()) == sorted(od.collect())
+
+
+def test_a_wide_matrix_has_two_columns_at_any_size(spark):
+    n = 1500
+    points = spark.range(n).select(F.col("id").alias("loc_idx"), (F.col("id") % 40 * 1.0).alias("x"), (F.col("id") / 40).alias("y"))
+    sites = points.select("loc_idx", F.col("loc_idx").cast("string").alias("location_id"))
+    od = matrices.direct_minutes(points, 20.0)
+    header, rows = matrices.long_to_rows(od, sites)
+    assert header[:2] == ["location_id_0", "location_id_1"] and len(header) == n and rows.columns == ["location_id", "minutes"]
+    back = matrices.rows_to_long(header, rows, sites)
+    assert back.count() == n * n
+    both = back.join(od.withColumnRenamed("minutes", "was"), ["o_idx", "d_idx"])
+    assert both.where("minutes = was").count() == n * n
+    with pytest.raises(Exception, match="not one for each"):
+        matrices.long_to_rows(od.where("not (o_idx = 3 and d_idx = 5)"), sites)[1].count()
