@@ -31,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,7 @@ ROUNDS = 4
 #: (discount, strength) of the context restaurants and of their parent.
 CONTEXT, PARENT = (0.8, 5.0), (0.8, 20.0)
 SEED = 42
+ZSTD = pa.Codec("zstd", 1)
 #: Kinds of rows between the steps.
 PAIRS, CHUNK, SEATING, NAMES, TABLES, ROOT, SHARED, REPLY, FOUND = range(9)
 ROWS = "to long, kind int, sender long, parts array<binary>, figures array<double>"
@@ -106,22 +108,30 @@ def binomial(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def planes(array: np.ndarray) -> bytes:
-    """Whole numbers, compressed byte place by byte place, as most have few bytes."""
-    return zlib.compress(array.view(np.uint8).reshape(-1, array.itemsize).T.tobytes(), 1)
+    """Numbers, compressed byte place by byte place, as most differ in few bytes."""
+    size = array.itemsize
+    places, own = np.empty((size, len(array)), np.uint8), array.view(np.uint8).reshape(-1, size)
+    for k in range(size):
+        places[k] = own[:, k]
+    return len(array).to_bytes(8, "little") + ZSTD.compress(places.tobytes(), asbytes=True)
 
 
 def unplanes(blob: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(size, -1).T.tobytes(), kind)
+    size, n = np.dtype(kind).itemsize, int.from_bytes(blob[:8], "little")
+    own, places = np.empty((n, size), np.uint8), np.frombuffer(ZSTD.decompress(blob[8:], size * n), np.uint8).reshape(size, n)
+    for k in range(size):
+        own[:, k] = places[k]
+    return own.reshape(-1).view(kind)
 
 
 def pack(array: np.ndarray) -> bytes:
-    wide = len(array) and int(array.max()) >= 1 << 32
-    return (b"q" if wide else b"u") + planes(array.astype(np.int64 if wide else np.uint32))
+    """Whole numbers from 0, in as many bytes as the largest needs."""
+    kind = np.min_scalar_type(int(array.max(initial=0))).char
+    return kind.encode() + planes(array.astype(kind))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return unplanes(blob[1:], np.int64 if blob[:1] == b"q" else np.uint32).astype(np.int64)
+    return unplanes(blob[1:], blob[:1].decode()).astype(np.int64)
 
 
 def listed(hashes: np.ndarray) -> bytes:
@@ -140,7 +150,7 @@ def rows_of(rows: list[tuple]) -> pa.Table:
 
 def by_part(which: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(part, its rows in their order)."""
-    order = np.argsort(which, kind="stable")
+    order = np.argsort(which.astype(np.min_scalar_type(int(which.max(initial=0)))), kind="stable")  # narrow numbers are sorted by radix
     edges = np.flatnonzero(np.diff(which[order])) + 1
     return [(int(which[part[0]]), part) for part in np.split(order, edges) if len(part)]
 
@@ -177,6 +187,24 @@ class Split:
         return self.buckets + (mixed(hashes, 1) % np.uint64(self.buckets)).astype(np.int64)
 
 
+def numbered_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Each token's number, the tokens of each text, each closed by END, and the spelling of each number."""
+    lists = [pc.ascii_split_whitespace(pc.ascii_lower(part.cast(pa.string(), safe=False))) for part in texts.chunks]  # bytes that are no UTF-8 stay
+    found = pa.chunked_array([part.flatten() for part in lists], pa.string()).dictionary_encode().unify_dictionaries()
+    spelled = [*(found.chunk(0).dictionary.cast(pa.binary()).to_pylist() if found.num_chunks else []), END]
+    number = np.concatenate([*(part.indices.to_numpy() for part in found.chunks), np.empty(0, np.int32)]).astype(np.int64)
+    word = number != (spelled.index(b"") if b"" in spelled else -1)  # white space at either end gives an empty piece
+    before = np.concatenate(([0], np.cumsum(word)))
+    pieces = np.concatenate([pc.list_value_length(part).to_numpy(zero_copy_only=False) for part in lists]).astype(np.int64)
+    until = np.cumsum(pieces)
+    sizes = before[until] - before[until - pieces] + 1
+    token = np.full(sizes.sum(), len(spelled) - 1)
+    inner = np.ones(len(token), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    token[inner] = number[word]
+    return token, sizes, spelled
+
+
 class Tokens:
     """A chunk's tokens: the document of each, its word and its (context, word) pair among the chunk's distinct ones."""
 
@@ -184,20 +212,12 @@ class Tokens:
         ids = table.column("doc_id").to_pylist()
         modulus, held = holdout
         self.held_out = np.array([zlib.crc32(str(i if i is not None else "").encode()) % modulus == held for i in ids], bool)
-        number: dict[bytes, int] = {END: 0}
-        tokens: list[int] = []
-        self.sizes = np.empty(len(ids), np.int64)
-        for k, data in enumerate(table.column("data")):
-            spelled = data.as_py().lower().split()
-            spelled.append(END)
-            tokens.extend([number.setdefault(w, len(number)) for w in spelled])
-            self.sizes[k] = len(spelled)
-        hashes = np.array([*(xxhash.xxh64_intdigest(w, SEED) for w in number), START], np.uint64)
-        token = np.array(tokens, np.int64)
+        token, self.sizes, spelled = numbered_words(table.column("data"))
+        hashes = np.array([*(xxhash.xxh64_intdigest(w, SEED) for w in spelled), START], np.uint64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         context = np.empty(len(token), np.int64)
         context[1:] = token[:-1]
-        context[self.starts] = len(number)
+        context[self.starts] = len(spelled)
         # Rows may come in any order, so pairs are put in the order of their hashes, not of their first occurrence.
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -392,7 +412,7 @@ def _answer(split: Split, shared: dict[int, tuple[int, dict[int, int]]], roots:
         for r in rows:
             if r["kind"] == CHUNK:
                 at = np.cumsum(unpack(r["parts"][0]))
-                out.append((r["sender"], FOUND, bucket, [log_p[at].tobytes(), pack(told[at])], None))
+                out.append((r["sender"], FOUND, bucket, [planes(log_p[at]), pack(told[at])], None))
         return rows_of(out)
 
     return run
@@ -412,7 +432,7 @@ def _score(split: Split, holdout: tuple[int, int], n: float, v: float):
         log_p, count = np.empty(len(tokens.word)), np.empty(len(tokens.word), np.int64)
         for bucket, some in by_part(split.bucket(tokens.context, tokens.word)):
             said = by_bucket[bucket]
-            log_p[some], count[some] = np.frombuffer(said[0], np.float32), unpack(said[1])
+            log_p[some], count[some] = unplanes(said[0], np.float32), unpack(said[1])
         per_pair = [log_p, np.log10((count + 1) / (n + 1 * (v + 1))), (count > 0).astype(np.int64)]
         score, base, known = [np.add.reduceat(x[tokens.pair_of], tokens.starts) for x in per_pair]
         rows = {"doc_id": docs.column("doc_id"), "held_out": tokens.held_out, "n_tokens": tokens.sizes, "n_known": known, "train_tokens": np.full(docs.num_rows, int(n)), "base_score": base, "score": score}
