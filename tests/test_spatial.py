@@ -396,3 +396,48 @@ def test_a_wide_matrix_has_two_columns_at_any_size(spark):
     assert both.where("minutes = was").count() == n * n
     with pytest.raises(Exception, match="not one for each"):
         matrices.long_to_rows(od.where("not (o_idx = 3 and d_idx = 5)"), sites)[1].count()
+
+
+@pytest.mark.parametrize("shape", ["grid", "tree", "parts", "thick"])
+def test_dissected_graphs_have_the_same_times(shape):
+    rng, side = np.random.default_rng(3), 18
+    n = side * side
+    x, y = np.arange(n) % side * 1.0, np.arange(n) // side * 1.0
+    if shape == "tree":
+        a = np.arange(1, n)
+        b = rng.integers(0, a)
+    elif shape == "thick":
+        a, b = np.triu_indices(n, 1)
+    else:
+        right, up = np.flatnonzero(x < side - 1), np.flatnonzero(y < side - 1)
+        a, b = np.concatenate([right, up]), np.concatenate([right + 1, up + side])
+        if shape == "parts":
+            keep = (x[a] < 9) == (x[b] < 9)
+            a, b = a[keep], b[keep]
+    arcs = paths.Arcs.both_ways(a, b, rng.uniform(1, 9, len(a)), n)
+    some = n // 3  # the others have no place of their own
+    dissection, origins = paths.Dissection.of(arcs, np.where(np.arange(some) == 5, np.nan, x[:some]), y[:some]), np.array([0, 7, 7, 200, n - 1])
+    assert len(dissection.bound) > 1
+    np.testing.assert_allclose(dissection.times(origins)[dissection.number], paths.labels(arcs, origins), rtol=1e-12)
+
+
+def test_a_dissection_takes_few_sums_on_a_grid_and_is_refused_beyond_a_bound(monkeypatch):
+    side = 64
+    n = side * side
+    x, y = np.arange(n) % side * 1000.0, np.arange(n) // side * 1000.0
+    right, up = np.flatnonzero(np.arange(n) % side < side - 1), np.arange(n - side)
+    arcs = paths.Arcs.both_ways(np.concatenate([right, up]), np.concatenate([right + 1, up + side]), np.full(len(right) + len(up), 1000.0), n)
+    dissection = paths.Dissection.of(arcs, x, y)
+    assert sum(i.size + o.size for i, o in zip(dissection.inner, dissection.outer, strict=True)) < 100 * n
+    wanted = (np.abs(x[:, None] - x[[0, 77]]) + np.abs(y[:, None] - y[[0, 77]])).tolist()
+    assert dissection.times(np.array([0, 77]))[dissection.number].tolist() == wanted
+    monkeypatch.setattr(paths, "MAX_DISSECTION_SUMS", 1 << 10)
+    assert paths.Dissection.of(arcs, x, y) is None
+
+
+def test_stations_apart_are_refused_before_the_search(spark, monkeypatch):
+    network = routing.Network.of(spark, [[(0.0, 0.0), (9.0, 0.0)], [(0.0, 50.0), (9.0, 50.0)]], [(1.0, 0.0), (2.0, 50.0)])
+    for bound in (paths.MAX_GRAPH_BYTES, 0):
+        monkeypatch.setattr(paths, "MAX_GRAPH_BYTES", bound)
+        with pytest.raises(ValueError, match="connect all stations"):
+            networks.station_distances(network.segs, network.stations)
