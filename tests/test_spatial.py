@@ -441,3 +441,19 @@ def test_stations_apart_are_refused_before_the_search(spark, monkeypatch):
         monkeypatch.setattr(paths, "MAX_GRAPH_BYTES", bound)
         with pytest.raises(ValueError, match="connect all stations"):
             networks.station_distances(network.segs, network.stations)
+
+
+def test_walks_that_no_way_needs_are_left_out(spark, monkeypatch):
+    """Many stations on a line: the walks held are few, so a bound that all walks exceed does not lead to tables; times as by tables."""
+    n, m = 120, 60
+    rng = np.random.default_rng(5)
+    points = places(spark, [(float(x), float(y)) for x, y in rng.uniform(0, 60_000, (n, 2))])
+    network = routing.Network.of(spark, [[(0.0, 0.0), (59_000.0, 0.0)]], [(1000.0 * k, 0.0) for k in range(m)])
+    settings = routing.RoutingSettings()
+    run = lambda: as_array(routing.travel_times(points, network, settings, "direct_station_access"), n)
+    with monkeypatch.context() as patch:
+        patch.setattr(routing, "MAX_ACCESS_BYTES", 0)
+        tables = run()
+    monkeypatch.setattr(routing, "MAX_ACCESS_BYTES", 8 * n * m)
+    monkeypatch.setattr(routing, "direct_station_access", None)
+    assert run() == pytest.approx(tables, abs=1e-9)
