@@ -457,3 +457,18 @@ def test_walks_that_no_way_needs_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(routing, "MAX_ACCESS_BYTES", 8 * n * m)
     monkeypatch.setattr(routing, "direct_station_access", None)
     assert run() == pytest.approx(tables, abs=1e-9)
+
+
+def test_hubs_do_not_keep_a_graph_from_being_cut():
+    """Stations near thousands of locations, as in the augmented graph."""
+    side = 60
+    n = side * side
+    x, y = np.arange(n) % side * 1000.0, np.arange(n) // side * 1000.0
+    right, up, places_ = np.flatnonzero(np.arange(n) % side < side - 1), np.arange(n - side), np.arange(n)
+    near = [n + np.clip(places_ % side // 6 + k, 0, 9) for k in (-1, 0, 1)]
+    a, b = np.concatenate([right, up, *[places_] * 3]), np.concatenate([right + 1, up + side, *near])
+    cost = np.random.default_rng(1).uniform(1, 9, len(a))
+    arcs = paths.Arcs.both_ways(a, b, cost, n + 10)
+    dissection, origins = paths.Dissection.of(arcs, x, y), np.array([5, n - 1])
+    assert sum(i.size + o.size for i, o in zip(dissection.inner, dissection.outer, strict=True)) < 120 * n
+    np.testing.assert_allclose(dissection.times(origins)[dissection.number], paths.labels(arcs, origins), rtol=1e-12)
