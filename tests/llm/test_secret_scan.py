@@ -65,3 +65,19 @@ def test_long_texts_are_redacted_in_time(spark):
     began = time.perf_counter()
     out = secret_scan.redact_secrets(frame).first().text
     assert out == re.sub("[0-9a-f]{24,}", "[secret]", text) and time.perf_counter() - began < 30
+
+
+def test_only_rows_with_candidates_are_decided(spark, monkeypatch):
+    parts = []
+
+    def kept(frame, cut=secret_scan.cut):
+        out = cut(frame)
+        parts.append(out.rdd.glom().map(len).collect())
+        return out
+
+    monkeypatch.setattr(secret_scan, "cut", kept)
+    rows = [(k, "0f" * 15 if k % 50 == 0 else "nothing here", "a") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(20)
+    got = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
+    assert got == {k: "[secret]" if k % 50 == 0 else text for k, text, _ in rows}
+    assert [sum(p) for p in parts] == [8] and all(parts[0])  # no empty part for the rows without candidates

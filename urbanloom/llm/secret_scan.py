@@ -128,8 +128,8 @@ def find_secrets(
     return judge(cut(scanned), max_live_owners, max_live_docs).select("doc_id", "spans", "n_live", "n_copied")
 
 
-def judge(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Decide on the candidates of scan()'s rows, stored, by ownership; only rows with candidates are shuffled."""
+def decide(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8) -> DataFrame:
+    """__row, stay (the spans that stay), n_live, n_copied of scan()'s rows, stored, that have candidates; the others have nothing to decide."""
     shared = F.col("n_owners") > 1  # an owner may copy a credential of its own as often as it likes
     owned = ownership(scanned).where(shared & ((F.col("n_owners") > max_live_owners) | (F.col("n_docs") > max_live_docs))).select("hash", F.lit(True).alias("copied"))
     each = scanned.where(F.size("spans") > 0).select("__row", F.explode("spans").alias("span"))
@@ -140,11 +140,16 @@ def judge(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8,
     marked = each.withColumn("salt", F.pmod(F.col("__row"), F.lit(salts)).cast("int")).join(salted, ["hash", "salt"], "left")
     live = F.col("copied").isNull()
     stays = F.col("span.kind").isin(*BASE_KINDS) | live
-    by_row = marked.groupBy("__row").agg(
+    return marked.groupBy("__row").agg(
         F.array_sort(F.collect_list(F.when(stays, F.col("span")))).alias("stay"),
         F.count(F.when(stays & live, 1)).alias("n_live"),
         F.count(F.when(~live, 1)).alias("n_copied"),
     )
+
+
+def judge(scanned: DataFrame, max_live_owners: int = 2, max_live_docs: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Decide on the candidates of scan()'s rows, stored, by ownership; only rows with candidates are shuffled."""
+    by_row = decide(scanned, max_live_owners, max_live_docs)
     without = scanned.where(F.size("spans") == 0).select("doc_id", "spans", F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"), "__row", *carry)
     with_spans = scanned.where(F.size("spans") > 0).select("doc_id", "__row", *carry).join(by_row, "__row")
     return without.unionByName(with_spans.select("doc_id", F.col("stay").alias("spans"), "n_live", "n_copied", "__row", *carry))
@@ -165,7 +170,7 @@ def redact_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     owner = F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), owner.alias("owner"), F.col(text_col).alias("text"), row)
     scanned = written(lambda: scan(narrow, owner_col="owner", carry=("row",)).withColumn("__row", F.monotonically_increasing_id()), docs.sparkSession)
-    decided = judge(scanned.select("doc_id", "owner", "spans", "__row")).where(F.size("spans") > 0).select("__row", F.col("spans").alias("stay"))
+    decided = decide(scanned.select("doc_id", "owner", "spans", "__row")).where(F.size("stay") > 0).select("__row", "stay")
     some = scanned.where(F.size("spans") > 0).select("row", "__row").join(cut(decided), "__row", "left")
     text = F.col(f"row.`{text_col}`")
     clean = F.when(F.col("stay").isNull(), text).otherwise(redact(text, F.col("stay")))
