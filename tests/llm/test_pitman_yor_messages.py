@@ -31,3 +31,21 @@ def test_probabilities_take_less_than_their_bytes():
     assert scored["score"].to_pylist() == [0.0, 0.0] and scored["n_tokens"].to_pylist() == [5, 2]
     blob = pitman_yor.planes(log_p)
     assert len(blob) < 0.9 * log_p.nbytes and np.array_equal(pitman_yor.unplanes(blob, np.float32), log_p)
+
+
+def test_tasks_take_several_groups(spark, monkeypatch):
+    """A step writes at most as many files as the usual partitions if these have few groups each."""
+    files = []
+
+    class Counted(pitman_yor.Scratch):
+        def write(self, make):
+            out = super().write(make)
+            files.append(len(out.inputFiles()))
+            return out
+
+    monkeypatch.setattr(pitman_yor, "Scratch", Counted)
+    texts = [" ".join(f"w{(k * j) % 97}" for j in range(60)) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    usual, total = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(map(len, texts))
+    scored = pitman_yor.score_texts(docs, chunk_bytes=total // (6 * usual), bucket_bytes=total // (3 * usual))
+    assert scored.count() == len(texts) and max(files) <= usual

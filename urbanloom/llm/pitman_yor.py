@@ -48,6 +48,8 @@ SAMPLE_A_BUCKET, SAMPLE_LEAST = 8 << 10, 16 << 20
 BURN_IN, SAMPLES = 3, 3
 #: Shares of the buckets that are shuffled one after the other.
 ROUNDS = 4
+#: Groups that a task takes one after the other if the usual partitions are too few. Each task's table is a file, and a small one costs as much as a large one.
+GROUPS_A_TASK = 8
 #: (discount, strength) of the context restaurants and of their parent.
 CONTEXT, PARENT = (0.8, 5.0), (0.8, 20.0)
 SEED = 42
@@ -469,8 +471,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     usual = shuffle_partitions(spark)
 
     def grouped(frame: DataFrame, column: str, groups: int):
-        """By a column; in more partitions than usual if there are more groups."""
-        return (frame.repartition(groups, column) if groups > usual else frame).groupBy(column)
+        """By a column; in more partitions than usual if a task would get too many groups."""
+        tasks = math.ceil(groups / GROUPS_A_TASK)
+        return (frame.repartition(tasks, column) if tasks > usual else frame).groupBy(column)
 
     dealt = grouped(base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "data"), F.lit(chunks))), "chunk", chunks)
     scratch = Scratch(spark)
