@@ -495,3 +495,14 @@ def test_pairs_come_in_runs_that_compress(tmp_path, monkeypatch):
     np.testing.assert_array_equal(m[order], minutes.ravel())
     pq.write_table(table, tmp_path / "runs.parquet", compression="snappy")
     assert (tmp_path / "runs.parquet").stat().st_size < 2 * len(o)
+
+
+def test_a_graph_s_names_reach_the_driver_in_arrow_alone(spark, monkeypatch):
+    """As Python's strings and rows, the names of a large graph filled the driver."""
+    points = places(spark, [(float(k % 3), float(k // 3)) for k in range(6)])
+    edges = routing.walking_graph(points, routing.RoutingSettings(), 2.0)
+    wanted = as_array(paths.relaxation(edges, points), 6)
+    monkeypatch.setattr(type(points), "toPandas", lambda self: pytest.fail("rows by way of Python"))
+    found = paths.shortest_paths(edges, points)
+    monkeypatch.undo()
+    assert as_array(found, 6) == pytest.approx(wanted, abs=1e-12)
